@@ -9,7 +9,7 @@ from quarry import constants as C
 
 def strip_blank(text: Column) -> Column:
     """Trim every kind of white space at both ends."""
-    return F.regexp_replace(text, rf"\A{C.BLANK}+|{C.BLANK}+\z", "")
+    return F.btrim(text, F.lit(C.BLANKS))
 
 
 def docstring_tokens(text: Column) -> Column:
@@ -41,14 +41,13 @@ def strip_comment_delimiters(comment: Column) -> Column:
 def join_line_comments(lines: Column) -> Column:
     """One docstring from ``#`` comment lines."""
     return F.array_join(
-        F.transform(lines, lambda line: F.regexp_replace(strip_blank(line), r"\A#+|#+\z", "")), "\n"
+        F.transform(lines, lambda line: F.btrim(strip_blank(line), F.lit("#"))), "\n"
     )
 
 
 def clean_quoted_docstring(literal: Column) -> Column:
     """A string literal's text: trim blanks, then double, then single quotes."""
-    without_double = F.regexp_replace(strip_blank(literal), r'\A"+|"+\z', "")
-    return F.regexp_replace(without_double, r"\A'+|'+\z", "")
+    return F.btrim(F.btrim(strip_blank(literal), F.lit('"')), F.lit("'"))
 
 
 def is_comment_token(language: Column, token: Column) -> Column:
@@ -114,7 +113,7 @@ def lex_pattern(language: Column) -> Column:
     """The lexer's pattern; only comment syntax differs between languages."""
 
     def pattern(*comments: str) -> Column:
-        parts = [*comments, C.LEX_STRING, C.LEX_WORD, C.LEX_NUMBER, C.LEX_SYMBOL]
+        parts = [C.LEX_WORD, *comments, C.LEX_STRING, C.LEX_NUMBER, C.LEX_SYMBOL]
         return F.lit("|".join(parts))
 
     hashed = language.isin(C.HASH_COMMENT_LANGUAGES)

@@ -16,9 +16,14 @@ VOCABULARY_COLUMNS = ["scope", "kind", "token", "id", "count"]
 
 
 def token_counts(df: DataFrame, tokens: str = "tokens", scope: str = "scope") -> DataFrame:
-    """How often each token occurs per scope (combined before the shuffle)."""
+    """How often each token occurs per scope (combined before the shuffle).
+
+    The outer form of explode keeps the optimizer from testing the list's
+    size first, which would compute a derived list twice.
+    """
     return (
-        df.select(F.col(scope).alias("scope"), F.explode(tokens).alias("token"))
+        df.select(F.col(scope).alias("scope"), F.explode_outer(tokens).alias("token"))
+        .filter(F.col("token").isNotNull())
         .groupBy("scope", "token")
         .agg(F.count("*").alias("count"))
     )

@@ -99,6 +99,15 @@ def with_documents(hits: DataFrame, documents: DataFrame, keys: list[str]) -> Da
     )
 
 
+def grouped(df: DataFrame, by: list[str]) -> DataFrame:
+    """``language`` as one key that names the repository too."""
+    return df.withColumn("language", F.concat_ws("/", *by, "language")) if by else df
+
+
+def _plain_language(results: DataFrame) -> DataFrame:
+    return results.withColumn("language", F.substring_index("language", "/", -1))
+
+
 def text_search(
     queries: DataFrame,
     repository_languages: DataFrame,
@@ -109,21 +118,25 @@ def text_search(
     model: Model,
     k: int = C.WEB_RESULTS,
 ) -> DataFrame:
-    """Text to code for every accepted query."""
+    """Text to code for every accepted query, in its own repository.
+
+    ``by`` names the repository columns shared by all four tables.
+    """
     good = queries.filter(query_problem(F.col("query")).isNull())
     asked = materialise(
         requested_languages(good, repository_languages, by).filter(F.col("problem").isNull()),
         "asked",
     )
-    vectors = embed_queries(asked, vocabulary, model)
+    keys = F.transform("searched", lambda name: F.concat_ws("/", *by, name))
+    vectors = embed_queries(asked.select("query_id", "query"), vocabulary, model)
     hits = nearest(
-        items,
-        vectors.join(
-            asked.select("query_id", F.col("searched").alias("languages")), "query_id"
-        ),
+        grouped(items, by),
+        vectors.join(asked.select("query_id", keys.alias("languages")), "query_id"),
         k,
     )
-    return with_documents(hits, documents, ["language", "row_index"])
+    return _plain_language(
+        with_documents(hits, grouped(documents, by), ["language", "row_index"])
+    )
 
 
 def code_search(
@@ -136,19 +149,24 @@ def code_search(
     model: Model,
     k: int = C.WEB_RESULTS,
 ) -> DataFrame:
-    """Code to code within the snippet's own language."""
+    """Code to code within the snippet's own repository and language."""
     known = F.array_contains("languages", F.col("language"))
-    good = snippets.join(repository_languages, by).filter(
-        code_problem(F.col("code"), known).isNull()
+    good = materialise(
+        snippets.join(repository_languages, by).filter(
+            code_problem(F.col("code"), known).isNull()
+        ),
+        "snippets",
     )
-    good = materialise(good.select("query_id", "language", "code"), "snippets")
-    vectors = embed_code(good, ["query_id"], vocabulary, model).drop("scope")
+    vectors = embed_code(good.select("query_id", "language", "code"), ["query_id"], vocabulary, model)
+    keys = F.array(F.concat_ws("/", *by, "language"))
     hits = nearest(
-        items,
-        vectors.join(good.select("query_id", F.array("language").alias("languages")), "query_id"),
+        grouped(items, by),
+        vectors.drop("scope").join(good.select("query_id", keys.alias("languages")), "query_id"),
         k,
     )
-    return with_documents(hits, documents, ["language", "row_index"])
+    return _plain_language(
+        with_documents(hits, grouped(documents, by), ["language", "row_index"])
+    )
 
 
 def similar_documents(

@@ -55,3 +55,13 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_folder(spark)}/quarry-{run}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a table read in few splits to all cores before per-row work.
+
+    A large table already comes in more splits than there are cores and is
+    returned as it is, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
