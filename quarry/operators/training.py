@@ -202,15 +202,16 @@ def _batch_gradient(sequences: pa.Table, parameters: pa.Table) -> pa.Table:
 
 def _used_parameters(batch: DataFrame, weights: DataFrame, norms: DataFrame) -> DataFrame:
     """For each batch the rows of the parameter tables it needs."""
+    batch = batch.withColumnRenamed("batch_id", "task")
     used = (
-        batch.select("batch_id", F.col("language").alias("scope"), F.explode("code_ids").alias("id"))
+        batch.select("task", F.col("language").alias("scope"), F.explode("code_ids").alias("id"))
         .unionByName(
-            batch.select("batch_id", F.lit("query").alias("scope"), F.explode("query_ids").alias("id"))
+            batch.select("task", F.lit("query").alias("scope"), F.explode("query_ids").alias("id"))
         )
         .distinct()
     )
     tokens = used.join(weights.filter("kind = 'token'"), ["scope", "id"])
-    scopes = used.select("batch_id", "scope").distinct()
+    scopes = used.select("task", "scope").distinct()
     scale = F.col("gamma") / F.sqrt(F.col("var") + C.BATCH_NORM_EPSILON)
 
     def per_position(kind: str, value) -> DataFrame:
@@ -225,7 +226,7 @@ def _used_parameters(batch: DataFrame, weights: DataFrame, norms: DataFrame) ->
         .unionByName(per_position("slope", scale))
         .unionByName(per_position("shift", F.col("beta") - scale * F.col("mean")))
     )
-    columns = ["batch_id", "kind", "scope", "id", "vec"]
+    columns = ["task", "kind", "scope", "id", "vec"]
     return tokens.select(columns).unionByName(scopes.join(fixed, "scope").select(columns))
 
 
@@ -238,7 +239,7 @@ def gradients(batch: DataFrame, weights: DataFrame, norms: DataFrame) -> DataFra
     parameters = _used_parameters(batch, weights, norms)
     return (
         batch.groupBy("batch_id")
-        .cogroup(parameters.groupBy("batch_id"))
+        .cogroup(parameters.groupBy("task"))
         .applyInArrow(_batch_gradient, _GRADIENT_SCHEMA)
     )
 

@@ -121,12 +121,16 @@ def language_intersect(spark, folder):
     )
 
 
+def _dated(days):
+    return days.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n_logs")
+
+
 def query_log_per_day(spark, folder):
-    return K.queries_per_day(table(spark, folder, "events"), 5, "ts")
+    return _dated(K.queries_per_day(table(spark, folder, "events"), 5, "ts"))
 
 
 def query_log_all_days(spark, folder):
-    return K.queries_per_day(table(spark, folder, "events"), None, "ts")
+    return _dated(K.queries_per_day(table(spark, folder, "events"), None, "ts"))
 
 
 QUERIES = {
@@ -150,7 +154,7 @@ def _problem(x: str, longest: int) -> str:
     )
 
 
-_DAYS = "SELECT date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS n_logs FROM events GROUP BY ALL ORDER BY day DESC"
+_DAYS = "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n_logs FROM events GROUP BY ALL ORDER BY day DESC"
 
 SQL = {
     "finished_repos": f"WITH {REPOS} SELECT * FROM repos WHERE update_status = 1",
