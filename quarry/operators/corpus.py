@@ -34,7 +34,7 @@ def blacklist(spark: SparkSession) -> DataFrame:
         for language, names in C.BLACKLISTED_IDENTIFIERS.items()
         for name in names
     ]
-    return _literal_rows(spark, "language, name", rows)
+    return _literal_rows(spark, "language, bare_name", rows)
 
 
 def source_files(files: DataFrame) -> DataFrame:
@@ -66,9 +66,9 @@ def with_body(definitions: DataFrame) -> DataFrame:
 def without_blacklisted(definitions: DataFrame) -> DataFrame:
     listed = blacklist(definitions.sparkSession)
     return (
-        definitions.withColumn("name", T.bare_identifier(F.col("identifier")))
-        .join(listed, ["language", "name"], "left_anti")
-        .drop("name")
+        definitions.withColumn("bare_name", T.bare_identifier(F.col("identifier")))
+        .join(listed, ["language", "bare_name"], "left_anti")
+        .drop("bare_name")
     )
 
 

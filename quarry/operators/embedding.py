@@ -221,7 +221,8 @@ def transfer_embeddings(
 
 def fresh_norms(gate: DataFrame, lengths: dict[str, int]) -> DataFrame:
     """Untrained normalisation: mean 0, variance 1, scale 1, shift 0."""
-    length = F.when(F.col("scope") == "query", lengths["query"]).otherwise(lengths["code"])
+    query = F.substring_index("scope", "/", -1) == "query"
+    length = F.when(query, lengths["query"]).otherwise(lengths["code"])
     return gate.select(
         "scope",
         F.explode(F.sequence(F.lit(0), length - 1)).alias("position"),

@@ -55,12 +55,20 @@ def mrr_by_language(
 
 
 def mrr(
-    pairs: DataFrame, key: str, batch_size: int = C.EVALUATION_BATCH, seed: int = 0
+    pairs: DataFrame,
+    key: str,
+    batch_size: int = C.EVALUATION_BATCH,
+    seed: int = 0,
+    owner: list[str] | None = None,
 ) -> DataFrame:
-    """Mean over all batches of all languages, not over languages."""
-    batched = batches(pairs, ["language"], key, batch_size, seed)
-    return batch_mrr(batched, ["language", "batch_id"], key).agg(
-        F.avg("mrr").alias("mrr"), F.count("*").alias("n_batches")
+    """Mean over all batches of all languages, not over languages; one value
+    per ``owner`` (a model's repository) if given."""
+    owner = owner or []
+    batched = batches(pairs, [*owner, "language"], key, batch_size, seed)
+    return (
+        batch_mrr(batched, [*owner, "language", "batch_id"], key)
+        .groupBy(*owner)
+        .agg(F.avg("mrr").alias("mrr"), F.count("*").alias("n_batches"))
     )
 
 

@@ -92,17 +92,30 @@ def batches(
 
 
 def proportional_batches(
-    df: DataFrame, by: str, key: str, batch_size: int, seed: int = 0, name: str = "batch_id"
+    df: DataFrame,
+    by: str,
+    key: str,
+    batch_size: int,
+    seed: int = 0,
+    name: str = "batch_id",
+    within: list[str] | None = None,
 ) -> DataFrame:
     """Spread every group evenly over all batches, so each batch mixes the
-    groups in proportion to their sizes."""
-    sizes = df.groupBy(by).agg(F.count("*").alias("_group_rows"))
-    all_rows = df.agg(F.count("*").alias("n")).scalar()
-    sizes = sizes.withColumn("_batches", F.ceil(all_rows / batch_size))
+    groups in proportion to their sizes. With ``within``, batches are formed
+    separately for each of its values."""
+    within = within or []
+    sizes = df.groupBy(*within, by).agg(F.count("*").alias("_group_rows"))
+    if within:
+        totals = df.groupBy(*within).agg(F.count("*").alias("_all_rows"))
+        sizes = sizes.join(totals, within)
+    else:
+        sizes = sizes.withColumn("_all_rows", df.agg(F.count("*").alias("n")).scalar())
+    sizes = sizes.withColumn("_batches", F.ceil(F.col("_all_rows") / batch_size))
     shuffled = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
-    numbered = row_numbers(df.withColumn("_shuffle", shuffled), [by], ["_shuffle", key], "_row")
+    groups = [*within, by]
+    numbered = row_numbers(df.withColumn("_shuffle", shuffled), groups, ["_shuffle", key], "_row")
     return (
-        numbered.join(sizes, by)
+        numbered.join(sizes, groups)
         .withColumn(name, F.expr("_row * _batches div _group_rows").cast("int"))
-        .drop("_shuffle", "_row", "_group_rows", "_batches")
+        .drop("_shuffle", "_row", "_group_rows", "_all_rows", "_batches")
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -137,7 +139,9 @@ def _loss_gradient(query: np.ndarray, code: np.ndarray):
     )
 
 
-_GRADIENT_SCHEMA = "kind string, scope string, id int, grad array<double>, loss double"
+_GRADIENT_SCHEMA = (
+    "owner string, kind string, scope string, id int, grad array<double>, loss double"
+)
 
 
 def _batch_gradient(sequences: pa.Table, parameters: pa.Table) -> pa.Table:
@@ -153,16 +157,17 @@ def _batch_gradient(sequences: pa.Table, parameters: pa.Table) -> pa.Table:
             row = np.flatnonzero((scopes == scope) & (kinds == kind))[0]
             model[scope][kind] = np.array(values[row])
 
-    languages = np.array(sequences.column("language").to_pylist(), dtype=object)
+    owner = sequences.column("owner")[0].as_py()
+    query_scope = sequences.column("query_scope")[0].as_py()
+    code_scopes = np.array(sequences.column("code_scope").to_pylist(), dtype=object)
     code_ids = matrix(sequences.column("code_ids"))
-    query_ids = matrix(sequences.column("query_ids"))
-    parts = [("query", np.arange(len(languages)), query_ids)]
+    parts = [(query_scope, np.arange(len(code_scopes)), matrix(sequences.column("query_ids")))]
     parts += [
-        (language, np.flatnonzero(languages == language), code_ids)
-        for language in dict.fromkeys(languages)
+        (scope, np.flatnonzero(code_scopes == scope), code_ids)
+        for scope in dict.fromkeys(code_scopes)
     ]
-    state, width = [], len(model["query"]["gate"])
-    embedded = {True: np.zeros((len(languages), width)), False: np.zeros((len(languages), width))}
+    state, width = [], len(model[query_scope]["gate"])
+    embedded = {side: np.zeros((len(code_scopes), width)) for side in (True, False)}
     for scope, rows, all_ids in parts:
         part, own = model[scope], all_ids[rows]
         order = np.argsort(part["ids"])
@@ -170,7 +175,7 @@ def _batch_gradient(sequences: pa.Table, parameters: pa.Table) -> pa.Table:
         vec, length = part["vec"][place], own.shape[1]
         slope, shift = part["slope"][:length], part["shift"][:length]
         mean, weight, mass = _forward(own, vec, part["gate"], slope, shift)
-        embedded[scope == "query"][rows] = mean
+        embedded[scope == query_scope][rows] = mean
         state.append((scope, rows, place, vec, mean, weight, mass, slope))
     loss, grad_query, grad_code = _loss_gradient(embedded[True], embedded[False])
 
@@ -178,7 +183,7 @@ def _batch_gradient(sequences: pa.Table, parameters: pa.Table) -> pa.Table:
     grads = [np.zeros((1, width))]
     for scope, rows, place, vec, mean, weight, mass, slope in state:
         part = model[scope]
-        upstream = (grad_query if scope == "query" else grad_code)[rows]
+        upstream = (grad_query if scope == query_scope else grad_code)[rows]
         grad_vec, grad_gate = _backward(upstream, mean, weight, mass, vec, part["gate"], slope)
         summed = np.zeros((len(part["ids"]), width))
         np.add.at(summed, place.reshape(-1), grad_vec.reshape(-1, width))
@@ -190,28 +195,30 @@ def _batch_gradient(sequences: pa.Table, parameters: pa.Table) -> pa.Table:
         out["loss"] += [0.0] * (len(used) + 1)
     return pa.Table.from_arrays(
         [
+            pa.array([owner] * len(out["kind"]), pa.string()),
             pa.array(out["kind"]),
             pa.array(out["scope"]),
             pa.array(out["id"], pa.int32()),
             list_column(np.concatenate(grads)),
             pa.array(out["loss"], pa.float64()),
         ],
-        ["kind", "scope", "id", "grad", "loss"],
+        ["owner", "kind", "scope", "id", "grad", "loss"],
     )
 
 
 def _used_parameters(batch: DataFrame, weights: DataFrame, norms: DataFrame) -> DataFrame:
     """For each batch the rows of the parameter tables it needs."""
-    batch = batch.withColumnRenamed("batch_id", "task")
+    batch = batch.withColumnsRenamed({"batch_id": "task", "owner": "task_owner"})
+    task = ["task_owner", "task"]
     used = (
-        batch.select("task", F.col("language").alias("scope"), F.explode("code_ids").alias("id"))
+        batch.select(*task, F.col("code_scope").alias("scope"), F.explode("code_ids").alias("id"))
         .unionByName(
-            batch.select("task", F.lit("query").alias("scope"), F.explode("query_ids").alias("id"))
+            batch.select(*task, F.col("query_scope").alias("scope"), F.explode("query_ids").alias("id"))
         )
         .distinct()
     )
-    tokens = used.join(weights.filter("kind = 'token'"), ["scope", "id"])
-    scopes = used.select("task", "scope").distinct()
+    columns = [*task, "kind", "scope", "id", "vec"]
+    tokens = used.join(weights.filter("kind = 'token'"), ["scope", "id"]).select(columns)
     scale = F.col("gamma") / F.sqrt(F.col("var") + C.BATCH_NORM_EPSILON)
 
     def per_position(kind: str, value) -> DataFrame:
@@ -226,20 +233,21 @@ def _used_parameters(batch: DataFrame, weights: DataFrame, norms: DataFrame) ->
         .unionByName(per_position("slope", scale))
         .unionByName(per_position("shift", F.col("beta") - scale * F.col("mean")))
     )
-    columns = ["task", "kind", "scope", "id", "vec"]
-    return tokens.select(columns).unionByName(scopes.join(fixed, "scope").select(columns))
+    scopes = used.select(*task, "scope").distinct()
+    return tokens.unionByName(scopes.join(fixed, "scope").select(columns))
 
 
 def gradients(batch: DataFrame, weights: DataFrame, norms: DataFrame) -> DataFrame:
     """Gradient rows of all given batches, one task per batch.
 
-    ``batch`` has batch_id, language, code_ids and query_ids; a batch is
-    bounded by the batch size, and so are the parameters it can use.
+    ``batch`` has owner, batch_id, code_scope, query_scope, code_ids and
+    query_ids; a batch is bounded by the batch size, and so are the
+    parameters it can use.
     """
     parameters = _used_parameters(batch, weights, norms)
     return (
-        batch.groupBy("batch_id")
-        .cogroup(parameters.groupBy("task"))
+        batch.groupBy("owner", "batch_id")
+        .cogroup(parameters.groupBy("task_owner", "task"))
         .applyInArrow(_batch_gradient, _GRADIENT_SCHEMA)
     )
 
@@ -247,33 +255,53 @@ def gradients(batch: DataFrame, weights: DataFrame, norms: DataFrame) -> DataFra
 def adam_step(
     weights: DataFrame,
     summed: DataFrame,
-    n_batches: int,
-    step: int,
     rate: float,
     decay1: float = 0.9,
     decay2: float = 0.999,
     epsilon: float = 1e-8,
 ) -> DataFrame:
-    """Adam on the parameter table; rows without a gradient see a zero one."""
+    """Adam on the parameter table; rows without a gradient see a zero one,
+    and owners without a batch in this step stay as they are.
+
+    ``summed`` holds gradient sums and, as kind ``loss``, the number of
+    batches ``n`` of each owner.
+    """
+    moving = summed.filter("kind = 'loss'").select("owner", F.col("n").alias("_n"))
     zero = F.array_repeat(F.lit(0.0), F.size("vec"))
-    joined = weights.join(summed, ["kind", "scope", "id"], "left").withColumn(
-        "grad",
-        F.coalesce(F.transform("grad", lambda g: g / n_batches), zero),
+    joined = (
+        weights.join(summed.select("owner", "kind", "scope", "id", "grad"),
+                     ["owner", "kind", "scope", "id"], "left")
+        .join(moving, "owner", "left")
+        .withColumn("grad", F.coalesce(F.transform("grad", lambda g: g / F.col("_n")), zero))
+        .withColumn("_live", F.col("_n").isNotNull())
     )
+    m = F.zip_with("m", "grad", lambda m, g: decay1 * m + (1 - decay1) * g)
+    v = F.zip_with("v", "grad", lambda v, g: decay2 * v + (1 - decay2) * g * g)
     moved = joined.withColumns(
         {
-            "m": F.zip_with("m", "grad", lambda m, g: decay1 * m + (1 - decay1) * g),
-            "v": F.zip_with("v", "grad", lambda v, g: decay2 * v + (1 - decay2) * g * g),
+            "m": F.when(F.col("_live"), m).otherwise(F.col("m")),
+            "v": F.when(F.col("_live"), v).otherwise(F.col("v")),
+            "t": F.col("t") + F.col("_live").cast("int"),
         }
     )
+    first, second = (1 - F.pow(F.lit(d), F.col("t")) for d in (decay1, decay2))
     change = F.zip_with(
-        "m",
-        "v",
-        lambda m, v: rate
-        * (m / (1 - decay1**step))
-        / (F.sqrt(v / (1 - decay2**step)) + epsilon),
+        "m", "v", lambda m, v: rate * (m / first) / (F.sqrt(v / second) + epsilon)
+    )
+    stepped = F.zip_with("vec", change, lambda x, c: x - c)
+    return moved.withColumn("vec", F.when(F.col("_live"), stepped).otherwise(F.col("vec"))).select(
+        weights.columns
     )
-    return moved.withColumn("vec", F.zip_with("vec", change, lambda x, c: x - c)).drop("grad")
+
+
+def scope_name(owner, name):
+    """Parameters of an owner's encoder; the base model has no owner."""
+    return F.when(owner == "", name).otherwise(F.concat_ws("/", owner, name))
+
+
+def owner_of(scope):
+    """Everything before the last part of a scope name."""
+    return F.regexp_extract(scope, r"^(?:(.*)/)?[^/]*$", 1)
 
 
 def _weights(model: Model) -> DataFrame:
@@ -282,7 +310,9 @@ def _weights(model: Model) -> DataFrame:
     gate = model.gate.select(
         F.lit("gate").alias("kind"), "scope", F.lit(0).alias("id"), F.col("w").alias("vec")
     )
-    return tokens.unionByName(gate).withColumns({"m": zero, "v": zero})
+    return tokens.unionByName(gate).withColumns(
+        {"m": zero, "v": zero, "t": F.lit(0), "owner": owner_of(F.col("scope"))}
+    )
 
 
 def _model(weights: DataFrame, norms: DataFrame) -> Model:
@@ -293,14 +323,27 @@ def _model(weights: DataFrame, norms: DataFrame) -> Model:
     )
 
 
+def _with_scopes(sequences: DataFrame) -> DataFrame:
+    if "owner" not in sequences.columns:
+        sequences = sequences.withColumn("owner", F.lit(""))
+    owner = F.col("owner")
+    return sequences.withColumns(
+        {
+            "code_scope": scope_name(owner, F.col("language")),
+            "query_scope": scope_name(owner, F.lit("query")),
+        }
+    )
+
+
 def embed_pairs(sequences: DataFrame, model: Model, key: str = "row_id") -> DataFrame:
     """Query and code embedding of each (query, code) pair of sequences."""
+    sequences = _with_scopes(sequences)
     code = embed(
-        sequences.withColumn("scope", F.col("language")),
-        [key, "language"], model, "code_vec", "code_ids",
+        sequences.withColumn("scope", F.col("code_scope")),
+        [key, "owner", "language"], model, "code_vec", "code_ids",
     ).drop("scope")
     query = embed(
-        sequences.withColumn("scope", F.lit("query")), [key], model, "query_vec", "query_ids"
+        sequences.withColumn("scope", F.col("query_scope")), [key], model, "query_vec", "query_ids"
     ).drop("scope")
     return code.join(query, key)
 
@@ -318,53 +361,90 @@ def fit(
     seed: int = 0,
 ) -> tuple[Model, DataFrame]:
     """Synchronous data-parallel training; returns the best model and the
-    history ``(epoch, loss, score)``.
-
-    Every step works on ``batches_per_step`` batches at once: one gradient
-    task per batch, a sum per parameter, one Adam step on the parameter
-    table, which is then written so that the next step starts from a table.
-    Only one number per step and epoch reaches the driver.
+    history ``(owner, epoch, loss, score)``.
+
+    Sequences with an ``owner`` column train one model per owner, all in the
+    same jobs: batches never mix owners, an owner's parameters see only its
+    own batches, and it stops on its own validation score. Every step works
+    on ``batches_per_step`` batches of each owner: one gradient task per
+    batch, a sum per parameter, one Adam step on the parameter table, which
+    is then written so that the next step starts from a table. Two numbers
+    per epoch reach the driver.
     """
-    spark = train.sparkSession
+    train, valid = _with_scopes(train), _with_scopes(valid)
     weights = materialise(_weights(model), "weights")
     norms = materialise(model.norms, "norms")
-    best, history, misses, step = model, [], 0, 0
-    best_score = None
+    best = weights
+    state = materialise(
+        train.select("owner").distinct().select(
+            "owner", F.lit(None).cast("double").alias("best_score"), F.lit(0).alias("misses")
+        ),
+        "state",
+    )
+    history = None
     for epoch in range(max_epochs):
+        active = state.filter(F.col("misses") < patience).select("owner")
         batched = materialise(
-            proportional_batches(train, "language", "row_id", batch_size, seed + epoch), "batches"
+            proportional_batches(
+                train.join(active, "owner", "left_semi"),
+                "language", "row_id", batch_size, seed + epoch, within=["owner"],
+            ),
+            "batches",
         )
-        n_batches = batched.agg(F.max("batch_id")).first()[0] + 1
+        n_batches = batched.agg(F.max("batch_id")).first()[0]
+        if n_batches is None:
+            break
         losses = []
-        for first in range(0, n_batches, batches_per_step):
-            step += 1
+        for first in range(0, n_batches + 1, batches_per_step):
             part = batched.filter(F.col("batch_id").between(first, first + batches_per_step - 1))
+            total = Summarizer.metrics("sum").summary(array_to_vector("grad"))["sum"]
             summed = materialise(
                 gradients(part, weights, norms)
-                .groupBy("kind", "scope", "id")
+                .groupBy("owner", "kind", "scope", "id")
                 .agg(
-                    vector_to_array(
-                        Summarizer.metrics("sum").summary(array_to_vector("grad"))["sum"]
-                    ).alias("grad"),
+                    vector_to_array(total).alias("grad"),
                     F.sum("loss").alias("loss"),
                     F.count("*").alias("n"),
                 ),
                 "gradients",
             )
-            loss = summed.filter("kind = 'loss'").select("loss", "n").first()
-            losses.append(loss["loss"] / loss["n"])
-            weights = materialise(
-                adam_step(weights, summed.select("kind", "scope", "id", "grad"), loss["n"], step, rate),
-                "weights",
-            )
-        current = _model(weights, norms)
-        scored = mrr(embed_pairs(valid, current), "row_id", evaluation_batch, 0).first()
-        score = scored["mrr"] if scored["mrr"] is not None else float("nan")
-        history.append((epoch, float(np.mean(losses)), float(score)))
-        if not np.isnan(score) and (best_score is None or score >= best_score):
-            best, best_score, misses = current, score, 0
-        else:
-            misses += 1
-            if misses >= patience:
-                break
-    return best, spark.createDataFrame(history, "epoch int, loss double, score double")
+            losses.append(summed.filter("kind = 'loss'").select("owner", "loss", "n"))
+            weights = materialise(adam_step(weights, summed, rate), "weights")
+        loss = (
+            reduce(DataFrame.unionByName, losses)
+            .groupBy("owner")
+            .agg((F.sum("loss") / F.sum("n")).alias("loss"))
+        )
+        pairs = embed_pairs(
+            valid.join(active, "owner", "left_semi"), _model(weights, norms)
+        )
+        scores = mrr(pairs, "row_id", evaluation_batch, 0, ["owner"])
+        judged = materialise(
+            loss.join(scores, "owner", "left").select(
+                "owner", F.lit(epoch).alias("epoch"), "loss", F.col("mrr").alias("score")
+            ),
+            "judged",
+        )
+        history = judged if history is None else history.unionByName(judged)
+        better = F.col("score").isNotNull() & (
+            F.col("best_score").isNull() | (F.col("score") >= F.col("best_score"))
+        )
+        state = materialise(
+            state.join(judged, "owner", "left").select(
+                "owner",
+                F.when(better, F.col("score")).otherwise(F.col("best_score")).alias("best_score"),
+                F.when(F.col("epoch").isNull(), F.col("misses"))
+                .when(better, 0)
+                .otherwise(F.col("misses") + 1)
+                .alias("misses"),
+            ),
+            "state",
+        )
+        improved = judged.join(state, "owner").filter(F.col("misses") == 0).select("owner")
+        best = materialise(
+            weights.join(improved, "owner", "left_semi").unionByName(
+                best.join(improved, "owner", "left_anti")
+            ),
+            "best",
+        )
+    return _model(best, norms), history

@@ -12,10 +12,10 @@ from quarry.operators import corpus
 from quarry.operators.embedding import Model, embed, initial_model, warm_start
 from quarry.operators.encoding import encode, valid_sequences
 from quarry.operators.neighbours import VectorIndex
-from quarry.operators.training import fit
+from quarry.operators.training import fit, scope_name
 from quarry.operators.vocabulary import fit_vocabulary, merge_vocabularies, token_counts
 from quarry.session import materialise
-from quarry.sources.catalogue import replace_documents, stored_documents
+from quarry.sources.catalogue import replace_documents, save_model, save_table, stored_documents
 
 
 def prepare_corpora(documents: DataFrame, keep: list[str]) -> DataFrame:
@@ -27,18 +27,18 @@ def prepare_vocabularies(
     preprocessed: DataFrame,
     size: int = C.VOCABULARY_SIZE,
     bpe_share: float = C.BPE_SHARE,
-    prefix: Column | None = None,
+    owner: Column | None = None,
 ) -> DataFrame:
     """A code vocabulary per language and one pooled query vocabulary from
-    the training set. ``prefix`` (a repository, say) separates owners."""
+    the training set; with an ``owner`` (a repository), one set of them each."""
+    owner = F.lit("") if owner is None else owner
     train = preprocessed.filter(F.col("set") == "train")
-    query, code = F.lit("query"), F.col("language")
-    if prefix is not None:
-        query, code = F.concat_ws("/", prefix, query), F.concat_ws("/", prefix, code)
-    counted = token_counts(
-        train.select(code.alias("scope"), F.col("code_tokens").alias("tokens"))
-    ).unionByName(token_counts(train.select(query.alias("scope"), F.col("query_tokens").alias("tokens"))))
-    return fit_vocabulary(counted, size, bpe_share)
+    sides = [(F.col("language"), "code_tokens"), (F.lit("query"), "query_tokens")]
+    code, query = [
+        token_counts(train.select(scope_name(owner, scope).alias("scope"), F.col(name).alias("tokens")))
+        for scope, name in sides
+    ]
+    return fit_vocabulary(code.unionByName(query), size, bpe_share)
 
 
 def prepare_sequences(
@@ -48,27 +48,32 @@ def prepare_sequences(
     code_length: int = C.CODE_LENGTH,
     query_length: int = C.QUERY_LENGTH,
     normalise: Callable[[Column, Column], Column] = T.normalised_code_tokens,
+    owner: Column | None = None,
 ) -> DataFrame:
     """Id sequences of every document and set.
 
+    With an ``owner`` each owner's documents use its own vocabularies.
+
     Set ``all`` keeps every code sequence and has no query sequence; the
     others keep pairs in which both sides hold a real token.
     """
     language = F.col("language")
+    owner = F.lit("") if owner is None else owner
     code = encode(
         preprocessed.select(
-            key, language.alias("scope"), normalise(language, F.col("code_tokens")).alias("tokens")
+            key, scope_name(owner, language).alias("scope"), normalise(language, F.col("code_tokens")).alias("tokens")
         ),
         [key], vocabulary, code_length, name="code_ids",
-    ).withColumnRenamed("scope", "language")
+    ).drop("scope")
     query = encode(
         preprocessed.filter(F.col("set") != "all").select(
-            key, F.lit("query").alias("scope"),
+            key, scope_name(owner, F.lit("query")).alias("scope"),
             T.normalised_query_tokens(F.col("query_tokens")).alias("tokens"),
         ),
         [key], vocabulary, query_length, name="query_ids",
     ).drop("scope")
-    both = code.join(preprocessed.select(key, "set"), key).join(query, key, "left")
+    kept = preprocessed.select(key, "set", "language", owner.alias("owner"))
+    both = code.join(kept, key).join(query, key, "left")
     return both.filter(F.col("set") == "all").unionByName(
         valid_sequences(both.filter(F.col("set") != "all"))
     )
@@ -96,6 +101,14 @@ def prepare(
     return done
 
 
+def for_owners(base: DataFrame, scopes: DataFrame) -> DataFrame:
+    """A base table's rows once for each owner's scope of the same name."""
+    named = scopes.select(
+        F.col("scope").alias("owner_scope"), F.substring_index("scope", "/", -1).alias("scope")
+    )
+    return base.join(named, "scope").drop("scope").withColumnRenamed("owner_scope", "scope")
+
+
 def update_repositories(
     files: DataFrame,
     extractor: Callable[[DataFrame], DataFrame],
@@ -108,15 +121,17 @@ def update_repositories(
     n_cells: int = 64,
     **training,
 ) -> DataFrame:
-    """Refresh all given repositories in one job each stage.
+    """Refresh all given repositories, every stage one job for all of them.
 
     ``files`` has organization, name, commit_hash, path and text. Extract,
-    gate by sample count, number, split, learn and merge vocabularies, warm
-    start, fit, embed, index, publish. A repository that fails the gate gets
-    the error status and is left as it was; the others go on. Returns each
-    repository's status.
+    gate by sample count, number, split, learn each repository's vocabularies
+    and merge them into the base, warm start, fit each repository's encoders,
+    embed, index, publish. A repository that fails the gate gets the error
+    status and is left as it was; the others go on. Returns each repository's
+    status.
     """
     repository = ["organization", "name"]
+    owner = F.concat_ws("/", *repository)
     documents = materialise(
         corpus.extract(files, extractor, [*repository, "commit_hash"]), "extracted"
     )
@@ -130,28 +145,34 @@ def update_repositories(
     numbered = materialise(
         corpus.with_row_index(
             accepted, [*repository, "language"], ["path", "start_line"], ["doc_key"]
-        ),
+        ).withColumn("owner", owner),
         "numbered",
     )
-    split = corpus.split_into_sets(
+    in_sets = corpus.split_into_sets(
         numbered.filter(F.size(T.query_tokens(F.col("docstring_tokens"), F.col("identifier"))) > 0),
         "doc_key",
     )
     every = numbered.withColumn("set", F.lit("all"))
     preprocessed = materialise(
-        corpus.preprocess(split.unionByName(every), ["doc_key", "set"]).withColumn(
+        corpus.preprocess(in_sets.unionByName(every), ["doc_key", "set", "owner"]).withColumn(
             "row_id", F.concat_ws(":", "doc_key", "set")
         ),
         "preprocessed",
     )
-    vocabulary = prepare_vocabularies(preprocessed, size)
+    vocabulary = prepare_vocabularies(preprocessed, size, owner=F.col("owner"))
     if base_vocabulary is not None and base_model is not None:
-        merged = materialise(merge_vocabularies(base_vocabulary, vocabulary), "merged")
+        scopes = materialise(vocabulary.select("scope").distinct(), "scopes")
+        merged = materialise(
+            merge_vocabularies(for_owners(base_vocabulary, scopes), vocabulary), "merged"
+        )
         vocabulary = merged.drop("base_id")
-        model = warm_start(base_model, merged, width)
+        base = Model(*[for_owners(part, scopes) for part in base_model])
+        model = warm_start(base, merged, width)
     else:
         model = initial_model(vocabulary, width)
-    sequences = materialise(prepare_sequences(preprocessed, "row_id", vocabulary), "sequences")
+    sequences = materialise(
+        prepare_sequences(preprocessed, "row_id", vocabulary, owner=F.col("owner")), "sequences"
+    )
     if training.get("max_epochs", 1):
         model, _ = fit(
             sequences.filter(F.col("set") == "train"),
@@ -163,12 +184,14 @@ def update_repositories(
                 **training,
             },
         )
+    key = F.concat_ws("/", "owner", "language")
     embedded = embed(
-        sequences.filter(F.col("set") == "all").withColumn("scope", F.col("language")),
+        sequences.filter(F.col("set") == "all").withColumn("scope", key),
         ["row_id"], model, ids="code_ids",
     ).select(F.substring_index("row_id", ":", 1).alias("doc_key"), "embedding")
-    group = F.concat_ws("/", *repository, "language")
-    items = numbered.select("doc_key", group.alias("language"), "row_index").join(embedded, "doc_key")
+    items = numbered.select("doc_key", key.alias("language"), "row_index").join(embedded, "doc_key")
     VectorIndex.build(items.drop("doc_key"), n_cells, f"{target}/index")
+    save_table(vocabulary, f"{target}/vocabulary")
+    save_model(model, f"{target}/model")
     replace_documents(stored_documents(numbered), f"{target}/code_document")
     return status

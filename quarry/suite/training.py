@@ -69,7 +69,7 @@ def fit_encoder(spark, folder):
         sequences.filter("set = 'train'"), sequences.filter("set = 'valid'"), model,
         batch_size=128, rate=0.05, max_epochs=3, patience=2, evaluation_batch=10,
     )
-    return history
+    return history.select("epoch", "loss", "score")
 
 
 QUERIES = {
