@@ -107,27 +107,23 @@ def _partial_best(items: DataFrame, queries: dict, k: int, excluded: bool, cells
             vectors = _unit(matrix(batch.column("embedding")))
             cell = batch.column("cell").to_numpy() if cells else None
             names, which = np.unique(languages, return_inverse=True)
-            groups = [(str(n) if isinstance(n, str) else int(n), np.flatnonzero(which == i))
-                      for i, n in enumerate(names)]
-            for start in range(0, len(asked["ids"]), 1024):
-                block = slice(start, start + 1024)
-                distance = np.round(1.0 - vectors @ asked["unit"][block].T, DECIMALS)
-                for language, members in groups:
-                    part = distance[members]
-                    for column in range(part.shape[1]):
-                        query = start + column
-                        allowed = asked["languages"][query]
-                        if allowed is not None and language not in allowed:
-                            continue
+            for i, name in enumerate(names):
+                language = name if isinstance(name, str) else int(name)
+                members = np.flatnonzero(which == i)
+                positions = np.concatenate(
+                    [asked["open"], asked["by_language"].get(language, asked["open"][:0])]
+                )
+                for start in range(0, len(positions), 1024):
+                    block = positions[start : start + 1024]
+                    distance = np.round(1.0 - vectors[members] @ asked["unit"][block].T, DECIMALS)
+                    for column, query in enumerate(block):
                         key = (asked["ids"][query], language)
-                        near = part[:, column]
+                        near = distance[:, column]
                         keep = near <= best.limit(key)
-                        if excluded:
-                            own = asked["own"][query]
-                            if own is not None and own[0] == language:
-                                keep &= rows[members] != own[1]
+                        if excluded and asked["own"][query][0] == language:
+                            keep &= rows[members] != asked["own"][query][1]
                         if cells:
-                            keep &= np.isin(cell[members], asked["cells"][query])
+                            keep &= np.isin(cell[members], asked["cells"].get(key, ()))
                         chosen = np.flatnonzero(keep)
                         if len(chosen) > k:
                             cut = np.partition(near[chosen], k - 1)[k - 1]
@@ -142,40 +138,49 @@ def _partial_best(items: DataFrame, queries: dict, k: int, excluded: bool, cells
     return items.select(*columns).mapInArrow(run, schema)
 
 
-def _collect_queries(block: DataFrame, own: bool, cells: bool) -> dict:
+def _collect_queries(block: DataFrame, own: bool, cells: DataFrame | None) -> dict:
+    """A size-checked block of queries as arrays, grouped by wanted language."""
     table = block.toArrow()
-    names = table.column_names
-    asked = {
+    ids = table.column("query_id").to_pylist()
+    asked: dict = {
         "type": block.schema["query_id"].dataType.simpleString(),
-        "ids": table.column("query_id").to_pylist(),
+        "ids": ids,
         "unit": _unit(matrix(table.column("embedding"))),
+        "by_language": {},
     }
-    asked["languages"] = (
-        [None if x is None else set(x) for x in table.column("languages").to_pylist()]
-        if "languages" in names
-        else [None] * table.num_rows
-    )
+    wanted = [None] * len(ids)
+    if "languages" in table.column_names:
+        wanted = table.column("languages").to_pylist()
+    asked["open"] = np.array([i for i, x in enumerate(wanted) if x is None], dtype=np.int64)
+    for i, names in enumerate(wanted):
+        for name in dict.fromkeys(names or []):
+            asked["by_language"].setdefault(name, []).append(i)
+    asked["by_language"] = {n: np.array(x) for n, x in asked["by_language"].items()}
     if own:
-        asked["own"] = [
-            (language, row)
-            for language, row in zip(
-                table.column("own_language").to_pylist(), table.column("own_row").to_pylist()
-            )
-        ]
-    if cells:
-        asked["cells"] = [np.array(x) for x in table.column("cells").to_pylist()]
+        languages = table.column("own_language").to_pylist()
+        asked["own"] = list(zip(languages, table.column("own_row").to_pylist()))
+    if cells is not None:
+        probed = cells.join(block.select("query_id"), "query_id", "left_semi").toArrow()
+        keys = zip(probed.column("query_id").to_pylist(), probed.column("language").to_pylist())
+        asked["cells"] = {
+            key: np.array(found) for key, found in zip(keys, probed.column("cells").to_pylist())
+        }
     return asked
 
 
 def nearest(
-    items: DataFrame, queries: DataFrame, k: int = C.WEB_RESULTS, cells: bool = False
+    items: DataFrame,
+    queries: DataFrame,
+    k: int = C.WEB_RESULTS,
+    cells: DataFrame | None = None,
 ) -> DataFrame:
     """Exact nearest ``k`` per (query, language).
 
     Optional query columns: ``languages`` limits a query to some languages;
-    ``own_language`` and ``own_row`` name a stored row to leave out. The
-    vectors are scanned where they lie; more queries than fit one broadcast
-    are answered in hashed blocks, each a pass of its own.
+    ``own_language`` and ``own_row`` name a stored row to leave out. With
+    ``cells`` (query_id, language, cells) a query only looks at items of
+    those cells. The vectors are scanned where they lie; more queries than
+    fit one broadcast are answered in hashed blocks, each a pass of its own.
     """
     queries = materialise(queries, "queries")
     own = "own_row" in queries.columns
@@ -188,13 +193,15 @@ def nearest(
     size = queries.agg(
         F.count("*").alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(1)).alias("d")
     ).first()
-    n_blocks = -(-size["n"] * size["d"] // QUERY_NUMBERS) or 1
+    # A query costs its vector on the way in and its best rows on the way out.
+    n_blocks = -(-size["n"] * max(size["d"], 8 * k) // QUERY_NUMBERS) or 1
     partials = []
     for block in range(n_blocks):
         part = queries
         if n_blocks > 1:
             part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block)
-        partials.append(_partial_best(items, _collect_queries(part, own, cells), k, own, cells))
+        asked = _collect_queries(part, own, cells)
+        partials.append(_partial_best(items, asked, k, own, cells is not None))
     found = reduce(DataFrame.unionByName, partials)
     # At most k rows per task and (query, language) reach this window.
     place = Window.partitionBy("query_id", "language").orderBy("distance", "row_index")
@@ -205,19 +212,22 @@ def nearest(
     )
 
 
-def nearest_to_stored(items: DataFrame, requests: DataFrame, k: int = C.WEB_RESULTS) -> DataFrame:
-    """Nearest vectors of the same language to stored rows, self left out.
-
-    ``requests`` has query_id, language and row_index.
-    """
-    asked = requests.join(items, ["language", "row_index"]).select(
+def _stored_queries(items: DataFrame, requests: DataFrame) -> DataFrame:
+    return requests.join(items, ["language", "row_index"]).select(
         "query_id",
         "embedding",
         F.array("language").alias("languages"),
         F.col("language").alias("own_language"),
         F.col("row_index").cast("long").alias("own_row"),
     )
-    return nearest(items, asked, k)
+
+
+def nearest_to_stored(items: DataFrame, requests: DataFrame, k: int = C.WEB_RESULTS) -> DataFrame:
+    """Nearest vectors of the same language to stored rows, self left out.
+
+    ``requests`` has query_id, language and row_index.
+    """
+    return nearest(items, _stored_queries(items, requests), k)
 
 
 class VectorIndex:
@@ -226,12 +236,14 @@ class VectorIndex:
     Every vector belongs to the cell of its nearest centre; the stored table
     is laid out by cell, so a search reads only the cells it probes and looks
     at every vector in them. ``probes`` trades speed for recall; probing all
-    cells is exact.
+    cells is exact. Cells are shared by all languages; a query goes on to
+    further cells of a language until they hold ``k`` of its vectors.
     """
 
-    def __init__(self, table: DataFrame, centres: np.ndarray):
+    def __init__(self, table: DataFrame, centres: np.ndarray, sizes: DataFrame):
         self.table = table
         self.centres = centres
+        self.sizes = sizes
 
     @staticmethod
     def build(
@@ -243,8 +255,7 @@ class VectorIndex:
     ) -> VectorIndex:
         """Place centres on a share of the vectors, then assign all of them.
 
-        The share only decides where the centres are. Layout: one folder per
-        cell, many files where a cell is large.
+        The share only decides where the centres are.
         """
         spark = items.sparkSession
         vectors = items.filter(F.exists("embedding", lambda x: x != 0)).withColumn(
@@ -264,41 +275,66 @@ class VectorIndex:
             "cell int, centre array<double>",
         )
         centres.write.mode("overwrite").parquet(path + "-centres")
+        sizes = spark.read.parquet(path).groupBy("language", "cell").agg(F.count("*").alias("n"))
+        sizes.write.mode("overwrite").parquet(path + "-sizes")
         return VectorIndex.load(spark, path)
 
     @staticmethod
     def load(spark, path: str) -> VectorIndex:
         centres = spark.read.parquet(path + "-centres").orderBy("cell").toArrow()
-        return VectorIndex(spark.read.parquet(path), _unit(matrix(centres.column("centre"))))
+        return VectorIndex(
+            spark.read.parquet(path),
+            _unit(matrix(centres.column("centre"))),
+            spark.read.parquet(path + "-sizes"),
+        )
 
-    def search(
-        self, queries: DataFrame, k: int = C.WEB_RESULTS, probes: int = 4
-    ) -> DataFrame:
-        """Nearest ``k`` among the vectors of the ``probes`` nearest cells."""
+    def _probe(self, queries: DataFrame, k: int, probes: int) -> DataFrame:
+        """Cells to look at per (query, language): the nearest ones that hold
+        the language, at least ``probes`` and at least ``k`` vectors."""
         centres = self.centres
-        probes = min(probes, len(centres))
 
-        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 near = np.argsort(-_unit(matrix(batch.column("embedding"))) @ centres.T, axis=1)
-                lists = pa.array(near[:, :probes].tolist(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, lists], names=[*batch.schema.names, "cells"]
+                    [batch.column("query_id"), pa.array(near.tolist(), pa.list_(pa.int32()))],
+                    names=["query_id", "order"],
                 )
 
-        schema = queries.withColumn("cells", F.lit(None).cast("array<long>")).schema
-        probed = materialise(queries.mapInArrow(probe, schema), "probed")
+        query_type = queries.schema["query_id"].dataType.simpleString()
+        ordered = queries.select("query_id", "embedding").mapInArrow(
+            order, f"query_id {query_type}, order array<int>"
+        )
+        reached = ordered.select("query_id", F.posexplode("order").alias("place", "cell")).join(
+            self.sizes, "cell"
+        )
+        if "languages" in queries.columns:
+            wanted = queries.select("query_id", F.col("languages").alias("wanted"))
+            reached = reached.join(wanted, "query_id").filter(
+                F.col("wanted").isNull() | F.array_contains("wanted", F.col("language"))
+            )
+        # At most one row per cell and (query, language): a bounded group.
+        nearer = Window.partitionBy("query_id", "language").orderBy("place")
+        seen = F.sum("n").over(nearer.rowsBetween(Window.unboundedPreceding, -1))
+        return (
+            reached.withColumn("nth", F.row_number().over(nearer))
+            .withColumn("seen", F.coalesce(seen, F.lit(0)))
+            .filter((F.col("nth") <= probes) | (F.col("seen") <= k))
+            .groupBy("query_id", "language")
+            .agg(F.collect_list(F.col("cell").cast("long")).alias("cells"))
+        )
+
+    def search(self, queries: DataFrame, k: int = C.WEB_RESULTS, probes: int = 4) -> DataFrame:
+        """Nearest ``k`` per (query, language) among the probed cells."""
+        queries = materialise(queries, "queries")
+        probed = materialise(self._probe(queries, k, probes), "probed")
         # The probed cells (at most the number of cells) prune the folders read.
         wanted = probed.select(F.explode("cells").alias("cell")).distinct().collect()
         table = self.table.filter(F.col("cell").isin([row["cell"] for row in wanted]))
-        return nearest(table, probed, k, cells=True)
-
-    def search_stored(self, requests: DataFrame, k: int = C.WEB_RESULTS, probes: int = 4) -> DataFrame:
-        asked = requests.join(self.table, ["language", "row_index"]).select(
-            "query_id",
-            "embedding",
-            F.array("language").alias("languages"),
-            F.col("language").alias("own_language"),
-            F.col("row_index").cast("long").alias("own_row"),
-        )
-        return self.search(asked, k, probes)
+        return nearest(table, queries, k, probed)
+
+    def search_stored(
+        self, requests: DataFrame, k: int = C.WEB_RESULTS, probes: int = 4
+    ) -> DataFrame:
+        """Like :func:`nearest_to_stored`, by the index."""
+        return self.search(_stored_queries(self.table, requests), k, probes)

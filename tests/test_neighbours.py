@@ -85,6 +85,13 @@ def test_index(spark, vectors, items, queries, tmp_path):
     found = as_set(N.VectorIndex.load(spark, path).search(queries, 10, probes=4))
     recall = len({h[:3] for h in found} & {h[:3] for h in everything}) / len(everything)
     assert recall > 0.7
+    # Few probes still reach k results of every language.
+    assert len(index.search(queries, 60, probes=1).collect()) == 7 * 2 * 60
+    stored = items.filter("row_index = 7").select(
+        F.lit(1).alias("query_id"), "language", "row_index"
+    )
+    mine = index.search_stored(stored, 4, probes=6)
+    assert as_set(mine) == as_set(N.nearest_to_stored(items, stored, 4))
     plan = index.search(queries, 10, probes=1)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "cell" in plan.split("PartitionFilters: [")[1][:60]
 
