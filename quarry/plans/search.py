@@ -8,7 +8,7 @@ from quarry import constants as C
 from quarry.functions import text as T, vectors as V
 from quarry.operators.embedding import Model, embed
 from quarry.operators.encoding import encode
-from quarry.operators.neighbours import nearest, nearest_to_stored
+from quarry.operators.neighbours import VectorIndex, nearest, nearest_to_stored
 from quarry.session import materialise
 
 
@@ -185,3 +185,28 @@ def similar_documents(
         "row_index",
     )
     return with_documents(nearest_to_stored(items, stored, k), documents, ["language", "row_index"])
+
+
+def predict(
+    queries: DataFrame,
+    items: DataFrame | None,
+    documents: DataFrame,
+    vocabulary: DataFrame,
+    model: Model,
+    k: int = C.EVALUATION_RESULTS,
+    index: VectorIndex | None = None,
+    probes: int = 4,
+) -> DataFrame:
+    """The best ``k`` documents of every language for every text query.
+
+    As deep as the evaluation goes by default; the command line asks for 30.
+    Exact over ``items``, or approximate by an ``index``.
+    """
+    vectors = embed_queries(queries, vocabulary, model)
+    hits = nearest(items, vectors, k) if index is None else index.search(vectors, k, probes)
+    return (
+        materialise(hits, "hits")
+        .join(documents.select("language", "row_index", "identifier", "url"), ["language", "row_index"])
+        .join(queries.select("query_id", "query"), "query_id")
+        .select("query_id", "query", "language", "identifier", "url", "rank", "distance")
+    )

@@ -57,6 +57,16 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables this application wrote with :func:`materialise`.
+
+    For the end of a job; DataFrames that read them are void afterwards.
+    """
+    folder = f"{shared_folder(spark)}/quarry-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a table read in few splits to all cores before per-row work.
 

@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from quarry import constants as C
 from quarry.functions import vectors as V
-from quarry.operators import evaluation as E, neighbours as N, ranking as R
+from quarry.operators import evaluation as E, ranking as R
 from quarry.plans import search as P
-from quarry.session import materialise
 from quarry.suite.common import joined, rounded, table
 from quarry.suite.search import (
     CODE_VECTORS, MEANS, QUERY_VECTORS, SPACE, document_vectors, model, sql_distance, sql_top,
@@ -51,23 +50,25 @@ def mrr_by_language(spark, folder):
     return found.select("language", rounded(F.col("mrr")).alias("mrr"), "n_batches")
 
 
-def _predicted(spark, folder):
+def _predicted(spark, folder, k=C.EVALUATION_RESULTS):
     """Text queries against all documents, as deep as the evaluation goes."""
     vocabulary = both_vocabularies(spark, folder)
     queries = table(spark, folder, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query")
     )
-    asked = P.embed_queries(queries, vocabulary, model(spark, folder))
     items = document_vectors(spark, folder, vocabulary).select(
         "language", F.col("doc_id").alias("row_index"), "embedding"
     )
-    hits = materialise(N.nearest(items, asked, C.EVALUATION_RESULTS), "hits")
     docs = documents(spark, folder).select(
         "language", F.col("doc_id").alias("row_index"), "identifier", F.col("path").alias("url")
     )
-    return hits.join(docs, ["language", "row_index"]).select(
-        F.col("query_id").alias("query"), "language", "identifier", "url", "rank"
-    )
+    found = P.predict(queries, items, docs, vocabulary, model(spark, folder), k)
+    return found.select(F.col("query_id").alias("query"), "language", "identifier", "url", "rank")
+
+
+def search_cli(spark, folder):
+    """The command line's depth: 30 documents of every language."""
+    return _predicted(spark, folder, C.CLI_RESULTS)
 
 
 def predictions(spark, folder):
@@ -120,7 +121,7 @@ def mean_ndcg(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in [
-        evaluation_batches, correct_rank, mrr, mrr_by_language, predictions, url_lists, dcg, idcg,
+        evaluation_batches, correct_rank, mrr, mrr_by_language, predictions, search_cli, url_lists, dcg, idcg,
         ndcg_by_query, ndcg, mean_ndcg,
     ]
 }
@@ -174,6 +175,7 @@ SQL = {
 WITH {PAIRS}
 SELECT language, round(avg(mrr), 6) + 0e0 AS mrr, count(*) AS n_batches FROM per_batch GROUP BY language""",
     "predictions": f"WITH RECURSIVE {PREDICTED} SELECT * FROM predicted",
+    "search_cli": f"WITH RECURSIVE {PREDICTED} SELECT * FROM predicted WHERE rank <= {C.CLI_RESULTS}",
     "url_lists": f"""
 WITH RECURSIVE {PREDICTED}
 SELECT language, query, string_agg(url, '|' ORDER BY rank) AS urls FROM predicted GROUP BY ALL""",

@@ -130,3 +130,29 @@ def test_similar_documents_and_requests(spark):
     problems = spark.createDataFrame([("ok",), ("  ",), ("x" * 257,), (None,)], "q string")
     found = [r[0] for r in problems.select(Q.query_problem(F.col("q"))).collect()]
     assert found == [None, "invalid or missing", "too long", "invalid or missing"]
+
+
+def test_train_and_judge(spark):
+    from quarry.operators.embedding import initial_model
+    from quarry.plans.train import train
+
+    token = lambda salt: 2 + F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(18)).cast("int")
+    ids = F.array(*[token(s) for s in range(3)])
+    name = F.when(F.col("id") % 4 < 2, "train").when(F.col("id") % 4 == 2, "valid").otherwise("test")
+    sequences = spark.range(160).select(
+        F.col("id").alias("row_id"), F.lit("go").alias("language"), name.alias("set"),
+        ids.alias("code_ids"), ids.alias("query_ids"),
+    )
+    vocabulary = spark.createDataFrame(
+        [(s, "word", f"t{i}", i, 1) for s in ("go", "query") for i in range(20)],
+        "scope string, kind string, token string, id int, count long",
+    )
+    model = initial_model(vocabulary, 8, {"code": 3, "query": 3})
+    _, history, scores = train(
+        sequences, model, evaluation_batch=20, batch_size=40, max_epochs=1, batches_per_step=1
+    )
+    assert history.count() == 1
+    found = {r.language: (r.mrr, r.n_batches) for r in scores.collect()}
+    assert set(found) == {"go", None} and found["go"] == found[None] and found[None][1] == 2
+
+

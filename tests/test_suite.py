@@ -46,7 +46,11 @@ def test_keys():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, connection, name):
-    found = QUERIES[name](spark, FOLDER).toArrow()
+    query = QUERIES[name](spark, FOLDER)
+    plan = query._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    assert "BatchEvalPython" not in plan
+    found = query.toArrow()
     assert rows(found) == rows(connection.execute(SQL[name]).to_arrow_table())
 
 
