@@ -258,6 +258,7 @@ class VectorIndex:
         The share only decides where the centres are.
         """
         spark = items.sparkSession
+        items = materialise(items, "vectors")  # read by the count, the fit and the layout
         vectors = items.filter(F.exists("embedding", lambda x: x != 0)).withColumn(
             "features", array_to_vector(F.transform("embedding", lambda x: x.cast("double")))
         )

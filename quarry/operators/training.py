@@ -11,7 +11,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quarry import constants as C
-from quarry.operators.embedding import Model, embed, list_column, matrix
+from quarry.operators.embedding import Model, embed, matrix
 from quarry.operators.evaluation import mrr
 from quarry.operators.ranking import proportional_batches
 from quarry.session import materialise
@@ -92,21 +92,49 @@ def early_stopping(
 # A batch task receives its sequences and just the parameters they use.
 
 
-def _forward(ids, vec, gate, slope, shift):
+def _forward(ids, vec, part: dict):
     """Means and what their gradient needs; ``vec`` rows follow ``ids``."""
-    weight = 1.0 / (1.0 + np.exp(-((vec @ gate) * slope + shift)))
+    length = ids.shape[1]
+    scale = 1.0 / np.sqrt(part["var"][:length] + C.BATCH_NORM_EPSILON)
+    raw = vec @ part["gate"]
+    normal = (raw - part["mean"][:length]) * scale
+    weight = 1.0 / (1.0 + np.exp(-(normal * part["gamma"][:length] + part["beta"][:length])))
     weight = weight * (ids != 0)
     mass = weight.sum(axis=1, keepdims=True) + C.NORM_EPSILON
-    return np.einsum("nl,nld->nd", weight, vec) / mass, weight, mass
-
-
-def _backward(grad_mean, mean, weight, mass, vec, gate, slope):
-    """Gradients of the token vectors (per occurrence) and of the gate."""
-    grad_weight = np.einsum("nd,nld->nl", grad_mean, vec - mean[:, None, :]) / mass
-    grad_score = grad_weight * weight * (1.0 - weight) * slope
-    grad_vec = (weight / mass)[:, :, None] * grad_mean[:, None, :]
-    grad_vec = grad_vec + grad_score[:, :, None] * gate
-    return grad_vec, np.einsum("nl,nld->d", grad_score, vec)
+    mean = np.einsum("nl,nld->nd", weight, vec) / mass
+    return {"mean": mean, "weight": weight, "mass": mass, "normal": normal, "raw": raw, "scale": scale}
+
+
+def _backward(grad_mean, out: dict, vec, part: dict):
+    """Gradients of the token vectors (per occurrence) and of the gate, scale
+    and shift parameters; the running statistics count as constants."""
+    weight, length = out["weight"], out["weight"].shape[1]
+    inner = np.einsum("nd,nld->nl", grad_mean, vec - out["mean"][:, None, :]) / out["mass"]
+    score = inner * weight * (1.0 - weight)
+    raw = score * part["gamma"][:length] * out["scale"]
+    grad_vec = (weight / out["mass"])[:, :, None] * grad_mean[:, None, :]
+    grad_vec = grad_vec + raw[:, :, None] * part["gate"]
+
+    def over_positions(values):
+        whole = np.zeros(len(part["gamma"]))
+        whole[:length] = values.sum(axis=0)
+        return whole
+
+    return grad_vec, {
+        "gate": np.einsum("nl,nld->d", raw, vec),
+        "gamma": over_positions(score * out["normal"]),
+        "beta": over_positions(score),
+    }
+
+
+def _statistics(out: dict, part: dict) -> dict:
+    """Mean and variance of the raw scores of a batch, per position."""
+    raw, found = out["raw"], {}
+    values = {"mean": raw.mean(axis=0), "var": raw.var(axis=0, ddof=1 if len(raw) > 1 else 0)}
+    for kind, value in values.items():
+        found[kind] = part[kind].copy()
+        found[kind][: raw.shape[1]] = value
+    return found
 
 
 def _loss_gradient(query: np.ndarray, code: np.ndarray):
@@ -144,6 +172,10 @@ _GRADIENT_SCHEMA = (
 )
 
 
+# Parameters with one row per scope; the last two are running statistics.
+_SCOPE_KINDS = ["gate", "gamma", "beta", "mean", "var"]
+
+
 def _batch_gradient(sequences: pa.Table, parameters: pa.Table) -> pa.Table:
     scopes = np.array(parameters.column("scope").to_pylist(), dtype=object)
     ids = parameters.column("id").to_numpy()
@@ -153,7 +185,7 @@ def _batch_gradient(sequences: pa.Table, parameters: pa.Table) -> pa.Table:
     for scope in dict.fromkeys(scopes):
         rows = np.flatnonzero((scopes == scope) & (kinds == "token"))
         model[scope] = {"ids": ids[rows], "vec": np.array([values[r] for r in rows])}
-        for kind in ("gate", "slope", "shift"):
+        for kind in _SCOPE_KINDS:
             row = np.flatnonzero((scopes == scope) & (kinds == kind))[0]
             model[scope][kind] = np.array(values[row])
 
@@ -172,42 +204,40 @@ def _batch_gradient(sequences: pa.Table, parameters: pa.Table) -> pa.Table:
         part, own = model[scope], all_ids[rows]
         order = np.argsort(part["ids"])
         place = order[np.searchsorted(part["ids"], own, sorter=order)]
-        vec, length = part["vec"][place], own.shape[1]
-        slope, shift = part["slope"][:length], part["shift"][:length]
-        mean, weight, mass = _forward(own, vec, part["gate"], slope, shift)
-        embedded[scope == query_scope][rows] = mean
-        state.append((scope, rows, place, vec, mean, weight, mass, slope))
+        vec = part["vec"][place]
+        out = _forward(own, vec, part)
+        embedded[scope == query_scope][rows] = out["mean"]
+        state.append((scope, rows, place, vec, out))
     loss, grad_query, grad_code = _loss_gradient(embedded[True], embedded[False])
 
-    out: dict = {"kind": ["loss"], "scope": [""], "id": [0], "loss": [float(loss)]}
-    grads = [np.zeros((1, width))]
-    for scope, rows, place, vec, mean, weight, mass, slope in state:
+    found = [("loss", query_scope, 0, np.zeros(1), float(loss))]
+    for scope, rows, place, vec, out in state:
         part = model[scope]
         upstream = (grad_query if scope == query_scope else grad_code)[rows]
-        grad_vec, grad_gate = _backward(upstream, mean, weight, mass, vec, part["gate"], slope)
+        grad_vec, shared = _backward(upstream, out, vec, part)
         summed = np.zeros((len(part["ids"]), width))
         np.add.at(summed, place.reshape(-1), grad_vec.reshape(-1, width))
-        used = np.flatnonzero(part["ids"] != 0)
-        grads += [summed[used], grad_gate[None, :]]
-        out["kind"] += ["token"] * len(used) + ["gate"]
-        out["scope"] += [scope] * (len(used) + 1)
-        out["id"] += [*part["ids"][used].tolist(), 0]
-        out["loss"] += [0.0] * (len(used) + 1)
+        for i in np.flatnonzero(part["ids"] != 0):
+            found.append(("token", scope, int(part["ids"][i]), summed[i], 0.0))
+        for kind, value in {**shared, **_statistics(out, part)}.items():
+            found.append((kind, scope, 0, value, 0.0))
+    offsets = np.cumsum([0, *[len(row[3]) for row in found]], dtype=np.int32)
+    numbers = pa.array(np.concatenate([row[3] for row in found]))
     return pa.Table.from_arrays(
         [
-            pa.array([owner] * len(out["kind"]), pa.string()),
-            pa.array(out["kind"]),
-            pa.array(out["scope"]),
-            pa.array(out["id"], pa.int32()),
-            list_column(np.concatenate(grads)),
-            pa.array(out["loss"], pa.float64()),
+            pa.array([owner] * len(found), pa.string()),
+            pa.array([row[0] for row in found]),
+            pa.array([row[1] for row in found]),
+            pa.array([row[2] for row in found], pa.int32()),
+            pa.ListArray.from_arrays(pa.array(offsets), numbers),
+            pa.array([row[4] for row in found], pa.float64()),
         ],
         ["owner", "kind", "scope", "id", "grad", "loss"],
     )
 
 
-def _used_parameters(batch: DataFrame, weights: DataFrame, norms: DataFrame) -> DataFrame:
-    """For each batch the rows of the parameter tables it needs."""
+def _used_parameters(batch: DataFrame, weights: DataFrame) -> DataFrame:
+    """For each batch the rows of the parameter table it needs."""
     batch = batch.withColumnsRenamed({"batch_id": "task", "owner": "task_owner"})
     task = ["task_owner", "task"]
     used = (
@@ -219,32 +249,19 @@ def _used_parameters(batch: DataFrame, weights: DataFrame, norms: DataFrame) ->
     )
     columns = [*task, "kind", "scope", "id", "vec"]
     tokens = used.join(weights.filter("kind = 'token'"), ["scope", "id"]).select(columns)
-    scale = F.col("gamma") / F.sqrt(F.col("var") + C.BATCH_NORM_EPSILON)
-
-    def per_position(kind: str, value) -> DataFrame:
-        listed = F.array_sort(F.collect_list(F.struct("position", value.alias("x"))))
-        return norms.groupBy("scope").agg(F.transform(listed, lambda s: s["x"]).alias("vec")).select(
-            "scope", F.lit(kind).alias("kind"), F.lit(0).alias("id"), "vec"
-        )
-
-    fixed = (
-        weights.filter("kind = 'gate'")
-        .select("scope", "kind", "id", "vec")
-        .unionByName(per_position("slope", scale))
-        .unionByName(per_position("shift", F.col("beta") - scale * F.col("mean")))
-    )
     scopes = used.select(*task, "scope").distinct()
-    return tokens.unionByName(scopes.join(fixed, "scope").select(columns))
+    shared = scopes.join(weights.filter(F.col("kind").isin(_SCOPE_KINDS)), "scope").select(columns)
+    return tokens.unionByName(shared)
 
 
-def gradients(batch: DataFrame, weights: DataFrame, norms: DataFrame) -> DataFrame:
-    """Gradient rows of all given batches, one task per batch.
+def gradients(batch: DataFrame, weights: DataFrame) -> DataFrame:
+    """Gradient and statistics rows of all given batches, one task per batch.
 
     ``batch`` has owner, batch_id, code_scope, query_scope, code_ids and
     query_ids; a batch is bounded by the batch size, and so are the
     parameters it can use.
     """
-    parameters = _used_parameters(batch, weights, norms)
+    parameters = _used_parameters(batch, weights)
     return (
         batch.groupBy("owner", "batch_id")
         .cogroup(parameters.groupBy("task_owner", "task"))
@@ -259,19 +276,24 @@ def adam_step(
     decay1: float = 0.9,
     decay2: float = 0.999,
     epsilon: float = 1e-8,
+    momentum: float = 0.1,
 ) -> DataFrame:
     """Adam on the parameter table; rows without a gradient see a zero one,
-    and owners without a batch in this step stay as they are.
+    and owners without a batch in this step stay as they are. Running
+    statistics move towards the batches' mean by ``momentum``.
 
-    ``summed`` holds gradient sums and, as kind ``loss``, the number of
-    batches ``n`` of each owner.
+    ``summed`` holds sums over batches and their number ``n`` per row; its
+    kind ``loss`` has one row for each owner.
     """
     moving = summed.filter("kind = 'loss'").select("owner", F.col("n").alias("_n"))
-    zero = F.array_repeat(F.lit(0.0), F.size("vec"))
+    given = summed.filter("kind != 'loss'").select(
+        "owner", "kind", "scope", "id", "grad", F.col("n").alias("_rows")
+    )
+    zero = F.transform("vec", lambda _: F.lit(0.0))
     joined = (
-        weights.join(summed.select("owner", "kind", "scope", "id", "grad"),
-                     ["owner", "kind", "scope", "id"], "left")
+        weights.join(given, ["owner", "kind", "scope", "id"], "left")
         .join(moving, "owner", "left")
+        .withColumn("_seen", F.transform("grad", lambda g: g / F.col("_rows")))
         .withColumn("grad", F.coalesce(F.transform("grad", lambda g: g / F.col("_n")), zero))
         .withColumn("_live", F.col("_n").isNotNull())
     )
@@ -289,9 +311,14 @@ def adam_step(
         "m", "v", lambda m, v: rate * (m / first) / (F.sqrt(v / second) + epsilon)
     )
     stepped = F.zip_with("vec", change, lambda x, c: x - c)
-    return moved.withColumn("vec", F.when(F.col("_live"), stepped).otherwise(F.col("vec"))).select(
-        weights.columns
+    followed = F.zip_with("vec", "_seen", lambda x, s: (1 - momentum) * x + momentum * s)
+    running = F.col("kind").isin("mean", "var")
+    vec = (
+        F.when(running, F.coalesce(followed, "vec"))
+        .when(F.col("_live"), stepped)
+        .otherwise(F.col("vec"))
     )
+    return moved.withColumn("vec", vec).select(weights.columns)
 
 
 def scope_name(owner, name):
@@ -305,17 +332,37 @@ def owner_of(scope):
 
 
 def _weights(model: Model) -> DataFrame:
-    zero = F.transform("vec", lambda _: F.lit(0.0))
+    """All parameters of a model in one table, ready for Adam."""
     tokens = model.tokens.select(F.lit("token").alias("kind"), "scope", "id", "vec")
     gate = model.gate.select(
         F.lit("gate").alias("kind"), "scope", F.lit(0).alias("id"), F.col("w").alias("vec")
     )
-    return tokens.unionByName(gate).withColumns(
+    kinds = ["gamma", "beta", "mean", "var"]
+    placed = F.array_sort(F.collect_list(F.struct("position", *kinds)))
+    arrays = model.norms.groupBy("scope").agg(placed.alias("placed"))
+    rows = [
+        F.struct(F.lit(kind).alias("kind"), F.col(f"placed.{kind}").alias("vec")) for kind in kinds
+    ]
+    norms = arrays.select("scope", F.inline(F.array(*rows))).select(
+        "kind", "scope", F.lit(0).alias("id"), "vec"
+    )
+    zero = F.transform("vec", lambda _: F.lit(0.0))
+    return tokens.unionByName(gate).unionByName(norms).withColumns(
         {"m": zero, "v": zero, "t": F.lit(0), "owner": owner_of(F.col("scope"))}
     )
 
 
-def _model(weights: DataFrame, norms: DataFrame) -> Model:
+def _model(weights: DataFrame) -> Model:
+    def one(kind: str):
+        return F.max(F.when(F.col("kind") == kind, F.col("vec"))).alias(kind)
+
+    arrays = (
+        weights.filter(F.col("kind").isin("gamma", "beta", "mean", "var"))
+        .groupBy("scope")
+        .agg(*[one(kind) for kind in ("mean", "var", "gamma", "beta")])
+    )
+    zipped = F.posexplode(F.arrays_zip("mean", "var", "gamma", "beta")).alias("position", "x")
+    norms = arrays.select("scope", zipped).select("scope", "position", "x.*")
     return Model(
         weights.filter("kind = 'token'").select("scope", "id", "vec"),
         weights.filter("kind = 'gate'").select("scope", F.col("vec").alias("w")),
@@ -373,7 +420,6 @@ def fit(
     """
     train, valid = _with_scopes(train), _with_scopes(valid)
     weights = materialise(_weights(model), "weights")
-    norms = materialise(model.norms, "norms")
     best = weights
     state = materialise(
         train.select("owner").distinct().select(
@@ -399,7 +445,7 @@ def fit(
             part = batched.filter(F.col("batch_id").between(first, first + batches_per_step - 1))
             total = Summarizer.metrics("sum").summary(array_to_vector("grad"))["sum"]
             summed = materialise(
-                gradients(part, weights, norms)
+                gradients(part, weights)
                 .groupBy("owner", "kind", "scope", "id")
                 .agg(
                     vector_to_array(total).alias("grad"),
@@ -416,7 +462,7 @@ def fit(
             .agg((F.sum("loss") / F.sum("n")).alias("loss"))
         )
         pairs = embed_pairs(
-            valid.join(active, "owner", "left_semi"), _model(weights, norms)
+            valid.join(active, "owner", "left_semi"), _model(weights)
         )
         scores = mrr(pairs, "row_id", evaluation_batch, 0, ["owner"])
         judged = materialise(
@@ -447,4 +493,4 @@ def fit(
             ),
             "best",
         )
-    return _model(best, norms), history
+    return _model(best), history

@@ -134,6 +134,9 @@ def source_tree(spark: SparkSession, root: str, language: str | None = None) ->
         .option("ignoreMissingFiles", True)
         .load(root)
     )
+    # A character takes at most four bytes, so larger files are over the size
+    # cap anyway; the reader skips them by their length.
+    files = files.filter(F.col("length") <= 4 * C.MAX_FILE_CHARS)
     below = root.rstrip("/").split("://")[-1]
     tail = F.substring_index(F.col("path"), below + "/", -1)
     return files.filter(F.is_valid_utf8(F.col("content").cast("string"))).select(

@@ -29,38 +29,42 @@ def test_gradients_match_finite_differences():
     rng = np.random.default_rng(1)
     n, length, width = 5, 4, 3
     ids = {s: rng.integers(0, 6, size=(n, length)) for s in "qc"}
+    part = {}
     for s in "qc":
         ids[s][:, 0] = 1 + np.arange(n) % 5
-    table = {s: rng.normal(size=(6, width)) for s in "qc"}
-    gate = {s: rng.normal(size=width) for s in "qc"}
-    slope, shift = rng.normal(size=length), rng.normal(size=length)
+        part[s] = {
+            "vec": rng.normal(size=(6, width)),
+            "gate": rng.normal(size=width),
+            "gamma": rng.normal(size=length + 1),
+            "beta": rng.normal(size=length + 1),
+            "mean": rng.normal(size=length + 1),
+            "var": rng.uniform(0.5, 2, size=length + 1),
+        }
 
     def forward():
-        return {s: K._forward(ids[s], table[s][ids[s]], gate[s], slope, shift) for s in "qc"}
+        return {s: K._forward(ids[s], part[s]["vec"][ids[s]], part[s]) for s in "qc"}
 
     def loss():
         out = forward()
-        return K._loss_gradient(out["q"][0], out["c"][0])[0]
+        return K._loss_gradient(out["q"]["mean"], out["c"]["mean"])[0]
 
     out = forward()
-    _, grad_q, grad_c = K._loss_gradient(out["q"][0], out["c"][0])
-    for s, upstream in (("q", grad_q), ("c", grad_c)):
-        mean, weight, mass = out[s]
-        vec = table[s][ids[s]]
-        grad_vec, grad_gate = K._backward(upstream, mean, weight, mass, vec, gate[s], slope)
-        summed = np.zeros_like(table[s])
+    _, *upstream = K._loss_gradient(out["q"]["mean"], out["c"]["mean"])
+    for s, grad_mean in zip("qc", upstream):
+        grad_vec, grads = K._backward(grad_mean, out[s], part[s]["vec"][ids[s]], part[s])
+        summed = np.zeros_like(part[s]["vec"])
         np.add.at(summed, ids[s].reshape(-1), grad_vec.reshape(-1, width))
-        for target, grad, rows in ((table[s], summed, range(1, 6)), (gate[s][None], grad_gate[None], [0])):
-            for row in rows:
-                for column in range(width):
-                    old = target[row, column]
-                    step = 1e-6
-                    target[row, column] = old + step
-                    up = loss()
-                    target[row, column] = old - step
-                    down = loss()
-                    target[row, column] = old
-                    assert grad[row, column] == pytest.approx((up - down) / (2 * step), abs=1e-5)
+        for kind, grad in {"vec": summed, **grads}.items():
+            target = part[s][kind]
+            for place in np.ndindex(target.shape):
+                old, step = target[place], 1e-6
+                target[place] = old + step
+                up = loss()
+                target[place] = old - step
+                down = loss()
+                target[place] = old
+                if kind != "vec" or place[0] != 0:
+                    assert grad[place] == pytest.approx((up - down) / (2 * step), abs=1e-5)
 
 
 def test_fit_improves(spark):
@@ -83,4 +87,6 @@ def test_fit_improves(spark):
     )
     rows = history.orderBy("epoch").collect()
     assert rows[-1].loss < rows[0].loss and max(r.score for r in rows) > 0.3
+    norms = best.norms.filter("scope = 'query'").collect()
+    assert len(norms) == 4 and any(r["mean"] != 0.0 for r in norms) and any(r.beta != 0.0 for r in norms)
     assert best.tokens.filter("scope = 'python' and id = 0").first().vec == [0.0] * 8
