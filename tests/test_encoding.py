@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from quarry.operators import encoding as K
 
@@ -114,4 +113,3 @@ def test_one_shuffle_from_tokens_to_ids(spark, vocabulary):
     plan = K.encode(df, ["k"], vocabulary, 4)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
-    assert F is not None
