@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,15 +30,13 @@ def build_session(app: str = "quarry", master: str | None = None, **conf) -> Spa
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by the cluster."""
+    """The folder every executor can reach: the one the cluster names in
+    ``spark.checkpoint.dir``, or, where that is unset, one in the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="quarry-", dir="/tmp")
+    if not folder:
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
         spark.conf.set("spark.checkpoint.dir", folder)
-        return folder
-    raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+    return folder
 
 
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
