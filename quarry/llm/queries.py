@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import embedding_dedup, packing, sharding, simhash, token_counts as counting, topk
+from quarry.llm import byte_bpe, embedding_dedup, language_id, packing, sharding, simhash, token_counts as counting, topk
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,6 +24,14 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counting.token_counts(_table(spark, folder, "documents"), WORD_TOKENIZER)
 
 
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", language_id.held_out(F.col("doc_id")))
+    model = language_id.learn(docs.where("not held_out"))
+    found = language_id.identify(docs.select("doc_id", "held_out", "text"), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "bits")
+
+
 def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     return sharding.shuffled_shards(docs, 8).select(
@@ -31,6 +45,32 @@ def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, ids, decoded -> doc_id, n_tokens, digests."""
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    for batch in batches:
+        ids, n = byte_bpe.list_parts(batch.column(1))
+        whole = memoryview(ids.astype("<u4").tobytes())
+        ends = (4 * np.cumsum(n)).tolist()
+        starts = [0, *ends[:-1]]
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0),
+                pa.array(n),
+                pa.array([sha(whole[a:b]) for a, b in zip(starts, ends)], pa.string()),
+                pa.array([sha(x.as_buffer()) for x in batch.column(2)], pa.string()),
+            ],
+            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+        )
+
+
+def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    encoded = byte_bpe.encode(_table(spark, folder, "documents"), BYTE_RANKS, offsets=False)
+    return byte_bpe.decode(encoded, BYTE_RANKS).mapInArrow(
+        _digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    )
+
+
 def op7_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -55,7 +95,9 @@ def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_language_id": op2_language_id,
     "op5_sharding": op5_sharding,
+    "op6_byte_bpe": op6_byte_bpe,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
