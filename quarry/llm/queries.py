@@ -10,7 +10,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import byte_bpe, embedding_dedup, language_id, packing, sharding, simhash, token_counts as counting, topk
+from quarry.llm import byte_bpe, embedding_dedup, language_id, packing, sharding, simhash, suffix_dedup, token_counts as counting, topk
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -32,6 +32,17 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "bits")
 
 
+def op3_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(_table(spark, folder, "documents"), window=50)
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("span_starts").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     return sharding.shuffled_shards(docs, 8).select(
@@ -96,6 +107,7 @@ def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op5_sharding": op5_sharding,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_exact_top_k": op7_exact_top_k,
@@ -105,6 +117,28 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op3_suffix_array_dedup": """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (
+  SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s
+  FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS p FROM docs)),
+firsts AS (SELECT s, min(doc_id) AS first_doc FROM windows GROUP BY s),
+gone AS (SELECT doc_id, p FROM windows JOIN firsts USING (s) WHERE first_doc < doc_id),
+marked AS (
+  SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS fresh
+  FROM gone),
+numbered AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM marked),
+spans AS (SELECT doc_id, run, min(p) AS a, max(p) + 50 AS b FROM numbered GROUP BY doc_id, run),
+cut AS (
+  SELECT doc_id, run, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY run), 0) AS before FROM spans),
+kept AS (
+  SELECT c.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last_b,
+    string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY run) AS head
+  FROM cut c JOIN docs USING (doc_id) GROUP BY c.doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, CAST(2 * coalesce(last_b, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)""",
     "op7_exact_top_k": """
 WITH ok AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64.0 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
