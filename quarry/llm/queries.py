@@ -10,7 +10,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import byte_bpe, embedding_dedup, language_id, packing, sharding, simhash, suffix_dedup, token_counts as counting, topk
+from quarry.llm import byte_bpe, embedding_dedup, language_id, line_dedup, packing, sharding, simhash, suffix_dedup, token_counts as counting, topk
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -43,6 +43,16 @@ def op3_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = line_dedup.repeated_lines(_table(spark, folder, "documents"), edits=2, min_bytes=24)
+    return found.select(
+        "doc_id",
+        F.col("n_lines").cast("long").alias("n_lines"),
+        F.size("removed").cast("long").alias("n_removed"),
+        F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"),
+    )
+
+
 def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     return sharding.shuffled_shards(docs, 8).select(
@@ -108,6 +118,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
+    "op4_line_dedup": op4_line_dedup,
     "op5_sharding": op5_sharding,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_exact_top_k": op7_exact_top_k,
@@ -139,6 +150,30 @@ SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_remove
   CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
   sha256(unhex(coalesce(head, '') || substr(h, CAST(2 * coalesce(last_b, 0) + 1 AS BIGINT)))) AS kept_sha256
 FROM docs LEFT JOIN kept USING (doc_id)""",
+    "op4_line_dedup": f"""
+WITH split_docs AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
+lines AS (
+  SELECT doc_id, number, parts[number + 1] AS line
+  FROM (SELECT doc_id, parts, unnest(range(0, len(parts))) AS number FROM split_docs)),
+long_lines AS (SELECT * FROM lines WHERE strlen(line) >= 24),
+places AS (SELECT line, min((doc_id, number)) AS first FROM long_lines GROUP BY line),
+counted AS (
+  SELECT line, first, strlen(line) AS n, {", ".join(f"strlen(line) - strlen(replace(line, '{c}', '')) AS c{i}" for i, c in enumerate("etanhors "))}
+  FROM places),
+-- Lines within two edits differ by at most two in length and in each letter's count.
+near AS (
+  SELECT DISTINCT b.line FROM counted a JOIN counted b ON a.first < b.first AND b.n BETWEEN a.n - 2 AND a.n + 2
+    AND {" AND ".join(f"abs(a.c{i} - b.c{i}) <= 2" for i in range(9))}
+  WHERE levenshtein(a.line, b.line) <= 2),
+gone AS (
+  SELECT doc_id, number FROM long_lines JOIN places USING (line)
+  WHERE (doc_id, number) <> first OR line IN (SELECT line FROM near)),
+listed AS (
+  SELECT doc_id, count(*) AS n, string_agg(CAST(number AS VARCHAR), ',' ORDER BY number) AS removed
+  FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(len(parts), 0) AS BIGINT) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+  coalesce(removed, '') AS removed
+FROM split_docs LEFT JOIN listed USING (doc_id)""",
     "op7_exact_top_k": """
 WITH ok AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64.0 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
