@@ -10,9 +10,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quarry.llm.words import text_bytes
+from quarry.llm.words import byte_batches, text_bytes
 
 #: Bounds of what is learned: normalised bytes of text for each language, and
 #: texts for each language from which they are taken.
@@ -20,7 +20,7 @@ TRAIN_BYTES, TRAIN_TEXTS = 48_000, 400
 #: Normalised bytes in which a text is parsed; phrases end with a block.
 BLOCK = 1024
 #: Blocks that are parsed side by side.
-WAVE = 1 << 15
+WAVE = 1 << 13
 _MISS = 1 << 30
 
 _LETTERS = np.zeros(256, bool)
@@ -140,8 +140,6 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> list
     known = df.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")
     )
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     chosen = known.select("lang", "h").distinct().withColumn("place", place).where(F.col("place") <= TRAIN_TEXTS)
     edge = chosen.groupBy("lang").agg(F.max("h").alias("edge"))
@@ -184,7 +182,7 @@ def identify(df: DataFrame, model: list[tuple[str, int, bytes]], text_col: str =
             _OPEN.clear()
             _OPEN[key] = Automata(sent.value)
         automata = _OPEN[key]
-        for batch in batches:
+        for batch in byte_batches(batches, position):
             texts = batch.column(position)
             fit = has_letter(texts) & bool(automata.tables)
             names = np.full(len(texts), "und", object)

@@ -38,6 +38,18 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def byte_batches(batches: Iterator[pa.RecordBatch], column: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` again, in batches of about ``limit`` bytes of one
+    string column (at least a row each)."""
+    for batch in batches:
+        _, offsets = text_bytes(batch.column(column))
+        at = 0
+        while at < len(batch):
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def slice_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where slices start: every text's first byte and every safe boundary."""
     cut = np.zeros(len(data), bool)
