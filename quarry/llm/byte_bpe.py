@@ -232,55 +232,55 @@ def ranks(path: str) -> Ranks:
     return _OPEN[path]
 
 
-def list_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Flat values of a list column (null: empty) and the number in each row."""
-    n = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    return column.flatten().to_numpy(zero_copy_only=False), n
+def id_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All packed ids of a binary column (null: none) and the number in each row."""
+    data, offsets = words.text_bytes(column)
+    return data.view("<u4") if len(data) else np.zeros(0, "<u4"), np.diff(offsets) // 4
 
 
 def encode(
     df: DataFrame, rank_file: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = True
 ) -> DataFrame:
     """``id_col, ids`` and, unless switched off, ``offsets``: the byte of the text
-    at which each id begins.
+    at which each id begins. ``ids`` is binary, four bytes (little end first) an
+    id, as :func:`decode` takes them.
 
     A null or empty text has no ids; repeated rows give repeated results; an
     empty table gives an empty one. Other columns are not read. One scan and
-    one Arrow function, no shuffle; long texts are cut where a token begins in
-    any case.
+    one Arrow function, no shuffle, in batches by bytes; long texts are cut
+    where a token begins in any case.
     """
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            table = ranks(rank_file)
+        table = ranks(rank_file)
+        for batch in words.byte_batches(batches, 1):
             ids, n = table.texts(batch.column(1))
-            bounds = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
-            columns = [batch.column(0), pa.ListArray.from_arrays(bounds, pa.array(ids.astype(np.int32)))]
+            columns = [batch.column(0), words.binary_rows(ids.astype("<u4").view(np.uint8), 4 * n)]
             if offsets:
+                bounds = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
                 place = np.concatenate([np.cumsum(table.lengths[ids]) - table.lengths[ids], [0]])
                 text_start = np.repeat(place[np.cumsum(n) - n], n)
                 columns.append(pa.ListArray.from_arrays(bounds, pa.array(place[:-1] - text_start)))
             yield pa.RecordBatch.from_arrays(columns, [id_col, "ids", "offsets"][: len(columns)])
 
-    schema = f"`{id_col}` {kind}, ids array<int>" + (", offsets array<long>" if offsets else "")
+    schema = f"`{id_col}` {kind}, ids binary" + (", offsets array<long>" if offsets else "")
     return df.select(id_col, text_col).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, rank_file: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """``id_col, ids_col, decoded`` (binary). Null ids: no bytes."""
+    """``id_col, ids_col, decoded`` (binary) of packed ids. Null ids: no bytes."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, n = list_parts(batch.column(1))
-            data, begin = ranks(rank_file).decoded(ids)
+        table = ranks(rank_file)
+        for batch in words.byte_batches(batches, 1):
+            ids, n = id_parts(batch.column(1))
+            data, begin = table.decoded(ids)
             bounds = np.append(begin, len(data))[np.concatenate([[0], np.cumsum(n)])]
-            body = pa.LargeBinaryArray.from_buffers(
-                pa.large_binary(), len(n), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)]
-            )
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), body.cast(pa.binary())], [id_col, ids_col, "decoded"]
+                [batch.column(0), batch.column(1), words.binary_rows(data, np.diff(bounds))],
+                [id_col, ids_col, "decoded"],
             )
 
-    return df.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, `{ids_col}` array<int>, decoded binary")
+    return df.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, `{ids_col}` binary, decoded binary")

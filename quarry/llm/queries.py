@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import numpy as np
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarry.llm import byte_bpe, embedding_dedup, language_id, line_dedup, packing, sharding, simhash, suffix_dedup, token_counts as counting, topk
@@ -66,29 +61,13 @@ def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, ids, decoded -> doc_id, n_tokens, digests."""
-    sha = lambda x: hashlib.sha256(x).hexdigest()
-    for batch in batches:
-        ids, n = byte_bpe.list_parts(batch.column(1))
-        whole = memoryview(ids.astype("<u4").tobytes())
-        ends = (4 * np.cumsum(n)).tolist()
-        starts = [0, *ends[:-1]]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                pa.array(n),
-                pa.array([sha(whole[a:b]) for a, b in zip(starts, ends)], pa.string()),
-                pa.array([sha(x.as_buffer()) for x in batch.column(2)], pa.string()),
-            ],
-            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-        )
-
-
 def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     encoded = byte_bpe.encode(_table(spark, folder, "documents"), BYTE_RANKS, offsets=False)
-    return byte_bpe.decode(encoded, BYTE_RANKS).mapInArrow(
-        _digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return byte_bpe.decode(encoded, BYTE_RANKS).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 

@@ -38,6 +38,14 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def binary_rows(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Consecutive pieces of ``data`` as a binary array."""
+    bounds = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    body = pa.py_buffer(np.ascontiguousarray(data))
+    whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(bounds), body])
+    return whole.cast(pa.binary())
+
+
 def byte_batches(batches: Iterator[pa.RecordBatch], column: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` again, in batches of about ``limit`` bytes of one
     string column (at least a row each)."""
