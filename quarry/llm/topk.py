@@ -98,17 +98,18 @@ def top_k(
     n, n_queries = rows.agg(F.count("*"), F.count_if("q")).first()
     tiles, blocks = -(-n // TILE_ROWS) or 1, -(-n_queries // TILE_QUERIES) or 1
 
-    def dealt(cut: DataFrame | None) -> tuple:
+    def dealt(cut: DataFrame | None):
+        # Keys of both sides are ints: rows meet by the hash of the typed value.
         hashed = F.xxhash64("id")
         left = rows.select(
-            "width", F.pmod(hashed, F.lit(tiles)).alias("tile"), "id", "v",
+            "width", F.pmod(hashed, F.lit(tiles)).cast("int").alias("tile"), "id", "v",
             F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
         )
         right = rows.where("q")
         right = right.withColumn("cutoff", F.lit(None).cast("long")) if cut is None else right.join(cut, "id", "left")
         right = right.select(
             "width", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"), "id", "v", "cutoff",
-            F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(blocks)).alias("block"),
+            F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(blocks)).cast("int").alias("block"),
         )
         keys = ["width", "tile", "block"]
         # Both sides read one table: new names for columns keep them apart.
