@@ -63,7 +63,6 @@ BLACKLISTED_IDENTIFIERS = {
     "java": ["toString", "hashCode", "equals", "finalize", "notify", "notifyAll", "clone"],
     "javascript": ["toString", "toLocaleString", "valueOf"],
 }
-TRAIN_SHARDS = {"go": 11, "java": 16, "javascript": 5, "php": 18, "python": 14, "ruby": 2}
 HASH_COMMENT_LANGUAGES = ["python", "ruby", "php"]
 SLASH_COMMENT_LANGUAGES = ["java", "javascript", "go", "php"]
 

@@ -107,17 +107,19 @@ def first_copies(df: DataFrame, by: list[str], content: str, order: list[str]) -
 
     The first position per content hash is an aggregate, combined before the
     shuffle, so a content copied into a third of the rows costs one small
-    buffer per task; the wide rows are matched back on their position.
-    ``by`` and ``order`` together must identify a row.
+    buffer per task; the wide rows are matched back on position and content.
+    Several contents may stand at one position (two definitions on one line);
+    equal contents at one position are one row more than once, and one is kept.
     """
     hashed = F.sha1(content)
     firsts = (
         df.select(*by, hashed.alias("_hash"), F.struct(*order).alias("_at"))
         .groupBy(*by, "_hash")
         .agg(F.min("_at").alias("_at"))
-        .select(*by, *[F.col(f"_at.{name}").alias(name) for name in order])
+        .select(*by, "_hash", *[F.col(f"_at.{name}").alias(name) for name in order])
     )
-    return df.join(firsts, [*by, *order], "left_semi")
+    keys = [*by, *order, "_hash"]
+    return df.withColumn("_hash", hashed).join(firsts, keys, "left_semi").dropDuplicates(keys).drop("_hash")
 
 
 def with_row_index(df: DataFrame, by: list[str], order: list[str], keys: list[str]) -> DataFrame:

@@ -70,62 +70,74 @@ def subword_tokenise(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     )
 
 
-def _located_pieces(
-    df: DataFrame, keys: list[str], vocabulary: DataFrame, limit: int | None
-) -> DataFrame:
-    """Rows ``(keys, scope, position, piece_position, piece, id)``.
+#: Matches any character outside its group: for scopes without pieces.
+_NO_PIECES = r"([^\s\S])|[\s\S]"
+
+
+def word_pieces(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``scope, token, pieces`` (structs of piece and id) of distinct words.
 
-    The documents are spread by key first; the vocabulary joins keep that
-    spread, so regrouping by key later needs no further shuffle. With a
-    ``limit``, tokens past it are left out early: every token yields at least
-    one id, so they can never reach the first ``limit`` ids.
+    A known word is itself. An unknown one is cut into the longest known
+    pieces between marks, or, in a plain vocabulary, is the unknown token. No
+    word is without pieces; a scope without a vocabulary is an error.
     """
     lookup = materialise(lookup_table(vocabulary), "lookup")
     patterns = materialise(piece_patterns(vocabulary), "patterns")
-    words = lookup.filter("is_word").select("scope", "token", F.lit(True).alias("known"))
-    tokens = F.col("tokens") if limit is None else F.slice("tokens", 1, limit)
-    located = (
-        df.select(*keys, "scope", tokens.alias("tokens"))
-        .repartition(*keys)
-        .sortWithinPartitions("scope")
-        .select(*keys, "scope", F.posexplode_outer("tokens").alias("position", "token"))
-    )
-    pieces = F.when(F.col("known") | F.col("token").isNull(), F.array("token")).otherwise(
-        _pieces(F.col("token"), F.col("pattern"))
-    )
-    if limit is not None:
-        pieces = F.slice(pieces, 1, limit)
+    scopes = vocabulary.groupBy("scope").agg(F.max(F.col("kind") == "simple").alias("plain"))
+    known = lookup.filter("is_word").select("scope", "token", F.lit(True).alias("known"))
+    fails = F.raise_error(F.concat(F.lit("no vocabulary for scope "), F.col("scope")))
+    cut = _pieces(F.col("token"), F.coalesce("pattern", F.lit(_NO_PIECES)))
+    pieces = (
+        F.when(F.col("known"), F.array("token"))
+        .when(F.col("plain"), F.array(F.lit(C.UNKNOWN_TOKEN)))
+        .when(F.col("plain").isNull(), F.array(fails.cast("string")))
+        .otherwise(F.transform(cut, lambda piece: F.when(piece == "", C.UNK).otherwise(piece)))
+    )
+    ids = lookup.select("scope", F.col("token").alias("piece"), "id")
+    placed = F.struct("at", "piece", F.coalesce("id", F.lit(1)).alias("id"))
     return (
-        located.join(words, ["scope", "token"], "left")
+        words.join(known, ["scope", "token"], "left")
+        .join(scopes, "scope", "left")
         .join(patterns, "scope", "left")
-        .select(
-            *keys,
-            "scope",
-            "position",
-            "known",
-            F.posexplode(pieces).alias("piece_position", "piece"),
-        )
-        .withColumn("piece", F.when(F.col("known").isNull() & (F.col("piece") == ""), C.UNK)
-                    .otherwise(F.col("piece")))
-        .join(
-            lookup.select("scope", F.col("token").alias("piece"), "id"), ["scope", "piece"], "left"
-        )
+        .select("scope", "token", F.posexplode(pieces).alias("at", "piece"))
+        .join(ids, ["scope", "piece"], "left")
+        .groupBy("scope", "token")
+        .agg(F.array_sort(F.collect_list(placed)).alias("placed"))
+        .select("scope", "token", F.transform("placed", lambda x: x.dropFields("at")).alias("pieces"))
     )
 
 
-def tokenise(df: DataFrame, keys: list[str], vocabulary: DataFrame) -> DataFrame:
-    """``pieces`` of whole token lists: known words stay, others are split."""
-    rows = _located_pieces(df, keys, vocabulary, None)
-    placed = F.when(
-        F.col("position").isNotNull(), F.struct("position", "piece_position", "piece")
-    )
+def _pieces_in_order(
+    df: DataFrame, keys: list[str], vocabulary: DataFrame, limit: int | None
+) -> DataFrame:
+    """``keys, scope, pieces`` of whole token lists.
+
+    The distinct words are cut once and written, so the patterns run once for a
+    word and not for each of its occurrences, and all documents meet them by
+    (scope, token). With a ``limit``, tokens past it are left out early: every
+    token yields at least one id, so they can never reach the first ``limit``.
+    """
+    tokens = F.col("tokens") if limit is None else F.slice("tokens", 1, limit)
+    located = df.select(*keys, "scope", F.posexplode_outer(tokens).alias("position", "token"))
+    words = located.filter("token is not null").select("scope", "token").distinct()
+    cut = materialise(word_pieces(materialise(words, "words"), vocabulary), "pieces")
+    if limit is not None:
+        cut = cut.withColumn("pieces", F.slice("pieces", 1, limit))
+    placed = F.when(F.col("pieces").isNotNull(), F.struct("position", "pieces"))
     return (
-        rows.groupBy(*keys, "scope")
+        located.join(cut, ["scope", "token"], "left")
+        .groupBy(*keys, "scope")
         .agg(F.array_sort(F.collect_list(placed)).alias("placed"))
-        .select(*keys, "scope", F.transform("placed", lambda x: x["piece"]).alias("pieces"))
+        .select(*keys, "scope", F.flatten(F.transform("placed", lambda x: x["pieces"])).alias("pieces"))
     )
 
 
+def tokenise(df: DataFrame, keys: list[str], vocabulary: DataFrame) -> DataFrame:
+    """``pieces`` of whole token lists: known words stay, others are split."""
+    rows = _pieces_in_order(df, keys, vocabulary, None)
+    return rows.select(*keys, "scope", F.transform("pieces", lambda x: x["piece"]).alias("pieces"))
+
+
 def encode(
     df: DataFrame,
     keys: list[str],
@@ -136,22 +148,14 @@ def encode(
 ) -> DataFrame:
     """Token lists to exactly ``length`` ids: cut, then padded with 0.
 
-    ``df`` has ``keys``, ``scope`` and ``tokens``; ``keys`` must be unique.
+    ``df`` has ``keys``, ``scope`` and ``tokens``; ``keys`` must be unique. No
+    document and no token is left out: unknown ones get marks and unknown ids.
     """
-    rows = _located_pieces(df, keys, vocabulary, length)
-    placed = F.when(
-        F.col("position").isNotNull(),
-        F.struct("position", "piece_position", F.coalesce("id", F.lit(1)).alias("id")),
-    )
     padding = F.array_repeat(F.lit(0), length)
-    ids = F.slice(F.concat(F.transform("placed", lambda x: x["id"]), padding), 1, length)
+    ids = F.slice(F.concat(F.transform("pieces", lambda x: x["id"]), padding), 1, length)
     if reverse:
         ids = F.reverse(ids)
-    return (
-        rows.groupBy(*keys, "scope")
-        .agg(F.array_sort(F.collect_list(placed)).alias("placed"))
-        .select(*keys, "scope", ids.alias(name))
-    )
+    return _pieces_in_order(df, keys, vocabulary, length).select(*keys, "scope", ids.alias(name))
 
 
 def decode(

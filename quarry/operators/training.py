@@ -472,8 +472,9 @@ def fit(
             "judged",
         )
         history = judged if history is None else history.unionByName(judged)
-        better = F.col("score").isNotNull() & (
-            F.col("best_score").isNull() | (F.col("score") >= F.col("best_score"))
+        # Without a score so far the last epoch is the best one.
+        better = F.col("best_score").isNull() | F.coalesce(
+            F.col("score") >= F.col("best_score"), F.lit(False)
         )
         state = materialise(
             state.join(judged, "owner", "left").select(

@@ -210,11 +210,9 @@ def merge_vocabularies(base: DataFrame, extra: DataFrame) -> DataFrame:
 
 
 def lookup_table(vocabulary: DataFrame) -> DataFrame:
-    """One id per (scope, token): a word wins over an equal piece."""
-    is_word = F.max(F.col("kind") == "word").alias("is_word")
-    first_id = F.min_by("id", F.when(F.col("kind") == "word", 0).otherwise(1)).alias("id")
+    """One id per (scope, token): a word, also of a plain vocabulary, wins over an
+    equal piece."""
+    word = F.col("kind").isin("word", "simple")
+    is_word = F.max(word).alias("is_word")
+    first_id = F.min_by("id", F.when(word, 0).otherwise(1)).alias("id")
     return vocabulary.groupBy("scope", "token").agg(first_id, is_word)
-
-
-def token_id(found: Column) -> Column:
-    return F.coalesce(found, F.lit(1))

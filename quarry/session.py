@@ -62,13 +62,3 @@ def release(spark: SparkSession) -> None:
     folder = f"{shared_folder(spark)}/quarry-{spark.sparkContext.applicationId}"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a table read in few splits to all cores before per-row work.
-
-    A large table already comes in more splits than there are cores and is
-    returned as it is, so nothing is shuffled at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -163,14 +163,18 @@ def with_cache(
     compute: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
     """Results of ``requests`` by ``cache_key``: stored ones are read, only
-    the others are computed, and those are appended. Nothing expires."""
+    the others are computed, and those are appended. Nothing expires. A
+    request without results is kept as a row with its key alone."""
     spark = requests.sparkSession
     stored = spark.read.schema(schema).parquet(path)
+    values = [F.col(c).isNotNull() for c in stored.columns if c != "cache_key"]
     known = stored.select("cache_key").distinct()
     misses = requests.join(known, "cache_key", "left_anti")
     fresh = materialise(compute(misses).select(stored.columns), "fresh")
-    hits = materialise(stored.join(requests, "cache_key", "left_semi"), "hits")
-    fresh.write.mode("append").parquet(path)
+    filled = stored.where(F.array_contains(F.array(*values), True))
+    hits = materialise(filled.join(requests, "cache_key", "left_semi"), "hits")
+    answered = misses.select("cache_key").distinct().join(fresh, "cache_key", "left")
+    materialise(answered.select(stored.columns), "answered").write.mode("append").parquet(path)
     return hits.unionByName(fresh)
 
 

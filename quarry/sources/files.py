@@ -134,11 +134,10 @@ def source_tree(spark: SparkSession, root: str, language: str | None = None) ->
         .option("ignoreMissingFiles", True)
         .load(root)
     )
-    # A character takes at most four bytes, so larger files are over the size
-    # cap anyway; the reader skips them by their length.
-    files = files.filter(F.col("length") <= 4 * C.MAX_FILE_CHARS)
-    below = root.rstrip("/").split("://")[-1]
-    tail = F.substring_index(F.col("path"), below + "/", -1)
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString()
+    # The qualified root is a prefix of every path; what follows its slash is relative.
+    below = F.substring(F.col("path"), len(base.rstrip("/")) + 2, 1 << 20)
     return files.filter(F.is_valid_utf8(F.col("content").cast("string"))).select(
-        tail.alias("path"), F.col("content").cast("string").alias("text")
+        below.alias("path"), F.col("content").cast("string").alias("text")
     )

@@ -23,10 +23,9 @@ def repositories(spark, folder):
 
 
 def repository_language(spark, folder):
-    """What a supplier ships in bulk stands for its languages."""
+    """The kinds of lines that a supplier ships stand for its languages."""
     shipped = (
         table(spark, folder, "lineitem")
-        .filter("l_quantity >= 50")
         .select(F.col("l_suppkey").alias("id"), F.concat_ws("_", "l_returnflag", "l_linestatus").alias("language"))
         .distinct()
     )
@@ -165,7 +164,7 @@ SELECT r.* FROM repos r JOIN supplier s ON s.s_suppkey = r.id WHERE s_acctbal >
     "repo_languages": f"""
 WITH {REPOS},
 l AS (SELECT DISTINCT l_suppkey AS id, l_returnflag || '_' || l_linestatus AS language
-  FROM lineitem WHERE l_quantity >= 50)
+  FROM lineitem)
 SELECT r.id, organization, name, string_agg(language, ',' ORDER BY language) AS languages
 FROM repos r LEFT JOIN l USING (id) WHERE update_status = 1 GROUP BY ALL""",
     "repo_count": f"WITH {REPOS} SELECT update_status, count(*) AS n FROM repos GROUP BY ALL",

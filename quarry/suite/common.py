@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quarry import constants as C
 from quarry.functions import text as T
-from quarry.session import spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -139,7 +138,7 @@ def sql_query_tokens(tokens: str, identifier: str) -> str:
 
 def code_documents(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, scope (the language) and normalised code tokens."""
-    docs = spread(documents(spark, folder).select("doc_id", "language", "text"))
+    docs = documents(spark, folder).select("doc_id", "language", "text")
     tokens = T.normalised_code_tokens(
         F.col("language"), T.code_tokens(F.col("language"), F.col("text"))
     )

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from quarry import constants as C
 from quarry.functions import text as T
-from quarry.session import spread
 from quarry.suite.common import (
     DOCS, documents, joined, quote, sql_code_tokens, sql_docstring_tokens, sql_is_comment,
     sql_joined, sql_normal_code, sql_query_tokens, sql_strip, sql_sub_tokens, sql_summary, table,
@@ -15,7 +14,7 @@ from quarry.suite.common import (
 
 def docstring_tokens(spark, folder):
     tokens = T.docstring_tokens(F.col("text"))
-    return spread(table(spark, folder, "documents").select("doc_id", "text")).select(
+    return table(spark, folder, "documents").select("doc_id", "text").select(
         "doc_id", F.size(tokens).alias("n_tokens"), joined(tokens).alias("tokens")
     )
 
@@ -86,7 +85,7 @@ def query_tokens(spark, folder):
 
 def code_lex(spark, folder):
     tokens = T.code_tokens(F.col("language"), F.col("text"))
-    return spread(documents(spark, folder).select("doc_id", "language", "text")).select(
+    return documents(spark, folder).select("doc_id", "language", "text").select(
         "doc_id", F.size(tokens).alias("n_tokens"), joined(tokens).alias("tokens")
     )
 

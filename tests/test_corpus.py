@@ -74,3 +74,10 @@ def test_imports(spark):
     assert set(K.import_deduplicated(raw).columns) == {"identifier", "code", "code_tokens", "set"}
     raw = spark.createDataFrame([("f",)], "func_name string")
     assert K.import_set(raw, "valid").first().asDict() == {"identifier": "f", "set": "valid"}
+
+
+def test_first_copies_of_two_definitions_on_one_line(spark):
+    rows = [("p", 1, "A"), ("p", 5, "B"), ("p", 5, "A"), ("q", 2, "B"), ("q", 2, "B")]
+    df = spark.createDataFrame([("r", *row) for row in rows], "repo string, path string, line int, code string")
+    found = K.first_copies(df, ["repo"], "code", ["path", "line"]).collect()
+    assert sorted((r.path, r.line, r.code) for r in found) == [("p", 1, "A"), ("p", 5, "B")]

@@ -113,3 +113,27 @@ def test_one_shuffle_from_tokens_to_ids(spark, vocabulary):
     plan = K.encode(df, ["k"], vocabulary, 4)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_scope_without_pieces_drops_nothing(spark):
+    words = spark.createDataFrame(
+        [("s", "word", t, i, 1) for i, t in enumerate(["__pad", "__unk", "a"])],
+        "scope string, kind string, token string, id int, count long",
+    )
+    found = K.encode(lists(spark, ["a", "zz", "a"], ["zz"], []), ["k"], words, 6).collect()
+    assert {r.k: r.ids for r in found} == {0: [2, 1, 1, 1, 1, 2], 1: [1, 1, 1, 1, 0, 0], 2: [0] * 6}
+
+
+def test_threshold_vocabulary_encodes(spark):
+    from quarry.operators.vocabulary import threshold_vocabulary, token_counts
+
+    docs = lists(spark, ["a", "b", "a"], ["a", "c"])
+    vocabulary = threshold_vocabulary(token_counts(docs), 10, 2)
+    found = K.encode(docs, ["k"], vocabulary, 4).collect()
+    assert {r.k: r.ids for r in found} == {0: [2, 1, 2, 0], 1: [2, 1, 0, 0]}
+
+
+def test_unknown_scope_is_an_error(spark, vocabulary):
+    docs = spark.createDataFrame([(1, "other", ["x"])], "k long, scope string, tokens array<string>")
+    with pytest.raises(Exception, match="no vocabulary for scope other"):
+        K.encode(docs, ["k"], vocabulary, 3).collect()

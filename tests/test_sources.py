@@ -151,3 +151,25 @@ def test_cache_computes_only_misses(spark, tmp_path):
     assert seen == [["a", "bb"], ["ccc"]]
     K.clear_cache(spark, path, schema)
     assert spark.read.schema(schema).parquet(path).count() == 0
+
+
+def test_cache_keeps_empty_results(spark, tmp_path):
+    path, schema, seen = str(tmp_path / "cache"), "cache_key string, value int", []
+    K.clear_cache(spark, path, schema)
+
+    def compute(misses):
+        seen.append(misses.count())
+        return misses.select("cache_key", F.lit(1).alias("value")).limit(0)
+
+    ask = spark.createDataFrame([("none",)], "cache_key string")
+    for _ in range(2):
+        assert K.with_cache(ask, path, schema, compute).count() == 0
+    assert seen == [1, 0]
+
+
+def test_source_paths_are_below_the_root(spark, tmp_path):
+    for name in ("src/x/src/y/f.py", "src/y/f.py"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("pass")
+    found = [r.path for r in S.source_tree(spark, str(tmp_path / "src")).collect()]
+    assert sorted(found) == ["x/src/y/f.py", "y/f.py"]
