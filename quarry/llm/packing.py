@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from quarry.llm import words
 from quarry.session import materialise
 
-#: Groups into which the ranking of one length is dealt.
-SALTS = 64
+#: Groups, at least, into which the ranking of one length is dealt, and pieces of
+#: all lengths for which there is one group more.
+SALTS, SALT_ROWS = 64, 1_000_000
 
 
 def token_pieces(
@@ -34,7 +35,7 @@ def token_pieces(
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in words.byte_batches(batches, 1, words.CHUNK_BYTES):
             n, ids = words.encoded(batch.column(1), tokenizer, keep_ids=True)
             place = np.cumsum(n)
             whole = np.insert(ids, place, end_id).astype("<u4")
@@ -113,17 +114,16 @@ def best_fit(pieces: DataFrame, capacity: int = 2048, order: list[str] | None =
     gives the successor gap of a run of documents, and a document's rank in its
     run decides which sequence of the run of gaps it gets. Ranks are counted in
     Spark over (length, salt), so a length that a third of all pieces have is
-    dealt to ``SALTS`` groups. Ties and repeated rows each get a place of their
+    dealt to ``SALTS`` groups or more. Ties and repeated rows each get a place of their
     own. An empty table gives an empty one.
     """
     spark = pieces.sparkSession
+    pieces = pieces.drop("sequence_id", "offset")
     order = order or [c for c in pieces.columns if c != "length"]
-    pieces = materialise(
-        pieces.drop("sequence_id", "offset").withColumn(
-            "_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS))
-        ),
-        "pieces",
-    )
+    written = materialise(pieces, "pieces")
+    # A salt's share of one length fits a task however many pieces there are.
+    salts = max(SALTS, written.count() // SALT_ROWS)
+    pieces = written.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
     groups = pieces.groupBy("length", "_salt").count()
     # At most capacity rows: one for each length.
     counts = {r[0]: r[1] for r in groups.groupBy("length").agg(F.sum("count")).toLocalIterator()}

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.llm.components import components, forest
-from quarry.llm.words import text_bytes
+from quarry.llm.words import byte_batches, text_bytes
 from quarry.session import materialise
 
 #: Fingerprints of which the tree that deals out the shards is made.
@@ -82,7 +82,7 @@ def fingerprints(df: DataFrame, width: int, id_col: str, text_col: str) -> DataF
     null text: fingerprint zero."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in byte_batches(batches, 1):
             data, offsets = text_bytes(batch.column(1))
             whole, at = data.tobytes(), offsets.tolist()
             prints = [fingerprint(whole[a:b], width) for a, b in zip(at[:-1], at[1:])]
