@@ -62,17 +62,20 @@ def load(spark: SparkSession, format_: str, path: str, schema=None) -> DataFrame
 
 
 def load_shards(spark: SparkSession, base: str, set_name: str, schema: str = SET_SCHEMA) -> DataFrame:
-    """All shards of one set for all languages: ``base/<language>/<set>/*``.
+    """All shards of one set for all languages, as they are distributed:
+    ``base/<language>/final/jsonl/<set>/<language>_<set>_<i>.jsonl.gz``, or
+    without the two folders between.
 
     A gzip file is one split, so a corpus read more than once should be
     saved as a table first.
     """
-    path = F.input_file_name()
+    language = F.regexp_extract(
+        F.input_file_name(), rf"([^/]+)/(?:final/jsonl/)?{set_name}/[^/]+$", 1
+    )
     return (
         spark.read.schema(schema)
-        .option("recursiveFileLookup", True)
-        .json(f"{base}/*/{set_name}")
-        .withColumn("language", F.element_at(F.split(path, "/"), -3))
+        .json(f"{base}/*/{{{set_name},final/jsonl/{set_name}}}/*")
+        .withColumn("language", language)
         .withColumn("set", F.lit(set_name))
     )
 

@@ -32,9 +32,10 @@ def test_matrix(spark, tmp_path):
     assert S.load(spark, "matrix", str(tmp_path / "m")).orderBy("row_index").collect() == df.collect()
 
 
-def test_shards(spark, tmp_path):
+@pytest.mark.parametrize("between", ["", "final/jsonl"])
+def test_shards(spark, tmp_path, between):
     for language, n in (("go", 3), ("ruby", 1)):
-        folder = tmp_path / language / "train"
+        folder = tmp_path / language / between / "train"
         folder.mkdir(parents=True)
         for i in range(n):
             with gzip.open(folder / f"{language}_train_{i}.jsonl.gz", "wt") as f:
