@@ -8,10 +8,10 @@ the query log, ``supplier`` repositories.
 """
 
 from quarry.suite import (
-    catalogue, corpus, evaluation, scalars, search, sequences, training, vocabulary,
+    catalogue, corpus, evaluation, scalars, search, sequences, sources, training, vocabulary,
 )
 
-MODULES = [scalars, corpus, vocabulary, sequences, search, evaluation, training, catalogue]
+MODULES = [scalars, corpus, vocabulary, sequences, search, evaluation, training, catalogue, sources]
 
 
 def all_queries() -> dict:
