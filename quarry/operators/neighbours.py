@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from quarry import constants as C
 from quarry.operators.embedding import matrix
+from quarry.operators.ranking import top_k
 from quarry.session import materialise, shared_folder
 
 # Queries that travel to the executors at once, in numbers (queries x width).
@@ -203,12 +204,10 @@ def nearest(
         asked = _collect_queries(part, own, cells)
         partials.append(_partial_best(items, asked, k, own, cells is not None))
     found = reduce(DataFrame.unionByName, partials)
-    # At most k rows per task and (query, language) reach this window.
-    place = Window.partitionBy("query_id", "language").orderBy("distance", "row_index")
-    return (
-        found.filter(~F.isnan("distance"))
-        .withColumn("rank", F.row_number().over(place))
-        .filter(F.col("rank") <= k)
+    # Tasks give at most k rows each; slices of them are cut before the last ranking.
+    return top_k(
+        found.filter(~F.isnan("distance")),
+        ["query_id", "language"], [F.col("distance"), F.col("row_index")], k, ["row_index"],
     )
 
 
