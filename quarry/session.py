@@ -39,6 +39,10 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Paths of the tables that this driver has written, in order.
+WRITTEN: list[str] = []
+
+
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -50,15 +54,19 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     run = spark.sparkContext.applicationId
     path = f"{shared_folder(spark)}/quarry-{run}/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables this application wrote with :func:`materialise`.
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete tables this application wrote with :func:`materialise`: all, or
+    those at ``paths``.
 
     For the end of a job; DataFrames that read them are void afterwards.
     """
-    folder = f"{shared_folder(spark)}/quarry-{spark.sparkContext.applicationId}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if paths is None:
+        paths = [f"{shared_folder(spark)}/quarry-{spark.sparkContext.applicationId}"]
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
