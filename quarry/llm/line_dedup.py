@@ -48,66 +48,98 @@ def probe_keys(line: Column, edits: int) -> Column:
 def edit_distance(a: Column, b: Column, edits: int) -> Column:
     """Edits of bytes between binary columns, null above ``edits``.
 
-    Banded and bit-parallel: after each byte of ``a`` a long for each number of
-    errors holds a bit for every diagonal of the band that is reached; a match
-    keeps a diagonal, the other three moves take it from one error less.
+    Banded and bit-parallel: one long holds, for each number of errors, a field
+    with a bit for every diagonal of the band that is reached. With each byte of
+    ``a`` a match keeps a diagonal; from one error less, a substitution keeps
+    it, a deletion lowers and an insertion raises it.
     """
-    band = (1 << (2 * edits + 1)) - 1
-    init = [1 << edits]
-    for _ in range(edits):
-        init.append(init[-1] | (init[-1] << 1) & band)
+    width = 2 * edits + 2
+    repeated = lambda field: sum(field << width * e for e in range(edits + 1))
+    band, lower, ones = repeated((1 << (2 * edits + 1)) - 1), repeated((1 << 2 * edits) - 1), repeated(1)
+    long = lambda x: F.lit(x).cast("long")
+    pad = F.lit(bytes(edits))
+    padded = F.concat(pad, b, pad)
+
+    def inserted(reached: Column) -> Column:
+        out = reached
+        for e in range(1, edits + 1):
+            out = out.bitwiseOR(F.shiftleft(reached, e * (width + 1)))
+        return out.bitwiseAND(long(band))
 
     def step(reached: Column, i: Column) -> Column:
         own = F.substring(a, i, F.lit(1))
-        match = F.lit(0).cast("long")
-        for d in range(-edits, edits + 1):
-            same = (i + d >= 1) & (F.substring(b, i + d, F.lit(1)) == own)
-            match = match + F.when(same, F.lit(1 << (d + edits)).cast("long")).otherwise(F.lit(0).cast("long"))
-        now = [reached.getField("e0").bitwiseAND(match)]
-        for e in range(1, edits + 1):
-            before = reached.getField(f"e{e - 1}")
-            moved = reached.getField(f"e{e}").bitwiseAND(match).bitwiseOR(before)
-            moved = moved.bitwiseOR(F.shiftright(before, 1)).bitwiseOR(F.shiftleft(now[-1], 1))
-            now.append(moved.bitwiseAND(F.lit(band).cast("long")))
-        return F.struct(*[x.alias(f"e{e}") for e, x in enumerate(now)])
+        match = long(0)
+        for d in range(2 * edits + 1):
+            same = F.substring(padded, i + d, F.lit(1)) == own
+            match = match + F.shiftleft(same.cast("long"), d)
+        wrong = reached.bitwiseOR(F.shiftright(reached, 1).bitwiseAND(long(lower)))
+        now = reached.bitwiseAND(match * long(ones)).bitwiseOR(F.shiftleft(wrong, width)).bitwiseAND(long(band))
+        # An array of one, so that the value is computed once.
+        return F.element_at(F.transform(F.array(now), inserted), 1)
 
-    start = F.struct(*[F.lit(x).cast("long").alias(f"e{e}") for e, x in enumerate(init)])
     n = F.octet_length(a)
-    last = F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), start, step)
+    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    # With e errors all diagonals from 0 to e are reached before the first byte.
+    start = sum(((1 << edits + e + 1) - (1 << edits)) << width * e for e in range(edits + 1))
+    last = F.aggregate(places, long(start), step)
     diagonal = F.octet_length(b) - n + edits
-    # Three-argument shifts take columns only in SQL; the diagonal is a row's own.
-    found = [
-        F.when(F.pmod(F.floor(last.getField(f"e{e}") / F.pow(F.lit(2.0), diagonal)), F.lit(2)) == 1, F.lit(e))
-        for e in range(edits + 1)
-    ]
-    return F.when((diagonal >= 0) & (diagonal <= 2 * edits), F.coalesce(*found))
+    at = F.when((diagonal >= 0) & (diagonal <= 2 * edits), diagonal)
+    found = [F.when(F.getbit(last, at + width * e) == 1, F.lit(e)) for e in range(edits + 1)]
+    return F.coalesce(*found)
+
+
+def letter_counts(line: Column) -> Column:
+    """Counts of the letters a to z, modulo 16, in 16 fields of four bits."""
+    text = line.cast("string")
+    n = F.octet_length(text)
+    counts = [F.lit(0).cast("long")] * 16
+    for i in range(26):
+        counts[i % 16] = counts[i % 16] + (n - F.octet_length(F.replace(text, F.lit(chr(97 + i)), F.lit(""))))
+    packed = F.lit(0).cast("long")
+    for i, count in enumerate(counts):
+        packed = packed.bitwiseOR(F.shiftleft(F.pmod(count, F.lit(16)).cast("long"), 4 * i))
+    return packed
+
+
+def counts_apart(a: Column, b: Column) -> Column:
+    """A lower bound of how far the letter counts are apart; an edit adds two at most."""
+    apart = F.lit(0)
+    for i in range(16):
+        field = [F.shiftright(x, 4 * i).bitwiseAND(F.lit(15).cast("long")) for x in (a, b)]
+        one = F.pmod(field[0] - field[1], F.lit(16))
+        apart = apart + F.least(one, F.lit(16) - one)
+    return apart
 
 
 def _distinct_lines(df: DataFrame, id_col: str, text_col: str, min_bytes: int) -> DataFrame:
-    """``id, line, first``: distinct lines that count, and the first place of each."""
+    """``id, line, counts, first``: distinct lines that count, and where each stands first."""
     lines = df.select(
         F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("h"),
         F.posexplode(F.split(text_col, "\n")).alias("number", "text"),
     ).where(F.octet_length("text") >= min_bytes)
     first = F.min(F.struct("doc", "h", "number")).alias("first")
-    return lines.groupBy(F.col("text").cast("binary").alias("line")).agg(first).withColumn(
-        "id", F.monotonically_increasing_id()
-    )
+    distinct = lines.groupBy(F.col("text").cast("binary").alias("line")).agg(first)
+    return distinct.withColumns({"id": F.monotonically_increasing_id(), "counts": letter_counts(F.col("line"))})
 
 
 def near_lines(lines: DataFrame, edits: int) -> DataFrame:
-    """``a, b, edits``: all pairs of ``id`` whose ``line`` is within ``edits`` bytes.
+    """``a, b, edits``: all pairs of ``id`` whose ``line`` is within ``edits`` bytes;
+    ``counts`` are the line's :func:`letter_counts`.
 
     A line is cut into ``edits + 1`` segments, so a near line holds one of them
     unchanged; keys of segments meet keys of the few substrings of lines of
-    the same or slightly larger length. Pairs that meet are verified.
+    the same or slightly larger length. Variants of one long line meet in great
+    numbers; the join's condition on letter counts turns most of them away at
+    once, and what is left is verified.
     """
     spark = lines.sparkSession
     index = lines.select(F.explode(index_keys(F.col("line"), edits)).alias("key"), F.col("id").alias("a"),
-                         F.octet_length("line").alias("n"))
+                         F.octet_length("line").alias("n"), F.col("counts").alias("p"))
     probe = lines.select(F.explode(probe_keys(F.col("line"), edits)).alias("key"), F.col("id").alias("b"),
-                         F.octet_length("line").alias("m"))
-    met = index.join(probe, "key").where((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b"))))
+                         F.octet_length("line").alias("m"), F.col("counts").alias("q"))
+    order = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b")))
+    close = counts_apart(F.col("p"), F.col("q")) <= 2 * edits
+    met = index.join(probe, (index["key"] == probe["key"]) & order & close)
     pairs = materialise(met.select("a", "b").distinct(), "pairs")
     wanted = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
     if wanted.count() <= BROADCAST_LINES:
