@@ -1,17 +1,17 @@
 """Removal of long repeated passages by distributed prefix doubling.
 
-Byte positions are ranked by growing prefixes, 16, 32 and 50 bytes, each rank
-a pair of shorter ranks at an offset; a position whose rank no other document
-has is dropped. One row for a byte would be many times the text, so a rank is
+Byte positions are ranked by growing prefixes, 8, 16, 25 and 50 bytes, each
+rank a pair of shorter ranks at an offset; a position whose rank no other
+document has is dropped. One row for a byte would be many times the text, so a rank is
 a fingerprint, positions travel as packed sorted arrays (a row is one block's
 share of one range of ranks), and each round asks only about positions that
 the rounds before have left open:
 
 1. Content-defined chunks: what repeats as a whole chunk is settled at once.
-2. Ranks of 16 bytes, at the positions where a window of 50 bytes has its
+2. Ranks of 25 bytes, at the positions where a window of 50 bytes has its
    smallest rank: equal windows have equal ones, so a window is open only if
    some other document has its smallest rank too.
-3. Ranks of 50 bytes of the windows still open, from pairs of 32 and 16.
+3. Ranks of 50 bytes of the windows still open, from pairs at an offset of 25.
 
 In rounds 1 and 3 a rank goes to the smallest document id that has it; the
 windows of all others are removed.
@@ -28,16 +28,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.session import materialise, shared_folder
+from quarry.session import WRITTEN, materialise, shared_folder
 
 #: Bytes of the documents of one block, and of what is ranked at a time.
-BLOCK_BYTES, PART_BYTES = 4 << 20, 1 << 20
+BLOCK_BYTES, PART_BYTES = 6 << 20, 1 << 20
 #: Bytes of one partition of the table of blocks, and its most partitions.
 BUCKET_BYTES, MAX_BUCKETS = 32 << 20, 50_000
 #: Entries that one task sorts.
 RANGE_ENTRIES = 1 << 20
-#: First prefix, and the mean length of a chunk.
-FIRST, CHUNK = 16, 160
+#: The mean length of a chunk.
+CHUNK = 96
 
 _U = np.uint64
 _ENTRY = "range long, block long, key binary, ext binary, doc binary, pos binary, len binary"
@@ -57,11 +57,26 @@ def pair(a: np.ndarray, b: np.ndarray, seed: int = 0x9E3779B97F4A7C15) -> np.nda
     return h
 
 
-def first_ranks(data: np.ndarray) -> np.ndarray:
-    """Ranks of the 16 bytes at each position, from two words of 8 bytes."""
-    n = len(data) - FIRST + 1
-    word = np.ndarray((n + 8,), "<u8", np.ascontiguousarray(data).data, strides=(1,))
-    return pair(word[:n], word[8 : 8 + n])
+def first_ranks(data: np.ndarray, length: int) -> np.ndarray:
+    """Ranks of the prefixes of ``length`` bytes (8 or more) at each position, by
+    doubling from words of 8 bytes; the last pair overlaps."""
+    n = len(data) - 7
+    ranks, reach = np.ndarray((n,), "<u8", np.ascontiguousarray(data).data, strides=(1,)), 8
+    while reach < length:
+        offset = min(reach, length - reach)
+        ranks = pair(ranks[:-offset], ranks[offset:])
+        reach += offset
+    return ranks
+
+
+def planes(values: np.ndarray) -> bytes:
+    """The bytes of all values by significance, which compress better."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def values(blob: bytes, kind) -> np.ndarray:
+    kind = np.dtype(kind)
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
 
 
 def smallest(ranks: np.ndarray, width: int) -> np.ndarray:
@@ -127,10 +142,10 @@ class Block:
         for doc, pos, size in zip(*(spans.column(c).to_pylist() for c in ("doc", "pos", "len"))):
             if not doc:
                 continue
-            number = np.searchsorted(self.docs, np.frombuffer(doc, np.int64))
-            a = self.doc_starts[number] + np.frombuffer(pos, np.uint32)
+            number = np.searchsorted(self.docs, values(doc, np.int64))
+            a = self.doc_starts[number] + values(pos, np.uint32)
             np.add.at(edge, a, 1)
-            np.add.at(edge, a + np.frombuffer(size, np.uint32), -1)
+            np.add.at(edge, a + values(size, np.uint32), -1)
         return np.cumsum(edge[:-1]) > 0
 
 
@@ -143,7 +158,7 @@ def _rows(ranges: int, block: int, key, ext, doc, pos, size) -> list[tuple]:
     for r in range(ranges):
         own = order[cuts[r] : cuts[r + 1]]
         if len(own):
-            fields = [b"" if x is None else x[own].tobytes() for x in (key, ext, doc, pos, size)]
+            fields = [b"" if x is None else planes(x[own]) for x in (key, ext, doc, pos, size)]
             out.append((r, block, *fields))
     return out
 
@@ -160,7 +175,7 @@ def _sifted(ranges: int, block: int, key, ext, doc, pos, size) -> list[tuple]:
     old = older(key, ext, doc)
     rows = _rows(ranges, block, *(x[~old] for x in (key, ext, doc, pos, size)))
     if old.any():
-        rows.append((-1 - block, block, b"", b"", doc[old].tobytes(), pos[old].tobytes(), size[old].tobytes()))
+        rows.append((-1 - block, block, b"", b"", planes(doc[old]), planes(pos[old]), planes(size[old])))
     return rows
 
 
@@ -170,7 +185,7 @@ def _chunks(block: Block, number: int, ranges: int) -> list[tuple]:
     digests, begin, sizes = [], [], []
     view = memoryview(block.data)
     for at, part, open_ in block.parts():
-        ranks = first_ranks(part)[: len(open_)]
+        ranks = first_ranks(part, block.window // 2)[: len(open_)]
         cut = ranks < _U((1 << 64) // CHUNK)
         cut[0] = True
         inside = block.starts[(block.starts >= at) & (block.starts < at + len(open_))] - at
@@ -197,17 +212,15 @@ def _chunks(block: Block, number: int, ranges: int) -> list[tuple]:
     )
 
 
-def _leaders(block: Block, covered: np.ndarray) -> list[tuple]:
+def _leaders(block: Block, covered: np.ndarray) -> Iterator[tuple]:
     """``start, ranks, places, smallest ranks`` of the windows still open, by part."""
-    out = []
     for at, part, open_ in block.parts():
-        ranks = first_ranks(part)
+        ranks = first_ranks(part, block.window // 2)
         place = np.flatnonzero(open_ & ~covered[at : at + len(open_)])
-        out.append((at, ranks, place, smallest(ranks, block.window - FIRST + 1)[place]))
-    return out
+        yield at, ranks, place, smallest(ranks, block.window - block.window // 2 + 1)[place]
 
 
-def _distinct(block: Block, leaders: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+def _distinct(block: Block, leaders: Iterator[tuple]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct smallest ranks, and whether two documents of the block have each."""
     keys, docs = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
     for at, _, place, low in leaders:
@@ -226,29 +239,25 @@ def _distinct(block: Block, leaders: list[tuple]) -> tuple[np.ndarray, np.ndarra
 
 def _pack(keys: np.ndarray) -> bytes:
     """The leading six bytes of ranks: what travels of the first ones."""
-    return keys.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+    return planes(keys)[2 * len(keys) :]
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-    return out.view(_U).ravel()
+    return values(bytes(len(blob) // 3) + blob, _U)
 
 
 def _windows(block: Block, number: int, ranges: int, covered: np.ndarray, shared: np.ndarray) -> list[tuple]:
     """Entries of round 3: the windows whose smallest rank another document has."""
-    leaders = _leaders(block, covered)
-    own, several = _distinct(block, leaders)
+    own, several = _distinct(block, _leaders(block, covered))
     shared = np.union1d(own[several], shared)
     key, ext, begin = [], [], []
-    step = block.window - 2 * FIRST
-    for at, ranks, place, low in leaders:
+    step = block.window - block.window // 2
+    for at, ranks, place, low in _leaders(block, covered):
         place = place[np.isin(low >> _U(16) << _U(16), shared)]
-        # 16 and 16 bytes give 32; two 32 at the remaining offset give the window.
-        quarter = [ranks[place], ranks[place + FIRST], ranks[place + step], ranks[place + step + FIRST]]
-        key.append(pair(pair(quarter[0], quarter[1]), pair(quarter[2], quarter[3])))
-        seed = 0xC2B2AE3D27D4EB4F
-        ext.append((pair(pair(quarter[0], quarter[1], seed), pair(quarter[2], quarter[3], seed), seed) >> _U(32)).astype(np.uint32))
+        # Two prefixes of half the window, at the offset that is left, give it.
+        halves = ranks[place], ranks[place + step]
+        key.append(pair(*halves))
+        ext.append((pair(*halves, 0xC2B2AE3D27D4EB4F) >> _U(32)).astype(np.uint32))
         begin.append(place + at)
     if not key:
         return []
@@ -266,19 +275,16 @@ def _settle(table: pa.Table) -> pa.Table:
     part = {c: table.column(c).to_pylist() for c in _NAMES}
     if part["range"][0] < 0:
         return table.select(["block", "doc", "pos", "len"])
-    join = lambda c, kind: np.frombuffer(b"".join(part[c]), kind)
-    key, ext, doc = join("key", _U), join("ext", np.uint32), join("doc", np.int64)
-    old = older(key, ext, doc)
+    kinds = {"key": _U, "ext": np.uint32, "doc": np.int64, "pos": np.uint32, "len": np.uint32}
+    each = {c: [values(b, kind) for b in part[c]] for c, kind in kinds.items()}
+    old = older(*(np.concatenate(each[c]) for c in ("key", "ext", "doc")))
     rows, at = [], 0
-    for block, keys, docs, pos, size in zip(part["block"], part["key"], part["doc"], part["pos"], part["len"]):
-        n = len(keys) // 8
+    for i, block in enumerate(part["block"]):
+        n = len(each["key"][i])
         own = old[at : at + n]
         at += n
         if own.any():
-            rows.append((
-                block, np.frombuffer(docs, np.int64)[own].tobytes(),
-                np.frombuffer(pos, np.uint32)[own].tobytes(), np.frombuffer(size, np.uint32)[own].tobytes(),
-            ))
+            rows.append((block, *(planes(each[c][i][own]) for c in ("doc", "pos", "len"))))
     return _table(rows, ["block", "doc", "pos", "len"])
 
 
@@ -302,7 +308,7 @@ def remove_repeats(
     """``id_col, n_bytes, n_removed, span_starts, span_ends, kept`` of every row,
     with the other columns of ``df`` if ``carry``.
 
-    A byte goes if it lies in a string of ``window`` bytes (34 to 2000) that
+    A byte goes if it lies in a string of ``window`` bytes (16 to 2000) that
     also starts in a document with a smaller id; strings are judged on the
     input. ``kept`` is binary, as a cut may lie inside a character. A null text
     is empty. Rows without an id lose nothing and make others lose nothing.
@@ -315,8 +321,8 @@ def remove_repeats(
     most once for rounds 1 and 2, so one that a third of all documents have
     puts no more than one entry for each block into a task.
     """
-    if not 2 * FIRST + 2 <= window <= 2000:
-        raise ValueError("window must be from 34 to 2000 bytes")
+    if not 16 <= window <= 2000:
+        raise ValueError("window must be from 16 to 2000 bytes")
     spark = df.sparkSession
     new = ["n_bytes", "n_removed", "span_starts", "span_ends", "kept"]
     names = [c for c in df.columns if c not in new] if carry else [id_col, text_col]
@@ -324,7 +330,7 @@ def remove_repeats(
     blocks = math.ceil(total / BLOCK_BYTES) or 1
     buckets = min(MAX_BUCKETS, math.ceil(total / BUCKET_BYTES)) or 1
     share = lambda per_byte: math.ceil(total * per_byte / RANGE_ENTRIES) or 1
-    chunk_ranges, leader_ranges, window_ranges = share(1 / CHUNK), share(0.06), share(0.03)
+    chunk_ranges, leader_ranges, window_ranges = share(1 / CHUNK), share(0.07), share(0.12)
 
     dealt = df.select(*names).withColumns({
         "_id": F.col(id_col).cast("long"),
@@ -332,6 +338,7 @@ def remove_repeats(
     })
     name = f"blocks_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark)}/quarry-{spark.sparkContext.applicationId}/{name}"
+    WRITTEN.append(path)
     dealt.repartition(buckets, "_block").write.option("path", path).option("compression", "zstd").bucketBy(
         buckets, "_block"
     ).saveAsTable(name)
@@ -351,7 +358,7 @@ def remove_repeats(
         block, number = of(group)
         keys, _ = _distinct(block, _leaders(block, block.covered(spans)))
         rows = _rows(leader_ranges, number, keys, None, None, None, None)
-        return _table([(r, b, _pack(np.frombuffer(k, _U))) for r, b, k, *_ in rows], ["range", "block", "key"])
+        return _table([(r, b, _pack(values(k, _U))) for r, b, k, *_ in rows], ["range", "block", "key"])
 
     def round_3(group: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(group):
