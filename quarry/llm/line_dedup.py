@@ -42,7 +42,8 @@ def probe_keys(line: Column, edits: int) -> Column:
             for move in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
                 inside = (start + move >= 0) & (start + move + size <= n)
                 keys.append(F.when(inside, _key(line, length, i, start + move, size)))
-    return F.array_compact(F.array(*keys))
+    # Nulls meet nothing; array_compact would take the keys out of compiled code.
+    return F.array(*keys)
 
 
 def edit_distance(a: Column, b: Column, edits: int) -> Column:
@@ -139,6 +140,7 @@ def near_lines(lines: DataFrame, edits: int) -> DataFrame:
                          F.octet_length("line").alias("m"), F.col("counts").alias("q"))
     order = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b")))
     close = counts_apart(F.col("p"), F.col("q")) <= 2 * edits
+    probe = probe.where("key is not null")
     met = index.join(probe, (index["key"] == probe["key"]) & order & close)
     pairs = materialise(met.select("a", "b").distinct(), "pairs")
     wanted = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
