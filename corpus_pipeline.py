@@ -9,12 +9,13 @@ are handled as the operator of the stage says; further columns are carried.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarry.llm import language_id, line_dedup, packing, simhash, suffix_dedup
-from quarry.session import materialise
+from quarry.session import WRITTEN, materialise, release
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -22,11 +23,31 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 MAX_BITS = 8.0
 
 
+#: Tables that the last stage wrote on its way.
+_used: list[str] = []
+
+
+def _stage(function: Stage) -> Stage:
+    """A stage's result is written before the next stage begins, so the tables
+    that the stage before wrote on its way are deleted first."""
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _used)
+        first = len(WRITTEN)
+        out = function(spark, docs, sf_dir)
+        _used[:] = WRITTEN[first:]
+        return out
+
+    return run_stage
+
+
 def _recounted(df: DataFrame) -> DataFrame:
     """``n_chars`` of the text as it is now."""
     return df.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in df.columns else df
 
 
+@_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter (null and empty ones too) and texts of which
     no language's automaton matches two bytes at a time on average. Learns from
@@ -40,6 +61,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(F.when(labelled, fits).otherwise(letters)).select(*docs.columns)
 
 
+@_stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out lines that stand, equal or within two edits, at an earlier place.
     Texts of which more than half would go are copies as a whole and stay as
@@ -47,6 +69,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _recounted(line_dedup.drop_repeats(docs, edits=2, min_bytes=24, max_share=0.5))
 
 
+@_stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of each group of linked fingerprints, the document with the smallest
     id. Of repeated rows of that id all stay; rows without an id stay unless
@@ -57,6 +80,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi")
 
 
+@_stage
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out every byte in a string of 50 bytes that also starts in a document
     with a smaller id; characters that a cut splits go as well. A null text
@@ -69,6 +93,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _recounted(found.withColumn("text", text).select(*docs.columns))
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing of the token ids into sequences of 2048."""
     pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))

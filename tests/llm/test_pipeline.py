@@ -59,8 +59,8 @@ def test_run_on_a_table(spark):
     assert out.columns[:5] == ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
-def test_empty_table(spark):
+def test_empty_table(spark, tmp_path):
     docs = corpus(spark).limit(0)
-    for _, stage in pipeline.STAGES:
-        docs = stage(spark, docs, "unused")
+    for name, stage in pipeline.STAGES:
+        docs = written(spark, stage(spark, docs, "unused"), tmp_path / name)
         assert docs.count() == 0
