@@ -35,8 +35,11 @@ def shuffled_shards(
     as many buckets as keep one near ``bucket_bytes``. Second pass: each bucket
     is put in order of its rows, shuffled by Fisher-Yates (SQL ``shuffle`` with
     a seed) and read out; ``slot`` is the place in the bucket after all rows of
-    the shard's earlier buckets, so slots are gapless from 0. Both passes give
-    the same result when a lost executor's tasks run again.
+    the shard's earlier buckets, so slots are gapless from 0. Shards and buckets
+    depend on the rows alone. The order in a bucket is drawn where it is read
+    out, and a bucket leaves one task whole, so a task that runs again gives a
+    whole bucket again; its order may differ, as SQL ``shuffle`` draws for the
+    buckets of a task in turn.
 
     The scatter hashes the id and the text, so copies of a text spread as well
     as other rows; rows that are equal in both share a bucket. The law is
