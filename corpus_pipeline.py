@@ -25,6 +25,9 @@ MAX_BITS = 8.0
 
 #: Tables that the last stage wrote on its way.
 _used: list[str] = []
+#: The texts that line dedup found to be copies of an earlier document, and
+#: where they are written: the stage after it reads them.
+_copies: list[tuple[DataFrame, str]] = []
 
 
 def _stage(function: Stage) -> Stage:
@@ -63,21 +66,33 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out lines that stand, equal or within two edits, at an earlier place.
-    Texts of which more than half would go are copies as a whole and stay as
-    they are for the next stage. No row goes."""
-    return _recounted(line_dedup.drop_repeats(docs, edits=2, min_bytes=24, max_share=0.5))
+    """Takes out lines that stand, equal or within two edits, at an earlier place,
+    whatever their share of the text. Only texts of which more than half would
+    go and that equal the text of an earlier document stay as they are for the
+    next stage, which takes them. No row goes."""
+    copies = materialise(line_dedup.earlier_copies(docs), "copies")
+    _copies[:] = [(copies, WRITTEN.pop())]
+    return _recounted(line_dedup.drop_repeats(docs, edits=2, min_bytes=24, max_share=0.5, copies=copies))
 
 
 @_stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of each group of linked fingerprints, the document with the smallest
     id. Of repeated rows of that id all stay; rows without an id stay unless
-    their group has one that has an id."""
+    their group has one that has an id. Texts that line dedup left whole as
+    copies go, as the document that they repeat may have lost lines and be far
+    from them now; a run that begins at this stage knows of none."""
     found = simhash.near_duplicates(docs, width=3, radius=2)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     keep = keep.withColumnRenamed("doc_id", "_keep")
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi")
+    docs = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi")
+    while _copies:
+        copies, path = _copies.pop()
+        WRITTEN.append(path)
+        copies = copies.toDF("_doc", "_h")
+        same = (docs["doc_id"] == copies["_doc"]) & (F.xxhash64(docs["text"]) == copies["_h"])
+        docs = docs.join(copies, same, "left_anti")
+    return docs
 
 
 @_stage

@@ -182,7 +182,7 @@ def mark_repeats(
 
 
 def _with_marks(df: DataFrame, marks: DataFrame, id_col: str, hash_col: Column) -> DataFrame:
-    marks = marks.toDF("_doc", "_h", "_kept")
+    marks = marks.toDF("_doc", "_h", *["_" + name for name in marks.columns[2:]])
     return df.join(marks, F.col(id_col).eqNullSafe(F.col("_doc")) & (hash_col == F.col("_h")), "left").drop("_doc", "_h")
 
 
@@ -203,6 +203,18 @@ def repeated_lines(df: DataFrame, edits: int = 2, min_bytes: int = 24, id_col: s
     return marked.select(id_col, "n_lines", F.array_except("_long", kept).alias("removed"))
 
 
+def earlier_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc, h``: ids and hashes of the texts that a document with a smaller id
+    holds byte for byte. Texts that a row without an id holds too are left out."""
+    texts = df.where(F.col(text_col).isNotNull()).select(
+        F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("h"), F.sha2(text_col, 256).alias("sha")
+    )
+    first = texts.groupBy("sha").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count_if(F.isnull("doc")).alias("n"))
+    # Written, so that a text with many copies can be dealt out in the join.
+    first = materialise(first.where("n = 0 and first < last").select("sha", "first"), "firsts")
+    return texts.join(first, "sha").where("doc > first").select("doc", "h").distinct()
+
+
 def drop_repeats(
     df: DataFrame,
     edits: int = 2,
@@ -210,15 +222,21 @@ def drop_repeats(
     max_share: float = 1.0,
     id_col: str = "doc_id",
     text_col: str = "text",
+    copies: DataFrame | None = None,
 ) -> DataFrame:
     """``df`` with the repeated lines taken out of ``text_col``; other columns and
     the number of rows stay.
 
     Where lines that go hold more than ``max_share`` of a text's bytes, the text
-    stays whole: it is a copy as such, which is for document dedup to judge.
+    stays whole, for document dedup to judge; where ``copies`` is given, the
+    result of :func:`earlier_copies`, only if it is one of these.
     """
     names = df.columns
-    marks = mark_repeats(df, edits, min_bytes, id_col, text_col)
+    marks = mark_repeats(df, edits, min_bytes, id_col, text_col).withColumn("whole", F.lit(copies is None))
+    if copies is not None:
+        # No line of a copy stays, so none of them has a row yet.
+        nothing = F.lit(None).cast(marks.schema["kept"].dataType)
+        marks = marks.union(copies.select("doc", "h", nothing, F.lit(True)))
     marked = _with_marks(df.withColumn("_own", F.xxhash64(text_col)), marks, id_col, F.col("_own"))
     kept = F.coalesce("_kept", F.array().cast("array<int>"))
     # Sorted numbers as one flag for each line: gaps of false, each ended by a true.
@@ -232,6 +250,5 @@ def drop_repeats(
     text = F.array_join(left, "\n")
     lost = F.octet_length(text_col) - F.octet_length("_text")
     marked = marked.withColumn("_text", text)
-    return marked.withColumn(
-        text_col, F.when(lost > max_share * F.octet_length(text_col), F.col(text_col)).otherwise(F.col("_text"))
-    ).select(*names)
+    whole = F.coalesce("_whole", F.lit(copies is None)) & (lost > max_share * F.octet_length(text_col))
+    return marked.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(F.col("_text"))).select(*names)

@@ -52,6 +52,26 @@ def test_stages(spark, tmp_path):
     assert sum(r.length for r in docs.collect()) > 0
 
 
+def test_pages_of_mostly_boilerplate(spark, tmp_path):
+    """Repeated lines go from a page whatever their share of it; only copies of a
+    whole document wait, and those go with the next stage."""
+    rng = random.Random(8)
+    own = lambda: "".join(rng.choice("abcdefghij ") for _ in range(100))
+    menu = [f"menu entry {i} of the site: {'abcdefgh'[i] * 9}" for i in range(8)]
+    texts = ["\n".join([*menu, own()]) for _ in range(6)]
+    texts[4] = texts[4].replace("menu entry 3", "menu entri 3")
+    texts += [texts[1], texts[1], texts[0]]
+    rows = [(i, t, "en", "s", len(t), "x", 1) for i, t in enumerate(texts)] + [(None, texts[3], "en", "s", 1, "x", 1)]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    lined = written(spark, pipeline.lines(spark, docs, "unused"), tmp_path / "lines")
+    got = {r.doc_id: r.text for r in lined.collect()}
+    assert got[None] == texts[3]  # a row without an id comes first
+    assert [got[i] for i in range(6)] == [t.split("\n")[-1] if i != 3 else "" for i, t in enumerate(texts[:6])]
+    assert [got[i] for i in (6, 7, 8)] == texts[6:]
+    left = written(spark, pipeline.near_copies(spark, lined, "unused"), tmp_path / "near").collect()
+    assert sorted((r.doc_id for r in left), key=str) == [0, 1, 2, 3, 4, 5, None]
+
+
 def test_run_on_a_table(spark):
     out = pipeline.run(spark, "/root/testdata/sf0.001")
     documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
