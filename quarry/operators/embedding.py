@@ -62,8 +62,11 @@ def embed(
     While the parameters stay under a checked size they are handed to the
     executors and each sequence is embedded where it lies: no shuffle, no
     row per token. Beyond it (one vocabulary per repository, say) tokens meet
-    their vectors in joins.
+    their vectors in joins. Both give the same rows: sequences of a scope that
+    the model does not have at all are left out; a scope that has only some of
+    tokens, gate and norms, or ids longer than the scope's norms, are errors.
     """
+    check_scopes(model)
     tokens = materialise(token_gates(model), "token-gates")
     size = tokens.agg(
         F.count("*").alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("d")
@@ -73,6 +76,15 @@ def embed(
     return embed_by_join(sequences, keys, tokens, model.norms, size["d"], name, ids)
 
 
+def check_scopes(model: Model) -> None:
+    """Raises ``ValueError`` for scopes that are not in every table of the model."""
+    parts = [df.select("scope", F.lit(name).alias("part")) for name, df in model._asdict().items()]
+    held = parts[0].union(parts[1]).union(parts[2]).groupBy("scope").agg(F.collect_set("part").alias("parts"))
+    found = held.where(F.size("parts") < len(parts)).orderBy("scope").limit(5).collect()
+    if found:
+        raise ValueError(f"the model's scopes are incomplete: { {r.scope: sorted(r.parts) for r in found} }")
+
+
 def embed_by_join(
     sequences: DataFrame,
     keys: list[str],
@@ -83,6 +95,13 @@ def embed_by_join(
     ids: str = "ids",
 ) -> DataFrame:
     """Embedding as joins and a weighted vector sum."""
+    lengths = norms.groupBy("scope").agg(F.count("*").alias("_length"))
+    n_ids = F.coalesce(F.size(ids), F.lit(0))
+    fault = F.concat_ws(" ", F.lit("more ids than norms in scope"), "scope")
+    # The inner join leaves out sequences of scopes that the model does not have.
+    sequences = sequences.join(lengths, "scope").withColumn(
+        ids, F.when(n_ids <= F.col("_length"), F.col(ids)).otherwise(F.raise_error(fault))
+    )
     rows = (
         sequences.select(*keys, "scope", F.posexplode(ids).alias("position", "id"))
         .join(tokens.withColumn("vec", array_to_vector("vec")), ["scope", "id"])
@@ -101,7 +120,6 @@ def embed_by_join(
     zero = F.array_repeat(F.lit(0.0), width)
     return (
         sequences.select(*keys, "scope")
-        .join(norms.select("scope").distinct(), "scope", "left_semi")
         .join(summed, [*keys, "scope"], "left")
         .select(*keys, "scope", F.coalesce(mean, zero).alias(name))
     )
@@ -137,6 +155,8 @@ def mean_vectors(ids: np.ndarray, part: dict) -> np.ndarray:
     inside = ids < len(part["vec"])
     safe = np.where(inside, ids, 0)
     length = ids.shape[1]
+    if length > len(part["slope"]):
+        raise ValueError(f"{length} ids, but norms for {len(part['slope'])} positions")
     score = part["gate"][safe] * part["slope"][:length] + part["shift"][:length]
     weight = 1.0 / (1.0 + np.exp(-score))
     weight *= (ids != 0) & inside & part["known"][safe]

@@ -78,6 +78,18 @@ def test_large_parameter_sets_take_the_join(spark, model, sequences, monkeypatch
     assert "MapInArrow" not in plan
 
 
+@pytest.mark.parametrize("numbers", [10, 32_000_000])
+def test_incomplete_scopes_and_long_ids_are_errors_on_both_routes(spark, model, sequences, monkeypatch, numbers):
+    monkeypatch.setattr(E, "BROADCAST_NUMBERS", numbers)
+    for part in ("tokens", "gate", "norms"):
+        lacking = model._replace(**{part: getattr(model, part).filter("scope = 'a'")})
+        with pytest.raises(ValueError, match="incomplete.*'b'"):
+            E.embed(sequences, ["k"], lacking)
+    long = spark.createDataFrame([(1, "a", [1] * 6)], "k long, scope string, ids array<int>")
+    with pytest.raises(Exception, match="norms"):
+        E.embed(long, ["k"], model).collect()
+
+
 def test_transfer_and_warm_start(spark, model):
     merged = spark.createDataFrame(
         [("a", "word", "x", 0, 1, 3), ("a", "word", "y", 1, 1, None)],
