@@ -66,13 +66,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out lines that stand, equal or within two edits, at an earlier place,
-    whatever their share of the text. Only texts of which more than half would
+    """Takes out lines that stand at an earlier place, whatever their share of the
+    text: equal ones unless they are blank, within two edits from 24 bytes. Only texts of which more than half would
     go and that equal the text of an earlier document stay as they are for the
     next stage, which takes them. No row goes."""
     copies = materialise(line_dedup.earlier_copies(docs), "copies")
     _copies[:] = [(copies, WRITTEN.pop())]
-    return _recounted(line_dedup.drop_repeats(docs, edits=2, min_bytes=24, max_share=0.5, copies=copies))
+    return _recounted(
+        line_dedup.drop_repeats(docs, edits=2, min_bytes=24, max_share=0.5, copies=copies, equal_bytes=1)
+    )
 
 
 @_stage

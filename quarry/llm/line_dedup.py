@@ -112,15 +112,26 @@ def counts_apart(a: Column, b: Column) -> Column:
     return apart
 
 
-def _distinct_lines(df: DataFrame, id_col: str, text_col: str, min_bytes: int) -> DataFrame:
-    """``id, line, counts, first``: distinct lines that count, and where each stands first."""
+def _counts(line: Column, min_bytes: int, equal_bytes: int | None) -> Column:
+    """Whether a line can go at all: it is long enough, and not blank where
+    ``equal_bytes`` lets shorter lines in."""
+    if equal_bytes is None:
+        return F.octet_length(line) >= min_bytes
+    n = F.octet_length(line)
+    return (n >= min_bytes) | ((n >= equal_bytes) & line.rlike(r"\S"))
+
+
+def _distinct_lines(df: DataFrame, id_col: str, text_col: str, min_bytes: int, equal_bytes: int | None) -> DataFrame:
+    """``id, line, counts, first``: distinct lines that count, and where each stands
+    first. Lines that only equal ones can take have no ``counts``."""
     lines = df.select(
         F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("h"),
         F.posexplode(F.split(text_col, "\n")).alias("number", "text"),
-    ).where(F.octet_length("text") >= min_bytes)
+    ).where(_counts(F.col("text"), min_bytes, equal_bytes))
     first = F.min(F.struct("doc", "h", "number")).alias("first")
     distinct = lines.groupBy(F.col("text").cast("binary").alias("line")).agg(first)
-    return distinct.withColumns({"id": F.monotonically_increasing_id(), "counts": letter_counts(F.col("line"))})
+    counts = F.when(F.octet_length("line") >= min_bytes, letter_counts(F.col("line")))
+    return distinct.withColumns({"id": F.monotonically_increasing_id(), "counts": counts})
 
 
 def near_lines(lines: DataFrame, edits: int) -> DataFrame:
@@ -159,18 +170,21 @@ def mark_repeats(
     min_bytes: int = 24,
     id_col: str = "doc_id",
     text_col: str = "text",
+    equal_bytes: int | None = None,
 ) -> DataFrame:
     """``doc, h, kept``: for each document (id and hash of its text) the sorted
     numbers of the lines that stay, among those of at least ``min_bytes``.
+    With ``equal_bytes`` shorter lines of that many bytes that are not blank are
+    among them too; those go for an equal line only.
 
     A line goes if an equal line, or one within ``edits`` bytes, stands at an
     earlier place, in order of id and line number; documents without an id come
-    first. Shorter lines always stay. A null text has no lines; documents that
+    first. Shorter lines than these always stay. A null text has no lines; documents that
     are equal in id and text share their places, so the lines of one stay or go
     with those of the other.
     """
-    lines = materialise(_distinct_lines(df, id_col, text_col, min_bytes), "lines")
-    links = near_lines(lines, edits)
+    lines = materialise(_distinct_lines(df, id_col, text_col, min_bytes, equal_bytes), "lines")
+    links = near_lines(lines.where("counts is not null"), edits)
     place = lines.select("id", "first")
     both = links.join(place.toDF("a", "first_a"), "a").join(place.toDF("b", "first_b"), "b")
     # Of a pair the later one goes.
@@ -223,16 +237,17 @@ def drop_repeats(
     id_col: str = "doc_id",
     text_col: str = "text",
     copies: DataFrame | None = None,
+    equal_bytes: int | None = None,
 ) -> DataFrame:
     """``df`` with the repeated lines taken out of ``text_col``; other columns and
-    the number of rows stay.
+    the number of rows stay. ``equal_bytes`` as for :func:`mark_repeats`.
 
     Where lines that go hold more than ``max_share`` of a text's bytes, the text
     stays whole, for document dedup to judge; where ``copies`` is given, the
     result of :func:`earlier_copies`, only if it is one of these.
     """
     names = df.columns
-    marks = mark_repeats(df, edits, min_bytes, id_col, text_col).withColumn("whole", F.lit(copies is None))
+    marks = mark_repeats(df, edits, min_bytes, id_col, text_col, equal_bytes).withColumn("whole", F.lit(copies is None))
     if copies is not None:
         # No line of a copy stays, so none of them has a row yet.
         nothing = F.lit(None).cast(marks.schema["kept"].dataType)
@@ -246,7 +261,7 @@ def drop_repeats(
         lambda g: F.concat(F.array_repeat(F.lit(False), g), F.array(F.lit(True))),
     ))
     marked = marked.withColumn("_flags", flags).withColumn("_lines", F.split(text_col, "\n"))
-    left = F.filter("_lines", lambda x, i: (F.octet_length(x) < min_bytes) | F.coalesce(F.get("_flags", i), F.lit(False)))
+    left = F.filter("_lines", lambda x, i: ~_counts(x, min_bytes, equal_bytes) | F.coalesce(F.get("_flags", i), F.lit(False)))
     text = F.array_join(left, "\n")
     lost = F.octet_length(text_col) - F.octet_length("_text")
     marked = marked.withColumn("_text", text)

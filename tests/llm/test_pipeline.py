@@ -72,6 +72,13 @@ def test_pages_of_mostly_boilerplate(spark, tmp_path):
     assert sorted((r.doc_id for r in left), key=str) == [0, 1, 2, 3, 4, 5, None]
 
 
+def test_short_repeated_lines_go(spark):
+    texts = ["Share on Facebook\n\nfirst of all words\n \nz\n}", "second one here\n\nShare on Facebook\n \nz", "Share on Facebooks\n\nfirst of all words"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), "x", 1) for i, t in enumerate(texts)], COLUMNS)
+    got = {r.doc_id: r.text for r in pipeline.lines(spark, docs, "unused").collect()}
+    assert got == {0: texts[0], 1: "second one here\n\n ", 2: "Share on Facebooks\n"}
+
+
 def test_run_on_a_table(spark):
     out = pipeline.run(spark, "/root/testdata/sf0.001")
     documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
