@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import byte_bpe, embedding_dedup, language_id, line_dedup, packing, sharding, simhash, suffix_dedup, token_counts as counting, topk
+from quarry.llm import byte_bpe, embedding_dedup, language_id, line_dedup, packing, sharding, simhash, substring_dedup, suffix_dedup, token_counts as counting, topk
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -93,6 +93,11 @@ def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(_table(spark, folder, "documents"), window=20)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
@@ -104,6 +109,7 @@ QUERIES = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_substring_dedup": op11_substring_dedup,
 }
 
 SQL: dict[str, str] = {
@@ -183,4 +189,17 @@ least_ids AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
 degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
 FROM embeddings JOIN least_ids l ON l.a = vec_id LEFT JOIN degree d ON d.a = vec_id""",
+    "op11_substring_dedup": r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM docs),
+windows AS (SELECT doc_id, p, array_to_string(w[p:p + 19], ' ') AS s FROM places WHERE p + 19 <= len(w)),
+firsts AS (SELECT s, min((doc_id, p)) AS first FROM windows GROUP BY s),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS p FROM windows JOIN firsts USING (s) WHERE (doc_id, p) > first),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(w[p], ' ' ORDER BY p) AS text
+  FROM places ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)""",
 }
