@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import byte_bpe, embedding_dedup, language_id, line_dedup, packing, sharding, simhash, substring_dedup, suffix_dedup, token_counts as counting, topk
+from quarry.llm import byte_bpe, collocations, embedding_dedup, language_id, line_dedup, packing, sharding, simhash, substring_dedup, suffix_dedup, token_counts as counting, topk
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -98,6 +98,10 @@ def op11_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(_table(spark, folder, "documents"), max_words=4, min_count=30, top=2000)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
@@ -110,6 +114,7 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_substring_dedup": op11_substring_dedup,
+    "op12_phrase_collocations": op12_phrase_collocations,
 }
 
 SQL: dict[str, str] = {
@@ -202,4 +207,34 @@ kept AS (
 SELECT doc_id, len(w) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
   sha256(coalesce(text, '')) AS kept_sha256
 FROM docs LEFT JOIN kept USING (doc_id)""",
+    "op12_phrase_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+split_pieces AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS p FROM split_pieces),
+grams AS (
+  SELECT lang, k, w[p:p + k - 1] AS g, count(*) AS f
+  FROM places, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE p + k - 1 <= len(w) GROUP BY ALL),
+counted AS (SELECT * FROM grams WHERE f >= 30),
+cuts AS (
+  SELECT c.lang, c.k, c.g, c.f AS a, h.f AS l, t.f AS r, h.k AS first_words,
+    CAST(2000000 AS HUGEINT) * c.f // (CAST(h.f AS HUGEINT) + t.f) AS score
+  FROM counted c JOIN counted h ON h.lang = c.lang AND h.k < c.k AND h.g = c.g[1:h.k]
+  JOIN counted t ON t.lang = c.lang AND t.k = c.k - h.k AND t.g = c.g[h.k + 1:c.k]),
+lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, first_words) = 1),
+inside AS (
+  SELECT DISTINCT s.lang, s.g FROM counted s JOIN (
+    SELECT lang, f, k, g, unnest(range(1, k + 1)) AS x FROM counted WHERE k > 2) b
+  ON b.lang = s.lang AND s.k >= 2 AND s.k < b.k AND x + s.k - 1 <= b.k AND b.g[x:x + s.k - 1] = s.g
+  WHERE 100 * b.f >= 80 * s.f),
+ranked AS (
+  SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, CAST(score AS BIGINT) AS score,
+    row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank
+  FROM lowest ANTI JOIN inside USING (lang, g))
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked
+JOIN (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM split_pieces GROUP BY lang) USING (lang)
+WHERE rank <= 2000""",
 }
