@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import byte_bpe, collocations, embedding_dedup, language_id, line_dedup, packing, sharding, simhash, substring_dedup, suffix_dedup, token_counts as counting, topk
+from quarry.llm import byte_bpe, collocations, embedding_dedup, language_id, line_dedup, packing, ranked_search, sharding, simhash, substring_dedup, suffix_dedup, token_counts as counting, topk
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -102,6 +102,10 @@ def op12_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(_table(spark, folder, "documents"), max_words=4, min_count=30, top=2000)
 
 
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), k=10)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
@@ -115,6 +119,7 @@ QUERIES = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_substring_dedup": op11_substring_dedup,
     "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 SQL: dict[str, str] = {
@@ -237,4 +242,27 @@ ranked AS (
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked
 JOIN (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM split_pieces GROUP BY lang) USING (lang)
 WHERE rank <= 2000""",
+    "op13_ranked_search": r"""
+WITH own AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+asked AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+wanted AS (SELECT item_id, term, count(*) AS times FROM asked GROUP BY ALL),
+totals AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM own WHERE len(w) > 0),
+sized AS (
+  SELECT doc_id, w, CAST(100 - 75 + (75 * len(w) * n_docs) // n_terms AS BIGINT) AS m FROM own, totals WHERE len(w) > 0),
+spread AS (SELECT doc_id, m, unnest(w) AS term FROM sized),
+postings AS (
+  SELECT doc_id, m, term, count(*) AS tf FROM spread WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight
+  FROM postings, totals GROUP BY term),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM wanted JOIN postings USING (term) JOIN weights USING (term) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 10""",
 }
