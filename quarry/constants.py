@@ -19,6 +19,8 @@ MIN_SAMPLES_PER_LANGUAGE = 800
 WEB_RESULTS = 20
 CLI_RESULTS = 30
 EVALUATION_RESULTS = 150
+TREES = 200
+REPOSITORY_TREES = 600
 EVALUATION_BATCH = 1000
 REPOSITORY_EVALUATION_BATCH = 50
 PATIENCE = 5

@@ -154,12 +154,6 @@ def knn_evaluation(spark, folder):
     return _hits(found)
 
 
-def knn_index(spark, folder):
-    """Approximate: only the cells nearest to each query are read."""
-    index = N.VectorIndex.build(vector_items(spark, folder), n_cells=8)
-    return _hits(index.search(label_means(spark, folder), C.WEB_RESULTS, probes=3))
-
-
 def knn_index_all_cells(spark, folder):
     """Probing every cell is exact."""
     index = N.VectorIndex.build(vector_items(spark, folder), n_cells=8)
@@ -298,7 +292,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         encode_embeddings, encode_embeddings_join, encode_query, encode_code, transfer_embeddings,
-        knn_exact, knn_evaluation, knn_index, knn_index_all_cells, similar_docs, cosine_pairs,
+        knn_exact, knn_evaluation, knn_index_all_cells, similar_docs, cosine_pairs,
         match_rating, search_text, search_code, search_similar, result_cache,
     ]
 }
