@@ -11,11 +11,12 @@ from quarry.functions import text as T
 from quarry.operators import corpus
 from quarry.operators.embedding import Model, embed, initial_model, warm_start
 from quarry.operators.encoding import encode, valid_sequences
-from quarry.operators.neighbours import VectorIndex
+from quarry.operators.forest import Forest
 from quarry.operators.training import fit, scope_name
 from quarry.operators.vocabulary import fit_vocabulary, merge_vocabularies, token_counts
 from quarry.session import materialise
-from quarry.sources.catalogue import replace_documents, save_model, save_table, stored_documents
+from quarry.sources.catalogue import stored_documents
+from quarry.sources.publication import REPOSITORY, Snapshot, mark, publish
 
 
 def prepare_corpora(documents: DataFrame, keep: list[str]) -> DataFrame:
@@ -109,6 +110,28 @@ def for_owners(base: DataFrame, scopes: DataFrame) -> DataFrame:
     return base.join(named, "scope").drop("scope").withColumnRenamed("owner_scope", "scope")
 
 
+#: Published tables, and what they are laid out by besides the repository.
+PUBLISHED = {
+    "code_document": [], "vocabulary": [], "tokens": [], "gate": [], "norms": [],
+    "index_vectors": ["bucket"], "index_nodes": ["bucket"], "index_groups": [],
+}
+
+
+def with_repository(df: DataFrame, named: str) -> DataFrame:
+    """``organization`` and ``name`` from a column that begins with them."""
+    parts = F.split(named, "/")
+    return df.withColumns({"organization": parts[0], "name": parts[1]})
+
+
+def published_model(snapshot: Snapshot) -> Model:
+    return Model(*[snapshot.table(part).drop(*REPOSITORY) for part in Model._fields])
+
+
+def published_index(snapshot: Snapshot) -> Forest:
+    tables = [snapshot.table(f"index_{part}").drop(*REPOSITORY) for part in ("vectors", "nodes", "groups")]
+    return Forest(*tables)
+
+
 def update_repositories(
     files: DataFrame,
     extractor: Callable[[DataFrame], DataFrame],
@@ -118,7 +141,8 @@ def update_repositories(
     minimum: int = C.MIN_SAMPLES_PER_LANGUAGE,
     size: int = C.VOCABULARY_SIZE,
     width: int = C.EMBEDDING_SIZE,
-    n_cells: int = 64,
+    n_trees: int = C.REPOSITORY_TREES,
+    retry: bool = False,
     **training,
 ) -> DataFrame:
     """Refresh all given repositories, every stage one job for all of them.
@@ -126,25 +150,60 @@ def update_repositories(
     ``files`` has organization, name, commit_hash, path and text. Extract,
     gate by sample count, number, split, learn each repository's vocabularies
     and merge them into the base, warm start, fit each repository's encoders,
-    embed, index, publish. A repository that fails the gate gets the error
-    status and is left as it was; the others go on. Returns each repository's
-    status.
+    embed, index, publish. All are marked as in progress first. Documents,
+    vocabulary, model and index of the good ones appear together in one
+    version; a repository that fails the gate gets the error status and keeps
+    what it had, and repositories that are not in ``files`` are not touched.
+    Those in error from before are left out, unless ``retry`` is set. If the
+    run itself fails, all of its repositories get the error status and keep
+    what they had. Returns each repository's status.
     """
-    repository = ["organization", "name"]
-    owner = F.concat_ws("/", *repository)
+    spark = files.sparkSession
+    failed = Snapshot.current(spark, target).manifest.where(F.col("update_status") == C.UPDATE_ERROR)
+    if not retry:
+        files = files.join(failed.select(*REPOSITORY), REPOSITORY, "left_anti")
+    given = materialise(files.select(*REPOSITORY, "commit_hash").groupBy(*REPOSITORY).agg(F.max("commit_hash").alias("commit_hash")), "given")
+    mark(spark, target, given, C.UPDATE_IN_PROGRESS)
+    try:
+        status, tables = _refreshed(
+            files, given, extractor, base_vocabulary, base_model, minimum, size, width, n_trees, training
+        )
+        publish(spark, target, tables, status, PUBLISHED)
+    except Exception:
+        mark(spark, target, given, C.UPDATE_ERROR)
+        raise
+    return status
+
+
+def _refreshed(
+    files: DataFrame, given: DataFrame, extractor: Callable, base_vocabulary: DataFrame | None,
+    base_model: Model | None, minimum: int, size: int, width: int, n_trees: int, training: dict,
+) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Status of the repositories and the tables to publish."""
+    owner = F.concat_ws("/", *REPOSITORY)
     documents = materialise(
-        corpus.extract(files, extractor, [*repository, "commit_hash"]), "extracted"
+        corpus.extract(files, extractor, [*REPOSITORY, "commit_hash"]), "extracted"
+    )
+    gate = corpus.sample_gate(documents, REPOSITORY, minimum)
+    # A repository without any document fails too.
+    status = materialise(
+        given.join(gate, REPOSITORY, "left").withColumns({
+            "fewest": F.coalesce("fewest", F.lit(0)),
+            "update_status": F.coalesce("update_status", F.lit(C.UPDATE_ERROR)),
+        }),
+        "status",
     )
-    status = materialise(corpus.sample_gate(documents, repository, minimum), "status")
+    # Several definitions may stand on one line; their content tells them apart.
+    code_hash = F.sha1("code")
     accepted = documents.join(
-        status.filter(F.col("update_status") == C.UPDATE_FINISHED), repository, "left_semi"
-    ).withColumn(
+        status.filter(F.col("update_status") == C.UPDATE_FINISHED), REPOSITORY, "left_semi"
+    ).withColumn("code_hash", code_hash).withColumn(
         "doc_key",
-        F.sha1(F.concat_ws("\n", *repository, "language", "path", F.col("start_line").cast("string"))),
+        F.sha1(F.concat_ws("\n", *REPOSITORY, "language", "path", F.col("start_line").cast("string"), "code_hash")),
     )
     numbered = materialise(
         corpus.with_row_index(
-            accepted, [*repository, "language"], ["path", "start_line"], ["doc_key"]
+            accepted, [*REPOSITORY, "language"], ["path", "start_line", "code_hash"], ["doc_key"]
         ).withColumn("owner", owner),
         "numbered",
     )
@@ -169,6 +228,7 @@ def update_repositories(
         base = Model(*[for_owners(part, scopes) for part in base_model])
         model = warm_start(base, merged, width)
     else:
+        vocabulary = materialise(vocabulary, "vocabulary")
         model = initial_model(vocabulary, width)
     sequences = materialise(
         prepare_sequences(preprocessed, "row_id", vocabulary, owner=F.col("owner")), "sequences"
@@ -190,8 +250,12 @@ def update_repositories(
         ["row_id"], model, ids="code_ids",
     ).select(F.substring_index("row_id", ":", 1).alias("doc_key"), "embedding")
     items = numbered.select("doc_key", key.alias("language"), "row_index").join(embedded, "doc_key")
-    VectorIndex.build(items.drop("doc_key"), n_cells, f"{target}/index")
-    save_table(vocabulary, f"{target}/vocabulary")
-    save_model(model, f"{target}/model")
-    replace_documents(stored_documents(numbered), f"{target}/code_document")
-    return status
+    index = Forest.grow(items.drop("doc_key"), n_trees=n_trees)
+    tables = {"code_document": stored_documents(numbered), "vocabulary": with_repository(vocabulary, "scope")}
+    tables |= {part: with_repository(df, "scope") for part, df in model._asdict().items()}
+    tables |= {
+        "index_vectors": with_repository(index.vectors, "language"),
+        "index_nodes": with_repository(index.nodes, "part"),
+        "index_groups": with_repository(index.groups, "language"),
+    }
+    return status, tables

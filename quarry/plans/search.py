@@ -8,8 +8,12 @@ from quarry import constants as C
 from quarry.functions import text as T, vectors as V
 from quarry.operators.embedding import Model, embed
 from quarry.operators.encoding import encode
+from quarry.operators.forest import Forest
 from quarry.operators.neighbours import VectorIndex, nearest, nearest_to_stored
+from quarry.plans.prepare import published_index, published_model
 from quarry.session import materialise
+from quarry.sources.catalogue import log_queries, repository_languages
+from quarry.sources.publication import REPOSITORY, Snapshot
 
 
 def query_problem(query: Column, longest: int = C.MAX_QUERY_CHARS) -> Column:
@@ -108,32 +112,83 @@ def _plain_language(results: DataFrame) -> DataFrame:
     return results.withColumn("language", F.substring_index("language", "/", -1))
 
 
+def checked_queries(queries: DataFrame, repository_languages: DataFrame, by: list[str]) -> DataFrame:
+    """All requests with ``searched``, the languages to search, and ``problem``,
+    null for those that are searched."""
+    known = repository_languages.select(*by, "languages")
+    named = queries.join(known, by, "left").withColumn("_known", F.col("languages").isNotNull())
+    named = named.withColumn("languages", F.coalesce("languages", F.array().cast("array<string>")))
+    asked = requested_languages(named.drop("languages"), named.select("query_id", "languages"), ["query_id"])
+    return asked.withColumn("problem", F.coalesce(
+        query_problem(F.col("query")), F.when(~F.col("_known"), "unknown repository"), "problem"
+    )).drop("_known")
+
+
+def checked_snippets(snippets: DataFrame, repository_languages: DataFrame, by: list[str]) -> DataFrame:
+    """All requests (query_id, language, code) with ``problem``, null for good ones."""
+    has = F.coalesce(F.array_contains("languages", F.col("language")), F.lit(False))
+    return snippets.join(repository_languages.select(*by, "languages"), by, "left").withColumn(
+        "problem",
+        F.coalesce(query_problem(F.col("code"), C.MAX_CODE_CHARS),
+                   F.when(F.col("languages").isNull(), "unknown repository"), code_problem(F.col("code"), has)),
+    ).drop("languages")
+
+
+def checked_hashes(requests: DataFrame, documents: DataFrame, by: list[str]) -> DataFrame:
+    """All requests (query_id, code_hash) with ``problem``, null for stored hashes."""
+    held = documents.select(*by, "code_hash", F.lit(True).alias("_held")).distinct()
+    return requests.join(held, [*by, "code_hash"], "left").withColumn(
+        "problem", F.when(F.col("_held").isNull(), "unknown document")
+    ).drop("_held")
+
+
+def _asked_scopes(model: Model, vocabulary: DataFrame, asked: DataFrame) -> tuple[Model, DataFrame]:
+    """Model and vocabulary of the scopes that are asked for."""
+    scopes = materialise(asked.select("scope").distinct(), "scopes")
+    return Model(*[part.join(scopes, "scope", "left_semi") for part in model]), vocabulary.join(scopes, "scope", "left_semi")
+
+
+def _neighbours(
+    items: DataFrame | None, by: list[str], vectors: DataFrame, k: int, index: Forest | None, search_k: int | None
+) -> DataFrame:
+    """Exact over ``items``, or by an index whose languages name the repository."""
+    if index is not None:
+        return index.search(vectors, k, search_k)
+    return nearest(grouped(items, by), vectors, k)
+
+
 def text_search(
     queries: DataFrame,
     repository_languages: DataFrame,
     by: list[str],
-    items: DataFrame,
+    items: DataFrame | None,
     documents: DataFrame,
     vocabulary: DataFrame,
     model: Model,
     k: int = C.WEB_RESULTS,
+    own_models: bool = False,
+    index: Forest | None = None,
+    search_k: int | None = None,
+    log: str | None = None,
 ) -> DataFrame:
     """Text to code for every accepted query, in its own repository.
 
-    ``by`` names the repository columns shared by all four tables.
+    ``by`` names the repository columns shared by all tables. Scopes are those
+    of one model for all, or with ``own_models`` each repository's own. Requests
+    that :func:`checked_queries` finds a problem with have no rows here; every
+    well-formed query goes to the ``log``.
     """
-    good = queries.filter(query_problem(F.col("query")).isNull())
-    asked = materialise(
-        requested_languages(good, repository_languages, by).filter(F.col("problem").isNull()),
-        "asked",
-    )
+    checked = materialise(checked_queries(queries, repository_languages, by), "checked")
+    if log is not None:
+        log_queries(checked.where(query_problem(F.col("query")).isNull()), log)
+    scope = F.concat_ws("/", *by, F.lit("query")) if own_models else F.lit("query")
+    asked = materialise(checked.where("problem is null").withColumn("scope", scope), "asked")
     keys = F.transform("searched", lambda name: F.concat_ws("/", *by, name))
-    vectors = embed_queries(asked.select("query_id", "query"), vocabulary, model)
-    hits = nearest(
-        grouped(items, by),
-        vectors.join(asked.select("query_id", keys.alias("languages")), "query_id"),
-        k,
-    )
+    if own_models:
+        model, vocabulary = _asked_scopes(model, vocabulary, asked)
+    vectors = embed_queries(asked.select("query_id", "scope", "query"), vocabulary, model)
+    wanted = vectors.join(asked.select("query_id", keys.alias("languages")), "query_id")
+    hits = _neighbours(items, by, wanted, k, index, search_k)
     return _plain_language(
         with_documents(hits, grouped(documents, by), ["language", "row_index"])
     )
@@ -143,48 +198,91 @@ def code_search(
     snippets: DataFrame,
     repository_languages: DataFrame,
     by: list[str],
-    items: DataFrame,
+    items: DataFrame | None,
     documents: DataFrame,
     vocabulary: DataFrame,
     model: Model,
     k: int = C.WEB_RESULTS,
+    own_models: bool = False,
+    index: Forest | None = None,
+    search_k: int | None = None,
 ) -> DataFrame:
-    """Code to code within the snippet's own repository and language."""
-    known = F.array_contains("languages", F.col("language"))
-    good = materialise(
-        snippets.join(repository_languages, by).filter(
-            code_problem(F.col("code"), known).isNull()
-        ),
-        "snippets",
-    )
-    vectors = embed_code(good.select("query_id", "language", "code"), ["query_id"], vocabulary, model)
-    keys = F.array(F.concat_ws("/", *by, "language"))
-    hits = nearest(
-        grouped(items, by),
-        vectors.drop("scope").join(good.select("query_id", keys.alias("languages")), "query_id"),
-        k,
-    )
+    """Code to code within the snippet's own repository and language; requests
+    that :func:`checked_snippets` finds a problem with have no rows here."""
+    checked = checked_snippets(snippets, repository_languages, by)
+    key = F.concat_ws("/", *by, "language")
+    good = materialise(checked.where("problem is null").withColumn("scope", key if own_models else F.col("language")), "snippets")
+    if own_models:
+        model, vocabulary = _asked_scopes(model, vocabulary, good)
+    vectors = embed_code(good.select("query_id", "scope", "language", "code"), ["query_id"], vocabulary, model)
+    wanted = vectors.drop("scope").join(good.select("query_id", F.array(key).alias("languages")), "query_id")
+    hits = _neighbours(items, by, wanted, k, index, search_k)
     return _plain_language(
         with_documents(hits, grouped(documents, by), ["language", "row_index"])
     )
 
 
 def similar_documents(
-    requests: DataFrame, items: DataFrame, documents: DataFrame, k: int = C.WEB_RESULTS
+    requests: DataFrame,
+    items: DataFrame | None,
+    documents: DataFrame,
+    k: int = C.WEB_RESULTS,
+    by: list[str] | None = None,
+    index: Forest | None = None,
+    search_k: int | None = None,
 ) -> DataFrame:
-    """Documents like stored ones: requests are (query_id, code_hash).
+    """Documents like stored ones: requests are (query_id, code_hash) and the
+    repository columns ``by``; only that repository is looked at.
 
-    A hash stored more than once asks for each of its documents.
+    A hash stored more than once asks for each of its documents, so
+    ``query_id`` of the result names language and row of the document too.
     """
-    stored = requests.join(
-        documents.select("code_hash", "language", "row_index"), "code_hash"
+    by = by or []
+    whole = grouped(documents, by)
+    stored = requests.select("query_id", "code_hash", *by).join(
+        whole.select("code_hash", "language", "row_index", *by), ["code_hash", *by]
     ).select(
         F.concat_ws(":", F.col("query_id").cast("string"), "language", F.col("row_index").cast("string"))
         .alias("query_id"),
         "language",
         "row_index",
     )
-    return with_documents(nearest_to_stored(items, stored, k), documents, ["language", "row_index"])
+    if index is not None:
+        hits = index.search_stored(stored, k, search_k)
+    else:
+        hits = nearest_to_stored(grouped(items, by), stored, k)
+    return _plain_language(with_documents(hits, whole, ["language", "row_index"]))
+
+
+def published_languages(snapshot: Snapshot) -> DataFrame:
+    """The languages of every published repository."""
+    return repository_languages(snapshot.table("code_document").select(*REPOSITORY, "language").distinct())
+
+
+def published_text_search(snapshot: Snapshot, queries: DataFrame, k: int = C.WEB_RESULTS, **options) -> DataFrame:
+    """Text search over what is published: requests are (query_id, organization,
+    name, query); each repository's own model and index answer."""
+    documents, vocabulary = snapshot.table("code_document"), snapshot.table("vocabulary").drop(*REPOSITORY)
+    return text_search(
+        queries, published_languages(snapshot), REPOSITORY, None, documents, vocabulary, published_model(snapshot),
+        k, own_models=True, index=published_index(snapshot), **options,
+    )
+
+
+def published_code_search(snapshot: Snapshot, snippets: DataFrame, k: int = C.WEB_RESULTS, **options) -> DataFrame:
+    """Code search over what is published: (query_id, organization, name, language,
+    code)."""
+    documents, vocabulary = snapshot.table("code_document"), snapshot.table("vocabulary").drop(*REPOSITORY)
+    return code_search(
+        snippets, published_languages(snapshot), REPOSITORY, None, documents, vocabulary, published_model(snapshot),
+        k, own_models=True, index=published_index(snapshot), **options,
+    )
+
+
+def published_similar(snapshot: Snapshot, requests: DataFrame, k: int = C.WEB_RESULTS, **options) -> DataFrame:
+    """Documents like stored ones: (query_id, organization, name, code_hash)."""
+    documents = snapshot.table("code_document")
+    return similar_documents(requests, None, documents, k, REPOSITORY, published_index(snapshot), **options)
 
 
 def predict(

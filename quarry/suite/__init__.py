@@ -8,10 +8,10 @@ the query log, ``supplier`` repositories.
 """
 
 from quarry.suite import (
-    catalogue, corpus, evaluation, forest, scalars, search, sequences, sources, training, vocabulary,
+    catalogue, corpus, evaluation, forest, publication, scalars, search, sequences, sources, training, vocabulary,
 )
 
-MODULES = [scalars, corpus, vocabulary, sequences, search, forest, evaluation, training, catalogue, sources]
+MODULES = [scalars, corpus, vocabulary, sequences, search, forest, publication, evaluation, training, catalogue, sources]
 
 
 def all_queries() -> dict:

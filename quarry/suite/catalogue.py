@@ -75,14 +75,12 @@ def query_validation(spark, folder):
 
 
 def code_validation(spark, folder):
-    """Documents as code requests; a repository knows the languages of those
-    of its documents that carry a label."""
+    """All documents as code requests in one of five languages, of which their
+    repository has four at most."""
     docs = documents(spark, folder)
-    labelled = table(spark, folder, "labels").filter("quality = 1").select("doc_id")
-    known = docs.join(labelled, "doc_id", "left_semi").groupBy("repo").agg(
-        F.collect_set("language").alias("languages")
-    )
-    asked = docs.join(known, "repo", "left")
+    known = docs.groupBy("repo").agg(F.collect_set("language").alias("languages"))
+    names = F.array(*[F.lit(x) for x in ("python", "java", "go", "php", "ruby")])
+    asked = docs.withColumn("language", F.get(names, (F.col("doc_id") % 5).cast("int"))).join(known, "repo", "left")
     has = F.coalesce(F.array_contains("languages", F.col("language")), F.lit(False))
     return asked.select(
         "doc_id", F.coalesce(P.code_problem(F.col("text"), has), F.lit("ok")).alias("problem")
@@ -94,8 +92,7 @@ def doc_by_hash(spark, folder):
         F.lit("org").alias("organization"), F.col("repo").alias("name"), "language", "doc_id",
         F.sha1("text").alias("code_hash"),
     )
-    toxic = table(spark, folder, "labels").filter("toxic = 1").select("doc_id")
-    wanted = docs.join(toxic, "doc_id", "left_semi").select("organization", "name", "code_hash").distinct()
+    wanted = docs.select("organization", "name", "code_hash").distinct()
     return K.documents_by_hash(docs, wanted).select("name", "code_hash", "language", "doc_id")
 
 
@@ -179,15 +176,15 @@ SELECT coalesce({_problem('query', C.MAX_QUERY_CHARS)}, 'ok') AS problem, count(
   sum(length(query))::BIGINT AS chars FROM t GROUP BY 1""",
     "code_validation": f"""
 WITH {DOCS},
-known AS (SELECT DISTINCT repo, language FROM docs JOIN labels USING (doc_id) WHERE quality = 1)
+known AS (SELECT DISTINCT repo, language FROM docs),
+asked AS (SELECT doc_id, repo, text, ['python', 'java', 'go', 'php', 'ruby'][doc_id % 5 + 1] AS language FROM docs)
 SELECT doc_id, coalesce({_problem('text', C.MAX_CODE_CHARS)},
   CASE WHEN k.repo IS NULL THEN 'unknown language' END, 'ok') AS problem
-FROM docs d LEFT JOIN known k ON k.repo = d.repo AND k.language = d.language""",
+FROM asked d LEFT JOIN known k ON k.repo = d.repo AND k.language = d.language""",
     "doc_by_hash": f"""
 WITH {DOCS},
-h AS (SELECT doc_id, repo, language, sha1(text) AS code_hash FROM docs),
-w AS (SELECT DISTINCT repo, code_hash FROM h JOIN labels USING (doc_id) WHERE toxic = 1)
-SELECT h.repo AS name, h.code_hash, h.language, h.doc_id FROM h JOIN w ON w.repo = h.repo AND w.code_hash = h.code_hash""",
+h AS (SELECT doc_id, repo, language, sha1(text) AS code_hash FROM docs)
+SELECT repo AS name, code_hash, language, doc_id FROM h""",
     "language_intersect": f"""
 WITH {DOCS},
 l AS (SELECT repo, list(DISTINCT language ORDER BY language) AS languages FROM docs GROUP BY repo),

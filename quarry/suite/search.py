@@ -16,7 +16,7 @@ from quarry.plans import search as P
 from quarry.session import materialise, shared_folder
 from quarry.sources.catalogue import clear_cache, with_cache
 from quarry.suite.common import (
-    CODE_DOCS, TEXT_QUERIES, code_documents, documents, quote, rounded, sql_code_tokens,
+    CODE_DOCS, DOCS, TEXT_QUERIES, code_documents, documents, quote, rounded, sql_code_tokens,
     sql_normal_code, sql_strip, table, text_queries,
 )
 from quarry.suite.sequences import CODE_ENCODED, sql_encode, sql_walk
@@ -250,19 +250,37 @@ def search_code(spark, folder):
 
 
 def search_similar(spark, folder):
-    """Documents like those marked toxic, by their hash."""
+    """Documents like each stored one, by repository and hash."""
     stored, items, _, _ = _search_tables(spark, folder)
-    marked = table(spark, folder, "labels").filter("toxic = 1").select("doc_id")
-    requests = stored.join(marked, "doc_id").select("repo", "code_hash").distinct().select(
+    requests = stored.select("repo", "code_hash").distinct().select(
         F.concat_ws(":", "repo", "code_hash").alias("query_id"), "code_hash", "repo"
     )
-    by = ["repo"]
-    asked = P.grouped(stored, by)
-    mine = requests.join(
-        asked.select("repo", "code_hash", "language", "row_index"), ["repo", "code_hash"]
-    ).select(F.concat_ws(":", "query_id", "language", "row_index").alias("query_id"), "language", "row_index")
-    hits = N.nearest_to_stored(P.grouped(items, by), mine, C.WEB_RESULTS)
-    return _results(P.with_documents(hits, asked, ["language", "row_index"]))
+    return _results(P.similar_documents(requests, items, stored, by=["repo"]))
+
+
+def search_rejects(spark, folder):
+    """Why requests of all three searches are turned down: every document and
+    benchmark text as a query and as code, some of unknown repositories or
+    languages, and hashes of documents in the wrong repository."""
+    stored = stored_documents(spark, folder)
+    languages = stored.groupBy("repo").agg(F.array_sort(F.collect_set("language")).alias("languages"))
+    texts = table(spark, folder, "documents").select(F.concat(F.lit("d"), "doc_id").alias("query_id"), "doc_id", "text").union(
+        table(spark, folder, "benchmark").select(F.concat(F.lit("b"), "item_id"), "item_id", "text")
+    )
+    n = F.col("doc_id")
+    repo = F.concat(F.lit("src"), (n % 25).cast("string")).alias("repo")
+    tail = F.when(n % 3 == 0, " +language=Python,go").when(n % 3 == 1, " +language=ruby").otherwise("")
+    queries = texts.select("query_id", repo, F.concat(F.substring("text", 1, 300), tail).alias("query"))
+    names = F.array(*[F.lit(x) for x in ("python", "java", "go", "php", "ruby")])
+    snippets = texts.select("query_id", repo, F.get(names, (n % 5).cast("int")).alias("language"), F.col("text").alias("code"))
+    hashes = texts.select("query_id", repo, F.sha1("text").alias("code_hash"))
+    found = [
+        ("text", P.checked_queries(queries, languages, ["repo"])),
+        ("code", P.checked_snippets(snippets, languages, ["repo"])),
+        ("similar", P.checked_hashes(hashes, stored, ["repo"])),
+    ]
+    rows = [df.select(F.lit(kind).alias("kind"), "query_id", F.coalesce("problem", F.lit("ok")).alias("problem")) for kind, df in found]
+    return rows[0].union(rows[1]).union(rows[2])
 
 
 CACHE_SCHEMA = "cache_key string, query_id int, language int, row_index long, rank int, distance double"
@@ -293,7 +311,7 @@ QUERIES = {
     for f in [
         encode_embeddings, encode_embeddings_join, encode_query, encode_code, transfer_embeddings,
         knn_exact, knn_evaluation, knn_index_all_cells, similar_docs, cosine_pairs,
-        match_rating, search_text, search_code, search_similar, result_cache,
+        match_rating, search_text, search_code, search_similar, search_rejects, result_cache,
     ]
 }
 
@@ -481,19 +499,50 @@ best AS ({sql_top('pairs', C.WEB_RESULTS)})
 SELECT {_RESULT} FROM best""",
     "search_similar": f"""
 WITH RECURSIVE {SPACE}, {CODE_VECTORS}, {STORED},
-wanted AS (
-  SELECT DISTINCT s.repo, s.code_hash FROM stored s JOIN labels l USING (doc_id) WHERE l.toxic = 1),
 mine AS (
-  SELECT s.repo || ':' || s.code_hash || ':' || s.repo || '/' || s.language || ':' || s.row_index AS query_id,
-    s.doc_id, s.repo, s.language FROM stored s JOIN wanted w ON w.repo = s.repo AND w.code_hash = s.code_hash),
+  SELECT repo || ':' || code_hash || ':' || repo || '/' || language || ':' || row_index AS query_id,
+    doc_id, repo, language FROM stored),
 pairs AS (
-  SELECT m.query_id, s.repo || '/' || s.language AS language, s.row_index, s.url, s.code_hash, s.path,
+  SELECT m.query_id, s.language, s.row_index, s.url, s.code_hash, s.path,
     {sql_distance('q.vec', 'v.vec')} AS distance
   FROM mine m JOIN code_vec q ON q.doc_id = m.doc_id
   JOIN stored s ON s.repo = m.repo AND s.language = m.language AND s.doc_id <> m.doc_id
   JOIN code_vec v ON v.doc_id = s.doc_id),
 best AS ({sql_top('pairs', C.WEB_RESULTS)})
 SELECT {_RESULT} FROM best""",
+    "search_rejects": f"""
+WITH {DOCS}, {STORED},
+texts AS (
+  SELECT 'd' || doc_id AS query_id, doc_id AS n, text FROM documents
+  UNION ALL SELECT 'b' || item_id, item_id, text FROM benchmark),
+asked AS (SELECT *, 'src' || (n % 25) AS repo FROM texts),
+repos AS (SELECT DISTINCT repo FROM docs),
+spoken AS (SELECT DISTINCT repo, language FROM docs),
+queries AS (
+  SELECT *, left(text, 300) || CASE n % 3 WHEN 0 THEN ' +language=Python,go' WHEN 1 THEN ' +language=ruby' ELSE '' END AS query,
+    CASE n % 3 WHEN 0 THEN ['python', 'go'] WHEN 1 THEN ['ruby'] END AS named FROM asked)
+SELECT 'text' AS kind, query_id, CASE
+    WHEN text IS NULL OR length({sql_strip('query')}) = 0 THEN 'invalid or missing'
+    WHEN length(query) > {C.MAX_QUERY_CHARS} THEN 'too long'
+    WHEN repo NOT IN (SELECT repo FROM repos) THEN 'unknown repository'
+    WHEN named IS NOT NULL AND NOT EXISTS (
+      SELECT 1 FROM spoken s WHERE s.repo = q.repo AND list_contains(q.named, s.language))
+    THEN 'no valid language in the filter' ELSE 'ok' END AS problem
+FROM queries q
+UNION ALL
+SELECT 'code', query_id, CASE
+    WHEN text IS NULL OR length({sql_strip('text')}) = 0 THEN 'invalid or missing'
+    WHEN length(text) > {C.MAX_CODE_CHARS} THEN 'too long'
+    WHEN repo NOT IN (SELECT repo FROM repos) THEN 'unknown repository'
+    WHEN NOT EXISTS (SELECT 1 FROM spoken s WHERE s.repo = a.repo
+      AND s.language = ['python', 'java', 'go', 'php', 'ruby'][n % 5 + 1])
+    THEN 'unknown language' ELSE 'ok' END
+FROM asked a
+UNION ALL
+SELECT 'similar', query_id, CASE WHEN NOT EXISTS (
+    SELECT 1 FROM stored s WHERE s.repo = a.repo AND s.code_hash = sha1(a.text))
+  THEN 'unknown document' ELSE 'ok' END
+FROM asked a""",
     "result_cache": f"""
 SELECT sha1('query:org:labels:' || query_id) AS cache_key, * FROM ({_sql_knn(C.WEB_RESULTS)})""",
 }

@@ -41,7 +41,7 @@ def rows(table):
 
 def test_keys():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"knn_index", "fit_encoder"}
+    assert set(QUERIES) - set(SQL) == {"fit_encoder"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
