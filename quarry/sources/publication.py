@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -162,10 +163,15 @@ def publish(
     version = uuid.uuid4().hex
     status = materialise(status.select(*REPOSITORY, "update_status", "commit_hash"), "status")
     finished = status.where(F.col("update_status") == C.UPDATE_FINISHED)
-    for name, df in tables.items():
+
+    def write(name: str) -> None:
         by = [*REPOSITORY, *(layout or {}).get(name, [])]
-        kept = df.join(finished.select(*REPOSITORY), REPOSITORY, "left_semi")
+        kept = tables[name].join(finished.select(*REPOSITORY), REPOSITORY, "left_semi")
         kept.hint("rebalance", *by).write.partitionBy(*by).parquet(f"{target}/{name}/data_version={version}")
+
+    # The tables do not depend on each other; their jobs share the cluster.
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        list(pool.map(write, tables))
     done = F.col("update_status") == C.UPDATE_FINISHED
     changes = status.select(
         *REPOSITORY, "update_status", F.when(done, F.col("commit_hash")).alias("commit_hash"),

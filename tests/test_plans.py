@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from quarry import constants as C
 from quarry.functions import text as T
-from quarry.operators.neighbours import VectorIndex
+from quarry.operators.neighbours import nearest
 from quarry.plans import prepare as P, search as Q
-from quarry.sources import catalogue as K, files as S
+from quarry.sources import publication as B
 
 
 def line_functions(files):
@@ -31,19 +31,21 @@ def line(i):
     return f"def {verb}_{noun}_{i}(a): return {verb}(a, {i})  # {verb} the {noun} number {i}"
 
 
+def repository_files(spark, repos, commit="c0ffee"):
+    """``repos`` maps a name to the numbers of its functions."""
+    rows = []
+    for name, numbers in repos.items():
+        text = "\n".join(line(i) for i in numbers) + "\n" + line(numbers[0])
+        rows += [("org", name, commit, "pkg/code.py", text), ("org", name, commit, "pkg/code_test.py", line(999))]
+    return spark.createDataFrame(rows, "organization string, name string, commit_hash string, path string, text string")
+
+
+OPTIONS = {"minimum": 50, "size": 120, "width": 8, "n_trees": 4}
+
+
 @pytest.fixture(scope="module")
 def refreshed(spark, tmp_path_factory):
-    root = tmp_path_factory.mktemp("src")
-    for repo, n in (("big", 120), ("other", 90), ("tiny", 3)):
-        (root / "org" / repo / "pkg").mkdir(parents=True)
-        text = "\n".join(line(i) for i in range(n)) + "\n" + line(0)
-        (root / "org" / repo / "pkg" / "code.py").write_text(text)
-        (root / "org" / repo / "pkg" / "code_test.py").write_text(line(999))
-    parts = F.split("path", "/")
-    files = S.source_tree(spark, str(root)).select(
-        parts[0].alias("organization"), parts[1].alias("name"), F.lit("c0ffee").alias("commit_hash"),
-        F.array_join(F.slice(parts, 3, 99), "/").alias("path"), "text",
-    )
+    files = repository_files(spark, {"big": range(120), "other": range(90), "tiny": range(3)})
     base = spark.createDataFrame(
         [(s, k, t, i, 1) for s in ("python", "query") for k, t, i in
          [("word", C.PAD, 0), ("word", C.UNK, 1), ("word", "the", 2), ("bpe", C.SOW, 3), ("bpe", C.EOW, 4)]],
@@ -53,26 +55,31 @@ def refreshed(spark, tmp_path_factory):
 
     target = str(tmp_path_factory.mktemp("target"))
     status = P.update_repositories(
-        files, line_functions, target, base, initial_model(base, 8), minimum=50, size=120, width=8,
-        n_cells=2, max_epochs=1, evaluation_batch=5, batch_size=64,
+        files, line_functions, target, base, initial_model(base, 8), max_epochs=1, evaluation_batch=5,
+        batch_size=64, **OPTIONS,
     )
-    return status, target
+    return status, B.Snapshot.current(spark, target)
+
+
+def counts(snapshot, table="code_document"):
+    return {r.name: r["count"] for r in snapshot.table(table).groupBy("name").count().collect()}
 
 
 def test_gate_and_published_documents(spark, refreshed):
-    status, target = refreshed
+    status, snapshot = refreshed
     found = {r.name: r.update_status for r in status.collect()}
     assert found == {"big": C.UPDATE_FINISHED, "other": C.UPDATE_FINISHED, "tiny": C.UPDATE_ERROR}
-    stored = spark.read.parquet(f"{target}/code_document")
-    counts = {r.name: r["count"] for r in stored.groupBy("name").count().collect()}
-    assert counts == {"big": 120, "other": 90}  # the repeated function and the test file are left out
+    assert found == {r.name: r.update_status for r in snapshot.manifest.collect()}
+    assert {r.name: r.commit_hash for r in snapshot.manifest.collect()} == {"big": "c0ffee", "other": "c0ffee", "tiny": None}
+    stored = snapshot.table("code_document")
+    assert counts(snapshot) == {"big": 120, "other": 90}  # the repeated function and the test file are left out
     assert stored.filter("name = 'big'").select("row_index").distinct().count() == 120
     assert stored.filter("identifier = 'read_file_0'").first().url.endswith("pkg/code.py#L1-L1")
 
 
 def test_each_repository_has_its_own_vocabulary(spark, refreshed):
-    _, target = refreshed
-    vocabulary = spark.read.parquet(f"{target}/vocabulary")
+    _, snapshot = refreshed
+    vocabulary = snapshot.table("vocabulary")
     scopes = {r.scope for r in vocabulary.select("scope").distinct().collect()}
     assert scopes == {f"org/{n}/{s}" for n in ("big", "other") for s in ("python", "query")}
     ids = vocabulary.groupBy("scope").agg(F.max("id").alias("m"), F.count("*").alias("n")).collect()
@@ -80,22 +87,107 @@ def test_each_repository_has_its_own_vocabulary(spark, refreshed):
     assert {r.id for r in vocabulary.filter("token = 'the'").collect()} == {2}
 
 
-def test_search_the_published_index(spark, refreshed):
-    _, target = refreshed
-    index = VectorIndex.load(spark, f"{target}/index")
-    model = K.load_model(spark, f"{target}/model")
-    vocabulary = spark.read.parquet(f"{target}/vocabulary")
+def test_search_what_is_published(spark, refreshed, tmp_path):
+    """At full breadth the index gives what exact search over its vectors gives,
+    each repository by its own model."""
+    _, snapshot = refreshed
     queries = spark.createDataFrame(
-        [(1, "org/big/query", "sort the list"), (2, "org/other/query", "read file")],
-        "query_id long, scope string, query string",
+        [(1, "org", "big", "sort the list"), (2, "org", "other", "read file"), (3, "org", "gone", "read file"),
+         (4, "org", "big", " "), (5, "org", "big", "write +language=Python"), (6, "org", "big", "write +language=go")],
+        "query_id long, organization string, name string, query string",
+    )
+    log = str(tmp_path / "log")
+    found = Q.published_text_search(snapshot, queries, 7, search_k=10_000, log=log)
+    index, model = P.published_index(snapshot), P.published_model(snapshot)
+    vocabulary = snapshot.table("vocabulary").drop("organization", "name")
+    good = queries.where("query_id in (1, 2, 5)").withColumn("scope", F.concat_ws("/", "organization", "name", F.lit("query")))
+    vectors = Q.embed_queries(good, vocabulary, model).join(
+        good.select("query_id", F.array(F.regexp_replace("scope", "query$", "python")).alias("languages")), "query_id"
     )
-    vectors = Q.embed_queries(queries, vocabulary, model).join(
-        queries.select("query_id", F.array(F.regexp_replace("scope", "query$", "python")).alias("languages")),
-        "query_id",
+    exact = nearest(index.vectors, vectors, 7)
+    pick = lambda df: sorted((r.query_id, r.rank, r.row_index) for r in df.collect())
+    assert pick(found) == pick(exact) and len(pick(found)) == 21
+    assert {r.query for r in spark.read.parquet(log).collect()} == {r.query for r in queries.collect()} - {" "}
+    problems = {r.query_id: r.problem for r in Q.checked_queries(queries, Q.published_languages(snapshot), ["organization", "name"]).collect()}
+    assert problems == {1: None, 2: None, 3: "unknown repository", 4: "invalid or missing", 5: None, 6: "no valid language in the filter"}
+    snippets = queries.where("query_id < 4").select("query_id", "organization", "name", F.lit("python").alias("language"), F.col("query").alias("code"))
+    assert {r.query_id for r in Q.published_code_search(snapshot, snippets, 3).collect()} == {1, 2}
+
+
+def test_similar_stays_in_its_repository(spark, refreshed):
+    _, snapshot = refreshed
+    stored = snapshot.table("code_document").where("identifier = 'read_file_0'")
+    assert stored.count() == 2  # the same function in both
+    requests = stored.where("name = 'other'").select(F.lit(1).alias("query_id"), "organization", "name", "code_hash")
+    found = Q.published_similar(snapshot, requests, 5, search_k=10_000).collect()
+    assert len(found) == 5
+    urls = {r.url for r in snapshot.table("code_document").where("name = 'other'").collect()}
+    assert {r.url for r in found} <= urls and not {r.url for r in found} & {r.url for r in stored.collect()}
+
+
+def test_refreshing_one_keeps_the_others(spark, tmp_path):
+    target = str(tmp_path)
+    refresh = lambda repos, **args: P.update_repositories(
+        repository_files(spark, repos, args.pop("commit", "c")), line_functions, target, max_epochs=0, **OPTIONS, **args
     )
-    hits = index.search(vectors, C.CLI_RESULTS, probes=2).collect()
-    assert len(hits) == 2 * C.CLI_RESULTS
-    assert {(h.query_id, h.language) for h in hits} == {(1, "org/big/python"), (2, "org/other/python")}
+    refresh({"a": range(60), "b": range(70)}, commit="c1")
+    held = B.Snapshot.current(spark, target)
+    refresh({"b": range(80), "c": range(50)}, commit="c2")
+    after = B.Snapshot.current(spark, target)
+    for table in ("code_document", "index_vectors"):
+        assert counts(after, table) == {"a": 60, "b": 80, "c": 50}
+        assert counts(held, table) == {"a": 60, "b": 70}
+    # A repository that fails keeps what it had, and is left out from then on.
+    refresh({"b": range(5)}, commit="c3")
+    refresh({"b": range(90)}, commit="c4")
+    now = B.Snapshot.current(spark, target)
+    assert counts(now) == {"a": 60, "b": 80, "c": 50}
+    rows = {r.name: (r.update_status, r.commit_hash) for r in now.manifest.collect()}
+    assert rows == {"a": (1, "c1"), "b": (2, "c2"), "c": (1, "c2")}
+    refresh({"b": range(90)}, commit="c5", retry=True)
+    assert counts(B.Snapshot.current(spark, target))["b"] == 90
+
+    def broken(files):
+        raise RuntimeError("no extractor")
+
+    with pytest.raises(RuntimeError):
+        P.update_repositories(repository_files(spark, {"a": range(60)}), broken, target, **OPTIONS)
+    last = B.Snapshot.current(spark, target)
+    assert {r.name: r.update_status for r in last.manifest.collect()} == {"a": 2, "b": 1, "c": 1}
+    assert counts(last) == {"a": 60, "b": 90, "c": 50}
+    gone = B.vacuum(spark, target, keep=1)
+    assert gone and counts(B.Snapshot.current(spark, target)) == {"a": 60, "b": 90, "c": 50}
+    assert len(B.versions(spark, target)) == 1
+
+
+def test_commits_at_once_lose_nothing(spark, tmp_path, monkeypatch):
+    """Another refresh commits between reading the last version and committing."""
+    target = str(tmp_path)
+    schema = "organization string, name string, update_status int, commit_hash string"
+    row = lambda name: spark.createDataFrame([("org", name, 1, "c")], schema)
+    table = lambda name: {"t": spark.createDataFrame([("org", name, 1)], "organization string, name string, x int")}
+    put, others = B._put, ["b", "c"]
+
+    def late(spark, name, text):
+        if others:
+            B.publish(spark, target, table(others[-1]), row(others.pop()))
+        put(spark, name, text)
+
+    monkeypatch.setattr(B, "_put", late)
+    B.publish(spark, target, table("a"), row("a"))
+    assert counts(B.Snapshot.current(spark, target), "t") == {"a": 1, "b": 1, "c": 1}
+    assert B.versions(spark, target) == [1, 2, 3]
+    with pytest.raises(B.Conflict):
+        put(spark, f"{target}/_commits/{3:010d}", "again")
+
+
+def test_two_definitions_on_a_line_have_two_keys(spark, tmp_path):
+    files = repository_files(spark, {"a": range(60)}).where("path = 'pkg/code.py'")
+    twice = lambda f: line_functions(f).union(line_functions(f).withColumn("code", F.concat("code", F.lit(" # two"))))
+    P.update_repositories(files, twice, str(tmp_path), max_epochs=0, **OPTIONS)
+    snapshot = B.Snapshot.current(spark, str(tmp_path))
+    assert counts(snapshot) == {"a": 120} == counts(snapshot, "index_vectors")
+    assert snapshot.table("code_document").select("row_index").distinct().count() == 120
 
 
 def test_preparation_steps(spark):
