@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame
 from quarry.llm import words
 
 #: Characters of a scan row, and bytes that are scanned together.
-ROW, SCAN_BYTES = 512, 4 << 20
+ROW, SCAN_BYTES = 512, 1 << 20
+#: Bytes of text in a batch, and distinct slices whose ids a worker keeps.
+BATCH_BYTES, CACHED = 2 << 20, 200_000
 
 # Symbols of characters, with what follows already looked at: letter, number,
 # other, an apostrophe that one or two contraction letters follow, a space that
@@ -52,12 +54,13 @@ def _classes() -> np.ndarray:
     import regex
 
     table = np.full(0x110000, OTHER, np.uint8)
-    points = [p for p in range(0x110000) if not 0xD800 <= p < 0xE000]
-    every = "".join(map(chr, points))
-    points = np.array(points)
-    for name, symbol in (("L", LETTER), ("N", NUMBER), ("White_Space", BLANK)):
-        for found in regex.finditer(rf"\p{{{name}}}+", every):
-            table[points[found.start() : found.end()]] = symbol
+    kinds = [(regex.compile(rf"\p{{{name}}}+"), symbol) for name, symbol in (("L", LETTER), ("N", NUMBER), ("White_Space", BLANK))]
+    for at in range(0, 0x110000, 0x800):
+        if at != 0xD800:  # surrogates are no characters
+            part = "".join(map(chr, range(at, at + 0x800)))
+            for kind, symbol in kinds:
+                for found in kind.finditer(part):
+                    table[at + found.start() : at + found.end()] = symbol
     return table
 
 
@@ -143,21 +146,43 @@ def scan_parts(data: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int]]
         at = end
 
 
-class Ranks:
-    """A rank file: merging of slices and the bytes of ids."""
+def _rank_file(path: str) -> list[tuple[bytes, int]]:
+    with open(path, "rb") as lines:
+        return [(base64.b64decode(token), int(rank)) for token, rank in (line.split() for line in lines if line.strip())]
+
+
+class Pieces:
+    """The bytes of the ids of a rank file."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as lines:
-            pairs = [line.split() for line in lines if line.strip()]
-        self.rank = {base64.b64decode(token): int(rank) for token, rank in pairs}
-        table = [b""] * (max(self.rank.values(), default=-1) + 1)
-        for token, rank in self.rank.items():
+        pairs = _rank_file(path)
+        table = [b""] * (max((rank for _, rank in pairs), default=-1) + 1)
+        for token, rank in pairs:
             table[rank] = token
         self.lengths = np.array([len(t) for t in table], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(table), np.uint8)
+
+    def placed(self, ids: np.ndarray, offsets: np.ndarray | None) -> np.ndarray:
+        """The bytes of ids, each written where its offset says; without offsets one
+        after the other."""
+        lengths = self.lengths[ids]
+        data = self.bytes[words.ragged(self.starts[ids], lengths)]
+        if offsets is None:
+            return data
+        out = np.zeros(len(data), np.uint8)
+        out[words.ragged(offsets, lengths)] = data
+        return out
+
+
+class Ranks(Pieces):
+    """A rank file for merging of slices."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.rank = dict(_rank_file(path))
         self.classes = _classes()
-        self.cache = words.SliceCache(self.encode)
+        self.cache = words.SliceCache(self.encode, CACHED)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one slice: of all neighbours the pair of lowest rank, leftmost
@@ -217,19 +242,20 @@ class Ranks:
         edge = np.searchsorted(np.concatenate(starts), offsets)
         return np.concatenate(ids), total[edge[1:]] - total[edge[:-1]]
 
-    def decoded(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of ids, and where each id's bytes begin."""
-        lengths = self.lengths[ids]
-        return self.bytes[words.ragged(self.starts[ids], lengths)], np.cumsum(lengths) - lengths
 
+_OPEN: dict[tuple[type, str], Pieces] = {}
 
-_OPEN: dict[str, Ranks] = {}
+
+def _opened(kind: type, path: str) -> Pieces:
+    """The worker's tables: those for merging serve for decoding too."""
+    found = _OPEN.get((Ranks, path)) or _OPEN.get((kind, path))
+    if found is None:
+        found = _OPEN[kind, path] = kind(path)
+    return found
 
 
 def ranks(path: str) -> Ranks:
-    if path not in _OPEN:
-        _OPEN[path] = Ranks(path)
-    return _OPEN[path]
+    return _opened(Ranks, path)
 
 
 def id_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -239,11 +265,14 @@ def id_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode(
-    df: DataFrame, rank_file: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = True
+    df: DataFrame, rank_file: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = True,
+    decoded: bool = False,
 ) -> DataFrame:
     """``id_col, ids`` and, unless switched off, ``offsets``: the byte of the text
     at which each id begins. ``ids`` is binary, four bytes (little end first) an
-    id, as :func:`decode` takes them.
+    id, as :func:`decode` takes them. With ``decoded`` the bytes that these ids
+    and offsets give follow as a column: the round trip in one pass, so that a
+    core holds one Python worker and one set of tables.
 
     A null or empty text has no ids; repeated rows give repeated results; an
     empty table gives an empty one. Other columns are not read. One scan and
@@ -251,36 +280,45 @@ def encode(
     where a token begins in any case.
     """
     kind = df.schema[id_col].dataType.simpleString()
+    names = [id_col, "ids", *["offsets"] * offsets, *["decoded"] * decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ranks(rank_file)
-        for batch in words.byte_batches(batches, 1):
+        for batch in words.byte_batches(batches, 1, BATCH_BYTES):
             ids, n = table.texts(batch.column(1))
             columns = [batch.column(0), words.binary_rows(ids.astype("<u4").view(np.uint8), 4 * n)]
+            lengths = table.lengths[ids]
+            place = np.cumsum(lengths) - lengths
+            bounds = np.concatenate([[0], np.cumsum(n)])
             if offsets:
-                bounds = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
-                place = np.concatenate([np.cumsum(table.lengths[ids]) - table.lengths[ids], [0]])
-                text_start = np.repeat(place[np.cumsum(n) - n], n)
-                columns.append(pa.ListArray.from_arrays(bounds, pa.array(place[:-1] - text_start)))
-            yield pa.RecordBatch.from_arrays(columns, [id_col, "ids", "offsets"][: len(columns)])
-
-    schema = f"`{id_col}` {kind}, ids binary" + (", offsets array<long>" if offsets else "")
+                text_start = np.repeat(np.append(place, 0)[bounds[:-1]], n)
+                columns.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(place - text_start)))
+            if decoded:
+                total = np.append(place, lengths.sum())[bounds]
+                columns.append(words.binary_rows(table.placed(ids, place), np.diff(total)))
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = f"`{id_col}` {kind}, ids binary" + ", offsets array<long>" * offsets + ", decoded binary" * decoded
     return df.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def decode(df: DataFrame, rank_file: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """``id_col, ids_col, decoded`` (binary) of packed ids. Null ids: no bytes."""
+def decode(df: DataFrame, rank_file: str, id_col: str = "doc_id", ids_col: str = "ids", offsets_col: str | None = None) -> DataFrame:
+    """``id_col, ids_col, decoded`` (binary) of packed ids. Null ids: no bytes. With
+    ``offsets_col`` each id's bytes are written where its offset says."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ranks(rank_file)
-        for batch in words.byte_batches(batches, 1):
+        table = _opened(Pieces, rank_file)
+        for batch in words.byte_batches(batches, 1, BATCH_BYTES):
             ids, n = id_parts(batch.column(1))
-            data, begin = table.decoded(ids)
-            bounds = np.append(begin, len(data))[np.concatenate([[0], np.cumsum(n)])]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), words.binary_rows(data, np.diff(bounds))],
-                [id_col, ids_col, "decoded"],
-            )
-
-    return df.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, `{ids_col}` binary, decoded binary")
+            bounds = np.concatenate([[0], np.cumsum(n)])
+            total = np.concatenate([[0], np.cumsum(table.lengths[ids])])[bounds]
+            place = None
+            if offsets_col:
+                own = batch.column(2).flatten().to_numpy()
+                place = own + np.repeat(total[:-1], n)
+            data = words.binary_rows(table.placed(ids, place), np.diff(total))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), data], [id_col, ids_col, "decoded"])
+
+    columns = [id_col, ids_col, *[offsets_col] * bool(offsets_col)]
+    return df.select(*columns).mapInArrow(run, f"`{id_col}` {kind}, `{ids_col}` binary, decoded binary")

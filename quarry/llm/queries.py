@@ -62,8 +62,7 @@ def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    encoded = byte_bpe.encode(_table(spark, folder, "documents"), BYTE_RANKS, offsets=False)
-    return byte_bpe.decode(encoded, BYTE_RANKS).select(
+    return byte_bpe.encode(_table(spark, folder, "documents"), BYTE_RANKS, offsets=False, decoded=True).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

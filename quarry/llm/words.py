@@ -78,8 +78,8 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class SliceCache:
     """Token ids of distinct slices; ``encode`` is called once per new slice."""
 
-    def __init__(self, encode):
-        self.encode = encode
+    def __init__(self, encode, most: int = CACHE_SLICES):
+        self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
@@ -93,7 +93,7 @@ class SliceCache:
 
     def look_up(self, slices: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Start in ``self.ids`` and number of ids of each slice."""
-        if len(self.place) + len(slices) > CACHE_SLICES:
+        if len(self.place) + len(slices) > self.most:
             self.clear()
         fresh = [s for s in slices if s not in self.place]
         if fresh:

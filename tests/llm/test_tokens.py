@@ -71,8 +71,7 @@ def test_bpe_like_the_library():
     want = [library.encode_ordinary(t or "") for t in texts]
     assert n.tolist() == [len(w) for w in want]
     assert ids.tolist() == [i for w in want for i in w]
-    decoded, _ = ranks.decoded(ids)
-    assert decoded.tobytes() == "".join(t or "" for t in texts).encode()
+    assert ranks.placed(ids, None).tobytes() == "".join(t or "" for t in texts).encode()
 
 
 def test_scan_composes_like_a_loop():
@@ -91,6 +90,11 @@ def test_bpe_round_trip_and_offsets(spark):
     encoded = byte_bpe.encode(df, RANKS)
     for row in byte_bpe.decode(encoded.select("doc_id", "ids"), RANKS).collect():
         assert bytes(row.decoded).decode() == ("no id" if row.doc_id is None else texts[row.doc_id] or "")
+    # The same by offsets, in a pass of its own and in that of the encoder.
+    plain = {r.doc_id: bytes(r.decoded) for r in byte_bpe.decode(encoded, RANKS).collect()}
+    placed = {r.doc_id: bytes(r.decoded) for r in byte_bpe.decode(encoded, RANKS, offsets_col="offsets").collect()}
+    whole = {r.doc_id: bytes(r.decoded) for r in byte_bpe.encode(df, RANKS, offsets=False, decoded=True).collect()}
+    assert plain == placed == whole
     table = byte_bpe.ranks(RANKS)
     for row in encoded.collect():
         lengths = table.lengths[np.frombuffer(row.ids, "<u4")]
