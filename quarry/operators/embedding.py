@@ -6,21 +6,20 @@ and ``norms(scope, position, mean, var, gamma, beta)``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 
 from quarry import constants as C
 from quarry.functions import vectors as V
+from quarry.operators.scopes import fields, take_columns, with_parameters
 from quarry.session import materialise
 
-# Largest parameter set, in numbers, that is handed to every executor.
-BROADCAST_NUMBERS = 32_000_000
+#: Sequences that meet one copy of their scope's parameters.
+GROUP_ROWS = 1 << 14
 
 
 class Model(NamedTuple):
@@ -55,25 +54,33 @@ def token_gates(model: Model) -> DataFrame:
 
 
 def embed(
-    sequences: DataFrame, keys: list[str], model: Model, name: str = "embedding", ids: str = "ids"
+    sequences: DataFrame, keys: list[str], model: Model, name: str = "embedding", ids: str = "ids",
+    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
-    """One embedding per sequence.
-
-    While the parameters stay under a checked size they are handed to the
-    executors and each sequence is embedded where it lies: no shuffle, no
-    row per token. Beyond it (one vocabulary per repository, say) tokens meet
-    their vectors in joins. Both give the same rows: sequences of a scope that
-    the model does not have at all are left out; a scope that has only some of
-    tokens, gate and norms, or ids longer than the scope's norms, are errors.
+    """One embedding per sequence: ``keys, scope`` and ``name``.
+
+    Sequences meet the parameters of their scope in salted groups, so a vector
+    moves once for a group and not for each occurrence of its token, whatever
+    the number of scopes. A scope that the model does not have, or of which it
+    has only some of tokens, gate and norms, and ids longer than the scope's
+    norms, are errors.
     """
     check_scopes(model)
-    tokens = materialise(token_gates(model), "token-gates")
-    size = tokens.agg(
-        F.count("*").alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("d")
-    ).first()
-    if size["n"] * size["d"] <= BROADCAST_NUMBERS:
-        return embed_in_place(sequences, keys, tokens, model.norms, name, ids)
-    return embed_by_join(sequences, keys, tokens, model.norms, size["d"], name, ids)
+    rows = materialise(sequences.select(*keys, "scope", F.col(ids).alias("_ids")), "sequences")
+    parameters = token_gates(model).unionByName(model.norms, allowMissingColumns=True)
+
+    def run(scope: str, group: pa.Table, own: pa.Table) -> pa.Table:
+        if not len(own):
+            raise ValueError(f"the model has no scope {scope}")
+        part = _parameters(own)
+        all_ids = matrix(group.column("_ids"))
+        # Slices bound the gathered (rows, length, width) array.
+        vectors = [mean_vectors(all_ids[i : i + 512], part) for i in range(0, len(all_ids), 512)]
+        vectors = np.concatenate(vectors) if vectors else np.zeros((0, 1))
+        return pa.table([*take_columns(group, [*keys, "scope"]), list_column(vectors)], [*keys, "scope", name])
+
+    schema = f"{fields(rows, [*keys, 'scope'])}, `{name}` array<double>"
+    return with_parameters(rows, keys, parameters, run, schema, group_rows)
 
 
 def check_scopes(model: Model) -> None:
@@ -85,69 +92,17 @@ def check_scopes(model: Model) -> None:
         raise ValueError(f"the model's scopes are incomplete: { {r.scope: sorted(r.parts) for r in found} }")
 
 
-def embed_by_join(
-    sequences: DataFrame,
-    keys: list[str],
-    tokens: DataFrame,
-    norms: DataFrame,
-    width: int,
-    name: str = "embedding",
-    ids: str = "ids",
-) -> DataFrame:
-    """Embedding as joins and a weighted vector sum."""
-    lengths = norms.groupBy("scope").agg(F.count("*").alias("_length"))
-    n_ids = F.coalesce(F.size(ids), F.lit(0))
-    fault = F.concat_ws(" ", F.lit("more ids than norms in scope"), "scope")
-    # The inner join leaves out sequences of scopes that the model does not have.
-    sequences = sequences.join(lengths, "scope").withColumn(
-        ids, F.when(n_ids <= F.col("_length"), F.col(ids)).otherwise(F.raise_error(fault))
-    )
-    rows = (
-        sequences.select(*keys, "scope", F.posexplode(ids).alias("position", "id"))
-        .join(tokens.withColumn("vec", array_to_vector("vec")), ["scope", "id"])
-        .join(norms, ["scope", "position"])
-    )
-    scale = F.col("gamma") / F.sqrt(F.col("var") + C.BATCH_NORM_EPSILON)
-    gated = V.sigmoid(scale * (F.col("gate") - F.col("mean")) + F.col("beta"))
-    total = Summarizer.metrics("sum").summary(F.col("vec"), F.col("weight"))
-    summed = (
-        rows.filter(F.col("id") != 0)
-        .withColumn("weight", gated)
-        .groupBy(*keys, "scope")
-        .agg(vector_to_array(total["sum"]).alias("total"), F.sum("weight").alias("mass"))
-    )
-    mean = F.transform("total", lambda x: x / (F.col("mass") + C.NORM_EPSILON))
-    zero = F.array_repeat(F.lit(0.0), width)
-    return (
-        sequences.select(*keys, "scope")
-        .join(summed, [*keys, "scope"], "left")
-        .select(*keys, "scope", F.coalesce(mean, zero).alias(name))
-    )
-
-
-def _parameters(tokens: DataFrame, norms: DataFrame) -> dict:
-    """Size-checked parameters as arrays indexed by id and by position."""
-    packed: dict = {}
-    table = tokens.toArrow()
-    scopes = np.array(table.column("scope").to_pylist(), dtype=object)
-    ids = table.column("id").to_numpy()
-    vectors = matrix(table.column("vec")).astype(np.float64)
-    gates = table.column("gate").to_numpy()
-    for scope in dict.fromkeys(scopes):
-        rows = scopes == scope
-        vec = np.zeros((ids[rows].max() + 1, vectors.shape[1]))
-        gate = np.zeros(len(vec))
-        known = np.zeros(len(vec), dtype=bool)
-        vec[ids[rows]], gate[ids[rows]], known[ids[rows]] = vectors[rows], gates[rows], True
-        packed[scope] = {"vec": vec, "gate": gate, "known": known}
-    table = norms.toArrow().to_pandas()
-    for scope, part in table.groupby("scope"):
-        if scope in packed:
-            part = part.sort_values("position")
-            slope = part["gamma"] / np.sqrt(part["var"] + C.BATCH_NORM_EPSILON)
-            packed[scope]["slope"] = slope.to_numpy()
-            packed[scope]["shift"] = (part["beta"] - slope * part["mean"]).to_numpy()
-    return packed
+def _parameters(own: pa.Table) -> dict:
+    """One scope's parameters as arrays indexed by id and by position."""
+    token = own.filter(pc.is_valid(own.column("id")))
+    ids = token.column("id").to_numpy()
+    vec = np.zeros((ids.max() + 1, len(token.column("vec")[0])))
+    gate, known = np.zeros(len(vec)), np.zeros(len(vec), dtype=bool)
+    vec[ids], gate[ids], known[ids] = matrix(token.column("vec")), token.column("gate").to_numpy(), True
+    norms = own.filter(pc.is_valid(own.column("position"))).sort_by("position")
+    mean, var, gamma, beta = (norms.column(c).to_numpy() for c in ("mean", "var", "gamma", "beta"))
+    slope = gamma / np.sqrt(var + C.BATCH_NORM_EPSILON)
+    return {"vec": vec, "gate": gate, "known": known, "slope": slope, "shift": beta - slope * mean}
 
 
 def mean_vectors(ids: np.ndarray, part: dict) -> np.ndarray:
@@ -164,46 +119,6 @@ def mean_vectors(ids: np.ndarray, part: dict) -> np.ndarray:
     return total / (weight.sum(axis=1, keepdims=True) + C.NORM_EPSILON)
 
 
-def embed_in_place(
-    sequences: DataFrame,
-    keys: list[str],
-    tokens: DataFrame,
-    norms: DataFrame,
-    name: str = "embedding",
-    ids: str = "ids",
-) -> DataFrame:
-    """Embedding without a shuffle; an Arrow batch at a time."""
-    spark: SparkSession = sequences.sparkSession
-    shared = spark.sparkContext.broadcast(_parameters(tokens, norms))
-    columns = [*keys, "scope"]
-    selected = sequences.select(*columns, F.col(ids).alias("_ids"))
-    schema = selected.drop("_ids").withColumn(
-        name, F.lit(None).cast("array<double>")
-    ).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parameters = shared.value
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            all_ids = matrix(batch.column(len(columns)))
-            scopes = np.array(batch.column(len(columns) - 1).to_pylist(), dtype=object)
-            for scope in dict.fromkeys(scopes):
-                if scope not in parameters:
-                    continue
-                rows = np.flatnonzero(scopes == scope)
-                # Slices bound the gathered (rows, length, width) array.
-                for start in range(0, len(rows), 512):
-                    part = rows[start : start + 512]
-                    vectors = mean_vectors(all_ids[part], parameters[scope])
-                    kept = [column.take(pa.array(part)) for column in batch.columns[:-1]]
-                    yield pa.RecordBatch.from_arrays(
-                        [*kept, list_column(vectors)], names=[*columns, name]
-                    )
-
-    return selected.mapInArrow(run, schema)
-
-
 def random_vector(scope, token, width: int, seed: int = 0):
     """A normal vector that depends on scope, token and seed only (two uniform
     hash shares per number, combined by the Box-Muller rule)."""

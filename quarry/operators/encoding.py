@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry import constants as C
 from quarry.functions.vectors import has_real_id
-from quarry.operators.vocabulary import lookup_table
+from quarry.operators.scopes import fields, take_columns, with_parameters
 from quarry.session import materialise
 
+#: Token lists that meet one copy of their scope's vocabulary.
+GROUP_ROWS = 2048
+
 
 def piece_patterns(vocabulary: DataFrame) -> DataFrame:
     """One regular expression per scope that takes the longest known piece.
@@ -70,72 +77,94 @@ def subword_tokenise(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     )
 
 
-#: Matches any character outside its group: for scopes without pieces.
-_NO_PIECES = r"([^\s\S])|[\s\S]"
-
-
-def word_pieces(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``scope, token, pieces`` (structs of piece and id) of distinct words.
-
-    A known word is itself. An unknown one is cut into the longest known
-    pieces between marks, or, in a plain vocabulary, is the unknown token. No
-    word is without pieces; a scope without a vocabulary is an error.
-    """
-    lookup = materialise(lookup_table(vocabulary), "lookup")
-    patterns = materialise(piece_patterns(vocabulary), "patterns")
-    scopes = vocabulary.groupBy("scope").agg(F.max(F.col("kind") == "simple").alias("plain"))
-    known = lookup.filter("is_word").select("scope", "token", F.lit(True).alias("known"))
-    fails = F.raise_error(F.concat(F.lit("no vocabulary for scope "), F.col("scope")))
-    cut = _pieces(F.col("token"), F.coalesce("pattern", F.lit(_NO_PIECES)))
-    pieces = (
-        F.when(F.col("known"), F.array("token"))
-        .when(F.col("plain"), F.array(F.lit(C.UNKNOWN_TOKEN)))
-        .when(F.col("plain").isNull(), F.array(fails.cast("string")))
-        .otherwise(F.transform(cut, lambda piece: F.when(piece == "", C.UNK).otherwise(piece)))
-    )
-    ids = lookup.select("scope", F.col("token").alias("piece"), "id")
-    placed = F.struct("at", "piece", F.coalesce("id", F.lit(1)).alias("id"))
-    return (
-        words.join(known, ["scope", "token"], "left")
-        .join(scopes, "scope", "left")
-        .join(patterns, "scope", "left")
-        .select("scope", "token", F.posexplode(pieces).alias("at", "piece"))
-        .join(ids, ["scope", "piece"], "left")
-        .groupBy("scope", "token")
-        .agg(F.array_sort(F.collect_list(placed)).alias("placed"))
-        .select("scope", "token", F.transform("placed", lambda x: x.dropFields("at")).alias("pieces"))
-    )
-
-
-def _pieces_in_order(
-    df: DataFrame, keys: list[str], vocabulary: DataFrame, limit: int | None
+class _Scope:
+    """A scope's vocabulary: words, pieces, and ids by token, of which a word wins
+    over an equal piece."""
+
+    def __init__(self, table: pa.Table):
+        kinds, tokens, ids = (table.column(c).to_pylist() for c in ("kind", "token", "id"))
+        rows = list(zip(kinds, tokens, ids))
+        self.ids = {t: i for k, t, i in rows if k == "bpe"} | {t: i for k, t, i in rows if k != "bpe"}
+        self.words = {t for k, t, _ in rows if k != "bpe"}
+        self.pieces = {t for k, t, _ in rows if k == "bpe" and 1 <= len(t) <= C.NGRAM_MAX}
+        self.plain = "simple" in kinds
+
+    def cut(self, word: str) -> list[str]:
+        """A known word is itself, an unknown one the longest known pieces from the
+        left between marks or, in a plain vocabulary, the unknown token."""
+        if word in self.words:
+            return [word]
+        if self.plain:
+            return [C.UNKNOWN_TOKEN]
+        out, at, end, pieces = [C.SOW], 0, len(word), self.pieces
+        while at < end:
+            for size in range(min(C.NGRAM_MAX, end - at), 0, -1):
+                if word[at : at + size] in pieces:
+                    out.append(word[at : at + size])
+                    at += size
+                    break
+            else:
+                out.append(C.UNK)
+                at += 1
+        return [*out, C.EOW]
+
+
+def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def _encoded_lists(column: pa.ChunkedArray, scope: _Scope, most: int | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """For all lists of a group: numbers of their pieces one after the other, how many
+    each list has, and the distinct pieces. Each distinct word is cut once."""
+    lists = column.combine_chunks()
+    sizes = lists.value_lengths().fill_null(0).to_numpy()
+    coded = lists.flatten().dictionary_encode()
+    numbers: dict[str, int] = {}
+    flat, counts = [], []
+    for word in coded.dictionary.to_pylist():
+        own = scope.cut(word)[:most]
+        flat += [numbers.setdefault(piece, len(numbers)) for piece in own]
+        counts.append(len(own))
+    counts = np.array(counts, np.int64)
+    index = coded.indices.to_numpy()
+    each = counts[index]
+    pieces = np.array(flat, np.int64)[_ragged((np.cumsum(counts) - counts)[index], each)]
+    total = np.concatenate([[0], np.cumsum(each)])
+    edge = np.concatenate([[0], np.cumsum(sizes)])
+    return pieces, np.diff(total[edge]), list(numbers)
+
+
+def _in_scopes(
+    df: DataFrame, keys: list[str], vocabulary: DataFrame, limit: int | None, finish: Callable, schema: str
 ) -> DataFrame:
-    """``keys, scope, pieces`` of whole token lists.
+    """Token lists with the vocabulary of their scope. The lists are written first and
+    move once, cut to ``limit`` tokens: each yields at least one id, so others can
+    never reach the first ``limit`` ids. Null tokens do not count."""
+    tokens = F.filter("tokens", lambda token: token.isNotNull())
+    tokens = tokens if limit is None else F.slice(tokens, 1, limit)
+    rows = materialise(df.select(*keys, "scope", tokens.alias("tokens")), "token-lists")
 
-    The distinct words are cut once and written, so the patterns run once for a
-    word and not for each of its occurrences, and all documents meet them by
-    (scope, token). With a ``limit``, tokens past it are left out early: every
-    token yields at least one id, so they can never reach the first ``limit``.
-    """
-    tokens = F.col("tokens") if limit is None else F.slice("tokens", 1, limit)
-    located = df.select(*keys, "scope", F.posexplode_outer(tokens).alias("position", "token"))
-    words = located.filter("token is not null").select("scope", "token").distinct()
-    cut = materialise(word_pieces(materialise(words, "words"), vocabulary), "pieces")
-    if limit is not None:
-        cut = cut.withColumn("pieces", F.slice("pieces", 1, limit))
-    placed = F.when(F.col("pieces").isNotNull(), F.struct("position", "pieces"))
-    return (
-        located.join(cut, ["scope", "token"], "left")
-        .groupBy(*keys, "scope")
-        .agg(F.array_sort(F.collect_list(placed)).alias("placed"))
-        .select(*keys, "scope", F.flatten(F.transform("placed", lambda x: x["pieces"])).alias("pieces"))
-    )
+    def run(scope: str, group: pa.Table, own: pa.Table) -> pa.Table:
+        if not len(own):
+            raise ValueError(f"no vocabulary for scope {scope}")
+        known = _Scope(own)
+        pieces, sizes, names = _encoded_lists(group.column("tokens"), known, limit)
+        column = finish(known, pieces, sizes, names)
+        return pa.table([*take_columns(group, [*keys, "scope"]), column], [*keys, "scope", "_out"])
+
+    whole = f"{fields(rows, [*keys, 'scope'])}, _out {schema}"
+    return with_parameters(rows, keys, vocabulary.select("scope", "kind", "token", "id"), run, whole, GROUP_ROWS)
 
 
 def tokenise(df: DataFrame, keys: list[str], vocabulary: DataFrame) -> DataFrame:
     """``pieces`` of whole token lists: known words stay, others are split."""
-    rows = _pieces_in_order(df, keys, vocabulary, None)
-    return rows.select(*keys, "scope", F.transform("pieces", lambda x: x["piece"]).alias("pieces"))
+
+    def finish(known: _Scope, pieces: np.ndarray, sizes: np.ndarray, names: list[str]) -> pa.Array:
+        words = pa.DictionaryArray.from_arrays(pa.array(pieces), pa.array(names, pa.string())).cast(pa.string())
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), words)
+
+    return _in_scopes(df, keys, vocabulary, None, finish, "array<string>").withColumnRenamed("_out", "pieces")
 
 
 def encode(
@@ -148,14 +177,23 @@ def encode(
 ) -> DataFrame:
     """Token lists to exactly ``length`` ids: cut, then padded with 0.
 
-    ``df`` has ``keys``, ``scope`` and ``tokens``; ``keys`` must be unique. No
-    document and no token is left out: unknown ones get marks and unknown ids.
+    ``df`` has ``keys``, ``scope`` and ``tokens``. No document and no token is
+    left out: unknown ones get marks and unknown ids. A null list has no tokens;
+    a scope without a vocabulary is an error.
     """
-    padding = F.array_repeat(F.lit(0), length)
-    ids = F.slice(F.concat(F.transform("pieces", lambda x: x["id"]), padding), 1, length)
-    if reverse:
-        ids = F.reverse(ids)
-    return _pieces_in_order(df, keys, vocabulary, length).select(*keys, "scope", ids.alias(name))
+
+    def finish(known: _Scope, pieces: np.ndarray, sizes: np.ndarray, names: list[str]) -> pa.Array:
+        ids = np.array([known.ids.get(piece, 1) for piece in names], np.int32)
+        taken = np.minimum(sizes, length)
+        out = np.zeros((len(sizes), length), np.int32)
+        row = np.repeat(np.arange(len(sizes)), taken)
+        place = _ragged(np.zeros(len(sizes), np.int64), taken)
+        out[row, place] = ids[pieces[_ragged(np.cumsum(sizes) - sizes, taken)]] if len(row) else 0
+        out = out[:, ::-1] if reverse else out
+        offsets = np.arange(len(out) + 1, dtype=np.int32) * length
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(out).reshape(-1)))
+
+    return _in_scopes(df, keys, vocabulary, length, finish, "array<int>").withColumnRenamed("_out", name)
 
 
 def decode(

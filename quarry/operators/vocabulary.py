@@ -41,19 +41,22 @@ def ngram_counts(
         "scope",
         "token",
         "count",
+        # Few words hold white space; only their n-grams are looked at for it.
+        F.col("token").rlike(r"\s").alias("blank"),
         F.explode(F.sequence(F.lit(1), F.length("token"))).alias("start"),
     )
     room = F.least(F.lit(longest), F.length("token") - F.col("start") + 1)
     spans = starts.select(
-        "scope", "token", "count", "start", F.explode(F.sequence(F.lit(1), room)).alias("size")
+        "scope", "token", "count", "start", "blank", F.explode(F.sequence(F.lit(1), room)).alias("size")
     ).filter((F.col("size") == 1) | (F.col("size") >= shortest))
     return (
         spans.select(
             "scope",
             F.substr("token", F.col("start"), F.col("size")).alias("ngram"),
             "count",
+            "blank",
         )
-        .filter(~F.col("ngram").rlike(r"\s"))
+        .filter(~F.col("blank") | ~F.col("ngram").rlike(r"\s"))
         .groupBy("scope", "ngram")
         .agg(F.sum("count").alias("count"))
     )

@@ -70,13 +70,12 @@ def encode_embeddings(spark, folder):
 
 
 def encode_embeddings_join(spark, folder):
-    """The same embeddings by the join route, used for large parameter sets."""
+    """The same embeddings in many small groups of each scope."""
     weights = model(spark, folder)
     encoded = encode(
         code_documents(spark, folder), ["doc_id"], code_vocabulary(spark, folder), C.CODE_LENGTH
     )
-    tokens = materialise(E.token_gates(weights), "token-gates")
-    vectors = E.embed_by_join(encoded, ["doc_id"], tokens, weights.norms, 64)
+    vectors = E.embed(encoded, ["doc_id"], weights, group_rows=50)
     return _by_number(vectors.withColumnRenamed("scope", "language"), ["doc_id", "language"])
 
 

@@ -106,13 +106,14 @@ def dedupe_same_line(spark, folder):
 def encode_no_pieces(spark, folder):
     """A vocabulary of words alone: unknown words become marks and unknown ids."""
     docs = table(spark, folder, "documents").select(
-        "doc_id", F.lit("s").alias("scope"), F.array(F.substring("text", 1, 3), F.col("lang")).alias("tokens")
+        "doc_id", F.lit("s").alias("scope"),
+        F.concat(F.split("text", " "), F.array("lang")).alias("tokens"),
     )
     words = table(spark, folder, "documents").groupBy("lang").count().select(
         F.lit("s").alias("scope"), F.lit("word").alias("kind"), F.col("lang").alias("token"),
         (F.ascii("lang") + 10).alias("id"), "count",
     )
-    return encoding.encode(docs, ["doc_id"], words, 8).select("doc_id", joined(F.col("ids")).alias("ids"))
+    return encoding.encode(docs, ["doc_id"], words, 300).select("doc_id", joined(F.col("ids")).alias("ids"))
 
 
 QUERIES = {
@@ -151,8 +152,13 @@ SELECT source AS query, lang AS language, 'a "name", ' || doc_id AS identifier,
     "dedupe_same_line": """
 SELECT source, min(doc_id % 7) AS line, md5(text) AS code FROM documents GROUP BY source, text""",
     "encode_no_pieces": """
-SELECT doc_id, CASE WHEN length(text) = 0 THEN '1|1' ELSE repeat('1|', least(length(text), 3) + 2) END
-  || CASE WHEN length(text) = 0 THEN '|' ELSE '' END
-  || (ascii(lang) + 10) || repeat('|0', CAST(greatest(5 - least(length(text), 3), 0) AS INTEGER)) AS ids
-FROM documents""",
+WITH known AS (SELECT DISTINCT lang AS word, ascii(lang) + 10 AS id FROM documents),
+words AS (
+  SELECT doc_id, unnest(list_append(string_split(text, ' '), lang)) AS word,
+    generate_subscripts(list_append(string_split(text, ' '), lang), 1) AS p FROM documents),
+cut AS (
+  SELECT doc_id, p, CASE WHEN id IS NULL THEN list_resize([]::INTEGER[], length(w.word) + 2, 1) ELSE [id] END AS ids
+  FROM words w LEFT JOIN known k ON k.word = w.word)
+SELECT doc_id, array_to_string(list_resize(flatten(list(ids ORDER BY p)), 300, 0), '|') AS ids
+FROM cut GROUP BY doc_id""",
 }

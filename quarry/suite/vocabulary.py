@@ -9,9 +9,8 @@ from quarry.operators import vocabulary as K
 from quarry.session import materialise
 from quarry.suite.common import CODE_DOCS, TEXT_QUERIES, code_documents, quote, text_queries
 
-# The test vocabularies are small, so that their ids fit the vector table.
-SIZE = 400
-QUERY_SIZE = 200
+# Ids past the vector table have no vector and no weight in an embedding.
+SIZE = QUERY_SIZE = C.VOCABULARY_SIZE
 
 
 def code_counts(spark, folder):

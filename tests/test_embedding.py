@@ -1,4 +1,4 @@
-"""Both embedding routes against a plain computation."""
+"""Embedding against a plain computation."""
 
 import math
 
@@ -52,35 +52,29 @@ def plain(model, sequences):
     return out
 
 
-def test_both_routes(spark, model, sequences):
-    expected = plain(model, sequences)
-    tokens = E.token_gates(model)
-    routes = [
-        E.embed(sequences, ["k"], model),
-        E.embed_in_place(sequences, ["k"], tokens, model.norms),
-        E.embed_by_join(sequences, ["k"], tokens, model.norms, 4),
-    ]
-    for route in routes:
-        found = {r.k: np.array(r.embedding) for r in route.collect()}
-        assert set(found) == set(expected) == {1, 2, 3}
-        for k in expected:
-            np.testing.assert_allclose(found[k], expected[k], atol=1e-12)
-
-
-def test_in_place_route_does_not_shuffle(spark, model, sequences):
-    plan = E.embed(sequences, ["k"], model)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan
+@pytest.mark.parametrize("group_rows", [1, 2, 1000])
+def test_equals_plain_computation(spark, model, sequences, group_rows):
+    known = sequences.where("scope <> 'zz'")
+    expected = plain(model, known)
+    found = {r.k: np.array(r.embedding) for r in E.embed(known, ["k"], model, group_rows=group_rows).collect()}
+    assert set(found) == set(expected) == {1, 2, 3}
+    for k in expected:
+        np.testing.assert_allclose(found[k], expected[k], atol=1e-12)
 
 
-def test_large_parameter_sets_take_the_join(spark, model, sequences, monkeypatch):
-    monkeypatch.setattr(E, "BROADCAST_NUMBERS", 10)
-    plan = E.embed(sequences, ["k"], model)._jdf.queryExecution().executedPlan().toString()
-    assert "MapInArrow" not in plan
+def test_a_vector_does_not_move_for_each_occurrence(spark, model):
+    """A thousand sequences of one scope get its parameters once a group."""
+    rows = [(i, "a", [1 + i % 5] * 5) for i in range(1000)]
+    many = spark.createDataFrame(rows, "k long, scope string, ids array<int>")
+    found = E.embed(many, ["k"], model, group_rows=500)
+    assert found.count() == 1000
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Generate posexplode" not in plan
 
 
-@pytest.mark.parametrize("numbers", [10, 32_000_000])
-def test_incomplete_scopes_and_long_ids_are_errors_on_both_routes(spark, model, sequences, monkeypatch, numbers):
-    monkeypatch.setattr(E, "BROADCAST_NUMBERS", numbers)
+def test_unknown_and_incomplete_scopes_and_long_ids_are_errors(spark, model, sequences):
+    with pytest.raises(Exception, match="no scope zz"):
+        E.embed(sequences, ["k"], model).collect()
     for part in ("tokens", "gate", "norms"):
         lacking = model._replace(**{part: getattr(model, part).filter("scope = 'a'")})
         with pytest.raises(ValueError, match="incomplete.*'b'"):
@@ -90,6 +84,10 @@ def test_incomplete_scopes_and_long_ids_are_errors_on_both_routes(spark, model,
         E.embed(long, ["k"], model).collect()
 
 
+def test_no_sequences(spark, model, sequences):
+    assert E.embed(sequences.where("k = 99"), ["k"], model).count() == 0
+
+
 def test_transfer_and_warm_start(spark, model):
     merged = spark.createDataFrame(
         [("a", "word", "x", 0, 1, 3), ("a", "word", "y", 1, 1, None)],

@@ -51,6 +51,9 @@ def test_random_words_follow_the_greedy_walk(spark, vocabulary):
     df = spark.createDataFrame([("s", w) for w in words], "scope string, token string")
     for row in K.subword_tokenise(df, vocabulary).collect():
         assert row.pieces == greedy(row.token)
+    table = vocabulary.select("kind", "token", "id").toArrow()
+    scope = K._Scope(table)
+    assert all(scope.cut(w) == greedy(w) for w in words if w not in scope.words)
 
 
 def test_encode_cuts_and_pads(spark, vocabulary):
@@ -108,13 +111,21 @@ def test_valid_sequences(spark):
     assert [r.k for r in K.valid_sequences(df).collect()] == [2]
 
 
-def test_one_shuffle_from_tokens_to_ids(spark, vocabulary):
+def test_lists_and_vocabulary_move_once(spark, vocabulary):
     df = lists(spark, ["if"], ["abc"])
     plan = K.encode(df, ["k"], vocabulary, 4)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.count("FlatMapCoGroupsInArrow") == 1 and "Generate posexplode" not in plan
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
 
 
+def test_null_tokens_and_lists_do_not_count(spark, vocabulary):
+    df = spark.createDataFrame(
+        [(1, "s", [None, None, "if", None, "ab"]), (2, "s", None), (3, "s", [None])], "k long, scope string, tokens array<string>"
+    )
+    assert {r.k: r.ids for r in K.encode(df, ["k"], vocabulary, 2).collect()} == {1: [2, 3], 2: [0, 0], 3: [0, 0]}
+    assert {r.k: r.pieces for r in K.tokenise(df, ["k"], vocabulary).collect()} == {1: ["if", "ab"], 2: [], 3: []}
+
+
 def test_scope_without_pieces_drops_nothing(spark):
     words = spark.createDataFrame(
         [("s", "word", t, i, 1) for i, t in enumerate(["__pad", "__unk", "a"])],
