@@ -9,6 +9,8 @@ from quarry.session import materialise
 #: Distinct candidate lines whose ids are broadcast to fetch their texts (8 bytes
 #: each); beyond it the texts are fetched by a shuffled join.
 BROADCAST_LINES = 1 << 20
+#: Lines that may share a segment's key before their digits are looked at too.
+CROWD = 256
 
 
 def _segment(length: Column, parts: int, i: int) -> tuple[Column, Column]:
@@ -29,13 +31,14 @@ def index_keys(line: Column, edits: int) -> Column:
     return F.array(*[_key(line, n, i, *_segment(n, edits + 1, i)) for i in range(edits + 1)])
 
 
-def probe_keys(line: Column, edits: int) -> Column:
+def probe_keys(line: Column, edits: int, longer: int = 0) -> Column:
     """Keys of the substrings that may equal a segment of a line at most ``edits``
-    bytes shorter. Segment i of a length may be moved by at most i bytes seen
-    from the left and by at most edits - i seen from the right."""
+    bytes shorter, or up to ``longer`` bytes longer. Segment i of a length may be
+    moved by at most i bytes seen from the left and by at most edits - i seen
+    from the right."""
     keys = []
     n = F.octet_length(line)
-    for less in range(edits + 1):
+    for less in range(-longer, edits + 1):
         length = n - less
         for i in range(edits + 1):
             start, size = _segment(length, edits + 1, i)
@@ -102,10 +105,21 @@ def letter_counts(line: Column) -> Column:
     return packed
 
 
-def counts_apart(a: Column, b: Column) -> Column:
-    """A lower bound of how far the letter counts are apart; an edit adds two at most."""
+def digit_counts(line: Column) -> Column:
+    """Counts of the digits, modulo 16, in 10 fields of four bits."""
+    text = line.cast("string")
+    n = F.octet_length(text)
+    packed = F.lit(0).cast("long")
+    for i in range(10):
+        count = n - F.octet_length(F.replace(text, F.lit(str(i)), F.lit("")))
+        packed = packed.bitwiseOR(F.shiftleft(F.pmod(count, F.lit(16)).cast("long"), 4 * i))
+    return F.when(text.rlike("[0-9]"), packed).otherwise(F.lit(0).cast("long"))
+
+
+def counts_apart(a: Column, b: Column, fields: int = 16) -> Column:
+    """A lower bound of how far the counts are apart; an edit adds two at most."""
     apart = F.lit(0)
-    for i in range(16):
+    for i in range(fields):
         field = [F.shiftright(x, 4 * i).bitwiseAND(F.lit(15).cast("long")) for x in (a, b)]
         one = F.pmod(field[0] - field[1], F.lit(16))
         apart = apart + F.least(one, F.lit(16) - one)
@@ -118,7 +132,7 @@ def _counts(line: Column, min_bytes: int, equal_bytes: int | None) -> Column:
     if equal_bytes is None:
         return F.octet_length(line) >= min_bytes
     n = F.octet_length(line)
-    return (n >= min_bytes) | ((n >= equal_bytes) & line.rlike(r"\S"))
+    return (n >= min_bytes) | ((n >= equal_bytes) & line.rlike(r"[^\x09-\x0D\x20]"))
 
 
 def _distinct_lines(df: DataFrame, id_col: str, text_col: str, min_bytes: int, equal_bytes: int | None) -> DataFrame:
@@ -129,37 +143,62 @@ def _distinct_lines(df: DataFrame, id_col: str, text_col: str, min_bytes: int, e
         F.posexplode(F.split(text_col, "\n")).alias("number", "text"),
     ).where(_counts(F.col("text"), min_bytes, equal_bytes))
     first = F.min(F.struct("doc", "h", "number")).alias("first")
-    distinct = lines.groupBy(F.col("text").cast("binary").alias("line")).agg(first)
-    counts = F.when(F.octet_length("line") >= min_bytes, letter_counts(F.col("line")))
-    return distinct.withColumns({"id": F.monotonically_increasing_id(), "counts": counts})
+    # Sorted by a hash of the line, which is one long; lines often begin alike.
+    lines = lines.select("*", F.xxhash64("text").alias("_hash"), F.col("text").cast("binary").alias("line"))
+    distinct = lines.groupBy("_hash", "line").agg(first).drop("_hash")
+    near = F.octet_length("line") >= min_bytes
+    return distinct.withColumns({
+        "id": F.monotonically_increasing_id(),
+        "counts": F.when(near, letter_counts(F.col("line"))), "digits": F.when(near, digit_counts(F.col("line"))),
+    })
 
 
 def near_lines(lines: DataFrame, edits: int) -> DataFrame:
     """``a, b, edits``: all pairs of ``id`` whose ``line`` is within ``edits`` bytes;
-    ``counts`` are the line's :func:`letter_counts`.
+    ``counts`` and ``digits`` are the line's :func:`letter_counts` and
+    :func:`digit_counts`.
 
     A line is cut into ``edits + 1`` segments, so a near line holds one of them
     unchanged; keys of segments meet keys of the few substrings of lines of
     the same or slightly larger length. Variants of one long line meet in great
-    numbers; the join's condition on letter counts turns most of them away at
-    once, and what is left is verified.
+    numbers; the join's condition on letter and digit counts turns most of them
+    away at once, and what is left is verified.
+
+    A segment of more than CROWD lines, as a template has that is filled with
+    dates or numbers, is not met alone: an edit of the line is one of its digits
+    at most, so near lines share a segment of the string of their digits too.
     """
     spark = lines.sparkSession
+    own = [F.octet_length("line"), F.col("counts"), F.col("digits"), F.col("line")]
     index = lines.select(F.explode(index_keys(F.col("line"), edits)).alias("key"), F.col("id").alias("a"),
-                         F.octet_length("line").alias("n"), F.col("counts").alias("p"))
+                         *[c.alias(x) for c, x in zip(own, ("n", "p", "pd", "la"))])
     probe = lines.select(F.explode(probe_keys(F.col("line"), edits)).alias("key"), F.col("id").alias("b"),
-                         F.octet_length("line").alias("m"), F.col("counts").alias("q"))
+                         *[c.alias(x) for c, x in zip(own, ("m", "q", "qd", "lb"))]).where("key is not null")
     order = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b")))
-    close = counts_apart(F.col("p"), F.col("q")) <= 2 * edits
-    probe = probe.where("key is not null")
-    met = index.join(probe, (index["key"] == probe["key"]) & order & close)
+    apart = counts_apart(F.col("p"), F.col("q")) + counts_apart(F.col("pd"), F.col("qd"), 10)
+
+    def meet(index: DataFrame, probe: DataFrame) -> DataFrame:
+        both = index.drop("la").join(probe.drop("lb"), (index["key"] == probe["key"]) & order & (apart <= 2 * edits))
+        return both.select("a", "b")
+
+    crowded = materialise(index.groupBy("key").count().where(F.col("count") > CROWD).select("key"), "crowded")
+    if crowded.isEmpty():
+        met = meet(index, probe)
+    else:
+        met = meet(index.join(crowded, "key", "left_anti"), probe.join(crowded, "key", "left_anti"))
+        second = lambda keys: F.explode(F.transform(keys, lambda x: F.when(x.isNotNull(), F.xxhash64("key", x))))
+        digits = lambda line: F.regexp_replace(F.col(line).cast("string"), "[^0-9]", "").cast("binary")
+        left, right = index.join(crowded, "key", "left_semi"), probe.join(crowded, "key", "left_semi")
+        left = left.select(second(index_keys(digits("la"), edits)).alias("key2"), *left.columns).drop("key").withColumnRenamed("key2", "key")
+        right = right.select(second(probe_keys(digits("lb"), edits, edits)).alias("key2"), *right.columns)
+        met = met.union(meet(left, right.drop("key").withColumnRenamed("key2", "key").where("key is not null")))
     pairs = materialise(met.select("a", "b").distinct(), "pairs")
     wanted = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
     if wanted.count() <= BROADCAST_LINES:
         wanted = F.broadcast(wanted)
     texts = materialise(lines.join(wanted, "id", "left_semi").select("id", "line"), "texts")
     left, right = texts.toDF("a", "line_a"), texts.toDF("b", "line_b")
-    checked = pairs.join(left, "a").join(right, "b").repartition(spark.sparkContext.defaultParallelism * 4, "a", "b")
+    checked = pairs.join(left, "a").join(right, "b").hint("rebalance", "a", "b")
     distance = edit_distance(F.col("line_a"), F.col("line_b"), edits)
     return checked.select("a", "b", distance.alias("edits")).where("edits is not null")
 
@@ -200,20 +239,23 @@ def _with_marks(df: DataFrame, marks: DataFrame, id_col: str, hash_col: Column)
     return df.join(marks, F.col(id_col).eqNullSafe(F.col("_doc")) & (hash_col == F.col("_h")), "left").drop("_doc", "_h")
 
 
-def repeated_lines(df: DataFrame, edits: int = 2, min_bytes: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(
+    df: DataFrame, edits: int = 2, min_bytes: int = 24, id_col: str = "doc_id", text_col: str = "text",
+    equal_bytes: int | None = None,
+) -> DataFrame:
     """``id_col, n_lines, removed``: the numbers (from 0) of the lines that go, by
     the rule of :func:`mark_repeats`, for every row of ``df``. No text is moved
     for it. A null text has 0 lines; an empty table gives an empty one."""
     lines = F.split(text_col, "\n")
     long_ones = F.filter(
-        F.transform(lines, lambda x, i: F.when(F.octet_length(x) >= min_bytes, i)), lambda i: i.isNotNull()
+        F.transform(lines, lambda x, i: F.when(_counts(x, min_bytes, equal_bytes), i)), lambda i: i.isNotNull()
     )
     own = df.select(
         F.col(id_col), F.xxhash64(text_col).alias("_own"),
         F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.coalesce(long_ones, F.array().cast("array<int>")).alias("_long"),
     ).withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
     kept = F.coalesce("_kept", F.array().cast("array<int>"))
-    marked = _with_marks(own, mark_repeats(df, edits, min_bytes, id_col, text_col), id_col, F.col("_own"))
+    marked = _with_marks(own, mark_repeats(df, edits, min_bytes, id_col, text_col, equal_bytes), id_col, F.col("_own"))
     return marked.select(id_col, "n_lines", F.array_except("_long", kept).alias("removed"))
 
 

@@ -39,7 +39,7 @@ def op3_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    found = line_dedup.repeated_lines(_table(spark, folder, "documents"), edits=2, min_bytes=24)
+    found = line_dedup.repeated_lines(_table(spark, folder, "documents"), edits=2, min_bytes=24, equal_bytes=1)
     return found.select(
         "doc_id",
         F.col("n_lines").cast("long").alias("n_lines"),
@@ -149,18 +149,18 @@ WITH split_docs AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM doc
 lines AS (
   SELECT doc_id, number, parts[number + 1] AS line
   FROM (SELECT doc_id, parts, unnest(range(0, len(parts))) AS number FROM split_docs)),
-long_lines AS (SELECT * FROM lines WHERE strlen(line) >= 24),
-places AS (SELECT line, min((doc_id, number)) AS first FROM long_lines GROUP BY line),
+some_lines AS (SELECT * FROM lines WHERE strlen(line) >= 24 OR regexp_matches(line, '[^\\x09-\\x0D\\x20]')),
+places AS (SELECT line, min((doc_id, number)) AS first FROM some_lines GROUP BY line),
 counted AS (
   SELECT line, first, strlen(line) AS n, {", ".join(f"strlen(line) - strlen(replace(line, '{c}', '')) AS c{i}" for i, c in enumerate("etanhors "))}
-  FROM places),
+  FROM places WHERE strlen(line) >= 24),
 -- Lines within two edits differ by at most two in length and in each letter's count.
 near AS (
   SELECT DISTINCT b.line FROM counted a JOIN counted b ON a.first < b.first AND b.n BETWEEN a.n - 2 AND a.n + 2
     AND {" AND ".join(f"abs(a.c{i} - b.c{i}) <= 2" for i in range(9))}
   WHERE levenshtein(a.line, b.line) <= 2),
 gone AS (
-  SELECT doc_id, number FROM long_lines JOIN places USING (line)
+  SELECT doc_id, number FROM some_lines JOIN places USING (line)
   WHERE (doc_id, number) <> first OR line IN (SELECT line FROM near)),
 listed AS (
   SELECT doc_id, count(*) AS n, string_agg(CAST(number AS VARCHAR), ',' ORDER BY number) AS removed
