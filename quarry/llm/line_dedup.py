@@ -92,31 +92,31 @@ def edit_distance(a: Column, b: Column, edits: int) -> Column:
     return F.coalesce(*found)
 
 
+#: Letters that are counted: frequent ones, as each costs a pass over the line.
+LETTERS = "etaoinsrhldu"
+
+
 def letter_counts(line: Column) -> Column:
-    """Counts of the letters a to z, modulo 16, in 16 fields of four bits."""
-    text = line.cast("string")
+    """Counts of LETTERS, modulo 16, in fields of four bits."""
+    return _packed_counts(line.cast("string"), LETTERS)
+
+
+def _packed_counts(text: Column, characters: str) -> Column:
     n = F.octet_length(text)
-    counts = [F.lit(0).cast("long")] * 16
-    for i in range(26):
-        counts[i % 16] = counts[i % 16] + (n - F.octet_length(F.replace(text, F.lit(chr(97 + i)), F.lit(""))))
     packed = F.lit(0).cast("long")
-    for i, count in enumerate(counts):
+    for i, character in enumerate(characters):
+        count = n - F.octet_length(F.replace(text, F.lit(character), F.lit("")))
         packed = packed.bitwiseOR(F.shiftleft(F.pmod(count, F.lit(16)).cast("long"), 4 * i))
     return packed
 
 
 def digit_counts(line: Column) -> Column:
-    """Counts of the digits, modulo 16, in 10 fields of four bits."""
+    """Counts of the digits, modulo 16, in fields of four bits."""
     text = line.cast("string")
-    n = F.octet_length(text)
-    packed = F.lit(0).cast("long")
-    for i in range(10):
-        count = n - F.octet_length(F.replace(text, F.lit(str(i)), F.lit("")))
-        packed = packed.bitwiseOR(F.shiftleft(F.pmod(count, F.lit(16)).cast("long"), 4 * i))
-    return F.when(text.rlike("[0-9]"), packed).otherwise(F.lit(0).cast("long"))
+    return F.when(text.rlike("[0-9]"), _packed_counts(text, "0123456789")).otherwise(F.lit(0).cast("long"))
 
 
-def counts_apart(a: Column, b: Column, fields: int = 16) -> Column:
+def counts_apart(a: Column, b: Column, fields: int = len(LETTERS)) -> Column:
     """A lower bound of how far the counts are apart; an edit adds two at most."""
     apart = F.lit(0)
     for i in range(fields):
