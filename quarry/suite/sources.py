@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from quarry.operators import corpus as O, encoding
-from quarry.session import shared_folder
+from quarry.session import materialise, shared_folder
 from quarry.sources import catalogue as K, files as S
 from quarry.suite.common import LANGUAGE_OF, joined, table
 
@@ -113,6 +113,7 @@ def encode_no_pieces(spark, folder):
         F.lit("s").alias("scope"), F.lit("word").alias("kind"), F.col("lang").alias("token"),
         (F.ascii("lang") + 10).alias("id"), "count",
     )
+    words = materialise(words, "words")
     return encoding.encode(docs, ["doc_id"], words, 300).select("doc_id", joined(F.col("ids")).alias("ids"))
 
 
