@@ -172,8 +172,8 @@ def near_pairs(points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def links(prints: DataFrame, radius: int = 2) -> DataFrame:
-    """Edges ``a, b`` between ``rep`` of distinct fingerprints within the radius,
-    enough of them for the same components.
+    """Edges ``a, b`` between distinct fingerprints within the radius, enough of
+    them for the same components.
 
     A tree made of a bounded sample deals the fingerprints to shards; one near
     a boundary goes to both sides, so every pair meets in some shard, and each
@@ -192,11 +192,11 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
                 yield batch.iloc[index].assign(shard=leaf)
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
-        a, b = near_pairs(group["fingerprint"].to_numpy().view(np.uint64), radius)
-        rep = group["rep"].to_numpy()
-        return pd.DataFrame({"a": rep[a], "b": rep[b]})
+        points = group["fingerprint"].to_numpy()
+        a, b = near_pairs(points.view(np.uint64), radius)
+        return pd.DataFrame({"a": points[a], "b": points[b]})
 
-    dealt = prints.mapInPandas(deal, "fingerprint long, rep long, shard long")
+    dealt = prints.select("fingerprint").mapInPandas(deal, "fingerprint long, shard long")
     return dealt.groupBy("shard").applyInPandas(search, "a long, b long")
 
 
@@ -220,8 +220,12 @@ def near_duplicates(
     )
     distinct = own.groupBy("fingerprint").agg(F.min(id_col).alias("rep"))
     named = materialise(distinct, "distinct")
-    found = components(links(named.where("rep is not null"), radius))
-    of = named.join(found, named["rep"] == found["node"], "left").select(
-        "fingerprint", F.coalesce("component", "rep").alias("component_id")
-    )
+    found = components(links(named, radius))
+    # Links are between fingerprints, so those that only rows without an id have
+    # take part; the smallest id of a component is found afterwards.
+    root = F.coalesce("component", "fingerprint").alias("root")
+    rooted = named.join(found, named["fingerprint"] == found["node"], "left").select("fingerprint", "rep", root)
+    rooted = materialise(rooted, "rooted")
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    of = rooted.join(least, "root").select("fingerprint", "component_id")
     return own.join(of, "fingerprint").select(id_col, "fingerprint", "component_id")
