@@ -10,9 +10,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.llm.words import byte_batches, text_bytes
+from quarry.operators.ranking import top_k
 
 #: Bounds of what is learned: normalised bytes of text for each language, and
 #: texts for each language from which they are taken.
@@ -129,26 +130,42 @@ class Automata:
         return out
 
 
+def sample_blocks(data: np.ndarray, offsets: np.ndarray, seeds: np.ndarray, size: int) -> bytes:
+    """At most ``size`` bytes of all texts together, each giving a block of the
+    same length (or its whole text, if shorter) from a place that its seed decides."""
+    lengths = np.diff(offsets)
+    ascending = np.sort(lengths)
+    # The block length if the i shortest texts are taken whole.
+    level = (size - (np.cumsum(ascending) - ascending)) // np.arange(len(lengths), 0, -1)
+    block = max(0, int(level[np.argmax(level < ascending)])) if (level < ascending).any() else int(lengths.max())
+    parts = []
+    for start, length, seed in zip(offsets.tolist(), lengths.tolist(), seeds.tolist()):
+        start += seed % (length - block + 1) if length > block else 0
+        parts.append(data[start : start + min(length, block)].tobytes())
+    return b"".join(parts)
+
+
 def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, int, bytes]]:
     """``language, bytes learned from, transitions`` for every label of ``df``.
 
     Of each label the ``TRAIN_TEXTS`` distinct texts with the smallest hashes
-    give, in that order, the first ``TRAIN_BYTES`` normalised bytes. The hashes
-    are ranked before any text is moved, the automata are built in tasks, and
-    only they come to the driver, bounded by the number of labels.
+    give ``TRAIN_BYTES`` normalised bytes, equal blocks of all of them; a text
+    shorter than its block leaves the rest to the others. A block begins at a
+    place of the text that its hash decides. The hashes are ranked in two levels
+    before any text is moved, the automata are built in tasks, and only they
+    come to the driver, bounded by the number of labels.
     """
     known = df.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")
     )
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = known.select("lang", "h").distinct().withColumn("place", place).where(F.col("place") <= TRAIN_TEXTS)
+    chosen = top_k(known.select("lang", "h").distinct(), ["lang"], [F.col("h")], TRAIN_TEXTS, ["h"])
     edge = chosen.groupBy("lang").agg(F.max("h").alias("edge"))
     texts = known.join(F.broadcast(edge), "lang").where("h <= edge").select("lang", "h", "text").distinct()
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["h", "text"])
-        data, _ = normalise(pa.array(group["text"], pa.string()))
-        text = data[:TRAIN_BYTES].tobytes()
+        data, offsets = normalise(pa.array(group["text"], pa.string()))
+        text = sample_blocks(data, offsets, group["h"].to_numpy(), TRAIN_BYTES)
         moves = suffix_automaton(text)
         edges = np.array([(s, c, t) for s, m in enumerate(moves) for c, t in m.items()], np.int32)
         return pd.DataFrame({"lang": [group["lang"].iloc[0]], "size": [len(text)], "edges": [edges.tobytes()]})
