@@ -80,6 +80,16 @@ def test_language_edges(spark):
     assert (single.lang_pred, single.score) == ("fr", 1.0)
 
 
+def test_blocks_of_all_texts():
+    texts = [b"a" * 5, b"b" * 100, b"c" * 1000, b""]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    cut = lambda size: Counter(language_id.sample_blocks(data, offsets, np.array([3, -5, 7, 1]), size))
+    assert cut(65) == {97: 5, 98: 30, 99: 30}
+    assert cut(305) == {97: 5, 98: 100, 99: 200}
+    assert cut(5000) == {97: 5, 98: 100, 99: 1000}
+    assert cut(2) == {}
+
+
 def test_held_out_by_checksum(spark):
     got = {r.doc_id: r.h for r in spark.range(50).selectExpr("id AS doc_id").select("doc_id", language_id.held_out(F.col("doc_id")).alias("h")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in range(50)}
@@ -250,6 +260,55 @@ def test_sharding(spark):
     assert sharding.shuffled_shards(df.limit(0)).count() == 0
 
 
+def spark_hash(*values):
+    """Spark's xxhash64; ints as (value, bytes)."""
+    seed = 42
+    for v in values:
+        if v is not None:
+            data = v.encode() if isinstance(v, str) else v[0].to_bytes(v[1], "little", signed=True)
+            seed = xxhash.xxh64_intdigest(data, seed)
+    return seed - (seed >> 63 << 64)
+
+
+@pytest.mark.parametrize("partitions", [3, 8])
+def test_slots_by_brute_force(spark, partitions):
+    pairs = [(i * 7919, [f"text {i}", None, "", "z" * 300][i % 4]) for i in range(300)] + [(None, "a"), (-4, "b")]
+    n, seed = len(pairs), 17
+    buckets = -(-n // (8 * 20))
+    held = defaultdict(list)
+    for i, t in pairs:
+        key, h = None if i is None else (i, 8), spark_hash(t)
+        shard = max(range(8), key=lambda s: spark_hash((seed, 4), key, (s, 4)))
+        held[shard, spark_hash((seed, 4), key, (h, 8), (0, 8)) % buckets].append((i is not None, i or 0, h, i, t))
+    want, before = {}, Counter()
+    for (shard, bucket), rows in sorted(held.items()):
+        rows.sort(key=lambda r: r[:3])
+        order = list(range(len(rows)))
+        for i in range(len(rows) - 1, 0, -1):
+            j = spark_hash((seed, 4), (shard, 4), (bucket, 8), (i, 4)) % (i + 1)
+            order[i], order[j] = order[j], order[i]
+        want |= {rows[x][3:]: (shard, before[shard] + at) for at, x in enumerate(order)}
+        before[shard] += len(rows)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        got = sharding.shuffled_shards(docs(spark, pairs).repartition(partitions), 8, bucket_rows=20).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert {(r.doc_id, r.text): (r.shard, r.slot) for r in got} == want
+
+
+def test_many_equal_rows_are_spread(spark):
+    df = docs(spark, [(None, "same")] * 300 + [(3, None)] * 300 + [(i, "x") for i in range(100)])
+    rows = sharding.shuffled_shards(df, 4, bucket_rows=25).collect()
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+    assert len(rows) == 700 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    alike = [sorted(r.slot for r in rows if r.doc_id == i and r.text == t) for i, t in ((None, "same"), (3, None))]
+    assert all(any(b - a > 1 for a, b in zip(s, s[1:])) for s in alike if len(slots) > 1)
+
+
 def test_write_shards(spark, tmp_path):
     df = docs(spark, [(i, f"t{i}") for i in range(60)])
     sharding.write_shards(sharding.shuffled_shards(df, 3), str(tmp_path / "out"))
@@ -306,6 +365,17 @@ def test_simhash(spark):
     assert simhash.near_duplicates(docs(spark, []).limit(0)).count() == 0
 
 
+def test_rows_without_an_id_bridge(spark, monkeypatch):
+    chain = [0, 3, 15, 63]  # each two bits from the next
+    known = [(9, chain[0]), (None, chain[1]), (4, chain[2]), (None, chain[3]), (None, chain[3]), (None, 7 << 40), (7, 7 << 50)]
+    table = spark.createDataFrame(known, "doc_id long, fingerprint long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a: table)
+    got = simhash.near_duplicates(table.withColumn("text", F.lit("t"))).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == {
+        (9, 4): 1, (4, 4): 1, (None, 4): 3, (None, None): 1, (7, 7): 1
+    }
+
+
 def test_long_texts_are_hashed_in_blocks(monkeypatch):
     text = " ".join(f"w{i % 97}" for i in range(3000))
     want = simhash.fingerprint(text.encode())
