@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.session import materialise
@@ -10,15 +12,16 @@ from quarry.session import materialise
 #: each); beyond it the texts are fetched by a shuffled join.
 BROADCAST_LINES = 1 << 20
 #: Lines that may share a segment's key before their digits are looked at too.
-CROWD = 256
+CROWD = 64
+#: Reads of the lines that share the probe keys out: the code for all keys at once
+#: is more than the JVM compiles (8,000 bytes a method).
+PROBES = 3
 
 
 def _segment(length: Column, parts: int, i: int) -> tuple[Column, Column]:
-    """Start (from 0) and size of segment i: the last length % parts ones are a byte longer."""
-    base, longer = F.floor(length / parts), length % parts
-    first_longer = parts - longer
-    start = base * i + F.greatest(F.lit(i) - first_longer, F.lit(0))
-    return start.cast("int"), (base + (F.lit(i) >= first_longer).cast("int")).cast("int")
+    """Start (from 0) and size of segment i, which ends where the next begins."""
+    start, end = [(length * k / parts).cast("int") if 0 < k < parts else length * (k // parts) for k in (i, i + 1)]
+    return start, end - start
 
 
 def _key(line: Column, length: Column, i: int, start: Column, size: Column) -> Column:
@@ -26,12 +29,18 @@ def _key(line: Column, length: Column, i: int, start: Column, size: Column) -> C
 
 
 def index_keys(line: Column, edits: int) -> Column:
-    """One key for each of the ``edits + 1`` segments of a line."""
+    """One key for each of the ``edits + 1`` segments of a line, null for empty ones
+    after the first: if one is empty the first is too, and that one is met."""
     n = F.octet_length(line)
-    return F.array(*[_key(line, n, i, *_segment(n, edits + 1, i)) for i in range(edits + 1)])
+    keys = []
+    for i in range(edits + 1):
+        start, size = _segment(n, edits + 1, i)
+        key = _key(line, n, i, start, size)
+        keys.append(F.when(size > 0, key) if i else key)
+    return F.array(*keys)
 
 
-def probe_keys(line: Column, edits: int, longer: int = 0) -> Column:
+def _probe_keys(line: Column, edits: int, longer: int = 0) -> list[Column]:
     """Keys of the substrings that may equal a segment of a line at most ``edits``
     bytes shorter, or up to ``longer`` bytes longer. Segment i of a length may be
     moved by at most i bytes seen from the left and by at most edits - i seen
@@ -43,10 +52,15 @@ def probe_keys(line: Column, edits: int, longer: int = 0) -> Column:
         for i in range(edits + 1):
             start, size = _segment(length, edits + 1, i)
             for move in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
-                inside = (start + move >= 0) & (start + move + size <= n)
-                keys.append(F.when(inside, _key(line, length, i, start + move, size)))
-    # Nulls meet nothing; array_compact would take the keys out of compiled code.
-    return F.array(*keys)
+                key = _key(line, length, i, start + move, size)
+                inside = (length >= 0) & (start + move >= 0) & (start + move + size <= n)
+                keys.append(key if less == 0 and move == 0 else F.when(inside, key))
+    return keys
+
+
+def probe_keys(line: Column, edits: int, longer: int = 0) -> Column:
+    """:func:`_probe_keys` as an array; nulls meet nothing."""
+    return F.array(*_probe_keys(line, edits, longer))
 
 
 def edit_distance(a: Column, b: Column, edits: int) -> Column:
@@ -94,6 +108,8 @@ def edit_distance(a: Column, b: Column, edits: int) -> Column:
 
 #: Letters that are counted: frequent ones, as each costs a pass over the line.
 LETTERS = "etaoinsrhldu"
+#: The others, counted only where a segment is crowded.
+OTHER_LETTERS = "bcfgjkmpqvwxyz"
 
 
 def letter_counts(line: Column) -> Column:
@@ -166,18 +182,23 @@ def near_lines(lines: DataFrame, edits: int) -> DataFrame:
 
     A segment of more than CROWD lines, as a template has that is filled with
     dates or numbers, is not met alone: an edit of the line is one of its digits
-    at most, so near lines share a segment of the string of their digits too.
+    at most, so near lines share a segment of the string of their digits too. All
+    letters are counted there, as lines without digits still meet.
     """
     spark = lines.sparkSession
     own = [F.octet_length("line"), F.col("counts"), F.col("digits"), F.col("line")]
     index = lines.select(F.explode(index_keys(F.col("line"), edits)).alias("key"), F.col("id").alias("a"),
                          *[c.alias(x) for c, x in zip(own, ("n", "p", "pd", "la"))])
-    probe = lines.select(F.explode(probe_keys(F.col("line"), edits)).alias("key"), F.col("id").alias("b"),
-                         *[c.alias(x) for c, x in zip(own, ("m", "q", "qd", "lb"))]).where("key is not null")
+    keys = _probe_keys(F.col("line"), edits)
+    probe = reduce(DataFrame.union, [
+        lines.select(F.explode(F.array(*keys[i::PROBES])).alias("key"), F.col("id").alias("b"),
+                     *[c.alias(x) for c, x in zip(own, ("m", "q", "qd", "lb"))]).where("key is not null")
+        for i in range(PROBES)
+    ])
     order = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b")))
     apart = counts_apart(F.col("p"), F.col("q")) + counts_apart(F.col("pd"), F.col("qd"), 10)
 
-    def meet(index: DataFrame, probe: DataFrame) -> DataFrame:
+    def meet(index: DataFrame, probe: DataFrame, apart: Column = apart) -> DataFrame:
         both = index.drop("la").join(probe.drop("lb"), (index["key"] == probe["key"]) & order & (apart <= 2 * edits))
         return both.select("a", "b")
 
@@ -189,9 +210,12 @@ def near_lines(lines: DataFrame, edits: int) -> DataFrame:
         second = lambda keys: F.explode(F.transform(keys, lambda x: F.when(x.isNotNull(), F.xxhash64("key", x))))
         digits = lambda line: F.regexp_replace(F.col(line).cast("string"), "[^0-9]", "").cast("binary")
         left, right = index.join(crowded, "key", "left_semi"), probe.join(crowded, "key", "left_semi")
+        others = lambda line: _packed_counts(F.col(line).cast("string"), OTHER_LETTERS)
+        left, right = left.withColumn("po", others("la")), right.withColumn("qo", others("lb"))
+        all_apart = apart + counts_apart(F.col("po"), F.col("qo"), len(OTHER_LETTERS))
         left = left.select(second(index_keys(digits("la"), edits)).alias("key2"), *left.columns).drop("key").withColumnRenamed("key2", "key")
         right = right.select(second(probe_keys(digits("lb"), edits, edits)).alias("key2"), *right.columns)
-        met = met.union(meet(left, right.drop("key").withColumnRenamed("key2", "key").where("key is not null")))
+        met = met.union(meet(left, right.drop("key").withColumnRenamed("key2", "key").where("key is not null"), all_apart))
     pairs = materialise(met.select("a", "b").distinct(), "pairs")
     wanted = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
     if wanted.count() <= BROADCAST_LINES:
