@@ -259,6 +259,10 @@ def decode(
     )
 
 
+def valid_pair(code_ids: Column, query_ids: Column) -> Column:
+    """Both sequences hold at least one id that is not padding."""
+    return has_real_id(code_ids) & has_real_id(query_ids)
+
+
 def valid_sequences(df: DataFrame, code_ids: str = "code_ids", query_ids: str = "query_ids") -> DataFrame:
-    """Rows in which both sequences hold at least one id that is not padding."""
-    return df.filter(has_real_id(F.col(code_ids)) & has_real_id(F.col(query_ids)))
+    return df.filter(valid_pair(F.col(code_ids), F.col(query_ids)))

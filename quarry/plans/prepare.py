@@ -10,7 +10,7 @@ from quarry import constants as C
 from quarry.functions import text as T
 from quarry.operators import corpus
 from quarry.operators.embedding import Model, embed, initial_model, warm_start
-from quarry.operators.encoding import encode, valid_sequences
+from quarry.operators.encoding import encode, valid_pair
 from quarry.operators.forest import Forest
 from quarry.operators.training import fit, scope_name
 from quarry.operators.vocabulary import fit_vocabulary, merge_vocabularies, token_counts
@@ -75,9 +75,8 @@ def prepare_sequences(
     ).drop("scope")
     kept = preprocessed.select(key, "set", "language", owner.alias("owner"))
     both = code.join(kept, key).join(query, key, "left")
-    return both.filter(F.col("set") == "all").unionByName(
-        valid_sequences(both.filter(F.col("set") != "all"))
-    )
+    # One filter, so that both encodings are planned once.
+    return both.filter((F.col("set") == "all") | valid_pair(F.col("code_ids"), F.col("query_ids")))
 
 
 def prepare(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry import constants as C
@@ -12,7 +14,7 @@ from quarry.operators.forest import Forest
 from quarry.operators.neighbours import VectorIndex, nearest, nearest_to_stored
 from quarry.plans.prepare import published_index, published_model
 from quarry.session import materialise
-from quarry.sources.catalogue import log_queries, repository_languages
+from quarry.sources.catalogue import log_queries, repository_languages, with_cache
 from quarry.sources.publication import REPOSITORY, Snapshot
 
 
@@ -285,6 +287,44 @@ def published_similar(snapshot: Snapshot, requests: DataFrame, k: int = C.WEB_RE
     return similar_documents(requests, None, documents, k, REPOSITORY, published_index(snapshot), **options)
 
 
+#: A stored answer: the columns of :func:`with_documents` by key.
+ANSWERS = (
+    "cache_key string, query_id string, language string, row_index long, url string, code_hash string, "
+    "filename string, rank int, distance double, rating double"
+)
+
+
+def answered(requests: DataFrame, key: Column, cache: str, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Results of ``search`` for every request, from the ``cache`` where it has
+    them. Equal requests are searched once and each gets the results. Nothing
+    expires: after a refresh of what is searched the cache is to be cleared."""
+    keyed = materialise(requests.withColumn("cache_key", key), "keyed")
+
+    def compute(misses: DataFrame) -> DataFrame:
+        once = misses.where("cache_key is not null").dropDuplicates(["cache_key"])
+        found = search(once.withColumn("query_id", F.col("cache_key")).drop("cache_key"))
+        # Requests for similar documents name language and row after the key.
+        return found.withColumn("cache_key", F.substring_index("query_id", ":", 1))
+
+    found = with_cache(keyed, cache, ANSWERS, compute)
+    suffix = F.substr("query_id", F.length("cache_key") + 1)
+    asked = keyed.select(F.col("query_id").alias("_asked"), "cache_key")
+    whole = F.when(suffix == "", F.col("_asked").cast("string")).otherwise(F.concat(F.col("_asked").cast("string"), suffix))
+    return found.join(asked, "cache_key").withColumn("query_id", whole).drop("_asked", "cache_key")
+
+
+def cached_text_search(snapshot: Snapshot, queries: DataFrame, cache: str, k: int = C.WEB_RESULTS, **options) -> DataFrame:
+    """:func:`published_text_search` through a cache; ``query_id`` comes back as a string."""
+    key = T.cache_key("query", F.col("organization"), F.col("name"), F.col("query"))
+    return answered(queries, key, cache, lambda asked: published_text_search(snapshot, asked, k, **options))
+
+
+def cached_similar(snapshot: Snapshot, requests: DataFrame, cache: str, k: int = C.WEB_RESULTS, **options) -> DataFrame:
+    """:func:`published_similar` through a cache."""
+    key = T.cache_key("similar", F.col("organization"), F.col("name"), F.col("code_hash"))
+    return answered(requests, key, cache, lambda asked: published_similar(snapshot, asked, k, **options))
+
+
 def predict(
     queries: DataFrame,
     items: DataFrame | None,

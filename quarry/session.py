@@ -31,10 +31,17 @@ def build_session(app: str = "quarry", master: str | None = None, **conf) -> Spa
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: the one the cluster names in
-    ``spark.checkpoint.dir``, or, where that is unset, one in the warehouse."""
+    ``spark.checkpoint.dir``, or, where that is unset, one in the warehouse.
+
+    A warehouse on a machine's own disk serves a local session only; on a
+    cluster the executors would each write to theirs, so that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        scheme = path.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme()
+        if scheme == "file" and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 

@@ -10,6 +10,7 @@ from quarry import constants as C
 from quarry.functions import text as T
 from quarry.operators.embedding import Model
 from quarry.session import materialise
+from quarry.sources.keyed import read_keyed, save_keyed
 
 REPOSITORY = ["organization", "name"]
 
@@ -153,6 +154,26 @@ def documents_by_hash(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     return documents.join(wanted, [*REPOSITORY, "code_hash"])
 
 
+#: What the index on content hashes holds of a document: where it is.
+HASH_INDEX = "organization string, name string, code_hash string, language string, row_index long"
+
+
+def save_hash_index(documents: DataFrame, path: str) -> None:
+    """The second index of stored documents: by content hash, next to their
+    own layout by repository. A hash that many documents share is cut into
+    files by their places."""
+    places = documents.select(*REPOSITORY, "code_hash", "language", F.col("row_index").cast("long"))
+    save_keyed(places, "code_hash", path, [*REPOSITORY, "language", "row_index"])
+
+
+def places_by_hash(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """Places of all documents with a wanted code_hash, in all repositories or,
+    if ``wanted`` names them, in its own; reads the folders of these hashes."""
+    wanted = materialise(wanted.distinct(), "wanted")
+    by = [c for c in [*REPOSITORY, "code_hash"] if c in wanted.columns]
+    return read_keyed(spark, path, HASH_INDEX, "code_hash", wanted).join(wanted.select(by), by, "left_semi")
+
+
 # --- Result cache -------------------------------------------------------------
 
 
@@ -164,9 +185,10 @@ def with_cache(
 ) -> DataFrame:
     """Results of ``requests`` by ``cache_key``: stored ones are read, only
     the others are computed, and those are appended. Nothing expires. A
-    request without results is kept as a row with its key alone."""
+    request without results is kept as a row with its key alone; one without
+    a key is computed each time. Only the folders of the asked keys are read."""
     spark = requests.sparkSession
-    stored = spark.read.schema(schema).parquet(path)
+    stored = read_keyed(spark, path, schema, "cache_key", requests)
     values = [F.col(c).isNotNull() for c in stored.columns if c != "cache_key"]
     known = stored.select("cache_key").distinct()
     misses = requests.join(known, "cache_key", "left_anti")
@@ -174,9 +196,11 @@ def with_cache(
     filled = stored.where(F.array_contains(F.array(*values), True))
     hits = materialise(filled.join(requests, "cache_key", "left_semi"), "hits")
     answered = misses.select("cache_key").distinct().join(fresh, "cache_key", "left")
-    materialise(answered.select(stored.columns), "answered").write.mode("append").parquet(path)
+    answered = materialise(answered.select(stored.columns), "answered")
+    save_keyed(answered, "cache_key", path, mode="append")
     return hits.unionByName(fresh)
 
 
 def clear_cache(spark: SparkSession, path: str, schema: str) -> None:
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+    """An empty cache, whatever was stored."""
+    save_keyed(spark.createDataFrame([], schema), "cache_key", path)

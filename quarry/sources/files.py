@@ -106,11 +106,15 @@ def repository_list(spark: SparkSession, path: str) -> DataFrame:
     ).withColumn("languages", F.split("languages", r"\|"))
 
 
-def relevance_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """Nested language → query → url → score JSON as flat rows."""
+def relevance_annotations(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Nested language → query → url → score JSON as flat rows.
+
+    One object is read whole; with ``lines`` every line is an object of its
+    own, so that a large list is split like any text.
+    """
     nested = "map<string, map<string, map<string, double>>>"
     return (
-        spark.read.text(path, wholetext=True)
+        spark.read.text(path, wholetext=not lines)
         .select(F.from_json("value", nested).alias("by_language"))
         .select(F.explode("by_language").alias("language", "by_query"))
         .select("language", F.explode("by_query").alias("query", "by_url"))

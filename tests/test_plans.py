@@ -8,6 +8,7 @@ from quarry.functions import text as T
 from quarry.operators.neighbours import nearest
 from quarry.plans import prepare as P, search as Q
 from quarry.sources import publication as B
+from quarry.sources.catalogue import clear_cache
 
 
 def line_functions(files):
@@ -125,6 +126,32 @@ def test_similar_stays_in_its_repository(spark, refreshed):
     assert {r.url for r in found} <= urls and not {r.url for r in found} & {r.url for r in stored.collect()}
 
 
+def test_searches_through_a_cache(spark, refreshed, tmp_path):
+    _, snapshot = refreshed
+    cache = str(tmp_path / "cache")
+    clear_cache(spark, cache, Q.ANSWERS)
+    queries = spark.createDataFrame(
+        [(1, "org", "big", "sort the list"), (2, "org", "big", "sort the list"), (3, "org", "other", "sort the list"),
+         (4, "org", "gone", "read file"), (5, "org", "big", "write it")],
+        "query_id long, organization string, name string, query string",
+    )
+    plain = Q.published_text_search(snapshot, queries, 6, search_k=10_000)
+    pick = lambda df: sorted((str(r.query_id), r.rank, r.row_index, r.url, round(r.distance, 9)) for r in df.collect())
+    first = Q.cached_text_search(snapshot, queries.where("query_id < 4"), cache, 6, search_k=10_000)
+    assert pick(first) == [r for r in pick(plain) if r[0] < "4"] and len(pick(first)) == 18
+    again = Q.cached_text_search(snapshot, queries, cache, 6, search_k=10_000)
+    assert pick(again) == pick(plain)
+    held = spark.read.schema(Q.ANSWERS).parquet(cache)
+    # Two requests were equal; the unknown repository is kept without results.
+    assert held.select("cache_key").distinct().count() == 4 and held.count() == 19
+    stored = snapshot.table("code_document").where("name = 'other'").limit(3)
+    requests = stored.select(F.monotonically_increasing_id().alias("query_id"), "organization", "name", "code_hash")
+    requests = spark.createDataFrame(requests.collect(), requests.schema)
+    same = pick(Q.published_similar(snapshot, requests, 4, search_k=10_000))
+    for _ in range(2):
+        assert pick(Q.cached_similar(snapshot, requests, cache, 4, search_k=10_000)) == same and len(same) == 12
+
+
 def test_refreshing_one_keeps_the_others(spark, tmp_path):
     target = str(tmp_path)
     refresh = lambda repos, **args: P.update_repositories(
