@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quarry import constants as C
 from quarry.plans import search as P
+from quarry.session import shared_folder
 from quarry.sources import catalogue as K
 from quarry.suite.common import DOCS, documents, sql_strip, table
 
@@ -96,6 +99,17 @@ def doc_by_hash(spark, folder):
     return K.documents_by_hash(docs, wanted).select("name", "code_hash", "language", "doc_id")
 
 
+def doc_by_hash_index(spark, folder):
+    """Where all documents are that share a text, in whatever repository, by the index on hashes."""
+    path = f"{shared_folder(spark)}/hashes-{uuid.uuid4().hex}"
+    docs = documents(spark, folder).select(
+        F.lit("org").alias("organization"), F.col("repo").alias("name"), "language",
+        F.sha1("text").alias("code_hash"), F.col("doc_id").alias("row_index"),
+    )
+    K.save_hash_index(docs, path)
+    return K.places_by_hash(spark, path, docs.select("code_hash"))
+
+
 def language_intersect(spark, folder):
     """Languages to search for each benchmark query in its repository."""
     n = F.col("item_id") % 4
@@ -133,7 +147,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         finished_repos, active_repos, named_repos, repo_languages, repo_count, repo_text_filter,
-        query_validation, code_validation, doc_by_hash, language_intersect, query_log_per_day,
+        query_validation, code_validation, doc_by_hash, doc_by_hash_index, language_intersect, query_log_per_day,
         query_log_all_days,
     ]
 }
@@ -185,6 +199,10 @@ FROM asked d LEFT JOIN known k ON k.repo = d.repo AND k.language = d.language"""
 WITH {DOCS},
 h AS (SELECT doc_id, repo, language, sha1(text) AS code_hash FROM docs)
 SELECT repo AS name, code_hash, language, doc_id FROM h""",
+    "doc_by_hash_index": f"""
+WITH {DOCS}
+SELECT 'org' AS organization, repo AS name, sha1(text) AS code_hash, language, doc_id AS row_index FROM docs
+WHERE text IS NOT NULL""",
     "language_intersect": f"""
 WITH {DOCS},
 l AS (SELECT repo, list(DISTINCT language ORDER BY language) AS languages FROM docs GROUP BY repo),

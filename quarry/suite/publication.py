@@ -18,7 +18,7 @@ from quarry.suite.common import DOCS, documents, sql_code_tokens, sql_normal_cod
 MINIMUM, WIDTH, TREES = 3, 32, 5
 
 
-def _files(spark, folder):
+def repository_files(spark, folder):
     """English documents are Python files, all others Go files, of ``org/<source>``."""
     docs = documents(spark, folder)
     suffix = F.when(F.col("language") == "python", ".py").otherwise(".go")
@@ -45,7 +45,7 @@ def _refresh_twice(spark, folder):
     """Repositories 0 to 11, without every fourth document; then 8 to 19 whole, but
     for number 9, of which only one word a file is left and which fails."""
     target = f"{shared_folder(spark)}/published-{uuid.uuid4().hex}"
-    files = _files(spark, folder)
+    files = repository_files(spark, folder)
     first = files.where("number < 12 and doc_id % 4 <> 0").withColumn("commit_hash", F.lit("c1"))
     text = F.when(F.col("number") == 9, "x").otherwise(F.col("text"))
     second = files.where("number >= 8").withColumn("text", text).withColumn("commit_hash", F.lit("c2"))

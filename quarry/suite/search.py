@@ -14,7 +14,7 @@ from quarry.operators.encoding import encode
 from quarry.operators.vocabulary import merge_vocabularies
 from quarry.plans import search as P
 from quarry.session import materialise, shared_folder
-from quarry.sources.catalogue import clear_cache, with_cache
+from quarry.sources.catalogue import clear_cache, load_model, save_model, with_cache
 from quarry.suite.common import (
     CODE_DOCS, DOCS, TEXT_QUERIES, code_documents, documents, quote, rounded, sql_code_tokens,
     sql_normal_code, sql_strip, table, text_queries,
@@ -69,6 +69,20 @@ def encode_embeddings(spark, folder):
     return _by_number(vectors, ["doc_id", "language"])
 
 
+def stored_model(spark, folder):
+    """The test weights, written and read: what each part holds of a scope."""
+    path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    save_model(model(spark, folder), path)
+    held = load_model(spark, path)
+    per = lambda df, n, total: df.groupBy("scope").agg(F.count("*").alias(n), rounded(F.sum(total), 4).alias(f"{n}_sum"))
+    width = F.aggregate("w", F.lit(0.0), lambda a, x: a + x)
+    return (
+        per(held.tokens, "vectors", F.element_at("vec", 1))
+        .join(per(held.gate, "gates", width), "scope")
+        .join(per(held.norms, "positions", F.col("mean") + F.col("var") + F.col("gamma") + F.col("beta")), "scope")
+    )
+
+
 def encode_embeddings_join(spark, folder):
     """The same embeddings in many small groups of each scope."""
     weights = model(spark, folder)
@@ -311,6 +325,7 @@ QUERIES = {
         encode_embeddings, encode_embeddings_join, encode_query, encode_code, transfer_embeddings,
         knn_exact, knn_evaluation, knn_index_all_cells, similar_docs, cosine_pairs,
         match_rating, search_text, search_code, search_similar, search_rejects, result_cache,
+        stored_model,
     ]
 }
 
@@ -542,6 +557,16 @@ SELECT 'similar', query_id, CASE WHEN NOT EXISTS (
     SELECT 1 FROM stored s WHERE s.repo = a.repo AND s.code_hash = sha1(a.text))
   THEN 'unknown document' ELSE 'ok' END
 FROM asked a""",
+    "stored_model": f"""
+WITH {WEIGHTS},
+first AS (SELECT count(*) AS n, sum(vec[1]) AS s FROM tok),
+weights AS (SELECT scope, list_sum({_W}) AS s FROM scopes),
+norms AS (
+  SELECT count(*) AS n, sum(1e-2 * p - 5e-1 + 1e-1 * p + 1e0 + 2e-2 * p + 1e0 + 5e-1 - 1e-2 * p) AS s
+  FROM range({C.CODE_LENGTH}) AS r(p))
+SELECT scope, f.n AS vectors, round(f.s, 4) + 0e0 AS vectors_sum, 1::BIGINT AS gates, round(w.s, 4) + 0e0 AS gates_sum,
+  m.n AS positions, round(m.s, 4) + 0e0 AS positions_sum
+FROM weights w, first f, norms m""",
     "result_cache": f"""
 SELECT sha1('query:org:labels:' || query_id) AS cache_key, * FROM ({_sql_knn(C.WEB_RESULTS)})""",
 }

@@ -113,10 +113,20 @@ def prepare_seqs(spark, folder):
     )
 
 
+def prepare_steps(spark, folder):
+    """Vocabularies and sequences as two runs of one step each over the pairs."""
+    documents = materialise(pair_documents(spark, folder), "pairs")
+    vocabulary = P.prepare(None, "row_id", SIZE, steps=("vocabularies",), preprocessed=documents)["vocabularies"]
+    done = P.prepare(None, "row_id", SIZE, steps=("sequences",), preprocessed=documents, vocabulary=vocabulary)
+    return done["sequences"].select(
+        "row_id", "set", joined(F.col("code_ids")).alias("code_ids"), joined(F.col("query_ids")).alias("query_ids")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in [
-        subword_tokenize, tokenize, encode_pad, encode_reverse, decode, valid_seqs, prepare_seqs,
+        subword_tokenize, tokenize, encode_pad, encode_reverse, decode, valid_seqs, prepare_seqs, prepare_steps,
     ]
 }
 
@@ -211,6 +221,11 @@ p_query AS (SELECT row_id, 'query' AS scope, query_tokens AS tokens FROM pair_do
 {sql_encode('pc', 'p_', 'p_code', 'row_id', C.CODE_LENGTH)},
 {sql_encode('pq', 'p_', 'p_query', 'row_id', C.QUERY_LENGTH)}"""
 
+_PAIR_SEQUENCES = f"""
+SELECT row_id, d."set", {sql_joined('pc.ids')} AS code_ids, {sql_joined('pq.ids')} AS query_ids
+FROM pc JOIN pq USING (row_id) JOIN pair_docs d USING (row_id)
+WHERE len(list_filter(pc.ids, lambda i: i <> 0)) > 0 AND len(list_filter(pq.ids, lambda i: i <> 0)) > 0"""
+
 SQL = {
     "subword_tokenize": f"""
 WITH RECURSIVE {CODE_VOCAB}, {sql_walk('c_')}
@@ -244,11 +259,9 @@ WITH RECURSIVE {PAIR_ENCODED}
 SELECT row_id, array_to_string(list_transform(pq.ids, lambda i: CASE WHEN i <> 0 THEN 1 ELSE 0 END), '|') AS mask
 FROM pq JOIN pc USING (row_id) JOIN pair_docs d USING (row_id)
 WHERE len(d.query_tokens) >= 25 AND len(list_filter(pc.ids, lambda i: i <> 0)) > 0""",
+    "prepare_steps": f"WITH RECURSIVE {PAIR_ENCODED}{_PAIR_SEQUENCES}",
     "prepare_seqs": f"""
-WITH RECURSIVE {PAIR_ENCODED}
-SELECT row_id, d."set", {sql_joined('pc.ids')} AS code_ids, {sql_joined('pq.ids')} AS query_ids
-FROM pc JOIN pq USING (row_id) JOIN pair_docs d USING (row_id)
-WHERE len(list_filter(pc.ids, lambda i: i <> 0)) > 0 AND len(list_filter(pq.ids, lambda i: i <> 0)) > 0
+WITH RECURSIVE {PAIR_ENCODED}{_PAIR_SEQUENCES}
 UNION ALL
 SELECT -row_id - 1, 'all', {sql_joined('ids')}, NULL FROM pc""",
 }

@@ -6,10 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from quarry import constants as C
 from quarry.operators import corpus as O, encoding
 from quarry.session import materialise, shared_folder
 from quarry.sources import catalogue as K, files as S
-from quarry.suite.common import LANGUAGE_OF, joined, table
+from quarry.suite.common import DOCS, LANGUAGE_OF, documents, joined, sql_code_tokens, sql_strip, table
+from quarry.suite.publication import repository_files, whole_files
 
 DOCUMENT = "doc_id long, text string, lang string"
 
@@ -117,7 +119,112 @@ def encode_no_pieces(spark, folder):
     return encoding.encode(docs, ["doc_id"], words, 300).select("doc_id", joined(F.col("ids")).alias("ids"))
 
 
+def evaluation_list(spark, folder):
+    """The benchmark texts as a list of queries: a header, then one a line."""
+    path = _place(spark, "queries")
+    texts = table(spark, folder, "benchmark").select(
+        F.col("item_id").alias("n"), F.regexp_replace("text", r"[\r\n]+", " ").alias("value")
+    )
+    header = texts.limit(1).select(F.lit(-1).cast("long").alias("n"), F.lit("query").alias("value"))
+    # One list is one file.
+    header.unionByName(texts).orderBy("n").coalesce(1).select("value").write.text(path)
+    return S.evaluation_queries(spark, path).select("query_id", F.md5("query").alias("query"))
+
+
+def _shipped(spark, folder):
+    """Suppliers as repositories with the kinds of their lines as languages."""
+    lines = table(spark, folder, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(
+        F.array_sort(F.collect_set("l_returnflag")).alias("languages")
+    )
+    return table(spark, folder, "supplier").join(lines, "s_suppkey").select(
+        "s_suppkey", F.concat(F.lit("nation, "), F.col("s_nationkey").cast("string")).alias("organization"),
+        F.col("s_name").alias("name"), "languages",
+    )
+
+
+def repository_list(spark, folder):
+    """A list of repositories in CSV, whose organizations hold commas."""
+    path = _place(spark, "list")
+    rows = _shipped(spark, folder).select(
+        "organization", "name", F.lit('a "quoted" text').alias("description"), F.lit(None).cast("string").alias("commit_hash"),
+        F.array_join("languages", "|").alias("languages"),
+    )
+    rows.write.option("header", True).csv(path)
+    return S.repository_list(spark, path).select(
+        "organization", "name", F.explode("languages").alias("language"), F.col("commit_hash").isNull().alias("fresh")
+    )
+
+
+def register_one(spark, folder):
+    """All repositories but the first are registered together, that one by itself."""
+    path = _place(spark, "repositories")
+    shipped = materialise(_shipped(spark, folder), "shipped")
+    first = shipped.orderBy("s_suppkey").first()
+    others = shipped.where(F.col("s_suppkey") != first["s_suppkey"]).drop("s_suppkey")
+    texts = {"description": F.lit("text"), "commit_hash": F.lit(None).cast("string")}
+    K.register_repositories(others.withColumns(texts), path)
+    single = K.one_repository(spark, first["organization"], first["name"], ",".join(first["languages"]), "text")
+    K.register_repositories(single, path)
+    known = spark.read.parquet(f"{path}/repository").select("organization", "name", "description", "update_status")
+    return known.join(K.repository_languages(spark.read.parquet(f"{path}/repository_language")), ["organization", "name"]).withColumn(
+        "languages", joined(F.col("languages"))
+    )
+
+
+def relevance_list(spark, folder):
+    """Documents as annotations, nested by language, query and url, an object a line."""
+    path = _place(spark, "annotations")
+    scores = table(spark, folder, "documents").select(
+        "lang", "source", F.col("doc_id").cast("string").alias("url"), (F.col("n_chars") % 4).cast("double").alias("score"),
+        F.expr("doc_id div 64").alias("line"),
+    )
+    urls = F.map_from_entries(F.collect_list(F.struct("url", "score")))
+    nested = scores.groupBy("lang", "source", "line").agg(urls.alias("urls"))
+    nested.select(F.to_json(F.create_map("lang", F.create_map("source", "urls")))).write.text(path)
+    return S.relevance_annotations(spark, path, lines=True)
+
+
+def language_table(spark, folder):
+    """The table of languages, written twice, with the documents of each."""
+    path = _place(spark, "languages")
+    for _ in range(2):
+        K.refresh_languages(spark, path)
+    counted = documents(spark, folder).groupBy(F.col("language").alias("name")).agg(F.count("*").alias("n"))
+    return spark.read.parquet(path).join(counted, "name", "left")
+
+
+def cleared_cache(spark, folder):
+    """Lengths of all texts through a cache, which is cleared; then of every second document, twice."""
+    path, schema = _place(spark, "cache"), "cache_key string, n_chars long"
+    K.clear_cache(spark, path, schema)
+    keyed = table(spark, folder, "documents").select("doc_id", F.sha1("text").alias("cache_key"), F.length("text").alias("n_chars"))
+
+    def compute(misses):
+        return misses.select("cache_key", F.col("n_chars").cast("long")).distinct()
+
+    K.with_cache(keyed, path, schema, compute)
+    K.clear_cache(spark, path, schema)
+    for _ in range(2):
+        K.with_cache(keyed.where("doc_id % 2 = 0"), path, schema, compute)
+    return spark.read.schema(schema).parquet(path).groupBy("cache_key").agg(
+        F.min("n_chars").alias("n_chars"), F.count("*").alias("rows")
+    )
+
+
+def extract_documents(spark, folder):
+    """All documents as files of their repositories, each file one definition."""
+    files = repository_files(spark, folder).withColumn("commit_hash", F.lit("c"))
+    found = O.extract(files.drop("number", "doc_id"), whole_files, ["organization", "name", "commit_hash"])
+    return found.select("name", "language", "path", "start_line", F.sha1("code").alias("code_hash"))
+
+
 QUERIES = {
+    **{
+        f.__name__: f
+        for f in [
+            evaluation_list, repository_list, register_one, relevance_list, language_table, cleared_cache, extract_documents,
+        ]
+    },
     "roundtrip_jsonl": _round_trip("jsonl", DOCUMENT),
     "roundtrip_jsonl_gzip": _round_trip("jsonl-gzip", DOCUMENT),
     "roundtrip_table": _round_trip("table"),
@@ -132,7 +239,34 @@ QUERIES = {
 }
 
 _DOCUMENTS = "SELECT doc_id, lang, md5(text) AS text FROM documents"
+_SHIPPED = """SELECT DISTINCT 'nation, ' || s_nationkey AS organization, s_name AS name, l_returnflag AS language
+FROM supplier JOIN lineitem ON l_suppkey = s_suppkey"""
+_LANGUAGES = ", ".join(f"({i}, '{name}')" for i, name in enumerate(C.LANGUAGES, 1))
 SQL = {
+    "evaluation_list": """
+SELECT (row_number() OVER (ORDER BY item_id) - 1)::INTEGER AS query_id,
+  md5(trim(regexp_replace(text, '[\r\n]+', ' ', 'g'), ' ')) AS query FROM benchmark""",
+    "repository_list": f"SELECT *, true AS fresh FROM ({_SHIPPED})",
+    "register_one": f"""
+SELECT organization, name, 'text' AS description, 0 AS update_status, string_agg(language, '|' ORDER BY language) AS languages
+FROM ({_SHIPPED}) GROUP BY ALL""",
+    "relevance_list": """
+SELECT lang AS language, source AS query, doc_id::VARCHAR AS url, (n_chars % 4)::DOUBLE AS relevance FROM documents""",
+    "language_table": f"""
+WITH {DOCS}, counted AS (SELECT language AS name, count(*) AS n FROM docs GROUP BY ALL)
+SELECT l.id, l.name, n FROM (VALUES {_LANGUAGES}) AS l(id, name) LEFT JOIN counted c ON c.name = l.name""",
+    "cleared_cache": """
+SELECT sha1(text) AS cache_key, any_value(length(text)) AS n_chars, 1::BIGINT AS rows
+FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL GROUP BY text""",
+    "extract_documents": f"""
+WITH {DOCS},
+files AS (
+  SELECT repo AS name, CASE language WHEN 'python' THEN 'python' ELSE 'go' END AS language, text,
+    regexp_replace(path, '[.][A-Za-z]+$', '') || CASE language WHEN 'python' THEN '.py' ELSE '.go' END AS path FROM docs),
+lexed AS (
+  SELECT name, language, path, {sql_strip('text')} AS code FROM files
+  WHERE length(text) <= {C.MAX_FILE_CHARS} AND len({sql_code_tokens('language', 'text')}) > 1)
+SELECT name, language, min(path) AS path, 1 AS start_line, sha1(code) AS code_hash FROM lexed GROUP BY name, language, code""",
     "roundtrip_jsonl": _DOCUMENTS,
     "roundtrip_jsonl_gzip": _DOCUMENTS,
     "roundtrip_table": _DOCUMENTS,

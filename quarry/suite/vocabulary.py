@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quarry import constants as C
 from quarry.operators import vocabulary as K
-from quarry.session import materialise
+from quarry.session import materialise, shared_folder
+from quarry.sources.catalogue import save_table
 from quarry.suite.common import CODE_DOCS, TEXT_QUERIES, code_documents, quote, text_queries
 
 # Ids past the vector table have no vector and no weight in an embedding.
@@ -68,6 +71,22 @@ def word_vocab(spark, folder):
     return K.word_vocabulary(counts, SIZE, C.BPE_SHARE)
 
 
+#: Words that a vocabulary must hold; not all of them are in the texts.
+REQUIRED = ["the", "def", "a-token-of-no-text"]
+
+
+def required_vocab(spark, folder):
+    """Words with required ones first, and the pieces that follow their share."""
+    return K.fit_vocabulary(code_counts(spark, folder), SIZE, required=REQUIRED)
+
+
+def stored_vocab(spark, folder):
+    """The vocabulary of the code, written and read."""
+    path = f"{shared_folder(spark)}/vocabulary-{uuid.uuid4().hex}"
+    save_table(code_vocabulary(spark, folder), path)
+    return spark.read.parquet(path)
+
+
 def bpe_vocab(spark, folder):
     return code_vocabulary(spark, folder).filter("kind = 'bpe'")
 
@@ -98,7 +117,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         token_counts, query_token_counts, oov_words, ngram_counts, top_ngrams, word_vocab,
-        bpe_vocab, threshold_vocab, merge_vocab, new_tokens,
+        bpe_vocab, threshold_vocab, merge_vocab, new_tokens, required_vocab, stored_vocab,
     ]
 }
 
@@ -112,16 +131,22 @@ def sql_counts(name: str, source: str) -> str:
   FROM (SELECT scope, unnest(tokens) AS token FROM {source}) GROUP BY scope, token)"""
 
 
-def sql_vocabulary(p: str, counts: str, size: int, share: float = C.BPE_SHARE) -> str:
+def sql_vocabulary(p: str, counts: str, size: int, share: float = C.BPE_SHARE, required: tuple = ()) -> str:
     """CTEs ``{p}words, {p}oov, {p}grams, {p}bpe, {p}vocab`` from a counts CTE."""
-    first = max(int(size * (1 - share)), 2)
     pad, unk, sow, eow = (quote(x) for x in (C.PAD, C.UNK, C.SOW, C.EOW))
+    n = 2 + len(required)
+    first = max(int(size * (1 - share)), n)
+    others = "".join(
+        f"\n  UNION ALL SELECT DISTINCT scope, 'word', {quote(x)}, {i}, 2147483648 FROM {counts}"
+        for i, x in enumerate(sorted(required), 2)
+    )
+    reserved = ", ".join([pad, unk, *map(quote, required)])
     return f"""{p}words AS (
   SELECT DISTINCT scope, 'word' AS kind, {pad} AS token, 0 AS id, 4294967296 AS count FROM {counts}
-  UNION ALL SELECT DISTINCT scope, 'word', {unk}, 1, 2147483648 FROM {counts}
-  UNION ALL SELECT scope, 'word', token, rn + 1, count FROM (
+  UNION ALL SELECT DISTINCT scope, 'word', {unk}, 1, 2147483648 FROM {counts}{others}
+  UNION ALL SELECT scope, 'word', token, rn + {n - 1}, count FROM (
     SELECT *, row_number() OVER (PARTITION BY scope ORDER BY count DESC, token) AS rn
-    FROM {counts} WHERE token NOT IN ({pad}, {unk})) WHERE rn <= {first - 2}),
+    FROM {counts} WHERE token NOT IN ({reserved})) WHERE rn <= {first - n}),
 {p}oov AS (
   SELECT c.* FROM {counts} c WHERE NOT EXISTS (
     SELECT 1 FROM {p}words w WHERE w.scope = c.scope AND w.token = c.token)),
@@ -169,6 +194,10 @@ SELECT scope, ngram, count, rank FROM (
 WHERE rank <= {10 * SIZE}""",
     "word_vocab": f"WITH {CODE_VOCAB} SELECT scope, kind, token, id::INTEGER AS id, count FROM c_words",
     "bpe_vocab": f"WITH {CODE_VOCAB} SELECT scope, kind, token, id::INTEGER AS id, count FROM c_bpe",
+    "required_vocab": f"""
+WITH {CODE_DOCS}, {sql_counts('n', 'code_docs')}, {sql_vocabulary('r_', 'n', SIZE, required=tuple(REQUIRED))}
+SELECT scope, kind, token, id::INTEGER AS id, count FROM r_vocab""",
+    "stored_vocab": f"WITH {CODE_VOCAB} SELECT scope, kind, token, id::INTEGER AS id, count FROM c_vocab",
     "threshold_vocab": f"""
 WITH {CODE_DOCS}, {sql_counts('n', 'code_docs')}
 SELECT DISTINCT scope, 'simple' AS kind, '%MASK%' AS token, 0 AS id, 0::BIGINT AS count FROM n
