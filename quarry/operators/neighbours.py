@@ -20,7 +20,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quarry import constants as C
-from quarry.operators.embedding import matrix
+from quarry.operators.embedding import list_column, matrix
 from quarry.operators.ranking import top_k
 from quarry.session import materialise, shared_folder
 
@@ -295,9 +295,11 @@ class VectorIndex:
 
         def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                if batch.num_rows == 0:
+                    continue
                 near = np.argsort(-_unit(matrix(batch.column("embedding"))) @ centres.T, axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("query_id"), pa.array(near.tolist(), pa.list_(pa.int32()))],
+                    [batch.column("query_id"), list_column(near.astype(np.int32), pa.int32())],
                     names=["query_id", "order"],
                 )
 

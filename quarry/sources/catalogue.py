@@ -201,6 +201,16 @@ def with_cache(
     return hits.unionByName(fresh)
 
 
+def compact_cache(spark: SparkSession, path: str, schema: str) -> None:
+    """Gather the files that batches have appended, each answer once.
+
+    Not for a time when searches run: readers would miss their files. Answers
+    lost by a failure on the way are computed again when they are asked for.
+    """
+    stored = materialise(spark.read.schema(schema).parquet(path).distinct(), "cache")
+    save_keyed(stored, "cache_key", path)
+
+
 def clear_cache(spark: SparkSession, path: str, schema: str) -> None:
     """An empty cache, whatever was stored."""
     save_keyed(spark.createDataFrame([], schema), "cache_key", path)

@@ -168,6 +168,25 @@ def test_cache_keeps_empty_results(spark, tmp_path):
     assert seen == [1, 0]
 
 
+def test_compacted_cache_answers_alike(spark, tmp_path):
+    path, schema, seen = str(tmp_path / "cache"), "cache_key string, value int", []
+    K.clear_cache(spark, path, schema)
+
+    def compute(misses):
+        seen.append(misses.count())
+        return misses.where("cache_key <> 'none'").select("cache_key", F.length("cache_key").alias("value"))
+
+    ask = lambda *keys: spark.createDataFrame([(k,) for k in keys], "cache_key string")
+    for key in ("a", "bb", "none"):
+        K.with_cache(ask(key), path, schema, compute)
+    K.compact_cache(spark, path, schema)
+    found = K.with_cache(ask("a", "bb", "none", "a"), path, schema, compute)
+    assert {tuple(r) for r in found.collect()} == {("a", 1), ("bb", 2)} and seen == [1, 1, 1, 0]
+    K.clear_cache(spark, path, schema)
+    K.compact_cache(spark, path, schema)
+    assert spark.read.schema(schema).parquet(path).count() == 0
+
+
 def test_source_paths_are_below_the_root(spark, tmp_path):
     for name in ("src/x/src/y/f.py", "src/y/f.py"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
