@@ -18,8 +18,9 @@ from quarry.functions import vectors as V
 from quarry.operators.scopes import fields, take_columns, with_parameters
 from quarry.session import materialise
 
-#: Sequences that meet one copy of their scope's parameters.
-GROUP_ROWS = 1 << 14
+#: Sequences, at least, that meet one copy of their scope's parameters, and those
+#: whose vectors are gathered at once, at most.
+GROUP_ROWS, SLICE_ROWS = 1 << 14, 512
 
 
 class Model(NamedTuple):
@@ -61,26 +62,38 @@ def embed(
 
     Sequences meet the parameters of their scope in salted groups, so a vector
     moves once for a group and not for each occurrence of its token, whatever
-    the number of scopes. A scope that the model does not have, or of which it
+    the number of scopes. Sequences are taken ``group_rows`` at a time; smaller
+    groups than ``GROUP_ROWS`` share one copy of the parameters, so copies stay
+    few, and vectors of tokens that no sequence holds do not move. A scope that the model does not have, or of which it
     has only some of tokens, gate and norms, and ids longer than the scope's
     norms, are errors.
     """
     check_scopes(model)
     rows = materialise(sequences.select(*keys, "scope", F.col(ids).alias("_ids")), "sequences")
-    parameters = token_gates(model).unionByName(model.norms, allowMissingColumns=True)
+    held = token_gates(model._replace(tokens=used_tokens(model.tokens, rows)))
+    parameters = held.unionByName(model.norms, allowMissingColumns=True)
+    # Slices bound the gathered (rows, length, width) array.
+    step = min(SLICE_ROWS, group_rows)
 
     def run(scope: str, group: pa.Table, own: pa.Table) -> pa.Table:
         if not len(own):
             raise ValueError(f"the model has no scope {scope}")
         part = _parameters(own)
         all_ids = matrix(group.column("_ids"))
-        # Slices bound the gathered (rows, length, width) array.
-        vectors = [mean_vectors(all_ids[i : i + 512], part) for i in range(0, len(all_ids), 512)]
+        vectors = [mean_vectors(all_ids[i : i + step], part) for i in range(0, len(all_ids), step)]
         vectors = np.concatenate(vectors) if vectors else np.zeros((0, 1))
         return pa.table([*take_columns(group, [*keys, "scope"]), list_column(vectors)], [*keys, "scope", name])
 
     schema = f"{fields(rows, [*keys, 'scope'])}, `{name}` array<double>"
-    return with_parameters(rows, keys, parameters, run, schema, group_rows)
+    return with_parameters(rows, keys, parameters, run, schema, max(group_rows, GROUP_ROWS))
+
+
+def used_tokens(tokens: DataFrame, rows: DataFrame) -> DataFrame:
+    """The vectors of ids that occur in a scope's sequences, and of its smallest
+    id, which tells the width where none occurs."""
+    occurring = rows.select("scope", F.explode("_ids").alias("id")).distinct()
+    smallest = tokens.groupBy("scope").agg(F.min("id").alias("id"))
+    return tokens.join(occurring.unionByName(smallest), ["scope", "id"], "left_semi")
 
 
 def check_scopes(model: Model) -> None:

@@ -72,6 +72,29 @@ def test_a_vector_does_not_move_for_each_occurrence(spark, model):
     assert "FlatMapCoGroupsInArrow" in plan and "Generate posexplode" not in plan
 
 
+def test_only_vectors_of_occurring_tokens_move_and_small_groups_share_them(spark, model, monkeypatch):
+    seen = {}
+    real = E.with_parameters
+
+    def watched(rows, keys, parameters, run, schema, group_rows):
+        seen.update(tokens=parameters.where("id is not null").collect(), group_rows=group_rows)
+        return real(rows, keys, parameters, run, schema, group_rows)
+
+    monkeypatch.setattr(E, "with_parameters", watched)
+    rows = spark.createDataFrame([(i, "a", [3] * 5) for i in range(20)], "k long, scope string, ids array<int>")
+    found = E.embed(rows, ["k"], model, group_rows=2).collect()
+    assert {(r.scope, r.id) for r in seen["tokens"]} == {("a", 0), ("a", 3), ("b", 0)}
+    assert seen["group_rows"] == E.GROUP_ROWS and len(found) == 20
+    expected = plain(model, rows)
+    for row in found:
+        np.testing.assert_allclose(row.embedding, expected[row.k], atol=1e-12)
+
+
+def test_ids_that_the_model_does_not_have_weigh_nothing(spark, model):
+    rows = spark.createDataFrame([(1, "a", [77] * 5)], "k long, scope string, ids array<int>")
+    assert E.embed(rows, ["k"], model).first().embedding == [0.0] * 4
+
+
 def test_unknown_and_incomplete_scopes_and_long_ids_are_errors(spark, model, sequences):
     with pytest.raises(Exception, match="no scope zz"):
         E.embed(sequences, ["k"], model).collect()
