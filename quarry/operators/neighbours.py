@@ -26,6 +26,8 @@ from quarry.session import materialise, shared_folder
 
 # Queries that travel to the executors at once, in numbers (queries x width).
 QUERY_NUMBERS = 4_000_000
+# Distances that a task holds at once.
+PRODUCT_NUMBERS = 1 << 20
 DECIMALS = 9
 
 
@@ -114,8 +116,9 @@ def _partial_best(items: DataFrame, queries: dict, k: int, excluded: bool, cells
                 positions = np.concatenate(
                     [asked["open"], asked["by_language"].get(language, asked["open"][:0])]
                 )
-                for start in range(0, len(positions), 1024):
-                    block = positions[start : start + 1024]
+                step = max(1, PRODUCT_NUMBERS // len(members))
+                for start in range(0, len(positions), step):
+                    block = positions[start : start + step]
                     distance = np.round(1.0 - vectors[members] @ asked["unit"][block].T, DECIMALS)
                     for column, query in enumerate(block):
                         key = (asked["ids"][query], language)
@@ -184,18 +187,24 @@ def nearest(
     fit one broadcast are answered in hashed blocks, each a pass of its own.
     """
     queries = materialise(queries, "queries")
-    own = "own_row" in queries.columns
+    own, named = "own_row" in queries.columns, False
     if "languages" in queries.columns:
         # Vectors of languages nobody asks for are not looked at.
         asked = queries.select(F.coalesce("languages", F.array(F.lit(None))).alias("l"))
         asked = asked.select(F.explode("l").alias("language")).distinct()
-        if not asked.filter(F.col("language").isNull()).head(1):
+        named = not asked.filter(F.col("language").isNull()).head(1)
+        if named:
             items = items.join(materialise(asked, "languages"), "language", "left_semi")
     size = queries.agg(
         F.count("*").alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(1)).alias("d")
     ).first()
     # A query costs its vector on the way in and its best rows on the way out.
     n_blocks = -(-size["n"] * max(size["d"], 8 * k) // QUERY_NUMBERS) or 1
+    if named and n_blocks > 1:
+        # Written before the range sort, which samples its input.
+        columns = ["language", "row_index", "embedding", *(["cell"] if cells is not None else [])]
+        items = materialise(items.select(columns), "items")
+        items = materialise(items.repartitionByRange("language", "row_index"), "items-by-language")
     partials = []
     for block in range(n_blocks):
         part = queries

@@ -99,3 +99,28 @@ def test_index(spark, vectors, items, queries, tmp_path):
 def test_no_pairing_of_rows(spark, items, queries):
     plan = N.nearest(items, queries, 3)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_many_queries_get_partial_results_of_their_languages_only(spark, vectors, monkeypatch):
+    """Vectors are laid out by language when queries need several passes."""
+    rows = [(f"l{i % 8}", i, v.tolist()) for i, v in enumerate(vectors)]
+    items = spark.createDataFrame(rows, "language string, row_index long, embedding array<double>").repartition(8)
+    requests = items.where("row_index % 7 = 1").selectExpr("row_index AS query_id", "language", "row_index")
+    whole = {tuple(r) for r in N.nearest_to_stored(items, requests, 4).collect()}
+    seen = []
+    real = N._partial_best
+
+    def watched(items, *rest):
+        held = items.select("language", F.spark_partition_id().alias("task")).distinct().collect()
+        seen.append((len(held), len({r.task for r in held}), len({r.language for r in held})))
+        return real(items, *rest)
+
+    monkeypatch.setattr(N, "_partial_best", watched)
+    monkeypatch.setattr(N, "QUERY_NUMBERS", 1000)
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))  # a task for each file
+    try:
+        found = {tuple(r) for r in N.nearest_to_stored(items, requests, 4).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert found == whole and len(seen) > 1
+    assert all(pairs < tasks + languages for pairs, tasks, languages in seen)
