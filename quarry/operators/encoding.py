@@ -203,60 +203,68 @@ def decode(
 
     A word cut off before its end mark is dropped. ``strict`` fails on
     unbalanced marks and on a loose piece; an unknown id always fails.
+    Sequences without ids have no text. Those of equal keys and scope are one,
+    their ids in order of place, then id.
     """
-    entries = vocabulary.groupBy("scope", "id").agg(
-        F.min(F.when(F.col("kind") == "word", F.col("token"))).alias("word"),
-        F.min(F.when(F.col("kind") == "bpe", F.col("token"))).alias("bpe"),
+    scope = F.coalesce("scope", F.raise_error(F.lit("a sequence without a scope")).cast("string"))
+    lists = df.select(*keys, scope.alias("scope"), F.col(ids).alias("_ids")).where(F.size("_ids") > 0)
+    grouped = lists.groupBy(*keys, "scope").agg(F.collect_list("_ids").alias("_all"))
+    single = F.size("_all") == 1
+    placed = F.transform(
+        "_all", lambda one: F.transform(one, lambda id_, position: F.struct(position.alias("position"), id_.alias("id")))
     )
-    rows = (
-        df.select(*keys, "scope", F.posexplode(ids).alias("position", "id"))
-        .join(materialise(entries, "inverse"), ["scope", "id"], "left")
-        .groupBy(*keys, "scope")
-        .agg(F.array_sort(F.collect_list(F.struct("position", "id", "word", "bpe"))).alias("items"))
+    merged = F.transform(F.array_sort(F.flatten(placed)), lambda item: item["id"])
+    rows = materialise(
+        grouped.select(*keys, "scope", F.when(single, F.element_at("_all", 1)).otherwise(merged).alias("_ids")),
+        "id-lists",
     )
+    entries = vocabulary.select("scope", "kind", "token", "id")
 
-    def step(state: Column, item: Column) -> Column:
-        word, bpe, inside = item["word"], item["bpe"], state["inside"]
-        start, end = F.coalesce(bpe == C.SOW, F.lit(False)), F.coalesce(bpe == C.EOW, F.lit(False))
-        known = word.isNotNull() | bpe.isNotNull()
-        loose = ~inside & word.isNull() & bpe.isNotNull() & ~start & ~end
-        problem = (
-            F.when(~known, F.concat(F.lit("id outside the vocabulary: "), item["id"].cast("string")))
-            .when(F.lit(strict) & start & inside, "second word start before a word end")
-            .when(F.lit(strict) & end & ~inside, "word end without a word start")
-            .when(F.lit(strict) & loose, "piece outside a word")
-        )
-        finished = (
-            F.when(end, F.array(state["current"]))
-            .when(~start & ~inside, F.array(F.coalesce(word, bpe)))
-            .otherwise(F.array().cast("array<string>"))
-        )
-        current = (
-            F.when(end, "")
-            .when(inside & ~start, F.concat(state["current"], F.coalesce(bpe, word, F.lit(""))))
-            .otherwise(state["current"])
-        )
-        return F.struct(
-            F.concat(state["words"], finished).alias("words"),
-            current.alias("current"),
-            F.when(start, True).when(end, False).otherwise(inside).alias("inside"),
-            F.coalesce(state["problem"], problem).alias("problem"),
-        )
-
-    empty = F.struct(
-        F.array().cast("array<string>").alias("words"),
-        F.lit("").alias("current"),
-        F.lit(False).alias("inside"),
-        F.lit(None).cast("string").alias("problem"),
-    )
-
-    def finish(state: Column) -> Column:
-        text = F.array_join(F.filter(state["words"], lambda w: w != ""), " ")
-        return F.when(state["problem"].isNotNull(), F.raise_error(state["problem"])).otherwise(text)
-
-    return rows.select(
-        *keys, "scope", F.aggregate("items", empty, step, finish).alias("text")
-    )
+    def run(scope: str, group: pa.Table, own: pa.Table) -> pa.Table:
+        known = _inverse(own)
+        texts = [_text(one, known, strict) for one in group.column("_ids").to_pylist()]
+        return pa.table([*take_columns(group, [*keys, "scope"]), pa.array(texts, pa.string())], [*keys, "scope", "text"])
+
+    return with_parameters(rows, keys, entries, run, f"{fields(rows, [*keys, 'scope'])}, text string", GROUP_ROWS)
+
+
+def _inverse(own: pa.Table) -> dict[int, tuple[str | None, str | None]]:
+    """Word and piece of each id of a scope, the smallest of several."""
+    known: dict[int, list] = {}
+    for kind, token, id_ in zip(*(own.column(c).to_pylist() for c in ("kind", "token", "id"))):
+        place = {"word": 0, "bpe": 1}.get(kind)
+        if place is not None and token is not None:
+            pair = known.setdefault(id_, [None, None])
+            # Code points and UTF-8 bytes have one order.
+            pair[place] = token if pair[place] is None else min(pair[place], token)
+    return {id_: tuple(pair) for id_, pair in known.items()}
+
+
+def _text(ids: list[int | None], known: dict, strict: bool) -> str:
+    """One sequence's text; null ids stand for nothing."""
+    words, current, inside = [], "", False
+    for id_ in ids:
+        if id_ is None:
+            continue
+        if id_ not in known:
+            raise ValueError(f"id outside the vocabulary: {id_}")
+        word, bpe = known[id_]
+        if bpe == C.SOW:
+            if strict and inside:
+                raise ValueError("second word start before a word end")
+            inside = True
+        elif bpe == C.EOW:
+            if strict and not inside:
+                raise ValueError("word end without a word start")
+            words.append(current)
+            current, inside = "", False
+        elif inside:
+            current += word if bpe is None else bpe
+        elif strict and word is None:
+            raise ValueError("piece outside a word")
+        else:
+            words.append(bpe if word is None else word)
+    return " ".join(word for word in words if word)
 
 
 def valid_pair(code_ids: Column, query_ids: Column) -> Column:

@@ -92,6 +92,16 @@ def test_decode(spark, vocabulary):
     assert found == {0: "if abcd ab", 1: "", 2: "__unk __pad"}
 
 
+def test_decode_does_not_move_each_id(spark, vocabulary):
+    """Vocabularies meet whole lists; equal keys are one list, empty ones have no text."""
+    rows = ids_table(spark, [2, 10, 13, 15, 11, 3], []).selectExpr("1 AS k", "scope", "ids")
+    plan = K.decode(rows, ["k"], vocabulary)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Generate posexplode" not in plan
+    assert [r.text for r in K.decode(rows, ["k"], vocabulary).collect()] == ["if abcd ab"]
+    twice = ids_table(spark, [2, 3], [3, 2]).selectExpr("1 AS k", "scope", "ids")
+    assert [r.text for r in K.decode(twice, ["k"], vocabulary).collect()] == ["if ab if ab"]
+
+
 @pytest.mark.parametrize("bad", [[10, 10], [11], [13], [99]])
 def test_strict_decode_fails(spark, vocabulary, bad):
     with pytest.raises(Exception):
