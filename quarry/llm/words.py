@@ -76,7 +76,12 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class SliceCache:
-    """Token ids of distinct slices; ``encode`` is called once per new slice."""
+    """Token ids of distinct slices; ``encode`` is called once per new slice.
+
+    A full cache drops the slices that only one call asked for, and of the
+    others the less asked half if there are too many: most slices are seen
+    once, and those that come again should not be encoded again.
+    """
 
     def __init__(self, encode, most: int = CACHE_SLICES):
         self.encode, self.most = encode, most
@@ -86,6 +91,26 @@ class SliceCache:
         self.place: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 20, np.uint32)
         self.starts = np.zeros(1, np.int64)
+        self.asked = np.zeros(0, np.int64)
+
+    def _shrink(self) -> None:
+        """Keeps at most half of ``most`` slices, each of which was asked for again."""
+        kept = np.flatnonzero(self.asked > 1)
+        half = self.most // 2
+        if len(kept) > half:
+            kept = np.sort(kept[np.argpartition(-self.asked[kept], half)[:half]])
+        counts = self.starts[kept + 1] - self.starts[kept]
+        ids = self.ids[ragged(self.starts[kept], counts)]
+        new = np.full(len(self.asked), -1, np.int64)
+        new[kept] = np.arange(len(kept))
+        place = {s: n for s, n in zip(self.place, new.tolist()) if n >= 0}
+        # What was asked for long ago weighs less, but stays for another round.
+        asked = np.maximum(self.asked[kept] // 2, 1)
+        self.clear()
+        self._room(len(ids))
+        self.ids[: len(ids)] = ids
+        self.starts = np.concatenate([[0], np.cumsum(counts)])
+        self.place, self.asked = place, asked
 
     def _room(self, n: int) -> None:
         if n > len(self.ids):
@@ -93,8 +118,10 @@ class SliceCache:
 
     def look_up(self, slices: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Start in ``self.ids`` and number of ids of each slice."""
-        if len(self.place) + len(slices) > self.most:
-            self.clear()
+        held = [n for n in map(self.place.get, slices) if n is not None]
+        self.asked[held] += 1
+        if len(self.place) + len(slices) - len(held) > self.most:
+            self._shrink()
         fresh = [s for s in slices if s not in self.place]
         if fresh:
             ids, counts = self.encode(fresh)
@@ -103,6 +130,7 @@ class SliceCache:
             self.ids[used : used + len(ids)] = ids
             self.starts = np.concatenate([self.starts, used + np.cumsum(counts)])
             self.place.update(zip(fresh, range(n, n + len(fresh))))
+            self.asked = np.concatenate([self.asked, np.ones(len(fresh), np.int64)])
         at = np.fromiter((self.place[s] for s in slices), np.int64, len(slices))
         return self.starts[at], self.starts[at + 1] - self.starts[at]
 

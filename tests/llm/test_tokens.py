@@ -159,3 +159,24 @@ def test_sweep_is_best_fit():
         runs = packing.sweep(counts, 40)
         used = {first + i for _, a, b, first, _ in runs for i in range(b - a + 1)}
         assert len(used) <= fill
+
+
+def test_slices_that_come_again_are_encoded_once():
+    """A full cache keeps what was asked for more than once."""
+    from quarry.llm.words import SliceCache
+
+    calls = []
+
+    def encode(slices):
+        calls.extend(slices)
+        counts = np.array([len(s) for s in slices])
+        return np.frombuffer(b"".join(slices), np.uint8).astype(np.uint32), counts
+
+    cache = SliceCache(encode, most=10)
+    common = [b"the", b" of", b""]
+    for i in range(20):
+        asked = [*common, *(b"w%d-%d" % (i, j) for j in range(5))]
+        starts, counts = cache.look_up(asked)
+        found = [bytes(cache.ids[a : a + n].astype(np.uint8)) for a, n in zip(starts, counts)]
+        assert found == asked and len(cache.place) <= 10
+    assert [calls.count(s) for s in common] == [1, 1, 1] and len(calls) == 103
