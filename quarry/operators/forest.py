@@ -13,7 +13,8 @@ A search goes through the trees best first: a node is as good as the smallest
 distance to the planes above it, negative on the far side. Leaves are taken from
 the best on until they hold ``search_k`` rows, counted once for each tree; the
 rows in them are compared exactly. With ``search_k`` at the number of rows times
-trees, all are.
+trees, all are, so that no leaf is looked for: the shard is compared in blocks.
+The queries of a shard are dealt to groups, each with its copy of the shard.
 """
 
 from __future__ import annotations
@@ -23,11 +24,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quarry import constants as C
 from quarry.operators.embedding import list_column, matrix
-from quarry.operators.neighbours import DECIMALS, _unit
+from quarry.operators.encoding import _ragged
+from quarry.operators.neighbours import DECIMALS, PRODUCT_NUMBERS, _unit
 from quarry.operators.ranking import top_k
 from quarry.session import materialise, shared_folder
 
@@ -35,6 +37,8 @@ from quarry.session import materialise, shared_folder
 SHARD_ROWS, LEAF_ROWS, MAX_DEPTH, MAX_BUCKETS = 1 << 16, 64, 40, 1024
 #: Queries whose frontiers are expanded together.
 QUERY_BLOCK = 256
+#: Queries that meet one copy of a shard, and slots in which they are counted.
+GROUP_QUERIES, SLOTS = 4096, 64
 #: A node's number within its tree stays below this.
 _TREE = 1 << 48
 
@@ -214,7 +218,9 @@ def _reached(query_type: str) -> tuple[Callable[[pa.Table, pa.Table], pa.Table],
             out.append(part.append_column("keys", keys).drop_columns(["budget"]))
         return pa.concat_tables(out)
 
-    return run, f"part string, language string, query_id {query_type}, embedding array<double>, own_row long, keys array<long>"
+    return run, (
+        f"part string, language string, query_id {query_type}, embedding array<double>, own_row long, _group int, keys array<long>"
+    )
 
 
 def _ranked(query_type: str, k: int) -> tuple[Callable[[pa.Table, pa.Table], pa.Table], str]:
@@ -249,13 +255,54 @@ def _ranked(query_type: str, k: int) -> tuple[Callable[[pa.Table, pa.Table], pa.
                 best = np.lexsort((rows[own], near))[:k]
                 parts.append((np.full(len(best), i), rows[own[best]], near[best]))
             ids, found, distances = (np.concatenate(x) for x in zip(*parts))
-        taken = pa.array(ids)
-        return pa.table(
-            [asked.column("query_id").take(taken), asked.column("language").take(taken), pa.array(found), pa.array(distances)],
-            ["query_id", "language", "row_index", "distance"],
-        )
+        return _results(asked, ids, found, distances)
+
+    return run, _RESULT.format(query_type)
+
+
+def _ranked_whole(query_type: str, k: int) -> tuple[Callable[[pa.Table, pa.Table], pa.Table], str]:
+    """The best ``k`` rows of a shard for queries whose budget takes all of its
+    leaves: blocks of matrix products, without a list of leaves for each query."""
 
-    return run, f"query_id {query_type}, language string, row_index long, distance double"
+    def run(vectors: pa.Table, asked: pa.Table) -> pa.Table:
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(vectors) and len(asked):
+            rows = vectors.column("row_index").to_numpy()
+            unit = _unit(matrix(vectors.column("embedding")))
+            ask = _unit(matrix(asked.column("embedding")))
+            own_row = asked.column("own_row").fill_null(-1).to_numpy()
+            by_row = np.argsort(rows, kind="stable")
+            step = max(1, PRODUCT_NUMBERS // len(rows))
+            for at in range(0, len(ask), step):
+                near = 1.0 - ask[at : at + step] @ unit.T
+                # The row itself, as often as it stands there.
+                first, last = (np.searchsorted(rows[by_row], own_row[at : at + step], side) for side in ("left", "right"))
+                near[np.repeat(np.arange(len(near)), last - first), by_row[_ragged(first, last - first)]] = np.nan
+                limit = np.full(len(near), np.inf)
+                if k < len(rows):
+                    limit = np.partition(near, k - 1, axis=1)[:, k - 1]
+                    limit[np.isnan(limit)] = np.inf
+                # All that may be among the first once distances are rounded.
+                query, own = np.nonzero(near <= limit[:, None] + 2 * 10.0**-DECIMALS)
+                distance, row = np.round(near[query, own], DECIMALS), rows[own]
+                order = np.lexsort((row, distance, query))
+                nth = np.arange(len(query)) - np.searchsorted(query, query)
+                best = order[nth < k]
+                parts.append((at + query[best], row[best], distance[best]))
+        return _results(asked, *(np.concatenate(x) for x in zip(*parts)))
+
+    return run, _RESULT.format(query_type)
+
+
+_RESULT = "query_id {}, language string, row_index long, distance double"
+
+
+def _results(asked: pa.Table, ids: np.ndarray, rows: np.ndarray, distances: np.ndarray) -> pa.Table:
+    taken = pa.array(ids)
+    return pa.table(
+        [asked.column("query_id").take(taken), asked.column("language").take(taken), pa.array(rows), pa.array(distances)],
+        ["query_id", "language", "row_index", "distance"],
+    )
 
 
 def _part(language: Column, shard: Column) -> Column:
@@ -347,6 +394,23 @@ class Forest:
             "bucket", F.pmod(F.xxhash64("part"), F.col("buckets")).cast("int")
         ).select("bucket", "part", "language", "query_id", "embedding", "own_row", "budget")
 
+    @staticmethod
+    def _dealt(asked: DataFrame) -> DataFrame:
+        """``asked`` with ``_group``, so that of a shard's queries a bounded number
+        meets in a task. The numbers of groups are met by shard and slot, so that
+        no task reads all queries of a shard."""
+        asked = asked.withColumn("_slot", F.pmod(F.xxhash64(F.lit("slot"), "query_id"), F.lit(SLOTS)).cast("int"))
+        held = asked.groupBy("part", "_slot").agg(F.count("*").alias("_n"))
+        total = F.sum("_n").over(Window.partitionBy("part"))
+        groups = materialise(held.select("part", "_slot", F.ceil(total / GROUP_QUERIES).cast("int").alias("_groups")), "groups")
+        group = F.pmod(F.xxhash64("query_id"), F.col("_groups")).cast("int")
+        return asked.join(groups, ["part", "_slot"]).withColumn("_group", group).drop("_slot", "_groups")
+
+    @staticmethod
+    def _copied(rows: DataFrame, asked: DataFrame) -> DataFrame:
+        """A shard's rows once for each group of queries that ask it."""
+        return rows.join(asked.select("part", F.col("_group").alias("_copy")).distinct(), "part")
+
     def search(self, queries: DataFrame, k: int = C.WEB_RESULTS, search_k: int | None = None) -> DataFrame:
         """Nearest ``k`` per (query, language) within the search budget, ``k`` for
         each tree by default. Optional columns of queries: ``languages``, and
@@ -354,14 +418,28 @@ class Forest:
         asked = materialise(self._asked(queries, search_k, k), "asked")
         kind = asked.schema["query_id"].dataType.simpleString()
         buckets = self._buckets(asked)
-        near, schema = _reached(kind)
-        nodes = self.nodes.where(F.col("bucket").isin(buckets)).select("part", "tree", "node", "n", "normal")
-        wanted = nodes.groupBy("part").cogroup(
-            asked.select("part", "language", "query_id", "embedding", "own_row", "budget").groupBy("part")
-        ).applyInArrow(near, schema)
-        rank, schema = _ranked(kind, k)
-        vectors = self.vectors.where(F.col("bucket").isin(buckets)).select("part", "row_index", "embedding", "leaves")
-        found = vectors.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(rank, schema)
+        roots = self.nodes.where(F.col("bucket").isin(buckets) & (F.col("node") == 1))
+        sizes = materialise(roots.groupBy("part").agg(F.sum("n").alias("_leaves")), "sizes")
+        asked = materialise(self._dealt(asked).join(sizes, "part"), "dealt")
+        columns = ["part", "language", "query_id", "embedding", "own_row"]
+        vectors = self.vectors.where(F.col("bucket").isin(buckets))
+        whole = asked.where("budget >= _leaves")
+        rank, schema = _ranked_whole(kind, k)
+        found = self._copied(vectors.select("part", "row_index", "embedding"), whole).groupBy("part", "_copy").cogroup(
+            whole.select(*columns, "_group").groupBy("part", "_group")
+        ).applyInArrow(rank, schema)
+        some = asked.where("budget < _leaves")
+        if some.head(1):
+            near, reached = _reached(kind)
+            nodes = self.nodes.where(F.col("bucket").isin(buckets)).select("part", "tree", "node", "n", "normal")
+            wanted = self._copied(nodes, some).groupBy("part", "_copy").cogroup(
+                some.select(*columns, "budget", "_group").groupBy("part", "_group")
+            ).applyInArrow(near, reached)
+            rank, schema = _ranked(kind, k)
+            found = found.unionByName(
+                self._copied(vectors.select("part", "row_index", "embedding", "leaves"), some).groupBy("part", "_copy")
+                .cogroup(wanted.groupBy("part", "_group")).applyInArrow(rank, schema)
+            )
         order = [F.col("distance"), F.col("row_index")]
         return top_k(found, ["query_id", "language"], order, k, ["row_index"])
 

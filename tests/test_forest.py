@@ -3,10 +3,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators.forest import Forest
+from quarry.operators.forest import Forest, _ranked_whole
 from quarry.operators.neighbours import nearest, nearest_to_stored
 from quarry.suite.search import label_means, vector_items
 
@@ -123,3 +124,27 @@ def test_frontier_takes_the_best_leaves(spark, items):
         asked = spark.createDataFrame([(1, query.tolist(), ["1"])], "query_id int, embedding array<double>, languages array<string>")
         got = {r.row_index for r in forest.search(asked, 10_000, budget).collect()}
         assert got == wanted
+
+
+def test_a_whole_budget_is_answered_in_blocks(spark, items, forest, monkeypatch):
+    """No list of leaves for each query, and the queries of a shard in groups."""
+    monkeypatch.setattr("quarry.operators.forest.GROUP_QUERIES", 50)
+    requests = items.select(F.col("row_index").alias("query_id"), "language", "row_index")
+    hits = forest.search_stored(requests, 20, 20 * items.count())
+    assert "keys#" not in hits._jdf.queryExecution().toString()
+    exact = nearest_to_stored(items, requests, 20)
+    key = ["query_id", "language", "row_index", "rank"]
+    assert sorted(map(tuple, hits.select(key).collect())) == sorted(map(tuple, exact.select(key).collect()))
+    dealt = forest._dealt(forest._asked(forest.stored(requests), 20, 20))
+    assert dealt.groupBy("part", "_group").count().agg(F.max("count")).first()[0] < 100
+
+
+def test_ties_and_own_rows_in_blocks():
+    """Distances that differ after the ninth decimal only tie, and the row decides."""
+    vectors = pa.table({"row_index": [7, 5, 3, 1, 9], "embedding": [[1.0, 1e-12], [1.0, 0.0], [1.0, 0.0], [0.0, 1.0], [1.0, 0.0]]})
+    asked = pa.table({
+        "query_id": [1, 2, 3], "language": ["a"] * 3, "embedding": [[1.0, 0.0], [1.0, 0.0], [0.0, 0.0]],
+        "own_row": pa.array([None, 3, None], pa.int64()),
+    })
+    run, _ = _ranked_whole("bigint", 2)
+    assert list(zip(*(run(vectors, asked).column(c).to_pylist() for c in ("query_id", "row_index")))) == [(1, 3), (1, 5), (2, 5), (2, 7)]
