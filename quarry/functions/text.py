@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 from quarry import constants as C
@@ -59,7 +62,20 @@ def is_comment_token(language: Column, token: Column) -> Column:
 
 
 def without_comments(language: Column, tokens: Column) -> Column:
-    return F.filter(tokens, lambda token: ~is_comment_token(language, token))
+    """Tokens that are no comments of the language, which is looked at once a list.
+    A null token is none of a known language's."""
+    hashed = language.isin(C.HASH_COMMENT_LANGUAGES)
+    slashed = language.isin(C.SLASH_COMMENT_LANGUAGES)
+
+    def without(*marks: str) -> Column:
+        return F.filter(tokens, lambda token: ~reduce(Column.__or__, [token.startswith(mark) for mark in marks]))
+
+    return (
+        F.when(language.isNull() | (hashed & slashed), without("#", "//", "/*"))
+        .when(hashed, without("#"))
+        .when(slashed, without("//", "/*"))
+        .otherwise(tokens)
+    )
 
 
 def _lower_and_strip(tokens: Column) -> Column:
@@ -110,11 +126,15 @@ def text_query_tokens(query: Column) -> Column:
 
 
 def lex_pattern(language: Column) -> Column:
-    """The lexer's pattern; only comment syntax differs between languages."""
+    """The lexer's pattern; only comment syntax differs between languages.
+
+    What follows a run of characters is never one of the run, so runs are
+    possessive: the matches are the same, without places to come back to.
+    """
 
     def pattern(*comments: str) -> Column:
         parts = [C.LEX_WORD, *comments, C.LEX_STRING, C.LEX_NUMBER, C.LEX_SYMBOL]
-        return F.lit("|".join(parts))
+        return F.lit(re.sub(r"\]\*(?!\?)", "]*+", "|".join(parts)))
 
     hashed = language.isin(C.HASH_COMMENT_LANGUAGES)
     slashed = language.isin(C.SLASH_COMMENT_LANGUAGES)

@@ -60,11 +60,14 @@ def comment_tokens(spark, folder):
     docs = documents(spark, folder)
     language = F.col("language")
     lexed = docs.select("doc_id", "language", T.code_tokens(language, _commented(F.col("text"))).alias("all"))
-    return lexed.select(
+    parted = lexed.select("doc_id", "all", T.without_comments(language, F.col("all")).alias("kept"))
+    # The lexer gives no null token, so those that are not kept are comments.
+    comments = F.when(F.col("all").isNull(), F.size("all")).otherwise(F.size("all") - F.size("kept"))
+    return parted.select(
         "doc_id",
         F.size("all").alias("n_tokens"),
-        F.size(F.filter("all", lambda t: T.is_comment_token(language, t))).alias("n_comments"),
-        F.md5(joined(T.without_comments(language, F.col("all")))).alias("kept"),
+        comments.alias("n_comments"),
+        F.md5(joined(F.col("kept"))).alias("kept"),
     )
 
 

@@ -1,8 +1,11 @@
 """Worked cases of the text expressions."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from quarry import constants as C
 from quarry.functions import text as T, vectors as V
 
 
@@ -131,3 +134,27 @@ def test_rating_and_similarity(spark):
     assert value(spark, V.cosine_distance(a, F.array(F.lit(0.0), F.lit(0.0)))) is None
     assert value(spark, V.cosine_similarity(a, a)) == pytest.approx(1.0)
     assert value(spark, V.real_ids(F.array(F.lit(5), F.lit(0)))) == [1, 0]
+
+
+def test_the_language_is_looked_at_once_a_list(spark):
+    """Without comments as a test of every token says, for null languages and tokens too."""
+    tokens = ["#a", "//b", "/*c*/", "d", "", "/", None]
+    rows = [(name, tokens) for name in ("php", "python", "java", "cobol", None)] + [("go", None), ("go", [])]
+    df = spark.createDataFrame(rows, "language string, tokens array<string>")
+    language = F.col("language")
+    each = F.filter("tokens", lambda t: ~T.is_comment_token(language, t))
+    assert df.where(~T.without_comments(language, F.col("tokens")).eqNullSafe(each)).count() == 0
+    plan = df.select(T.without_comments(language, F.col("tokens")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert "lambdafunction(" in plan and not re.search(r"lambdafunction\(.{0,12}language", plan)
+
+
+def test_possessive_runs_match_the_same(spark):
+    texts = [
+        "x_1 = 'a\\'b' + \"c\\\"d\" # e\n1.5 1. é９ /* f * / g **/ // h", "'open \"q' \"open 'r", "/* open", "\"a\\", "''\"\"", "/**/ /***/ /*/",
+    ]
+    df = spark.createDataFrame([(name, x) for x in texts for name in ("php", "python", "java", "cobol")], "language string, code string")
+    parts = {"php": [C.LEX_HASH_COMMENT, C.LEX_SLASH_COMMENT], "python": [C.LEX_HASH_COMMENT], "java": [C.LEX_SLASH_COMMENT], "cobol": []}
+    whole = {k: "|".join([C.LEX_WORD, *v, C.LEX_STRING, C.LEX_NUMBER, C.LEX_SYMBOL]) for k, v in parts.items()}
+    plain = F.create_map(*[F.lit(x) for pair in whole.items() for x in pair])[F.col("language")]
+    assert "*+" in T.lex_pattern(F.lit("php"))._jc.toString()
+    assert df.where(~T.code_tokens(F.col("language"), F.col("code")).eqNullSafe(F.regexp_extract_all("code", plain, F.lit(0)))).count() == 0
