@@ -236,17 +236,22 @@ def _batch_gradient(sequences: pa.Table, parameters: pa.Table) -> pa.Table:
     )
 
 
-def _used_parameters(batch: DataFrame, weights: DataFrame) -> DataFrame:
-    """For each batch the rows of the parameter table it needs."""
+def used_ids(batch: DataFrame) -> DataFrame:
+    """For each batch the (scope, id) pairs that its sequences hold."""
     batch = batch.withColumnsRenamed({"batch_id": "task", "owner": "task_owner"})
     task = ["task_owner", "task"]
-    used = (
+    return (
         batch.select(*task, F.col("code_scope").alias("scope"), F.explode("code_ids").alias("id"))
         .unionByName(
             batch.select(*task, F.col("query_scope").alias("scope"), F.explode("query_ids").alias("id"))
         )
         .distinct()
     )
+
+
+def _used_parameters(used: DataFrame, weights: DataFrame) -> DataFrame:
+    """For each batch the rows of the parameter table it needs."""
+    task = ["task_owner", "task"]
     columns = [*task, "kind", "scope", "id", "vec"]
     tokens = used.join(weights.filter("kind = 'token'"), ["scope", "id"]).select(columns)
     scopes = used.select(*task, "scope").distinct()
@@ -254,14 +259,15 @@ def _used_parameters(batch: DataFrame, weights: DataFrame) -> DataFrame:
     return tokens.unionByName(shared)
 
 
-def gradients(batch: DataFrame, weights: DataFrame) -> DataFrame:
+def gradients(batch: DataFrame, weights: DataFrame, used: DataFrame | None = None) -> DataFrame:
     """Gradient and statistics rows of all given batches, one task per batch.
 
     ``batch`` has owner, batch_id, code_scope, query_scope, code_ids and
     query_ids; a batch is bounded by the batch size, and so are the
-    parameters it can use.
+    parameters it can use. ``used`` is the result of :func:`used_ids`, where
+    it is known already.
     """
-    parameters = _used_parameters(batch, weights)
+    parameters = _used_parameters(used_ids(batch) if used is None else used, weights)
     return (
         batch.groupBy("owner", "batch_id")
         .cogroup(parameters.groupBy("task_owner", "task"))
@@ -415,7 +421,8 @@ def fit(
     own batches, and it stops on its own validation score. Every step works
     on ``batches_per_step`` batches of each owner: one gradient task per
     batch, a sum per parameter, one Adam step on the parameter table, which
-    is then written so that the next step starts from a table. Two numbers
+    is then written so that the next step starts from a table. Batches and the
+    ids they use are laid out by step, so a step reads its own only. Two numbers
     per epoch reach the driver.
     """
     train, valid = _with_scopes(train), _with_scopes(valid)
@@ -434,18 +441,20 @@ def fit(
             proportional_batches(
                 train.join(active, "owner", "left_semi"),
                 "language", "row_id", batch_size, seed + epoch, within=["owner"],
-            ),
-            "batches",
+            ).withColumn("_step", F.expr(f"batch_id div {batches_per_step}").cast("int")),
+            "batches", ["_step"],
         )
         n_batches = batched.agg(F.max("batch_id")).first()[0]
         if n_batches is None:
             break
+        used = used_ids(batched).withColumn("_step", F.expr(f"task div {batches_per_step}").cast("int"))
+        used = materialise(used, "used", ["_step"])
         losses = []
-        for first in range(0, n_batches + 1, batches_per_step):
-            part = batched.filter(F.col("batch_id").between(first, first + batches_per_step - 1))
+        for step in range(n_batches // batches_per_step + 1):
+            part, own = (df.filter(F.col("_step") == step).drop("_step") for df in (batched, used))
             total = Summarizer.metrics("sum").summary(array_to_vector("grad"))["sum"]
             summed = materialise(
-                gradients(part, weights)
+                gradients(part, weights, own)
                 .groupBy("owner", "kind", "scope", "id")
                 .agg(
                     vector_to_array(total).alias("grad"),

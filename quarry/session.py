@@ -50,20 +50,23 @@ def shared_folder(spark: SparkSession) -> str:
 WRITTEN: list[str] = []
 
 
-def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+def materialise(df: DataFrame, name: str = "table", by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Used where a plan is read by several branches or where its size must be
     known: the written table survives the loss of an executor, keeps column
     pruning and filter pushdown, and gives Catalyst a real size, so that it
-    alone decides whether a join side is small enough to broadcast.
+    alone decides whether a join side is small enough to broadcast. With ``by``
+    it is laid out by these columns, so that a filter on them reads its part only.
     """
     spark = df.sparkSession
     run = spark.sparkContext.applicationId
     path = f"{shared_folder(spark)}/quarry-{run}/{name}-{uuid.uuid4().hex}"
     WRITTEN.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.hint("rebalance", *by).write.partitionBy(*by) if by else df.write
+    writer.parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    return written.select(df.columns) if by else written
 
 
 def release(spark: SparkSession, paths: list[str] | None = None) -> None:

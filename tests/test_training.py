@@ -90,3 +90,27 @@ def test_fit_improves(spark):
     norms = best.norms.filter("scope = 'query'").collect()
     assert len(norms) == 4 and any(r["mean"] != 0.0 for r in norms) and any(r.beta != 0.0 for r in norms)
     assert best.tokens.filter("scope = 'python' and id = 0").first().vec == [0.0] * 8
+
+
+def test_a_step_reads_its_own_batches(spark, monkeypatch):
+    ids = F.array(*[2 + F.pmod(F.xxhash64("id", F.lit(s)), F.lit(18)).cast("int") for s in range(3)])
+    sequences = spark.range(100).select(
+        F.col("id").alias("row_id"), F.lit("python").alias("language"), ids.alias("code_ids"), ids.alias("query_ids")
+    )
+    vocabulary = spark.createDataFrame(
+        [(s, "word", f"t{i}", i, 1) for s in ("python", "query") for i in range(20)],
+        "scope string, kind string, token string, id int, count long",
+    )
+    plans, plain = [], K.gradients
+
+    def seen(batch, *rest):
+        plans.append((batch._jdf.queryExecution().executedPlan().toString(), batch.count()))
+        return plain(batch, *rest)
+
+    monkeypatch.setattr(K, "gradients", seen)
+    K.fit(
+        sequences, sequences, initial_model(vocabulary, 4, {"code": 3, "query": 3}), batch_size=10, max_epochs=1,
+        evaluation_batch=50, batches_per_step=4,
+    )
+    assert [n for _, n in plans] == [40, 40, 20]
+    assert all("PartitionFilters: [isnotnull(_step" in plan for plan, _ in plans)
