@@ -30,8 +30,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from quarry.session import WRITTEN, materialise, shared_folder
 
-#: Bytes of the documents of one block, and of what is ranked at a time.
-BLOCK_BYTES, PART_BYTES = 6 << 20, 1 << 20
+#: Bytes of the documents of one block, and of what is ranked at a time: ranks of
+#: a part are eight times as large and should stay in a core's cache.
+BLOCK_BYTES, PART_BYTES = 6 << 20, 1 << 16
 #: Bytes of one partition of the table of blocks, and its most partitions.
 BUCKET_BYTES, MAX_BUCKETS = 32 << 20, 50_000
 #: Entries that one task sorts.
@@ -91,16 +92,30 @@ def smallest(ranks: np.ndarray, width: int) -> np.ndarray:
 
 def older(key: np.ndarray, ext: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Whether a smaller document has the same rank."""
-    order = np.lexsort((doc, ext, key))
-    k, e, d = key[order], ext[order], doc[order]
+    order = np.argsort(key)
+    k, e = key[order], ext[order]
     head = np.ones(len(k), bool)
-    head[1:] = (k[1:] != k[:-1]) | (e[1:] != e[:-1])
-    first = d[head][np.cumsum(head) - 1]
+    head[1:] = k[1:] != k[:-1]
+    if (~head[1:] & (e[1:] != e[:-1])).any():
+        # Two ranks with equal keys, which the sort has not told apart.
+        order = np.lexsort((ext, key))
+        k, e = key[order], ext[order]
+        head[1:] = (k[1:] != k[:-1]) | (e[1:] != e[:-1])
     out = np.zeros(len(k), bool)
-    out[order] = d > first
+    if len(k):
+        d = doc[order]
+        first = np.minimum.reduceat(d, np.flatnonzero(head))[np.cumsum(head) - 1]
+        out[order] = d > first
     return out
 
 
+def among(some: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of some values are in a sorted array."""
+    if not len(known):
+        return np.zeros(len(some), bool)
+    return known[np.minimum(np.searchsorted(known, some), len(known) - 1)] == some
+
+
 class Block:
     """The rows of one block in order of id and text, and their bytes."""
 
@@ -126,8 +141,10 @@ class Block:
             if n <= 0:
                 return
             edge = np.zeros(n + 1, np.int32)
-            a, b = np.clip(self.ends - self.window + 1 - at, 0, n), np.clip(self.ends - at, 0, n)
-            a = np.maximum(a, np.clip(self.starts - at, 0, n))
+            own = slice(np.searchsorted(self.ends, at), np.searchsorted(self.starts, at + len(part), "right"))
+            starts, ends = self.starts[own] - at, self.ends[own] - at
+            a, b = np.clip(ends - self.window + 1, 0, n), np.clip(ends, 0, n)
+            a = np.maximum(a, np.clip(starts, 0, n))
             np.add.at(edge, a, 1)
             np.add.at(edge, b, -1)
             yield at, part, np.cumsum(edge[:-1]) == 0
@@ -151,8 +168,8 @@ class Block:
 
 def _rows(ranges: int, block: int, key, ext, doc, pos, size) -> list[tuple]:
     """One row for each range of ranks."""
-    place = ((key >> _U(32)) * _U(ranges)) >> _U(32)
-    order = np.lexsort((key, place))
+    place = ((key >> _U(32)) * _U(ranges)) >> _U(32)  # rises with the key
+    order = np.argsort(key)
     cuts = np.searchsorted(place[order], np.arange(ranges + 1))
     out = []
     for r in range(ranges):
@@ -213,24 +230,29 @@ def _chunks(block: Block, number: int, ranges: int) -> list[tuple]:
 
 
 def _leaders(block: Block, covered: np.ndarray) -> Iterator[tuple]:
-    """``start, ranks, places, smallest ranks`` of the windows still open, by part."""
+    """``start, ranks, places, smallest ranks, heads`` of the windows still open, by
+    part. Neighbours mostly have the same smallest rank; heads are the first
+    windows of runs that share it within a row."""
     for at, part, open_ in block.parts():
         ranks = first_ranks(part, block.window // 2)
         place = np.flatnonzero(open_ & ~covered[at : at + len(open_)])
-        yield at, ranks, place, smallest(ranks, block.window - block.window // 2 + 1)[place]
+        low = smallest(ranks, block.window - block.window // 2 + 1)[place]
+        change = np.ones(len(low) + 1, bool)
+        change[1:-1] = low[1:] != low[:-1]
+        own = slice(np.searchsorted(block.ends, at), np.searchsorted(block.ends, at + len(open_), "right"))
+        change[np.searchsorted(place, block.ends[own] - at)] = True
+        yield at, ranks, place, low, np.flatnonzero(change[:-1])
 
 
 def _distinct(block: Block, leaders: Iterator[tuple]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct smallest ranks, and whether two documents of the block have each."""
     keys, docs = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
-    for at, _, place, low in leaders:
-        doc = block.doc_at(place + at)
-        change = np.ones(len(low), bool)
-        change[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
-        keys.append(low[change] >> _U(16) << _U(16))
-        docs.append(doc[change])
+    for at, _, place, low, heads in leaders:
+        keys.append(low[heads] >> _U(16) << _U(16))
+        docs.append(block.doc_at(place[heads] + at))
     keys, docs = np.concatenate(keys), np.concatenate(docs)
-    order = np.lexsort((docs, keys))
+    # Documents rise with their places, so a stable sort keeps them in order.
+    order = np.argsort(keys, kind="stable")
     keys, docs = keys[order], docs[order]
     start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
     last = np.append(start[1:], len(keys))[: len(start)] - 1
@@ -252,8 +274,9 @@ def _windows(block: Block, number: int, ranges: int, covered: np.ndarray, shared
     shared = np.union1d(own[several], shared)
     key, ext, begin = [], [], []
     step = block.window - block.window // 2
-    for at, ranks, place, low in _leaders(block, covered):
-        place = place[np.isin(low >> _U(16) << _U(16), shared)]
+    for at, ranks, place, low, heads in _leaders(block, covered):
+        hit = among(low[heads] >> _U(16) << _U(16), shared)
+        place = place[np.repeat(hit, np.diff(heads, append=len(low)))]
         # Two prefixes of half the window, at the offset that is left, give it.
         halves = ranks[place], ranks[place + step]
         key.append(pair(*halves))
@@ -296,7 +319,7 @@ def _share(table: pa.Table) -> pa.Table:
     several = keys[counts > 1]
     rows = []
     for block, own in zip(blocks, each):
-        back = own[np.isin(own, several, assume_unique=True)]
+        back = own[among(own, several)]
         if len(back):
             rows.append((block, _pack(back)))
     return _table(rows, ["block", "key"])

@@ -415,3 +415,37 @@ def _components(near):
                     todo += near[x].tolist()
             seen |= own
             yield own
+
+
+def test_smallest_ranks_are_looked_up_once_a_run():
+    """Round 3 asks for a rank at the head of a run of windows, not at each window,
+    and takes the windows that brute force takes; equal keys with other ranks differ."""
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abcdef "), n)) for n in (3000, 10, 0, 70_000, 400)]
+    texts.append(texts[0][500:1500] + texts[3][:900])
+    table = pa.table({"_id": pa.array(range(len(texts)), pa.int64()), "_text": texts})
+    block = suffix_dedup.Block(table, "_id", "_text", 50)
+    covered = np.zeros(len(block.data), bool)
+    windows = heads = 0
+    for at, _, place, low, head in suffix_dedup._leaders(block, covered):
+        doc = block.doc_at(place + at)
+        change = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (doc[1:] != doc[:-1]))[: len(low)])
+        assert set(change) <= set(head.tolist())
+        windows, heads = windows + len(place), heads + len(head)
+    assert heads * 4 < windows
+    entries = suffix_dedup._windows(block, 0, 1, covered, np.zeros(0, np.uint64))
+    found = set()
+    for row in entries:
+        doc, pos = suffix_dedup.values(row[4], np.int64), suffix_dedup.values(row[5], np.uint32)
+        found |= set(zip(doc.tolist(), pos.tolist()))
+    where = {}
+    for d, text in enumerate(texts):
+        for i in range(len(text) - 49):
+            where.setdefault(text[i : i + 50], []).append((d, i))
+    repeated = {x for places in where.values() if len({d for d, _ in places}) > 1 for x in places}
+    assert repeated <= found
+    settled = [r for r in entries if r[0] < 0]
+    gone = {x for r in settled for x in zip(suffix_dedup.values(r[4], np.int64).tolist(), suffix_dedup.values(r[5], np.uint32).tolist())}
+    assert gone == {(d, i) for places in where.values() for d, i in places if d > places[0][0]}
+    key, ext, doc = np.array([5, 5, 5, 5], np.uint64), np.array([1, 2, 1, 2], np.uint32), np.array([3, 1, 4, 1])
+    assert suffix_dedup.older(key, ext, doc).tolist() == [False, False, True, False]
