@@ -97,9 +97,13 @@ def extract(files: DataFrame, extractor, keys: list[str]) -> DataFrame:
     (``keys``, language, path, text) into definitions; everything around it
     is done here.
     """
+    return first_copies(extracted(files, extractor), [*keys, "language"], "code", ["path", "start_line"])
+
+
+def extracted(files: DataFrame, extractor) -> DataFrame:
+    """What :func:`extract` finds before copies are taken out."""
     definitions = extractor(within_size(source_files(files)))
-    documents = code_documents(without_blacklisted(with_body(definitions)))
-    return first_copies(documents, [*keys, "language"], "code", ["path", "start_line"])
+    return code_documents(without_blacklisted(with_body(definitions)))
 
 
 def first_copies(df: DataFrame, by: list[str], content: str, order: list[str]) -> DataFrame:
@@ -111,15 +115,19 @@ def first_copies(df: DataFrame, by: list[str], content: str, order: list[str]) -
     Several contents may stand at one position (two definitions on one line);
     equal contents at one position are one row more than once, and one is kept.
     """
-    hashed = F.sha1(content)
-    firsts = (
-        df.select(*by, hashed.alias("_hash"), F.struct(*order).alias("_at"))
-        .groupBy(*by, "_hash")
+    hashed = df.withColumn("_hash", F.sha1(content))
+    keys = [*by, *order, "_hash"]
+    return hashed.join(first_places(hashed, by, "_hash", order), keys, "left_semi").dropDuplicates(keys).drop("_hash")
+
+
+def first_places(df: DataFrame, by: list[str], content_hash: str, order: list[str]) -> DataFrame:
+    """Where every content of a group stands first, by ``order``."""
+    return (
+        df.select(*by, content_hash, F.struct(*order).alias("_at"))
+        .groupBy(*by, content_hash)
         .agg(F.min("_at").alias("_at"))
-        .select(*by, "_hash", *[F.col(f"_at.{name}").alias(name) for name in order])
+        .select(*by, content_hash, *[F.col(f"_at.{name}").alias(name) for name in order])
     )
-    keys = [*by, *order, "_hash"]
-    return df.withColumn("_hash", hashed).join(firsts, keys, "left_semi").dropDuplicates(keys).drop("_hash")
 
 
 def with_row_index(df: DataFrame, by: list[str], order: list[str], keys: list[str]) -> DataFrame:

@@ -12,9 +12,10 @@ from quarry.operators import corpus
 from quarry.operators.embedding import Model, embed, initial_model, warm_start
 from quarry.operators.encoding import encode, valid_pair
 from quarry.operators.forest import Forest
+from quarry.operators.ranking import row_numbers
 from quarry.operators.training import fit, scope_name
 from quarry.operators.vocabulary import fit_vocabulary, merge_vocabularies, token_counts
-from quarry.session import materialise
+from quarry.session import materialise, materialise_by
 from quarry.sources.catalogue import stored_documents
 from quarry.sources.publication import REPOSITORY, Snapshot, mark, publish
 
@@ -58,6 +59,22 @@ def prepare_sequences(
     Set ``all`` keeps every code sequence and has no query sequence; the
     others keep pairs in which both sides hold a real token.
     """
+    both = encoded_sides(preprocessed, key, vocabulary, code_length, query_length, normalise, owner)
+    # One filter, so that both encodings are planned once.
+    return both.filter((F.col("set") == "all") | valid_pair(F.col("code_ids"), F.col("query_ids")))
+
+
+def encoded_sides(
+    preprocessed: DataFrame,
+    key: str,
+    vocabulary: DataFrame,
+    code_length: int = C.CODE_LENGTH,
+    query_length: int = C.QUERY_LENGTH,
+    normalise: Callable[[Column, Column], Column] = T.normalised_code_tokens,
+    owner: Column | None = None,
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """Code sequences of all rows; query sequences of those in no set ``all``."""
     language = F.col("language")
     owner = F.lit("") if owner is None else owner
     code = encode(
@@ -73,10 +90,8 @@ def prepare_sequences(
         ),
         [key], vocabulary, query_length, name="query_ids",
     ).drop("scope")
-    kept = preprocessed.select(key, "set", "language", owner.alias("owner"))
-    both = code.join(kept, key).join(query, key, "left")
-    # One filter, so that both encodings are planned once.
-    return both.filter((F.col("set") == "all") | valid_pair(F.col("code_ids"), F.col("query_ids")))
+    kept = preprocessed.select(key, "set", "language", owner.alias("owner"), *(keep or []))
+    return code.join(kept, key).join(query, key, "left")
 
 
 def prepare(
@@ -158,9 +173,10 @@ def update_repositories(
     what they had. Returns each repository's status.
     """
     spark = files.sparkSession
-    failed = Snapshot.current(spark, target).manifest.where(F.col("update_status") == C.UPDATE_ERROR)
     if not retry:
-        files = files.join(failed.select(*REPOSITORY), REPOSITORY, "left_anti")
+        failed = Snapshot.current(spark, target).manifest.where(F.col("update_status") == C.UPDATE_ERROR)
+        # Of a known size, so that the files need not move for it.
+        files = files.join(materialise(failed.select(*REPOSITORY), "failed"), REPOSITORY, "left_anti")
     given = materialise(files.select(*REPOSITORY, "commit_hash").groupBy(*REPOSITORY).agg(F.max("commit_hash").alias("commit_hash")), "given")
     mark(spark, target, given, C.UPDATE_IN_PROGRESS)
     try:
@@ -178,12 +194,26 @@ def _refreshed(
     files: DataFrame, given: DataFrame, extractor: Callable, base_vocabulary: DataFrame | None,
     base_model: Model | None, minimum: int, size: int, width: int, n_trees: int, training: dict,
 ) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """Status of the repositories and the tables to publish."""
+    """Status of the repositories and the tables to publish.
+
+    Texts and their tokens are written once, in buckets of a key, and are not
+    moved until they are published: copies, the gate, numbers and sets are
+    settled on narrow rows, which meet the wide ones by the key.
+    """
     owner = F.concat_ws("/", *REPOSITORY)
-    documents = materialise(
-        corpus.extract(files, extractor, [*REPOSITORY, "commit_hash"]), "extracted"
-    )
-    gate = corpus.sample_gate(documents, REPOSITORY, minimum)
+    by, place = [*REPOSITORY, "commit_hash", "language"], ["path", "start_line", "code_hash"]
+    # Several definitions may stand on one line; their content tells them apart.
+    doc_key = F.sha1(F.concat_ws("\n", *REPOSITORY, "language", "path", F.col("start_line").cast("string"), "code_hash"))
+    with_key = lambda df: df.withColumn("key", F.unhex(F.sha1(F.concat_ws("\n", doc_key, "commit_hash"))))
+    whole = F.lit(True)
+    for name in (*by, *place):
+        whole &= F.col(name).isNotNull()
+    found = corpus.extracted(files, extractor).withColumn("code_hash", F.sha1("code"))
+    stored = [*REPOSITORY, "commit_hash", "path", "code", "start_line", "end_line", "code_hash"]
+    wide = materialise_by(with_key(corpus.preprocess(found, stored)).drop("url"), "key", "extracted")
+    first = corpus.first_places(wide, by, "code_hash", ["path", "start_line"])
+    places = materialise(with_key(first.where(whole)), "places")
+    gate = corpus.sample_gate(places, REPOSITORY, minimum)
     # A repository without any document fails too.
     status = materialise(
         given.join(gate, REPOSITORY, "left").withColumns({
@@ -192,31 +222,17 @@ def _refreshed(
         }),
         "status",
     )
-    # Several definitions may stand on one line; their content tells them apart.
-    code_hash = F.sha1("code")
-    accepted = documents.join(
+    accepted = places.join(
         status.filter(F.col("update_status") == C.UPDATE_FINISHED), REPOSITORY, "left_semi"
-    ).withColumn("code_hash", code_hash).withColumn(
-        "doc_key",
-        F.sha1(F.concat_ws("\n", *REPOSITORY, "language", "path", F.col("start_line").cast("string"), "code_hash")),
-    )
-    numbered = materialise(
-        corpus.with_row_index(
-            accepted, [*REPOSITORY, "language"], ["path", "start_line", "code_hash"], ["doc_key"]
-        ).withColumn("owner", owner),
-        "numbered",
-    )
-    in_sets = corpus.split_into_sets(
-        numbered.filter(F.size(T.query_tokens(F.col("docstring_tokens"), F.col("identifier"))) > 0),
-        "doc_key",
     )
-    every = numbered.withColumn("set", F.lit("all"))
-    preprocessed = materialise(
-        corpus.preprocess(in_sets.unionByName(every), ["doc_key", "set", "owner"]).withColumn(
-            "row_id", F.concat_ws(":", "doc_key", "set")
-        ),
-        "preprocessed",
+    numbers = materialise(
+        row_numbers(accepted.drop("commit_hash"), [*REPOSITORY, "language"], [*place, "key"]).drop(*place), "numbers"
     )
+    # Rows that are equal in place and content are one.
+    numbered = wide.where(whole).join(numbers.select("key", "row_index"), "key").dropDuplicates(["key"])
+    # Documents with query tokens are in a set, and all of them in the set of all.
+    chosen = F.when(F.size("query_tokens") > 0, corpus.split_set(doc_key)).otherwise("all")
+    preprocessed = numbered.withColumns({"owner": owner, "set": chosen, "doc_key": doc_key})
     vocabulary = prepare_vocabularies(preprocessed, size, owner=F.col("owner"))
     if base_vocabulary is not None and base_model is not None:
         scopes = materialise(vocabulary.select("scope").distinct(), "scopes")
@@ -229,9 +245,19 @@ def _refreshed(
     else:
         vocabulary = materialise(vocabulary, "vocabulary")
         model = initial_model(vocabulary, width)
-    sequences = materialise(
-        prepare_sequences(preprocessed, "row_id", vocabulary, owner=F.col("owner")), "sequences"
+    # A document is encoded once for both of its sets.
+    both = F.array(F.col("set"), F.lit("all"))
+    paired = (F.col("set") != "all") & valid_pair(F.col("code_ids"), F.col("query_ids"))
+    encoded = materialise(
+        encoded_sides(preprocessed, "key", vocabulary, owner=F.col("owner"), keep=["doc_key"]).withColumn(
+            "sets", F.when(paired, both).otherwise(F.array(F.lit("all")))
+        ),
+        "sequences",
     )
+    sequences = encoded.withColumn("set", F.explode("sets")).drop("sets").withColumns({
+        "row_id": F.concat_ws(":", "doc_key", "set"),
+        "query_ids": F.when(F.col("set") != "all", F.col("query_ids")),
+    })
     if training.get("max_epochs", 1):
         model, _ = fit(
             sequences.filter(F.col("set") == "train"),
@@ -243,13 +269,11 @@ def _refreshed(
                 **training,
             },
         )
-    key = F.concat_ws("/", "owner", "language")
     embedded = embed(
-        sequences.filter(F.col("set") == "all").withColumn("scope", key),
-        ["row_id"], model, ids="code_ids",
-    ).select(F.substring_index("row_id", ":", 1).alias("doc_key"), "embedding")
-    items = numbered.select("doc_key", key.alias("language"), "row_index").join(embedded, "doc_key")
-    index = Forest.grow(items.drop("doc_key"), n_trees=n_trees)
+        encoded.withColumn("scope", F.concat_ws("/", "owner", "language")), ["key"], model, ids="code_ids"
+    ).drop("scope")
+    items = numbers.select("key", F.concat_ws("/", *REPOSITORY, "language").alias("language"), "row_index").join(embedded, "key")
+    index = Forest.grow(items.drop("key"), n_trees=n_trees)
     tables = {"code_document": stored_documents(numbered), "vocabulary": with_repository(vocabulary, "scope")}
     tables |= {part: with_repository(df, "scope") for part, df in model._asdict().items()}
     tables |= {

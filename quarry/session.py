@@ -69,6 +69,22 @@ def materialise(df: DataFrame, name: str = "table", by: list[str] | None = None)
     return written.select(df.columns) if by else written
 
 
+def materialise_by(df: DataFrame, key: str, name: str = "table") -> DataFrame:
+    """As :func:`materialise`, with the rows in buckets of ``key``: joins and groups
+    by it read them where they are, so wide rows are written once and not shuffled.
+
+    Each task writes its rows to their buckets itself. There are as many buckets
+    as shuffle partitions, as Spark shuffles tables of fewer ones again.
+    """
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/quarry-{spark.sparkContext.applicationId}/{table}"
+    WRITTEN.append(path)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("path", path).option("compression", "zstd").bucketBy(buckets, key).saveAsTable(table)
+    return spark.table(table)
+
+
 def release(spark: SparkSession, paths: list[str] | None = None) -> None:
     """Delete tables this application wrote with :func:`materialise`: all, or
     those at ``paths``.

@@ -167,7 +167,7 @@ def publish(
     def write(name: str) -> None:
         by = [*REPOSITORY, *(layout or {}).get(name, [])]
         kept = tables[name].join(finished.select(*REPOSITORY), REPOSITORY, "left_semi")
-        kept.hint("rebalance", *by).write.partitionBy(*by).parquet(f"{target}/{name}/data_version={version}")
+        kept.hint("rebalance", *by).write.option("compression", "zstd").partitionBy(*by).parquet(f"{target}/{name}/data_version={version}")
 
     # The tables do not depend on each other; their jobs share the cluster.
     with ThreadPoolExecutor(max_workers=4) as pool:

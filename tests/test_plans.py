@@ -7,6 +7,7 @@ from quarry import constants as C
 from quarry.functions import text as T
 from quarry.operators.neighbours import nearest
 from quarry.plans import prepare as P, search as Q
+from quarry.session import WRITTEN, materialise_by
 from quarry.sources import publication as B
 from quarry.sources.catalogue import clear_cache
 
@@ -275,3 +276,40 @@ def test_train_and_judge(spark):
     assert set(found) == {"go", None} and found["go"] == found[None] and found[None][1] == 2
 
 
+
+
+def test_a_refresh_writes_texts_once_and_numbers_first_copies(spark, tmp_path):
+    """Rows that come twice, copies at other places, two definitions on a line and
+    null texts; texts and whole token lists are in one written table."""
+    texts = [f"def f{i % 40}(a): return {i % 40}" for i in range(60)] + [None, "x"]
+    rows = [("org", "r", "c1", f"p{i}.py", text) for i, text in enumerate(texts)] * 2
+    rows += [("org", "r", "c1", "q.py", texts[3]), ("org", "s", "c1", "q.py", texts[3]), ("org", None, "c1", "q.py", texts[3])]
+    files = spark.createDataFrame(rows, "organization string, name string, commit_hash string, path string, text string")
+
+    def whole(df):
+        tokens = T.code_tokens(F.col("language"), F.col("text"))
+        return df.select(
+            "organization", "name", "commit_hash", "language", "path", F.lit("a_long_identifier").alias("identifier"),
+            F.lit("").alias("docstring"), F.lit("").alias("docstring_summary"), F.col("text").alias("code"),
+            tokens.alias("code_tokens"), F.lit(0).alias("start_row"), F.lit(0).alias("end_row"),
+        )
+
+    before = len(WRITTEN)
+    P.update_repositories(files, whole, str(tmp_path / "t"), minimum=1, size=60, width=4, n_trees=2, max_epochs=0)
+    with_text = [p for p in WRITTEN[before:] if {"code", "code_tokens"} & set(spark.read.parquet(p).columns)]
+    assert len(with_text) == 1
+    snapshot = B.Snapshot.current(spark, str(tmp_path / "t"))
+    found = sorted((r.name, r.row_index, r.path, r.code) for r in snapshot.table("code_document").collect())
+    first = {}
+    for path, text in sorted((r[3], r[4]) for r in rows if r[1] == "r" and r[4] and r[4] != "x"):
+        first.setdefault(text, path)
+    kept = sorted((path, text) for text, path in first.items())
+    assert found == [("r", i, *row) for i, row in enumerate(kept)] + [("s", 0, "q.py", texts[3])]
+    assert snapshot.table("index_vectors").count() == 41
+
+
+def test_joins_by_the_key_leave_wide_rows_where_they_are(spark):
+    wide = materialise_by(spark.range(300).select(F.col("id").cast("string").cast("binary").alias("key"), "id"), "key")
+    joined = wide.join(wide.select("key").distinct().hint("merge"), "key").dropDuplicates(["key"])
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 0 and joined.count() == 300
