@@ -16,6 +16,8 @@ from quarry.session import materialise
 #: Groups, at least, into which the ranking of one length is dealt, and pieces of
 #: all lengths for which there is one group more.
 SALTS, SALT_ROWS = 64, 1_000_000
+#: Bytes of text of which a worker holds slices and ids at once.
+BATCH_BYTES = 2 << 20
 
 
 def token_pieces(
@@ -35,7 +37,7 @@ def token_pieces(
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in words.byte_batches(batches, 1, words.CHUNK_BYTES):
+        for batch in words.byte_batches(batches, 1, BATCH_BYTES):
             n, ids = words.encoded(batch.column(1), tokenizer, keep_ids=True)
             place = np.cumsum(n)
             whole = np.insert(ids, place, end_id).astype("<u4")

@@ -166,17 +166,21 @@ class Block:
         return np.cumsum(edge[:-1]) > 0
 
 
+def _place(key: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each rank; rises with it."""
+    return ((key >> _U(32)) * _U(ranges)) >> _U(32)
+
+
 def _rows(ranges: int, block: int, key, ext, doc, pos, size) -> list[tuple]:
     """One row for each range of ranks."""
-    place = ((key >> _U(32)) * _U(ranges)) >> _U(32)  # rises with the key
+    place = _place(key, ranges)
     order = np.argsort(key)
     cuts = np.searchsorted(place[order], np.arange(ranges + 1))
     out = []
     for r in range(ranges):
         own = order[cuts[r] : cuts[r + 1]]
         if len(own):
-            fields = [b"" if x is None else planes(x[own]) for x in (key, ext, doc, pos, size)]
-            out.append((r, block, *fields))
+            out.append((r, block, *(planes(x[own]) for x in (key, ext, doc, pos, size))))
     return out
 
 
@@ -311,6 +315,19 @@ def _settle(table: pa.Table) -> pa.Table:
     return _table(rows, ["block", "doc", "pos", "len"])
 
 
+def _leader_rows(ranges: int, block: int, keys: np.ndarray) -> list[tuple]:
+    """``range, block, key`` of sorted smallest ranks. The smallest of many ranks is
+    near zero, so ranges of them would have most entries in the first few: their
+    products with an odd number are spread evenly."""
+    place = _place(keys * _U(0x9E3779B97F4A7C15), ranges)
+    # Small numbers are sorted digit by digit.
+    order = np.argsort(place.astype(np.uint16 if ranges <= 1 << 16 else _U), kind="stable")
+    cuts = np.searchsorted(place[order], np.arange(ranges + 1))
+    return [
+        (r, block, _pack(keys[order[a:b]])) for r, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if a < b
+    ]
+
+
 def _share(table: pa.Table) -> pa.Table:
     """Of all first ranks of a range: those that several blocks have, back to them."""
     blocks, blobs = table.column("block").to_pylist(), table.column("key").to_pylist()
@@ -380,8 +397,7 @@ def remove_repeats(
             return _table([], ["range", "block", "key"])
         block, number = of(group)
         keys, _ = _distinct(block, _leaders(block, block.covered(spans)))
-        rows = _rows(leader_ranges, number, keys, None, None, None, None)
-        return _table([(r, b, _pack(values(k, _U))) for r, b, k, *_ in rows], ["range", "block", "key"])
+        return _table(_leader_rows(leader_ranges, number, keys), ["range", "block", "key"])
 
     def round_3(group: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(group):

@@ -11,12 +11,15 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are encoded together.
 CHUNK_BYTES = 16 << 20
+#: Slices whose ids are gathered at once.
+GATHERED = 1 << 16
 #: Distinct slices a worker keeps; beyond it the cache starts again.
 CACHE_SLICES = 400_000
 
@@ -75,6 +78,18 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1]) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def gathered(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """``ids[ragged(starts, lengths)]``, of which only a part has its indices, which
+    are four times the ids and more, at a time."""
+    out = np.empty(int(lengths.sum()), ids.dtype)
+    end = 0
+    for i in range(0, len(starts), GATHERED):
+        own = ragged(starts[i : i + GATHERED], lengths[i : i + GATHERED])
+        out[end : end + len(own)] = ids[own]
+        end += len(own)
+    return out
+
+
 class SliceCache:
     """Token ids of distinct slices; ``encode`` is called once per new slice.
 
@@ -101,37 +116,43 @@ class SliceCache:
             kept = np.sort(kept[np.argpartition(-self.asked[kept], half)[:half]])
         counts = self.starts[kept + 1] - self.starts[kept]
         ids = self.ids[ragged(self.starts[kept], counts)]
-        new = np.full(len(self.asked), -1, np.int64)
-        new[kept] = np.arange(len(kept))
-        place = {s: n for s, n in zip(self.place, new.tolist()) if n >= 0}
+        stays = np.zeros(len(self.asked), bool)
+        stays[kept] = True
+        slices = list(compress(self.place, stays.tolist()))
         # What was asked for long ago weighs less, but stays for another round.
         asked = np.maximum(self.asked[kept] // 2, 1)
+        # The old table goes before there is a new one.
         self.clear()
         self._room(len(ids))
         self.ids[: len(ids)] = ids
         self.starts = np.concatenate([[0], np.cumsum(counts)])
-        self.place, self.asked = place, asked
+        self.place, self.asked = dict(zip(slices, range(len(slices)))), asked
 
     def _room(self, n: int) -> None:
         if n > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(n, len(self.ids)), np.uint32)])
 
+    def _places(self, slices: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.place.get, slices, repeat(-1)), np.int64, len(slices))
+
     def look_up(self, slices: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Start in ``self.ids`` and number of ids of each slice."""
-        held = [n for n in map(self.place.get, slices) if n is not None]
-        self.asked[held] += 1
-        if len(self.place) + len(slices) - len(held) > self.most:
+        at = self._places(slices)
+        self.asked[at[at >= 0]] += 1
+        if len(self.place) + np.count_nonzero(at < 0) > self.most:
             self._shrink()
-        fresh = [s for s in slices if s not in self.place]
-        if fresh:
+            at = self._places(slices)
+        unknown = np.flatnonzero(at < 0)
+        if len(unknown):
+            fresh = [slices[i] for i in unknown.tolist()]
             ids, counts = self.encode(fresh)
-            used, n = self.starts[-1], len(self.place)
+            used, n = self.starts[-1], len(self.asked)
             self._room(int(used) + len(ids))
             self.ids[used : used + len(ids)] = ids
             self.starts = np.concatenate([self.starts, used + np.cumsum(counts)])
             self.place.update(zip(fresh, range(n, n + len(fresh))))
             self.asked = np.concatenate([self.asked, np.ones(len(fresh), np.int64)])
-        at = np.fromiter((self.place[s] for s in slices), np.int64, len(slices))
+            at[unknown] = np.arange(n, n + len(fresh))
         return self.starts[at], self.starts[at + 1] - self.starts[at]
 
 
@@ -152,7 +173,9 @@ def distinct_slices(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, l
         pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(body)]
     )
     coded = array.dictionary_encode()
-    return coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    data, ends = text_bytes(coded.dictionary)
+    data, ends = data.tobytes(), ends.tolist()
+    return coded.indices.to_numpy(), [data[a:b] for a, b in zip(ends, ends[1:])]
 
 
 _OPEN: dict[str, SliceCache] = {}
@@ -210,7 +233,7 @@ def encoded(
         at, n = cache.look_up(slices)
         counts[i:j] = n[index]
         if keep_ids:
-            ids.append(cache.ids[ragged(at[index], n[index])])
+            ids.append(gathered(cache.ids, at[index], n[index]))
     total = np.concatenate([[0], np.cumsum(counts)])
     edge = np.searchsorted(starts, offsets)
     per_text = total[edge[1:]] - total[edge[:-1]]

@@ -449,3 +449,21 @@ def test_smallest_ranks_are_looked_up_once_a_run():
     assert gone == {(d, i) for places in where.values() for d, i in places if d > places[0][0]}
     key, ext, doc = np.array([5, 5, 5, 5], np.uint64), np.array([1, 2, 1, 2], np.uint32), np.array([3, 1, 4, 1])
     assert suffix_dedup.older(key, ext, doc).tolist() == [False, False, True, False]
+
+
+def test_ranges_of_smallest_ranks_are_even():
+    """The smallest of 26 ranks is near zero; no range has much more than its share."""
+    rng = np.random.default_rng(4)
+    text = "".join(map(chr, rng.integers(97, 123, 200_000)))
+    block = suffix_dedup.Block(pa.table({"i": [1], "t": [text]}), "i", "t", 50)
+    keys, _ = suffix_dedup._distinct(block, suffix_dedup._leaders(block, np.zeros(len(text), bool)))
+    rows = suffix_dedup._leader_rows(50, 7, keys)
+    own = [suffix_dedup._unpack(blob) for _, _, blob in rows]
+    assert max(map(len, own)) < 1.5 * len(keys) / 50
+    assert np.sort(np.concatenate(own)).tolist() == keys.tolist()
+    assert [r for r, _, _ in rows] == list(range(50)) and {b for _, b, _ in rows} == {7}
+    # Equal ranks of other blocks go to the same ranges.
+    some = suffix_dedup._leader_rows(50, 8, keys[::3])
+    assert all(np.isin(suffix_dedup._unpack(blob), own[r]).all() for r, _, blob in some)
+    # Before: the ranks themselves were dealt to equal ranges.
+    assert np.bincount(suffix_dedup._place(keys, 50).astype(int)).max() > 10 * len(keys) / 50

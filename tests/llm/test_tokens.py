@@ -1,6 +1,7 @@
 """Token counts, byte-level BPE and packing against the libraries."""
 
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -134,6 +135,34 @@ def test_packing(spark, library):
     assert packing.best_fit(packing.token_pieces(df.limit(0), WORDS)).count() == 0
 
 
+def test_pieces_of_a_large_batch_take_little_memory(spark, monkeypatch):
+    """What a worker holds does not grow with Spark's batches (24 MB of text here)."""
+    df = spark.createDataFrame([(0, "x")], "doc_id long, text string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, function, schema: function)
+    cut = packing.token_pieces(df, WORDS)
+    texts = pa.array(["a bc, " * 1000] * 4000)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000)), texts], ["doc_id", "text"])
+    list(cut(iter([batch.slice(0, 1)])))
+    tracemalloc.start()
+    try:
+        lengths = [sum(out.column(3).to_pylist()) for out in cut(iter([batch]))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(lengths) == 4000 * (len(words.encoded(texts[:1], WORDS, keep_ids=True)[1]) + 1)
+    assert peak < 200 << 20
+
+
+def test_gathered_is_ragged_in_parts(monkeypatch):
+    rng = np.random.default_rng(9)
+    monkeypatch.setattr(words, "GATHERED", 7)
+    ids = rng.integers(0, 99, 500).astype(np.uint32)
+    for n in (0, 1, 7, 60):
+        starts, lengths = rng.integers(0, 490, n), rng.integers(0, 9, n)
+        found = words.gathered(ids, starts, lengths)
+        assert found.dtype == np.uint32 and found.tolist() == ids[words.ragged(starts, lengths)].tolist()
+
+
 def test_packing_ties_and_hot_lengths(spark):
     lengths = [7] * 4000 + [10] * 50 + list(range(1, 11)) * 20
     df = spark.createDataFrame([(i % 999, n, "x") for i, n in enumerate(lengths)], "id long, length long, offset string")
