@@ -31,6 +31,15 @@ _ASCII = np.zeros(256, bool)
 _ASCII[97:123] = _ASCII[65:91] = True
 
 
+def _counted(marks: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Marked bytes of every text."""
+    out = np.zeros(len(offsets) - 1, np.int64)
+    some = offsets[1:] > offsets[:-1]
+    if some.any():
+        out[some] = np.add.reduceat(marks, offsets[:-1][some], dtype=np.int32)
+    return out
+
+
 def normalise(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Lower-case bytes of all texts with every run of other ASCII characters as
     one space, and the offsets of the texts."""
@@ -43,14 +52,13 @@ def normalise(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     keep[1:] |= letter[:-1] & ~letter[1:]
     keep |= first[:-1]
     out = np.where(letter, data, np.uint8(32))[keep]
-    return out, np.concatenate([[0], np.cumsum(keep)])[offsets]
+    return out, np.concatenate([[0], np.cumsum(_counted(keep, offsets))])
 
 
 def has_letter(texts: pa.Array) -> np.ndarray:
     """Whether each text (null: no) holds a letter of any script."""
     data, offsets = text_bytes(texts)
-    seen = np.concatenate([[0], np.cumsum(_ASCII[data])])[offsets]
-    found = seen[1:] > seen[:-1]
+    found = _counted(_ASCII[data], offsets) > 0
     for i in np.flatnonzero(~found & (offsets[1:] > offsets[:-1])):
         found[i] = any(map(str.isalpha, texts[int(i)].as_py()))
     return found

@@ -163,7 +163,7 @@ class Block:
             a = self.doc_starts[number] + values(pos, np.uint32)
             np.add.at(edge, a, 1)
             np.add.at(edge, a + values(size, np.uint32), -1)
-        return np.cumsum(edge[:-1]) > 0
+        return np.cumsum(edge[:-1], out=edge[:-1]) > 0
 
 
 def _place(key: np.ndarray, ranges: int) -> np.ndarray:
@@ -288,10 +288,10 @@ def _windows(block: Block, number: int, ranges: int, covered: np.ndarray, shared
         begin.append(place + at)
     if not key:
         return []
-    begin = np.concatenate(begin)
+    key, ext, begin = np.concatenate(key), np.concatenate(ext), np.concatenate(begin)
     doc = block.doc_at(begin)
     return _sifted(
-        ranges, number, np.concatenate(key), np.concatenate(ext), block.docs[doc],
+        ranges, number, key, ext, block.docs[doc],
         (begin - block.doc_starts[doc]).astype(np.uint32), np.ones(len(begin), np.uint32),
     )
 
@@ -414,7 +414,8 @@ def remove_repeats(
         edge = np.zeros(len(block.data) + 1, np.int32)
         np.add.at(edge, begins, 1)
         np.add.at(edge, np.minimum(begins + window, len(block.data)), -1)
-        gone = np.cumsum(edge[:-1]) > 0
+        gone = np.cumsum(edge[:-1], out=edge[:-1]) > 0
+        del begins, edge
         out = group.select(names).take(pa.array(block.order))
         removed, starts, ends, kept = [], [], [], []
         for a, b in zip(block.starts.tolist(), block.ends.tolist()):
