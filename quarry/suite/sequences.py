@@ -88,15 +88,10 @@ def pair_vocabulary(spark, folder):
 
 
 def valid_seqs(spark, folder):
-    """Pairs of encoded turns in which both sides hold a real token; turns
-    without any letter count as empty."""
+    """Pairs of encoded turns in which both sides hold a real token."""
     documents = pair_documents(spark, folder)
     vocabulary = P.prepare_vocabularies(documents, SIZE)
-    long = F.size("query_tokens") >= 25
-    emptied = documents.withColumn(
-        "query_tokens", F.when(long, F.col("query_tokens")).otherwise(F.array().cast("array<string>"))
-    )
-    return P.prepare_sequences(emptied, "row_id", vocabulary).select(
+    return P.prepare_sequences(documents, "row_id", vocabulary).select(
         "row_id", joined(F.transform("query_ids", lambda i: F.when(i != 0, 1).otherwise(0))).alias("mask")
     )
 
@@ -258,7 +253,7 @@ FROM code_docs d LEFT JOIN texts USING (doc_id) LEFT JOIN sizes USING (doc_id)""
 WITH RECURSIVE {PAIR_ENCODED}
 SELECT row_id, array_to_string(list_transform(pq.ids, lambda i: CASE WHEN i <> 0 THEN 1 ELSE 0 END), '|') AS mask
 FROM pq JOIN pc USING (row_id) JOIN pair_docs d USING (row_id)
-WHERE len(d.query_tokens) >= 25 AND len(list_filter(pc.ids, lambda i: i <> 0)) > 0""",
+WHERE len(list_filter(pc.ids, lambda i: i <> 0)) > 0 AND len(list_filter(pq.ids, lambda i: i <> 0)) > 0""",
     "prepare_steps": f"WITH RECURSIVE {PAIR_ENCODED}{_PAIR_SEQUENCES}",
     "prepare_seqs": f"""
 WITH RECURSIVE {PAIR_ENCODED}{_PAIR_SEQUENCES}

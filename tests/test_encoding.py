@@ -158,3 +158,18 @@ def test_unknown_scope_is_an_error(spark, vocabulary):
     docs = spark.createDataFrame([(1, "other", ["x"])], "k long, scope string, tokens array<string>")
     with pytest.raises(Exception, match="no vocabulary for scope other"):
         K.encode(docs, ["k"], vocabulary, 3).collect()
+
+
+def test_valid_seqs_keeps_pairs_of_short_turns(spark, tmp_path):
+    from quarry.suite.sequences import valid_seqs
+
+    turns = []
+    for conv, (query, code) in enumerate([("sort", "x = 1")] * 20 + [("a " * 40, "y"), ("sort", ""), (None, "x"), ("", "x")]):
+        turns += [(conv, 0, "user", query), (conv, 1, "assistant", code)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(
+        str(tmp_path / "conversations.parquet")
+    )
+    found = {r.row_id // 1000: r["mask"] for r in valid_seqs(spark, str(tmp_path)).collect()}
+    # Left out are a turn without code tokens and one that is null.
+    assert sorted(found) == [*range(21), 23]
+    assert all("1" in mask and len(mask.split("|")) == 30 for mask in found.values())
