@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quarry import constants as C
-from quarry.operators.embedding import Model, embed, matrix
+from quarry.operators.embedding import Model, embed, list_column, matrix
 from quarry.operators.evaluation import mrr
 from quarry.operators.ranking import proportional_batches
 from quarry.session import materialise
 
+#: Steps of a job, and ids of a parameter row that are taken at once.
+STEPS_AT_ONCE, SLICE = 16, 1 << 12
+
 
 def _guarded(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     length = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
@@ -89,7 +92,7 @@ def early_stopping(
 
 
 # --- Gradients --------------------------------------------------------------
-# A batch task receives its sequences and just the parameters they use.
+# An owner's task receives the batches of a step and the owner's parameters.
 
 
 def _forward(ids, vec, part: dict):
@@ -109,11 +112,12 @@ def _backward(grad_mean, out: dict, vec, part: dict):
     """Gradients of the token vectors (per occurrence) and of the gate, scale
     and shift parameters; the running statistics count as constants."""
     weight, length = out["weight"], out["weight"].shape[1]
-    inner = np.einsum("nd,nld->nl", grad_mean, vec - out["mean"][:, None, :]) / out["mass"]
+    along = (grad_mean * out["mean"]).sum(axis=1, keepdims=True)
+    inner = (np.einsum("nd,nld->nl", grad_mean, vec) - along) / out["mass"]
     score = inner * weight * (1.0 - weight)
     raw = score * part["gamma"][:length] * out["scale"]
     grad_vec = (weight / out["mass"])[:, :, None] * grad_mean[:, None, :]
-    grad_vec = grad_vec + raw[:, :, None] * part["gate"]
+    grad_vec += raw[:, :, None] * part["gate"]
 
     def over_positions(values):
         whole = np.zeros(len(part["gamma"]))
@@ -167,29 +171,61 @@ def _loss_gradient(query: np.ndarray, code: np.ndarray):
     )
 
 
-_GRADIENT_SCHEMA = (
-    "owner string, kind string, scope string, id int, grad array<double>, loss double"
+# Parameters travel as rows of many ids each: ``vec``, ``m`` and ``v`` hold the
+# numbers of all ``ids`` one after the other. Kind ``loss`` has the sum of the
+# losses of an owner's batches so far in ``vec``, and their number.
+_PACKED_SCHEMA = (
+    "owner string, kind string, scope string, ids array<int>, vec array<double>, m array<double>, "
+    "v array<double>, t int"
 )
+_NUMBERS = ["vec", "m", "v"]
 
 
 # Parameters with one row per scope; the last two are running statistics.
 _SCOPE_KINDS = ["gate", "gamma", "beta", "mean", "var"]
 
 
-def _batch_gradient(sequences: pa.Table, parameters: pa.Table) -> pa.Table:
-    scopes = np.array(parameters.column("scope").to_pylist(), dtype=object)
-    ids = parameters.column("id").to_numpy()
-    kinds = np.array(parameters.column("kind").to_pylist(), dtype=object)
-    values = parameters.column("vec").to_pylist()
-    model: dict = {}
-    for scope in dict.fromkeys(scopes):
-        rows = np.flatnonzero((scopes == scope) & (kinds == "token"))
-        model[scope] = {"ids": ids[rows], "vec": np.array([values[r] for r in rows])}
-        for kind in _SCOPE_KINDS:
-            row = np.flatnonzero((scopes == scope) & (kinds == kind))[0]
-            model[scope][kind] = np.array(values[row])
-
-    owner = sequences.column("owner")[0].as_py()
+def _state(parameters: pa.Table) -> dict:
+    """Arrays of each scope and kind of an owner's parameters: ``ids`` in order
+    and ``vec``, ``m`` and ``v``, of which token has a row for each id."""
+    places: dict = {}
+    for i, key in enumerate(zip(*(parameters.column(c).to_pylist() for c in ("scope", "kind")))):
+        places.setdefault(key, []).append(i)
+    state: dict = {}
+    for (scope, kind), at in places.items():
+        rows = parameters.slice(at[0], 1) if len(at) == 1 else parameters.take(pa.array(at))
+        ids = rows.column("ids").combine_chunks().flatten().to_numpy()
+        own = {name: rows.column(name).combine_chunks().flatten().to_numpy() for name in _NUMBERS}
+        if kind == "token":
+            own = {name: x.reshape(len(ids), -1) for name, x in own.items()}
+            if (ids[1:] < ids[:-1]).any():
+                order = np.argsort(ids, kind="stable")
+                ids, own = ids[order], {name: x[order] for name, x in own.items()}
+        state.setdefault(scope, {})[kind] = {"ids": ids, **own}
+    return state
+
+
+def _packed(owner: str | None, state: dict, t: int) -> pa.Table:
+    rows = [(kind, scope, part) for scope, kinds in state.items() for kind, part in kinds.items()]
+
+    def lists(name: str, type_: pa.DataType) -> pa.Array:
+        flat = [part[name].reshape(-1) for _, _, part in rows]
+        offsets = np.cumsum([0, *map(len, flat)], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat), type_))
+
+    columns = {
+        "owner": pa.array([owner] * len(rows), pa.string()),
+        "kind": pa.array([kind for kind, _, _ in rows], pa.string()),
+        "scope": pa.array([scope for _, scope, _ in rows], pa.string()),
+        "ids": lists("ids", pa.int32()),
+        **{name: lists(name, pa.float64()) for name in _NUMBERS},
+        "t": pa.array([t] * len(rows), pa.int32()),
+    }
+    return pa.table(columns)
+
+
+def _batch_gradient(sequences: pa.Table, model: dict) -> tuple[float, list]:
+    """Loss of a batch and, by scope and kind, gradients and statistics."""
     query_scope = sequences.column("query_scope")[0].as_py()
     code_scopes = np.array(sequences.column("code_scope").to_pylist(), dtype=object)
     code_ids = matrix(sequences.column("code_ids"))
@@ -202,129 +238,109 @@ def _batch_gradient(sequences: pa.Table, parameters: pa.Table) -> pa.Table:
     embedded = {side: np.zeros((len(code_scopes), width)) for side in (True, False)}
     for scope, rows, all_ids in parts:
         part, own = model[scope], all_ids[rows]
-        order = np.argsort(part["ids"])
-        place = order[np.searchsorted(part["ids"], own, sorter=order)]
+        place = np.searchsorted(part["ids"], own)
         vec = part["vec"][place]
         out = _forward(own, vec, part)
         embedded[scope == query_scope][rows] = out["mean"]
         state.append((scope, rows, place, vec, out))
     loss, grad_query, grad_code = _loss_gradient(embedded[True], embedded[False])
 
-    found = [("loss", query_scope, 0, np.zeros(1), float(loss))]
+    found = []
     for scope, rows, place, vec, out in state:
         part = model[scope]
         upstream = (grad_query if scope == query_scope else grad_code)[rows]
         grad_vec, shared = _backward(upstream, out, vec, part)
-        summed = np.zeros((len(part["ids"]), width))
-        np.add.at(summed, place.reshape(-1), grad_vec.reshape(-1, width))
-        for i in np.flatnonzero(part["ids"] != 0):
-            found.append(("token", scope, int(part["ids"][i]), summed[i], 0.0))
-        for kind, value in {**shared, **_statistics(out, part)}.items():
-            found.append((kind, scope, 0, value, 0.0))
-    offsets = np.cumsum([0, *[len(row[3]) for row in found]], dtype=np.int32)
-    numbers = pa.array(np.concatenate([row[3] for row in found]))
-    return pa.Table.from_arrays(
-        [
-            pa.array([owner] * len(found), pa.string()),
-            pa.array([row[0] for row in found]),
-            pa.array([row[1] for row in found]),
-            pa.array([row[2] for row in found], pa.int32()),
-            pa.ListArray.from_arrays(pa.array(offsets), numbers),
-            pa.array([row[4] for row in found], pa.float64()),
-        ],
-        ["owner", "kind", "scope", "id", "grad", "loss"],
-    )
+        place, grad_vec = place.reshape(-1), grad_vec.reshape(-1, width)
+        summed = np.array([np.bincount(place, grad_vec[:, i], len(part["ids"])) for i in range(width)]).T
+        summed[part["ids"] == 0] = 0.0
+        found.append((scope, {"token": summed, **shared, **_statistics(out, part)}))
+    return float(loss), found
+
+
+def _moved(batches: pa.Table, parameters: pa.Table, move: Callable) -> pa.Table:
+    """An owner's parameters after ``move`` by the gradients of its batches."""
+    if not len(batches):
+        return parameters
+    state = _state(parameters)
+    losses = state.pop(None, {}).pop("loss", None)
+    model = {
+        scope: {"ids": kinds["token"]["ids"], "vec": kinds["token"]["vec"]} | {kind: kinds[kind]["vec"] for kind in _SCOPE_KINDS}
+        for scope, kinds in state.items()
+    }
+    batches = batches.sort_by([("batch_id", "ascending"), ("row_id", "ascending")])
+    numbers = batches.column("batch_id").to_numpy()
+    edges = [0, *(np.flatnonzero(np.diff(numbers)) + 1), len(numbers)]
+    sums, counts, loss = {}, Counter(), 0.0
+    for first, end in zip(edges, edges[1:]):
+        own, found = _batch_gradient(batches.slice(first, end - first), model)
+        loss += own
+        for scope, kinds in found:
+            for kind, grad in kinds.items():
+                key, counts[scope, kind] = (scope, kind), counts[scope, kind] + 1
+                sums[key] = sums[key] + grad if key in sums else grad
+    n, t = len(edges) - 1, parameters.column("t")[0].as_py() + 1
+    state = move(state, sums, counts, n, t)
+    so_far = np.zeros(2) if losses is None else losses["vec"]
+    none = np.zeros(0)
+    state[None] = {"loss": {"ids": np.zeros(0, np.int32), "vec": so_far + [loss, n], "m": none, "v": none}}
+    return _packed(parameters.column("owner")[0].as_py(), state, t)
+
+
+def gradients(batch: DataFrame, weights: DataFrame, move: Callable) -> DataFrame:
+    """The packed parameters after ``move`` by the gradients and statistics of all
+    given batches, one task per owner.
+
+    ``batch`` has owner, batch_id, row_id, code_scope, query_scope, code_ids and
+    query_ids; the batches of an owner are bounded by the batch size and their
+    number in a step, its parameters by the sizes of its vocabularies. An
+    owner's parameters move once, as a row for each scope and kind. Owners
+    without a batch stay as they are.
+    """
 
+    def moved(batches: pa.Table, parameters: pa.Table) -> pa.Table:
+        return _moved(batches, parameters, move)
 
-def used_ids(batch: DataFrame) -> DataFrame:
-    """For each batch the (scope, id) pairs that its sequences hold."""
-    batch = batch.withColumnsRenamed({"batch_id": "task", "owner": "task_owner"})
-    task = ["task_owner", "task"]
     return (
-        batch.select(*task, F.col("code_scope").alias("scope"), F.explode("code_ids").alias("id"))
-        .unionByName(
-            batch.select(*task, F.col("query_scope").alias("scope"), F.explode("query_ids").alias("id"))
-        )
-        .distinct()
-    )
-
-
-def _used_parameters(used: DataFrame, weights: DataFrame) -> DataFrame:
-    """For each batch the rows of the parameter table it needs."""
-    task = ["task_owner", "task"]
-    columns = [*task, "kind", "scope", "id", "vec"]
-    tokens = used.join(weights.filter("kind = 'token'"), ["scope", "id"]).select(columns)
-    scopes = used.select(*task, "scope").distinct()
-    shared = scopes.join(weights.filter(F.col("kind").isin(_SCOPE_KINDS)), "scope").select(columns)
-    return tokens.unionByName(shared)
-
-
-def gradients(batch: DataFrame, weights: DataFrame, used: DataFrame | None = None) -> DataFrame:
-    """Gradient and statistics rows of all given batches, one task per batch.
-
-    ``batch`` has owner, batch_id, code_scope, query_scope, code_ids and
-    query_ids; a batch is bounded by the batch size, and so are the
-    parameters it can use. ``used`` is the result of :func:`used_ids`, where
-    it is known already.
-    """
-    parameters = _used_parameters(used_ids(batch) if used is None else used, weights)
-    return (
-        batch.groupBy("owner", "batch_id")
-        .cogroup(parameters.groupBy("task_owner", "task"))
-        .applyInArrow(_batch_gradient, _GRADIENT_SCHEMA)
+        batch.groupBy("owner")
+        .cogroup(weights.groupBy("owner"))
+        .applyInArrow(moved, _PACKED_SCHEMA)
     )
 
 
 def adam_step(
-    weights: DataFrame,
-    summed: DataFrame,
+    state: dict,
+    sums: dict,
+    counts: dict,
+    n: int,
+    t: int,
     rate: float,
     decay1: float = 0.9,
     decay2: float = 0.999,
     epsilon: float = 1e-8,
     momentum: float = 0.1,
-) -> DataFrame:
-    """Adam on the parameter table; rows without a gradient see a zero one,
-    and owners without a batch in this step stay as they are. Running
-    statistics move towards the batches' mean by ``momentum``.
+) -> dict:
+    """Adam on the arrays of an owner; parameters without a gradient see a zero
+    one. Running statistics move towards the batches' mean by ``momentum``.
 
-    ``summed`` holds sums over batches and their number ``n`` per row; its
-    kind ``loss`` has one row for each owner.
+    ``sums`` holds sums over the ``n`` batches of step ``t`` by scope and kind,
+    ``counts`` how many batches had any.
     """
-    moving = summed.filter("kind = 'loss'").select("owner", F.col("n").alias("_n"))
-    given = summed.filter("kind != 'loss'").select(
-        "owner", "kind", "scope", "id", "grad", F.col("n").alias("_rows")
-    )
-    zero = F.transform("vec", lambda _: F.lit(0.0))
-    joined = (
-        weights.join(given, ["owner", "kind", "scope", "id"], "left")
-        .join(moving, "owner", "left")
-        .withColumn("_seen", F.transform("grad", lambda g: g / F.col("_rows")))
-        .withColumn("grad", F.coalesce(F.transform("grad", lambda g: g / F.col("_n")), zero))
-        .withColumn("_live", F.col("_n").isNotNull())
-    )
-    m = F.zip_with("m", "grad", lambda m, g: decay1 * m + (1 - decay1) * g)
-    v = F.zip_with("v", "grad", lambda v, g: decay2 * v + (1 - decay2) * g * g)
-    moved = joined.withColumns(
-        {
-            "m": F.when(F.col("_live"), m).otherwise(F.col("m")),
-            "v": F.when(F.col("_live"), v).otherwise(F.col("v")),
-            "t": F.col("t") + F.col("_live").cast("int"),
-        }
-    )
-    first, second = (1 - F.pow(F.lit(d), F.col("t")) for d in (decay1, decay2))
-    change = F.zip_with(
-        "m", "v", lambda m, v: rate * (m / first) / (F.sqrt(v / second) + epsilon)
-    )
-    stepped = F.zip_with("vec", change, lambda x, c: x - c)
-    followed = F.zip_with("vec", "_seen", lambda x, s: (1 - momentum) * x + momentum * s)
-    running = F.col("kind").isin("mean", "var")
-    vec = (
-        F.when(running, F.coalesce(followed, "vec"))
-        .when(F.col("_live"), stepped)
-        .otherwise(F.col("vec"))
-    )
-    return moved.withColumn("vec", vec).select(weights.columns)
+    stepped: dict = {}
+    for scope, kinds in state.items():
+        for kind, part in kinds.items():
+            total = sums.get((scope, kind))
+            own = dict(part)
+            if kind in ("mean", "var"):
+                if total is not None:
+                    own["vec"] = (1 - momentum) * part["vec"] + momentum * (total / counts[scope, kind])
+            else:
+                grad = 0.0 if total is None else total / n
+                own["m"] = decay1 * part["m"] + (1 - decay1) * grad
+                own["v"] = decay2 * part["v"] + (1 - decay2) * grad * grad
+                first, second = 1 - decay1**t, 1 - decay2**t
+                own["vec"] = part["vec"] - rate * (own["m"] / first) / (np.sqrt(own["v"] / second) + epsilon)
+            stepped.setdefault(scope, {})[kind] = own
+    return stepped
 
 
 def scope_name(owner, name):
@@ -338,7 +354,8 @@ def owner_of(scope):
 
 
 def _weights(model: Model) -> DataFrame:
-    """All parameters of a model in one table, ready for Adam."""
+    """All parameters of a model in one table, ready for Adam: packed, each id in
+    a row of its own."""
     tokens = model.tokens.select(F.lit("token").alias("kind"), "scope", "id", "vec")
     gate = model.gate.select(
         F.lit("gate").alias("kind"), "scope", F.lit(0).alias("id"), F.col("w").alias("vec")
@@ -353,11 +370,26 @@ def _weights(model: Model) -> DataFrame:
         "kind", "scope", F.lit(0).alias("id"), "vec"
     )
     zero = F.transform("vec", lambda _: F.lit(0.0))
-    return tokens.unionByName(gate).unionByName(norms).withColumns(
-        {"m": zero, "v": zero, "t": F.lit(0), "owner": owner_of(F.col("scope"))}
+    rows = tokens.unionByName(gate).unionByName(norms)
+    vec = F.col("vec").cast("array<double>")
+    return rows.select(
+        owner_of(F.col("scope")).alias("owner"), "kind", "scope", F.array(F.col("id").cast("int")).alias("ids"),
+        vec.alias("vec"), zero.alias("m"), zero.alias("v"), F.lit(0).alias("t"),
     )
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each id of token rows, taken ``SLICE`` ids at a time."""
+    for batch in batches:
+        for scope, ids, vec in zip(batch.column("scope"), batch.column("ids"), batch.column("vec")):
+            ids, vec = (x.values.to_numpy() for x in (ids, vec))
+            vec = vec.reshape(len(ids), -1)
+            for i in range(0, len(ids), SLICE):
+                own = ids[i : i + SLICE]
+                columns = [pa.array([scope.as_py()] * len(own), pa.string()), pa.array(own), list_column(vec[i : i + SLICE])]
+                yield pa.RecordBatch.from_arrays(columns, ["scope", "id", "vec"])
+
+
 def _model(weights: DataFrame) -> Model:
     def one(kind: str):
         return F.max(F.when(F.col("kind") == kind, F.col("vec"))).alias(kind)
@@ -369,8 +401,9 @@ def _model(weights: DataFrame) -> Model:
     )
     zipped = F.posexplode(F.arrays_zip("mean", "var", "gamma", "beta")).alias("position", "x")
     norms = arrays.select("scope", zipped).select("scope", "position", "x.*")
+    tokens = weights.filter("kind = 'token'").select("scope", "ids", "vec")
     return Model(
-        weights.filter("kind = 'token'").select("scope", "id", "vec"),
+        materialise(tokens.mapInArrow(_unpacked, "scope string, id int, vec array<double>"), "tokens"),
         weights.filter("kind = 'gate'").select("scope", F.col("vec").alias("w")),
         norms,
     )
@@ -419,11 +452,11 @@ def fit(
     Sequences with an ``owner`` column train one model per owner, all in the
     same jobs: batches never mix owners, an owner's parameters see only its
     own batches, and it stops on its own validation score. Every step works
-    on ``batches_per_step`` batches of each owner: one gradient task per
-    batch, a sum per parameter, one Adam step on the parameter table, which
-    is then written so that the next step starts from a table. Batches and the
-    ids they use are laid out by step, so a step reads its own only. Two numbers
-    per epoch reach the driver.
+    on ``batches_per_step`` batches of each owner: one task per owner takes the
+    gradients of its batches, sums them and moves its parameters. Steps follow
+    each other without the driver, ``STEPS_AT_ONCE`` in a job, then the
+    parameters are written. Batches are laid out by step, so a step reads its
+    own only. Two numbers per epoch reach the driver.
     """
     train, valid = _with_scopes(train), _with_scopes(valid)
     weights = materialise(_weights(model), "weights")
@@ -441,35 +474,25 @@ def fit(
             proportional_batches(
                 train.join(active, "owner", "left_semi"),
                 "language", "row_id", batch_size, seed + epoch, within=["owner"],
-            ).withColumn("_step", F.expr(f"batch_id div {batches_per_step}").cast("int")),
+            ).select(
+                "owner", "batch_id", "row_id", "code_scope", "query_scope", "code_ids", "query_ids",
+                F.expr(f"batch_id div {batches_per_step}").cast("int").alias("_step"),
+            ),
             "batches", ["_step"],
         )
         n_batches = batched.agg(F.max("batch_id")).first()[0]
         if n_batches is None:
             break
-        used = used_ids(batched).withColumn("_step", F.expr(f"task div {batches_per_step}").cast("int"))
-        used = materialise(used, "used", ["_step"])
-        losses = []
-        for step in range(n_batches // batches_per_step + 1):
-            part, own = (df.filter(F.col("_step") == step).drop("_step") for df in (batched, used))
-            total = Summarizer.metrics("sum").summary(array_to_vector("grad"))["sum"]
-            summed = materialise(
-                gradients(part, weights, own)
-                .groupBy("owner", "kind", "scope", "id")
-                .agg(
-                    vector_to_array(total).alias("grad"),
-                    F.sum("loss").alias("loss"),
-                    F.count("*").alias("n"),
-                ),
-                "gradients",
-            )
-            losses.append(summed.filter("kind = 'loss'").select("owner", "loss", "n"))
-            weights = materialise(adam_step(weights, summed, rate), "weights")
-        loss = (
-            reduce(DataFrame.unionByName, losses)
-            .groupBy("owner")
-            .agg((F.sum("loss") / F.sum("n")).alias("loss"))
-        )
+        move = partial(adam_step, rate=rate)
+        steps = n_batches // batches_per_step + 1
+        for step in range(steps):
+            part = batched.filter(F.col("_step") == step).drop("_step")
+            weights = gradients(part, weights, move)
+            if (step + 1) % STEPS_AT_ONCE == 0 or step + 1 == steps:
+                weights = materialise(weights, "weights")
+        sums = weights.filter("kind = 'loss'")
+        loss = sums.select("owner", (F.col("vec")[0] / F.col("vec")[1]).alias("loss"))
+        weights = weights.filter("kind != 'loss'")
         pairs = embed_pairs(
             valid.join(active, "owner", "left_semi"), _model(weights)
         )
